@@ -4,11 +4,13 @@ from __future__ import annotations
 
 
 def queries():
-    from mnemara.llm import chat, mixing
+    from mnemara.llm import chat, mixing, simhash, toxicity
 
     return {
         "op2_mix": mixing.op2_mix,
+        "op6_simhash": simhash.op6_simhash,
         "op9_chat_format": chat.op9_chat_format,
+        "op10_toxicity": toxicity.op10_toxicity,
     }
 
 
