@@ -4,9 +4,10 @@ from __future__ import annotations
 
 
 def queries():
-    from mnemara.llm import chat, mixing, simhash, toxicity
+    from mnemara.llm import chat, mixing, simhash, toxicity, wavelet
 
     return {
+        "op1_wavelet": wavelet.op1_wavelet,
         "op2_mix": mixing.op2_mix,
         "op6_simhash": simhash.op6_simhash,
         "op9_chat_format": chat.op9_chat_format,
