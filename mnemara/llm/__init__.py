@@ -4,11 +4,12 @@ from __future__ import annotations
 
 
 def queries():
-    from mnemara.llm import chat, mixing, simhash, toxicity, wavelet
+    from mnemara.llm import chat, mixing, nbest, simhash, toxicity, wavelet
 
     return {
         "op1_wavelet": wavelet.op1_wavelet,
         "op2_mix": mixing.op2_mix,
+        "op5_nbest": nbest.op5_nbest,
         "op6_simhash": simhash.op6_simhash,
         "op9_chat_format": chat.op9_chat_format,
         "op10_toxicity": toxicity.op10_toxicity,
