@@ -4,19 +4,26 @@ from __future__ import annotations
 
 
 def queries():
-    from mnemara.llm import chat, mixing, nbest, simhash, toxicity, wavelet
+    from mnemara.llm import chat, embdedup, mixing, mtree, nbest, simhash, toxicity, wavelet
 
     return {
         "op1_wavelet": wavelet.op1_wavelet,
         "op2_mix": mixing.op2_mix,
         "op5_nbest": nbest.op5_nbest,
         "op6_simhash": simhash.op6_simhash,
+        "op7_mtree": mtree.op7_mtree,
+        "op8_embedding_dedup": embdedup.op8_embedding_dedup,
         "op9_chat_format": chat.op9_chat_format,
         "op10_toxicity": toxicity.op10_toxicity,
     }
 
 
 def oracle_sql():
-    from mnemara.llm import chat, mixing
+    from mnemara.llm import chat, embdedup, mixing, mtree
 
-    return {"op2_mix": mixing.OP2_SQL, "op9_chat_format": chat.OP9_SQL}
+    return {
+        "op2_mix": mixing.OP2_SQL,
+        "op7_mtree": mtree.OP7_SQL,
+        "op8_embedding_dedup": embdedup.OP8_SQL,
+        "op9_chat_format": chat.OP9_SQL,
+    }
