@@ -4,11 +4,13 @@ from __future__ import annotations
 
 
 def queries():
-    from mnemara.llm import chat, embdedup, mixing, mtree, nbest, simhash, toxicity, wavelet
+    from mnemara.llm import chat, embdedup, langid, licenses, mixing, mtree, nbest, simhash, toxicity, wavelet
 
     return {
         "op1_wavelet": wavelet.op1_wavelet,
         "op2_mix": mixing.op2_mix,
+        "op3_language": langid.op3_language,
+        "op4_licenses": licenses.op4_licenses,
         "op5_nbest": nbest.op5_nbest,
         "op6_simhash": simhash.op6_simhash,
         "op7_mtree": mtree.op7_mtree,
@@ -19,10 +21,11 @@ def queries():
 
 
 def oracle_sql():
-    from mnemara.llm import chat, embdedup, mixing, mtree
+    from mnemara.llm import chat, embdedup, licenses, mixing, mtree
 
     return {
         "op2_mix": mixing.OP2_SQL,
+        "op4_licenses": licenses.OP4_SQL,
         "op7_mtree": mtree.OP7_SQL,
         "op8_embedding_dedup": embdedup.OP8_SQL,
         "op9_chat_format": chat.OP9_SQL,
