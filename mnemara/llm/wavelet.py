@@ -17,12 +17,14 @@ by text; an empty table gives no shards and an empty result; documents of any le
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -32,56 +34,112 @@ from mnemara.llm.common import materialise, ship, table
 SHARD_TOKENS = 1 << 21
 END_ID = 1
 RANK_BITS = 512
-CACHE_WORDS = 600_000
+CACHE_WORDS = 400_000
+DOCS_AT_ONCE = 4096
 
 
 class ChunkEncoder:
     """Encodes texts by their runs between ASCII white space.
 
-    The tokenizer drops white space and joins nothing across it, so a text's ids are those of its runs in order. Runs
-    that were met before come from a bounded cache; the others are encoded in one call a batch, as one text with
-    a mark of a single id between them (runs that hold the mark's character are encoded alone).
+    The tokenizer drops white space and joins nothing across it, so a text's ids are those of its runs in order. A batch
+    is split and dictionary-encoded by Arrow, so each different run of a batch is looked up once; ids of runs that were
+    met before come from a bounded cache. The others are encoded in one call, as one text with a mark of a single id
+    between them (runs that hold the mark's character are encoded alone).
+
+    Most runs are a word of Latin letters and some stops. Of these the tokenizer makes two tokens' worth of lower-case
+    pieces, so they are put together from a second cache of lower-case words and stops, and unknown words skip its
+    normaliser and pattern matching.
     """
 
     MARK = "|"
+    PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
 
-    def __init__(self, path: str, dtype: str = "<u2") -> None:
+    def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.tokenizer, self.dtype = Tokenizer.from_file(path), dtype
+        self.tokenizer, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
         self.width = max(1, (self.tokenizer.get_vocab_size(with_added_tokens=True) - 1).bit_length())
-        if self.width > 16:
-            self.dtype = "<u4"
+        self.dtype = np.dtype("<u2" if self.width <= 16 else "<u4")
         self.mark = self._ids(self.MARK)
-        self.known: dict[bytes, bytes] = {}
+        self.known: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {"": b""}
+        self.plain.normalizer = normalizers.Sequence([])
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.ends = np.zeros(1 << self.width, bool)  # ids that end a word
+        self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
+        self.fast = all(self._spell([x]) for x in ("a", "zé", "ß", "!?"))
+
+    def _spell(self, words: list[str]) -> list[bytes] | None:
+        """Ids of each of some lower-case words or runs of stops; None if the ids don't show where they end."""
+        ids = np.array(self.plain.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, self.dtype)
+        stops = np.flatnonzero(self.ends[ids]) + 1
+        if len(stops) != len(words):
+            return None
+        whole, stops = ids.tobytes(), (stops * ids.itemsize).tolist()
+        return [whole[a:b] for a, b in zip([0, *stops[:-1]], stops, strict=True)]
+
+    def _put_together(self, runs: list[str]) -> list[str]:
+        """Learn the plain ones of some runs; give back the others."""
+        words, plain, rest, match = self.words, [], [], self.PLAIN.fullmatch
+        for r in runs:
+            if m := match(r):
+                a, b = m.groups()
+                plain.append((r, a.lower(), b))
+            else:
+                rest.append(r)
+        if len(words) > CACHE_WORDS:
+            words.clear()
+            words[""] = b""
+        if new := list({w for _, a, b in plain for w in (a, b) if w not in words}):
+            spelt = self._spell(new)
+            if spelt is None:
+                return runs
+            words.update(zip(new, spelt, strict=True))
+        self.known.update((r, words[a] + words[b]) for r, a, b in plain)
+        return rest
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
 
-    def _learn(self, runs: list[bytes]) -> None:
-        mark, known, size = self.MARK.encode(), self.known, np.dtype(self.dtype).itemsize
-        plain = [r for r in runs if mark not in r] if len(self.mark) == 1 else []
+    def _learn(self, runs: list[str]) -> None:
+        if self.fast:
+            runs = self._put_together(runs)
+        known, size = self.known, self.dtype.itemsize
+        plain = [r for r in runs if self.MARK not in r] if len(self.mark) == 1 else []
         if plain:
-            ids = self._ids(f" {self.MARK} ".join(map(bytes.decode, plain)))
+            ids = self._ids(f" {self.MARK} ".join(plain))
             cuts = (np.flatnonzero(ids == self.mark[0]) * size).tolist()
             whole = ids.tobytes()
             for r, a, b in zip(plain, [-size, *cuts], [*cuts, len(whole)], strict=True):
                 known[r] = whole[a + size : b]
         for r in runs:
             if r not in known:
-                known[r] = self._ids(r.decode()).tobytes()
+                known[r] = self._ids(r).tobytes()
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        runs = [(t or "").encode().split() for t in texts]
+    def encode(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of some texts in a row, each text followed by ``end_id`` if given, and how many each has."""
         known = self.known
-        new = {r for line in runs for r in line if r not in known}
-        if len(known) + len(new) > CACHE_WORDS:
+        if len(known) > CACHE_WORDS:
             known.clear()
-            new = {r for line in runs for r in line}
-        if new:
-            self._learn(list(new))
-        return [b"".join(map(known.__getitem__, line)) for line in runs]
+        lists = pc.ascii_split_whitespace(texts.fill_null(""))
+        coded = lists.flatten().dictionary_encode()
+        runs = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        ids = list(map(known.get, runs))
+        if None in ids:
+            self._learn([r for r, x in zip(runs, ids, strict=True) if x is None])
+            ids = list(map(known.__getitem__, runs))
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // self.dtype.itemsize
+        offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+        each = pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(ids), self.dtype)))
+        index = coded.indices.to_numpy()
+        flat = each.take(coded.indices).flatten().to_numpy()
+        upto = np.concatenate([[0], np.cumsum(sizes[index])])
+        stops = upto[np.cumsum(np.asarray(lists.value_lengths()))] if len(lists) else np.zeros(0, np.int64)
+        counts = np.diff(stops, prepend=0)
+        if end_id is not None:
+            flat, counts = np.insert(flat, stops, end_id), counts + 1
+        return flat, counts
 
 
 _encoders: dict[str, ChunkEncoder] = {}
@@ -105,17 +163,16 @@ class WaveletMatrix:
     def build(cls, ids: np.ndarray, width: int) -> WaveletMatrix:
         planes, ones, zeros, s = [], [], [], ids
         for level in range(width - 1, -1, -1):
-            bit = (s >> level) & 1
-            mask = bit.astype(bool)
+            mask = (s & s.dtype.type(1 << level)) != 0
             packed = np.packbits(mask)
             planes.append(packed)
             padded = np.zeros(-(-len(packed) * 8 // RANK_BITS) * RANK_BITS // 8, np.uint8)
             padded[: len(packed)] = packed
             per = np.bitwise_count(padded.view(np.uint64)).reshape(-1, RANK_BITS // 64).sum(axis=1, dtype=np.uint32)
             ones.append(np.concatenate([[0], np.cumsum(per)[:-1]]).astype("<u4") if len(per) else np.zeros(0, "<u4"))
-            low, high = s[~mask], s[mask]
+            low = s[~mask]
             zeros.append(len(low))
-            s = np.concatenate([low, high])
+            s = np.concatenate([low, s[mask]])
         return cls(len(ids), planes, ones, zeros)
 
     def decode(self) -> np.ndarray:
@@ -208,8 +265,7 @@ SHARD_SCHEMA = (
 )
 
 
-def _shard_batch(part: int, seq: int, base: int, ids: bytes, doc_ids: list, lengths: list[int], enc: ChunkEncoder) -> pa.RecordBatch:
-    tokens = np.frombuffer(ids, enc.dtype)
+def _shard_batch(part: int, seq: int, base: int, tokens: np.ndarray, doc_ids: list, lengths: np.ndarray, enc: ChunkEncoder) -> pa.RecordBatch:
     w = WaveletMatrix.build(tokens, enc.width)
     row = {
         "part": part, "seq": seq, "base": base, "n_tokens": len(tokens), "width": enc.width, "doc_ids": doc_ids, "lengths": lengths,
@@ -224,25 +280,23 @@ def write_shards(docs: DataFrame, tokenizer_path: str, shard_tokens: int = SHARD
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer_path)
-        end = np.array([end_id], enc.dtype).tobytes()
-        size = len(end)
         part, seq, base = TaskContext.get().partitionId(), 0, 0
-        parts, doc_ids, lengths, held = [], [], [], 0
+        ids, doc_ids, counts = np.zeros(0, enc.dtype), [], np.zeros(0, np.int64)
         for b in batches:
-            for at in range(0, b.num_rows, 512):
-                piece = b.slice(at, 512)
-                for i, ids in zip(piece.column(0).to_pylist(), enc.encode(piece.column(1).to_pylist()), strict=True):
-                    n = len(ids) // size + 1
-                    if held and held + n > shard_tokens:
-                        yield _shard_batch(part, seq, base, b"".join(parts), doc_ids, lengths, enc)
-                        seq, base = seq + 1, base + held
-                        parts, doc_ids, lengths, held = [], [], [], 0
-                    parts += (ids, end)
-                    doc_ids.append(i)
-                    lengths.append(n)
-                    held += n
+            for at in range(0, b.num_rows, DOCS_AT_ONCE):
+                piece = b.slice(at, DOCS_AT_ONCE)
+                more, n = enc.encode(piece.column(1), end_id)
+                ids, counts = np.concatenate([ids, more]), np.concatenate([counts, n])
+                doc_ids += piece.column(0).to_pylist()
+                while len(ids) > shard_tokens:  # close a shard at the last document that fits, or after the first
+                    stops = np.cumsum(counts)
+                    docs_in = max(1, int(np.searchsorted(stops, shard_tokens, side="right")))
+                    cut = int(stops[docs_in - 1])
+                    yield _shard_batch(part, seq, base, ids[:cut], doc_ids[:docs_in], counts[:docs_in], enc)
+                    seq, base = seq + 1, base + cut
+                    ids, doc_ids, counts = ids[cut:], doc_ids[docs_in:], counts[docs_in:]
         if doc_ids:
-            yield _shard_batch(part, seq, base, b"".join(parts), doc_ids, lengths, enc)
+            yield _shard_batch(part, seq, base, ids, doc_ids, counts, enc)
 
     ship(docs.sparkSession)
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
