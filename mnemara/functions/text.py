@@ -1,0 +1,81 @@
+"""Text functions as column expressions: tokens, estimates, sentences, redaction, fact extraction."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+TOKEN = r"[\p{L}\p{N}]+"
+#: Blocks whose characters count as one token each.
+CJK = r"[\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{AC00}-\x{D7AF}]"
+LABELLED_SECRET = r"""(?i)\b(token|secret|password|api[_-]?key)(\s*(?:=|:|\bis\b)\s*)["']?([A-Za-z0-9_\-]{16,})["']?"""
+#: Credential formats of public services by kind.
+SECRETS = (
+    ("pem_private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----"),
+    ("aws_access_key", r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b"),
+    ("github_token", r"\bgh[pousr]_[A-Za-z0-9]{36,}\b"),
+    ("gitlab_token", r"\bglpat-[A-Za-z0-9_\-]{20,}"),
+    ("slack_token", r"\bxox[abprs]-[A-Za-z0-9\-]{10,}"),
+    ("stripe_live_key", r"\b[sr]k_live_[A-Za-z0-9]{16,}\b"),
+    ("npm_token", r"\bnpm_[A-Za-z0-9]{36}\b"),
+    ("huggingface_token", r"\bhf_[A-Za-z0-9]{30,}\b"),
+)
+#: What opens a statement about oneself, and what must not be kept.
+OPENERS = r"(?i)^(?:i (?:prefer|like|love|hate|live|work|use|am|have)\b|i'm\b|my\b|we (?:use|prefer)\b|remember\b|please remember\b|call me\b)"
+SENSITIVE = r"(?i)\b(?:password|passcode|pin|ssn|social security|credit card|bank account|diagnosed|hiv|pregnant|religion|salary)\b"
+
+
+def tokens(text) -> Column:
+    """Words in lower case, without stemming or stop words."""
+    return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
+
+
+def token_estimate(text) -> Column:
+    """One token for each CJK character, one for every three other UTF-16 units, rounded up."""
+    cjk = F.regexp_count(text, F.lit(CJK))
+    wide = F.regexp_count(text, F.lit(r"[\x{10000}-\x{10FFFF}]"))
+    return (cjk + F.ceil((F.length(text) + wide - cjk) / 3)).cast("long")
+
+
+def sentences(text) -> Column:
+    """Sentences with white space folded; a sentence ends after a stop that white space follows."""
+    marked = F.regexp_replace(F.trim(F.regexp_replace(text, r"\s+", " ")), r"([.!?]) ", "$1\n")
+    return F.filter(F.split(marked, r"\n"), lambda s: s != "")
+
+
+def path_leaf(path) -> Column:
+    """What follows the last slash of either kind; all of it if nothing does."""
+    leaf = F.element_at(F.split(path, r"[/\\]"), -1)
+    return F.when(leaf == "", path).otherwise(leaf)
+
+
+def id_hash(value) -> Column:
+    return F.concat(F.lit("h_"), F.substring(F.sha2(value, 256), 1, 16))
+
+
+def fingerprint(*parts) -> Column:
+    return F.concat(F.lit("fp_"), F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, 12))
+
+
+def clip(text, limit: int) -> Column:
+    return F.when(F.length(text) > limit, F.concat(F.substring(text, 1, limit), F.lit("..."))).otherwise(text)
+
+
+def secret_kinds(text) -> Column:
+    found = [F.when(F.regexp_like(text, F.lit(p)), F.lit(kind)) for kind, p in (*SECRETS, ("labelled_secret", LABELLED_SECRET))]
+    return F.array_compact(F.array(*found))
+
+
+def redact_secrets(text) -> Column:
+    for kind, p in SECRETS:
+        text = F.regexp_replace(text, p, f"[redacted: {kind}]")
+    return F.regexp_replace(text, LABELLED_SECRET, "$1$2[redacted: labelled_secret]")
+
+
+def candidate_facts(text, cap: int = 3) -> Column:
+    """Up to ``cap`` statements worth keeping: 8 to 300 characters, no question, nothing sensitive, with an opener."""
+    kept = F.filter(
+        sentences(text),
+        lambda s: (F.length(s) >= 8) & (F.length(s) <= 300) & ~s.endswith("?") & ~F.regexp_like(s, F.lit(SENSITIVE)) & F.regexp_like(s, F.lit(OPENERS)),
+    )
+    return F.slice(F.transform(kept, lambda s: F.regexp_replace(s, r"(?i)^(?:please )?remember (?:that )?", "")), 1, cap)

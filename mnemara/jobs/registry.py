@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from mnemara.jobs import recall, records
+
+PARTS = (recall, records)
+
 
 def queries():
-    return {}
+    return {name: f for part in PARTS for name, f in part.QUERIES.items()}
 
 
 def oracle_sql():
-    return {}
+    return {name: sql for part in PARTS for name, sql in part.SQL.items()}
