@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from mnemara.jobs import recall, records
+from mnemara.jobs import recall, records, streams, texts
 
-PARTS = (recall, records)
+PARTS = (recall, records, texts, streams)
 
 
 def queries():
