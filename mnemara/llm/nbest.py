@@ -18,11 +18,13 @@ from __future__ import annotations
 
 import heapq
 import math
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +34,10 @@ N_BEST = 4
 CACHE_SEGMENTS = 500_000
 BYTE_PENALTY = 10.0
 SPACE = "▁"
+CUT = "\0"
+DOCS_AT_ONCE = 4096
+WIDEST = 64
+CELLS = 1 << 16
 
 
 def best_paths(into: list[list[tuple[int, object, float]]], best: list[float], n: int) -> list[tuple[float, list]]:
@@ -53,6 +59,52 @@ def best_paths(into: list[list[tuple[int, object, float]]], best: list[float], n
     return out
 
 
+#: Scores of segmentations with their changes against the best.
+Variants = list[tuple[float, list[tuple[int, int, tuple[int, ...]]]]]
+#: Ids of a best segmentation (int32 bytes), its score, and what the second best loses.
+Solved = tuple[bytes, float, float]
+
+
+_MULTIPLIER, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
+
+
+class PieceTable:
+    """Ids of pieces by a 64-bit hash of their characters, in an open-addressed array.
+
+    Decoding every result against its text (``round_trip``) would show a clash of hashes.
+    """
+
+    def __init__(self, pieces: dict[str, tuple[tuple[int, ...], float]]) -> None:
+        bits = (8 * len(pieces)).bit_length()
+        self.size, self.shift = 1 << bits, 64 - bits
+        self.hashes, self.ids = np.zeros(self.size, np.uint64), np.full(self.size, -1, np.int32)
+        for text, ((i,), _) in pieces.items():
+            h = 0
+            for c in text:
+                h = (h * int(_MULTIPLIER) + ord(c) + 1) & (1 << 64) - 1
+            at, step = self._slot(h), 0
+            while self.ids[at + step & self.size - 1] >= 0:
+                step += 1
+            self.hashes[at + step & self.size - 1], self.ids[at + step & self.size - 1] = h, i
+
+    def _slot(self, h: int) -> int:
+        return ((h ^ h >> 29) * int(_MIX) & (1 << 64) - 1) >> self.shift
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The ids of some hashes, -1 for none."""
+        slot = ((h ^ h >> np.uint64(29)) * _MIX >> np.uint64(self.shift)).ravel()
+        h = h.ravel()
+        met = self.hashes[slot] == h
+        out = np.where(met, self.ids[slot], np.int32(-1))
+        left = np.flatnonzero(~met & (self.ids[slot] >= 0))  # another piece's slot: look at the next
+        while len(left):
+            slot[left] = slot[left] + np.uint64(1) & np.uint64(self.size - 1)
+            met = self.hashes[slot[left]] == h[left]
+            out[left[met]] = self.ids[slot[left[met]]]
+            left = left[~met & (self.ids[slot[left]] >= 0)]
+        return out
+
+
 class PieceLattice:
     def __init__(self, path: str) -> None:
         from sentencepiece import SentencePieceProcessor
@@ -61,35 +113,43 @@ class PieceLattice:
         ranks = {i: -sp.get_score(i) for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))}
         first = min(ranks.values())
         total = math.log(sum(1 / (1 + r - first) for r in ranks.values()))
-        self.pieces = {sp.id_to_piece(i): (i, -math.log(1 + r - first) - total) for i, r in ranks.items()}
-        self.prefixes = {p[:k] for p in self.pieces for k in range(1, len(p) + 1)}
-        self.inside = {p[k : k + 2] for p in self.pieces for k in range(len(p) - 1)}
+        self.pieces = {sp.id_to_piece(i): ((i,), -math.log(1 + r - first) - total) for i, r in ranks.items()}
+        self.nothing = object()
+        self.matches = {p[:k]: None for p in self.pieces for k in range(1, len(p))} | self.pieces  # None: some piece goes on
+        inside = {p[k : k + 2] for p in self.pieces for k in range(len(p) - 1)}
+        self.inside = np.array(sorted(ord(x[0]) << 32 | ord(x[1]) for x in inside), np.uint64)
+        self.longest = max(map(len, self.pieces))
+        self.table, self.logp = PieceTable(self.pieces), np.zeros(max(ranks) + 1)
+        for (i,), x in self.pieces.values():
+            self.logp[i] = x
         self.byte_ids = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.byte_score = min(s for _, s in self.pieces.values()) - BYTE_PENALTY
         # Words can be cut out by spaces and lines if no piece goes on across them.
-        self.by_word = all(b[1] != SPACE or b[0] == SPACE for b in self.inside) and not any("\n" in b for b in self.inside)
-        self.words: dict[str, tuple[bytes, float, float]] = {}
-        self.segments: dict[str, tuple[bytes, float, float]] = {}
+        self.by_word = all(b[1] != SPACE or b[0] == SPACE for b in inside) and not any("\n" in b for b in inside)
+        self.words: dict[str, Solved] = {}
+        self.segments: dict[str, Solved] = {}
         self.alternatives = lru_cache(maxsize=20_000)(self._alternatives)
 
+    def _bytes(self, char: str) -> tuple[tuple[int, ...], float]:
+        raw = char.encode("utf-8", "surrogatepass")
+        return tuple(self.byte_ids[b] for b in raw), self.byte_score * len(raw)
+
     def lattice(self, s: str) -> tuple[list, list[float]]:
         """Edges into every place of ``s``, and the best score up to it (forward Viterbi)."""
-        n, pieces, prefixes = len(s), self.pieces, self.prefixes
+        n, find, nothing = len(s), self.matches.get, self.nothing
         best, into = [0.0] + [-math.inf] * n, [[] for _ in range(n + 1)]
         for i in range(n):
-            here = best[i]
-            if s[i] not in pieces:
-                raw = s[i].encode("utf-8", "surrogatepass")
-                into[i + 1].append((i, tuple(self.byte_ids[b] for b in raw), self.byte_score * len(raw)))
-                best[i + 1] = max(best[i + 1], here + self.byte_score * len(raw))
+            if s[i] not in self.pieces:
+                ids, score = self._bytes(s[i])
+                into[i + 1].append((i, ids, score))
+                best[i + 1] = max(best[i + 1], best[i] + score)
             for j in range(i + 1, n + 1):
-                part = s[i:j]
-                if part not in prefixes:
+                p = find(s[i:j], nothing)
+                if p is nothing:
                     break
-                if (p := pieces.get(part)) is not None:
-                    into[j].append((i, (p[0],), p[1]))
-                    if here + p[1] > best[j]:
-                        best[j] = here + p[1]
+                if p is not None:
+                    into[j].append((i, p[0], p[1]))
+                    best[j] = max(best[j], best[i] + p[1])
         return into, best
 
     def n_best(self, s: str, n: int) -> list[tuple[float, list[int]]]:
@@ -97,92 +157,170 @@ class PieceLattice:
         into, best = self.lattice(s)
         return [(score, [i for ids in labels for i in ids]) for score, labels in best_paths(into, best, n)]
 
-    def _segment(self, s: str) -> tuple[bytes, float, float]:
-        """Ids of the best segmentation, its score, and what the second best loses."""
-        if (known := self.segments.get(s)) is None:
-            if len(self.segments) >= CACHE_SEGMENTS:
-                self.segments.clear()
-            found = self.n_best(s, 2)
-            gap = found[0][0] - found[1][0] if len(found) > 1 else math.inf
-            known = self.segments[s] = (np.array(found[0][1], "<i4").tobytes(), found[0][0], gap)
-        return known
-
-    def cuts(self, s: str) -> list[str]:
-        inside, out, start = self.inside, [], 0
-        for k in range(1, len(s)):
-            if s[k - 1 : k + 1] not in inside:
-                out.append(s[start:k])
-                start = k
-        out.append(s[start:])
+    def _second(self, s: str) -> Solved:
+        """Ids of the best segmentation, its score, and what the second best loses, for any segment."""
+        found = self.n_best(s, 2)
+        return array("i", found[0][1]).tobytes(), found[0][0], found[0][0] - found[1][0] if len(found) > 1 else math.inf
+
+    def _solve(self, segments: list[str]) -> None:
+        """Solve segments by length, all of a length class at once; those with bytes or of great length one by one."""
+        known, classes = self.segments, {}
+        for s in segments:
+            classes.setdefault(len(s) if len(s) <= 16 else 1 << (len(s) - 1).bit_length(), []).append(s)
+        for width, group in classes.items():
+            if width > WIDEST:
+                known.update((s, self._second(s)) for s in group)
+                continue
+            for at in range(0, len(group), CELLS // width):
+                part = group[at : at + CELLS // width]
+                known.update(zip(part, self._viterbi(part, width), strict=True))
+
+    def _viterbi(self, segments: list[str], width: int) -> list[Solved]:
+        """Forward and backward Viterbi over many lattices at once.
+
+        The second best has an edge outside the best path, and the best path over an edge scores forward plus edge plus
+        backward, so its loss is read off without a search.
+        """
+        n, longest = len(segments), min(self.longest, width)
+        length = np.fromiter(map(len, segments), np.int64, n)
+        chars = np.frombuffer("".join(s.ljust(width, "\0") for s in segments).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(n, width)
+        score = np.full((longest, n, width), -np.inf)  # by piece length - 1, segment, start
+        piece = np.zeros((longest, n, width), np.int32)
+        h = np.zeros((n, width), np.uint64)
+        for k in range(longest):
+            span = width - k
+            h = h[:, :span] * _MULTIPLIER + chars[:, k:].astype(np.uint64) + np.uint64(1)
+            found = self.table.find(h).reshape(n, span)
+            piece[k, :, :span] = found
+            score[k, :, :span] = np.where(found >= 0, self.logp[found], -np.inf)
+        forward = np.full((n, width + 1), -np.inf)
+        forward[:, 0], came = 0.0, np.zeros((n, width + 1), np.int64)
+        for j in range(1, width + 1):
+            for k in range(min(longest, j)):
+                over = forward[:, j - 1 - k] + score[k, :, j - 1 - k]
+                better = over > forward[:, j]
+                forward[better, j], came[better, j] = over[better], k
+        rows = np.arange(n)
+        backward = np.full((n, width + 1), -np.inf)
+        backward[rows, length] = 0.0
+        for i in range(width - 1, -1, -1):
+            for k in range(min(longest, width - i)):
+                np.maximum(backward[:, i], score[k, :, i] + backward[:, i + 1 + k], out=backward[:, i])
+        best = forward[rows, length]
+        ids, at, live, count = np.zeros((n, width), np.int32), length.copy(), rows[np.isfinite(best)], np.zeros(n, np.int64)
+        while len(live):
+            k = came[live, at[live]]
+            at[live] -= k + 1
+            count[live] += 1
+            ids[live, width - count[live]] = piece[k, live, at[live]]
+            score[k, live, at[live]] = -np.inf  # off the best path from here on
+            live = live[at[live] > 0]
+        second = np.full(n, -np.inf)
+        for k in range(longest):
+            span = width - k
+            np.maximum(second, (forward[:, :span] + score[k, :, :span] + backward[:, k + 1 : width + 1]).max(axis=1), out=second)
+        gap = np.where(np.isfinite(best), np.where(np.isfinite(best), best, 0.0) - second, 0.0)
+        out = [(x[width - c :].tobytes(), b, g) for x, c, b, g in zip(ids, count.tolist(), best.tolist(), gap.tolist(), strict=True)]
+        return [x if x[1] > -math.inf else self._second(s) for s, x in zip(segments, out, strict=True)]
+
+    def _segments_of(self, words: list[str]) -> list[list[str]]:
+        """Words cut wherever no piece spans two neighbouring characters."""
+        joined = "\0".join(words)
+        c = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        pairs = c[:-1] << np.uint64(32) | c[1:]
+        at = np.searchsorted(self.inside, pairs)
+        cuts = np.flatnonzero(self.inside[np.minimum(at, len(self.inside) - 1)] != pairs) + 1
+        bounds = [0, *cuts.tolist(), len(joined)]
+        out, now = [], []
+        for a, b in zip(bounds, bounds[1:], strict=False):
+            part = joined[a:b]
+            if part == "\0":
+                out.append(now)
+                now = []
+            else:
+                now.append(part)
+        out.append(now)
         return out
 
-    def word(self, s: str) -> tuple[bytes, float, float]:
-        if (known := self.words.get(s)) is None:
-            if len(self.words) >= CACHE_SEGMENTS:
-                self.words.clear()
-            parts = [self._segment(x) for x in self.cuts(s)]
-            known = self.words[s] = (
-                parts[0] if len(parts) == 1 else (b"".join(p[0] for p in parts), sum(p[1] for p in parts), min(p[2] for p in parts))
-            )
-        return known
-
-    def _alternatives(self, s: str, n: int) -> tuple[tuple[float, tuple[int, ...]], ...]:
-        """The ``n`` best segmentations of a word, by losses against the best."""
-        found = self.n_best(s, n)
-        return tuple((found[0][0] - score, tuple(ids)) for score, ids in found)
-
-    def split(self, text: str) -> list[str]:
-        """The text's words as stretches of the lattice: spaces as the model's mark, one in front."""
-        marked = SPACE + text.replace(" ", SPACE)
-        if not self.by_word:
-            return [marked]
-        out = []
-        for k, line in enumerate(marked.split("\n")):
-            if k:
-                out.append("\n")
-            head, *words = line.split(SPACE)
-            if head:
-                out.append(head)
-            run = SPACE
-            for w in words[:-1]:
-                if w:
-                    out.append(run + w)
-                    run = SPACE
+    def _learn(self, words: list[str]) -> None:
+        """Solve words that are not known yet."""
+        plain = [w for w in words if w and CUT not in w]
+        if len(self.words) >= CACHE_SEGMENTS:
+            self.words.clear()
+        if len(self.segments) >= CACHE_SEGMENTS:
+            self.segments.clear()
+        for w in words:
+            if not w:
+                self.words[w] = (b"", 0.0, math.inf)
+            elif CUT in w:
+                self.words[w] = self._second(w)
+        if plain:
+            parts, known = self._segments_of(plain), self.segments
+            self._solve(list({s for p in parts for s in p if s not in known}))
+            for w, p in zip(plain, parts, strict=True):
+                if len(p) == 1:
+                    self.words[w] = known[p[0]]
                 else:
-                    run += SPACE
-            if words:
-                out.append(run + words[-1])
+                    x = [known[s] for s in p]
+                    self.words[w] = (b"".join([y[0] for y in x]), sum([y[1] for y in x]), min([y[2] for y in x]))
+
+    def _alternatives(self, s: str, n: int) -> tuple[tuple[float, tuple[int, ...] | None], ...]:
+        """Losses against the best of the ``n`` best segmentations of a word; the best has no ids here."""
+        found = self.n_best(s, n)
+        return ((0.0, None), *((found[0][0] - score, tuple(ids)) for score, ids in found[1:]))
+
+    def marked(self, text: str) -> str:
+        """The text as the lattice reads it, with a mark where it falls into words: spaces as the model's sign, one in front."""
+        if not self.by_word or CUT in text:
+            return SPACE + text.replace(" ", SPACE)
+        out = SPACE + text.replace("\n", f"{CUT}\n{CUT}").replace(" ", CUT + SPACE)
+        while f"{SPACE}{CUT}{SPACE}" in out:  # a run of spaces stays together
+            out = out.replace(f"{SPACE}{CUT}{SPACE}", SPACE + SPACE)
         return out
 
-    def encode(self, text: str | None, n: int = N_BEST) -> tuple[bytes, float, list[tuple[float, list[tuple[int, int, tuple[int, ...]]]]]]:
-        """Ids (as int32 bytes) and score of the best segmentation, and the N best as ``(score, changes)``.
+    def encode_batch(self, texts: list[str | None], n: int = N_BEST) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[Variants]]:
+        """Ids of all texts in a row, and for each text their number, the best score and the ``n`` best segmentations."""
+        marked = [self.marked(t) if t else "" for t in texts]
+        if any(CUT in t for t in texts if t):
+            lists = pa.array([[m] if t and CUT in t else m.split(CUT) for t, m in zip(texts, marked, strict=True)], pa.list_(pa.string()))
+        else:
+            lists = pc.split_pattern(pa.array(marked, pa.string()), CUT)
+        coded = lists.flatten().dictionary_encode()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        solved = list(map(self.words.get, words))
+        if None in solved:
+            self._learn([w for w, x in zip(words, solved, strict=True) if x is None])
+            # A full cache may have been emptied on the way.
+            solved = [x or self.words[w] for w, x in zip(words, solved, strict=True)]
+        ids = [x[0] for x in solved]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        each = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), pa.array(np.frombuffer(b"".join(ids), np.int32)))
+        index = coded.indices.to_numpy()
+        flat = each.take(coded.indices).flatten().to_numpy()
+        upto = np.concatenate([[0], np.cumsum(sizes[index])])
+        stops = np.cumsum(np.asarray(lists.value_lengths()))
+        starts = np.concatenate([[0], stops[:-1]])
+        score = np.array([x[1] for x in solved])[index]
+        gap = np.array([x[2] for x in solved])[index]
+        scores = np.add.reduceat(score, starts) if len(starts) else np.zeros(0)
+        variants = []
+        for a, b, total in zip(starts.tolist(), stops.tolist(), scores.tolist(), strict=True):
+            close = np.argsort(gap[a:b], kind="stable")[: n - 1] + a
+            # Over the words that can differ, a chain lattice of losses whose best score is 0 everywhere.
+            into = [[]]
+            for place, k in enumerate(np.sort(close[gap[close] < math.inf]).tolist()):
+                into.append([(place, (k, alt), -loss) for loss, alt in self.alternatives(words[index[k]], n)])
+            best = best_paths(into, [0.0] * len(into), n)
+            variants.append([(total + loss, [(int(upto[k] - upto[a]), int(sizes[index[k]]), alt) for k, alt in labels if alt is not None]) for loss, labels in best])
+        return flat, upto[stops] - upto[starts], scores, variants
+
+    def encode(self, text: str | None, n: int = N_BEST) -> tuple[np.ndarray, float, Variants]:
+        """Ids and score of the best segmentation, and the ``n`` best as ``(score, changes)``.
 
         A change ``(at, old, ids)`` replaces ``old`` ids at place ``at`` of the best segmentation.
         """
-        if not text:
-            return b"", 0.0, [(0.0, [])]
-        words = self.split(text)
-        get, solve = self.words.get, self.word
-        solved = [get(w) or solve(w) for w in words]
-        ids, scores, gaps = zip(*solved, strict=True)
-        score = math.fsum(scores)
-        close = [(g, k) for g, k in heapq.nsmallest(n - 1, zip(gaps, range(len(gaps)), strict=True)) if g < math.inf] if n > 1 else []
-        # Over the segments that can differ, a chain lattice of losses whose best score is 0 everywhere.
-        into, where = [[]], [k for _, k in sorted(close, key=lambda x: x[1])]
-        for place, k in enumerate(where):
-            into.append([(place, (k, alt if loss else None), -loss) for loss, alt in self._best_first(words[k], n)])
-        variants = []
-        for loss, labels in best_paths(into, [0.0] * len(into), n):
-            changes = []
-            for k, alt in labels:
-                if alt is not None:
-                    changes.append((sum(map(len, ids[:k])) // 4, len(ids[k]) // 4, alt))
-            variants.append((score + loss, changes))
-        return b"".join(ids), score, variants
-
-    def _best_first(self, word: str, n: int) -> list[tuple[float, tuple[int, ...] | None]]:
-        first, *others = self.alternatives(word, n)
-        return [(0.0, None), *((max(loss, 1e-12), alt) for loss, alt in others)]
+        flat, _, scores, variants = self.encode_batch([text], n)
+        return flat, float(scores[0]), variants[0]
 
     def decode(self, ids: list[int]) -> str:
         return self.processor.decode(ids)
@@ -212,21 +350,20 @@ def encode_documents(docs: DataFrame, model_path: str, n: int = N_BEST) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = piece_lattice(model_path)
         for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                b = whole.slice(at, 1024)
-                ids, scores, variants, good = [], [], [], []
-                for t in b.column(1).to_pylist():
-                    raw, score, best = lattice.encode(t, n)
-                    ids.append(raw)
-                    scores.append(score)
-                    variants.append([{"score": s, "changes": [{"at": a, "old": o, "ids": list(x)} for a, o, x in c]} for s, c in best])
-                    good.append(lattice.decode(np.frombuffer(raw, "<i4").tolist()) == (t or "").replace(SPACE, " "))
-                counts = np.array([len(x) // 4 for x in ids], np.int32)
+            for at in range(0, whole.num_rows, DOCS_AT_ONCE):
+                b = whole.slice(at, DOCS_AT_ONCE)
+                texts = b.column(1).to_pylist()
+                flat, counts, scores, variants = lattice.encode_batch(texts, n)
                 offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+                good = [
+                    lattice.decode(flat[x:y].tolist()) == (t or "").replace(SPACE, " ")
+                    for t, x, y in zip(texts, offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)
+                ]
+                rows = [[{"score": s, "changes": [{"at": k, "old": o, "ids": i} for k, o, i in c]} for s, c in v] for v in variants]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        b.column(0), pa.array(counts), pa.ListArray.from_arrays(offsets, np.frombuffer(b"".join(ids), "<i4")), pa.array(scores, pa.float64()),
-                        pa.array(good, pa.bool_()), pa.array(variants, pa.list_(_VARIANT)),
+                        b.column(0), pa.array(counts, pa.int32()), pa.ListArray.from_arrays(offsets, pa.array(flat)), pa.array(scores),
+                        pa.array(good, pa.bool_()), pa.array(rows, pa.list_(_VARIANT)),
                     ],
                     ["doc_id", "n_pieces", "ids", "score", "round_trip", "n_best"],
                 )
