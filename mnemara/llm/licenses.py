@@ -120,7 +120,6 @@ def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) ->
     d = d.where(F.arrays_overlap(F.split(normalise(F.col("text")), " "), F.array(*[F.lit(k) for k in keys])))
     u = (
         d.select("doc_id", F.explode(F.array_distinct(F.transform(units(F.col("text")), normalise))).alias("unit"))
-        .distinct()
         .withColumn("words", F.split("unit", " "))
         .where(F.arrays_overlap("words", F.array(*[F.lit(k) for k in keys])))
         .withColumn("bigrams", bigram_set(F.col("words")))
