@@ -1,10 +1,13 @@
 """Toxicity from the nearest labelled examples by exact TF-IDF cosine.
 
 Training takes a bounded sample (``max_examples``) of labelled documents, one of each group of near copies (rows with
-one minimum hash over 3-word shingles are one group). The vector space holds the words whose presence goes with
-label 1: log-likelihood ratio (G2) of at least ``MIN_G2`` plus twice the logarithm of the number of words tried, in
-``MIN_SUPPORT`` examples or more, the best ``max_features``. Corpus statistics come from grouped counts; sample, features and index are bounded by these parameters
-and go to the tasks as one broadcast.
+one minimum hash over 3-word shingles are one group). Terms are words and word beginnings of ``PREFIXES`` letters
+(``stem*``), so inflected words share a term, each at up to ``LEVELS`` occurrences: a text has the term of level n if the
+word occurs n times or more. The space holds the terms that make label 1 likelier than not: at least ``MIN_RATE`` of
+their examples have it, in ``MIN_SUPPORT`` examples or more, with a log-likelihood ratio (G2) of at least ``MIN_G2`` plus
+twice the logarithm of the number of terms tried. Of words and beginnings that stand for each other one is kept, and
+of all the best ``max_features``. Corpus statistics come from grouped counts; sample, features and index are bounded by
+these parameters and go to the tasks as one broadcast.
 
 Search is a block-max inverted index: examples stand in blocks, each term has postings by block and its largest weight
 in each block. A query's upper bounds for all blocks are one small product; blocks are scored from the largest bound
@@ -32,10 +35,13 @@ from pyspark.sql import functions as F
 
 from mnemara.llm.common import materialise, rows_of, ship, table
 
-MAX_EXAMPLES = 20_000
+MAX_EXAMPLES = 10_000
 MAX_FEATURES = 512
 MIN_G2 = 10.0
 MIN_SUPPORT = 5
+MIN_RATE = 0.5
+PREFIXES = (4, 5, 6, 7)
+LEVELS = 4
 K = 15
 BLOCK = 64
 SMOOTHING = 0.5
@@ -69,20 +75,28 @@ def training_examples(docs: DataFrame, labels: DataFrame, max_examples: int = MA
     )
 
 
-def features(examples: DataFrame, max_features: int = MAX_FEATURES) -> list[tuple[str, float]]:
-    """``(word, idf)`` of the words that speak for label 1, at most ``max_features``."""
+def _stems(word: Column) -> Column:
+    heads = [F.when(F.length(word) >= k, F.concat(F.substring(word, 1, k), F.lit("*"))) for k in PREFIXES]
+    return F.array_compact(F.array(word, *heads))
+
+
+def features(examples: DataFrame, max_features: int = MAX_FEATURES) -> list[tuple[str, int, float]]:
+    """``(term, level, idf)`` of what speaks for label 1, at most ``max_features``."""
     n = examples.agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("t")).first()
     total, toxic = n["n"], n["t"] or 0
     if not toxic or toxic == total:
         return []
+    words = examples.select("ex_id", "toxic", F.explode(F.split(F.lower("text"), NOT_WORD)).alias("word")).where("word <> ''")
+    words = words.groupBy("ex_id", "toxic", "word").agg(F.count(F.lit(1)).alias("c"))
+    terms = words.select("ex_id", "toxic", "c", F.explode(_stems(F.col("word"))).alias("term")).groupBy("ex_id", "toxic", "term").agg(F.sum("c").alias("c"))
+    levels = F.explode(F.sequence(F.lit(1), F.least(F.lit(LEVELS), F.col("c").cast("int"))))
     counts = (
-        examples.select("toxic", F.explode(F.array_distinct(F.split(F.lower("text"), NOT_WORD))).alias("word"))
-        .where("word <> ''")
-        .groupBy("word")
+        terms.select("toxic", "term", levels.alias("level"))
+        .groupBy("term", "level")
         .agg(F.count(F.lit(1)).alias("df"), F.sum("toxic").alias("hit"))
         .where(f"df >= {MIN_SUPPORT}")
     )
-    counts = materialise(counts, "words")
+    counts = materialise(counts, "terms")
     least = MIN_G2 + 2 * math.log(max(1, rows_of(counts)))
     p, hit, df = toxic / total, F.col("hit"), F.col("df")
 
@@ -92,35 +106,67 @@ def features(examples: DataFrame, max_features: int = MAX_FEATURES) -> list[tupl
     g2 = 2 * (
         term(hit, df * p) + term(df - hit, df * (1 - p)) + term(toxic - hit, (total - df) * p) + term(total - toxic - df + hit, (total - df) * (1 - p))
     )
-    best = counts.withColumn("g2", g2).where((F.col("hit") > df * p) & (F.col("g2") >= least)).orderBy(F.desc("g2"), "word").limit(max_features)
-    return [(r["word"], math.log((1 + total) / (1 + r["df"])) + 1) for r in best.collect()]
+    best = (
+        counts.withColumn("g2", g2)
+        .where((F.col("hit") > df * p) & (F.col("hit") >= df * MIN_RATE) & (F.col("g2") >= least))
+        .orderBy(F.desc("g2"), "term", "level")
+        .limit(4 * max_features)
+        .collect()
+    )
+    kept = apart([(r["term"], r["level"], r["hit"], r["df"]) for r in best])
+    out = [r for r in best if (r["term"], r["level"]) in kept][:max_features]
+    return [(r["term"], r["level"], math.log((1 + total) / (1 + r["df"])) + 1) for r in out]
+
+
+def apart(found: list[tuple[str, int, int, int]]) -> set[tuple[str, int]]:
+    """Of terms of one level that begin alike, those to keep: a longer one in place of a beginning whose hits it nearly
+    all has, else the beginning in place of longer ones that are no surer."""
+    kept: dict[tuple[str, int], tuple[int, float]] = {}
+    for term, level, hit, df in sorted(found, key=lambda r: (-len(r[0].rstrip("*")), r[0].endswith("*"), r)):
+        head, rate = term.rstrip("*"), hit / df
+        longer = [k for k in kept if k[1] == level and term.endswith("*") and k[0].startswith(head)]
+        if any(kept[k][0] >= 0.9 * hit and kept[k][1] >= rate - 0.02 for k in longer):
+            continue
+        for k in longer:
+            if kept[k][1] <= rate + 0.02:
+                del kept[k]
+        kept[term, level] = (hit, rate)
+    return set(kept)
 
 
 class Terms:
-    """Counts the words of a vocabulary in whole texts."""
-
-    def __init__(self, words: list[str]) -> None:
-        self.automaton = ahocorasick.Automaton()
-        for i, w in enumerate(words):
-            self.automaton.add_word(w, (i, len(w)))
-        if words:
+    """Finds in whole texts the terms of a vocabulary: words, and words that begin with ``stem*``, by their occurrences."""
+
+    def __init__(self, terms: list[tuple[str, int]]) -> None:
+        self.automaton, self.levels = ahocorasick.Automaton(), {}
+        for i, (t, level) in enumerate(terms):
+            self.levels.setdefault(t, []).append((level, i))
+        by_letters: dict[str, list[tuple[str, bool]]] = {}
+        for t in self.levels:
+            by_letters.setdefault(t.rstrip("*"), []).append((t, not t.endswith("*")))
+        for letters, meant in by_letters.items():
+            self.automaton.add_word(letters, (len(letters), meant))
+        if terms:
             self.automaton.make_automaton()
-        self.any = bool(words)
 
-    def counts(self, text: str | None) -> tuple[tuple[int, int], ...]:
-        if not text or not self.any:
+    def find(self, text: str | None) -> tuple[int, ...]:
+        """Places in the vocabulary of the terms that a text has."""
+        if not text or not self.levels:
             return ()
         low, found = text.lower(), Counter()
-        for end, (i, n) in self.automaton.iter(low):
-            if (end + 1 == len(low) or not low[end + 1].isalnum()) and (end == n - 1 or not low[end - n].isalnum()):
-                found[i] += 1
-        return tuple(sorted(found.items()))
+        for end, (n, meant) in self.automaton.iter(low):
+            if end >= n and low[end - n].isalnum():
+                continue
+            whole = end + 1 == len(low) or not low[end + 1].isalnum()
+            for t, needs_end in meant:
+                if whole or not needs_end:
+                    found[t] += 1
+        return tuple(sorted(i for t, c in found.items() for level, i in self.levels[t] if level <= c))
 
 
-def unit_vector(counts: tuple[tuple[int, int], ...], idf: list[float]) -> list[tuple[int, float]]:
-    raw = [(i, n * idf[i]) for i, n in counts]
-    norm = math.sqrt(sum(x * x for _, x in raw))
-    return [(i, x / norm) for i, x in raw]
+def unit_vector(terms: tuple[int, ...], idf: list[float]) -> list[tuple[int, float]]:
+    norm = math.sqrt(sum(idf[i] ** 2 for i in terms))
+    return [(i, idf[i] / norm) for i in terms]
 
 
 @dataclass
@@ -175,14 +221,14 @@ class BlockMaxIndex:
 
 @dataclass
 class Model:
-    words: list[str]
+    terms: list[tuple[str, int]]
     idf: list[float]
     index: BlockMaxIndex | None
     base: float  # rate of label 1 among all examples
     blank: float  # and among those without any term
 
-    def score(self, counts: tuple[tuple[int, int], ...], k: int = K) -> tuple[float, list[tuple[float, int, int]]]:
-        near = self.index.nearest(unit_vector(counts, self.idf), k) if counts and self.index else []
+    def score(self, terms: tuple[int, ...], k: int = K) -> tuple[float, list[tuple[float, int, int]]]:
+        near = self.index.nearest(unit_vector(terms, self.idf), k) if terms and self.index else []
         if not near:
             return self.blank, []
         weights = [1 / (0.05 + max(0.0, 1 - s)) for s, _, _ in near]
@@ -194,37 +240,35 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, ma
     ship(docs.sparkSession)
     examples = materialise(training_examples(docs, labels, max_examples), "examples")
     found = features(examples, max_features)
-    words, idf = [w for w, _ in found], [x for _, x in found]
+    vocabulary, idf = [(t, level) for t, level, _ in found], [x for _, _, x in found]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms = Terms(words)
+        terms = Terms(vocabulary)
         for b in batches:
-            rows = [terms.counts(t.as_py()) for t in b.column(2)]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array([[x for p in r for x in p] for r in rows], pa.list_(pa.int32()))], ["ex_id", "toxic", "counts"]
-            )
+            rows = [list(terms.find(t.as_py())) for t in b.column(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(rows, pa.list_(pa.int32()))], ["ex_id", "toxic", "terms"])
 
-    counted = examples.select("ex_id", "toxic", "text").mapInArrow(count, "ex_id long, toxic int, counts array<int>").collect()
+    counted = examples.select("ex_id", "toxic", "text").mapInArrow(count, "ex_id long, toxic int, terms array<int>").collect()
     n, toxic = len(counted), sum(r["toxic"] for r in counted)
-    blank = [r["toxic"] for r in counted if not r["counts"]]
-    vectors = [(r["ex_id"], r["toxic"], unit_vector(tuple(zip(r["counts"][::2], r["counts"][1::2], strict=True)), idf)) for r in counted if r["counts"]]
+    blank = [r["toxic"] for r in counted if not r["terms"]]
+    vectors = [(r["ex_id"], r["toxic"], unit_vector(tuple(r["terms"]), idf)) for r in counted if r["terms"]]
     base = toxic / n if n else 0.0
-    return Model(words, idf, BlockMaxIndex.build(vectors, len(words)) if vectors else None, base, (sum(blank) + SMOOTHING * base) / (len(blank) + SMOOTHING))
+    return Model(vocabulary, idf, BlockMaxIndex.build(vectors, len(vocabulary)) if vectors else None, base, (sum(blank) + SMOOTHING * base) / (len(blank) + SMOOTHING))
 
 
 class Scorer:
-    """Scores texts in a task; equal term counts are searched once."""
+    """Scores texts in a task; equal sets of terms are searched once."""
 
     def __init__(self, model: Model) -> None:
-        self.model, self.terms, self.known = model, Terms(model.words), {}
+        self.model, self.terms, self.known = model, Terms(model.terms), {}
 
     def __call__(self, text: str | None) -> tuple[float, list[tuple[float, int, int]]]:
-        counts = self.terms.counts(text)
-        if counts not in self.known:
+        terms = self.terms.find(text)
+        if terms not in self.known:
             if len(self.known) >= 100_000:
                 self.known.clear()
-            self.known[counts] = self.model.score(counts)
-        return self.known[counts]
+            self.known[terms] = self.model.score(terms)
+        return self.known[terms]
 
 
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:
