@@ -227,5 +227,7 @@ def identify_documents(docs: DataFrame, training: DataFrame) -> DataFrame:
 
 def drop_unidentified(docs: DataFrame, training: DataFrame) -> DataFrame:
     """Documents whose language is found, with their columns as they are."""
-    out = identify_documents(docs, training).where("rejected").select(F.col("doc_id").alias("_gone"), F.col("text_hash").alias("_hash")).distinct()
-    return docs.join(out, F.col("doc_id").cast("long").eqNullSafe(F.col("_gone")) & (F.xxhash64("text") == F.col("_hash")), "left_anti")
+    out = identify_documents(docs, training).where("rejected").select("doc_id", "text_hash").distinct()
+    d = docs.select(F.struct(*docs.columns).alias("doc"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"))
+    same = F.col("d.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("d.text_hash") == F.col("r.text_hash"))
+    return d.alias("d").join(out.alias("r"), same, "left_anti").select("doc.*")

@@ -214,18 +214,19 @@ def keep_mixed(docs: DataFrame, **how) -> DataFrame:
     Rows alike in id, source and size share what the mix takes of them. The join back to the texts is on
     these three; rows of size 0 are kept once, as they hold no words to mix.
     """
-    d = docs.withColumn("_size", word_count(F.col("text")))
-    sized = materialise(d.select("doc_id", "source", F.col("_size").alias("size")), "sizes")
+    d = docs.select(F.struct(*docs.columns).alias("doc"), "doc_id", "source", word_count(F.col("text")).alias("size"))
+    sized = materialise(d.select("doc_id", "source", "size"), "sizes")
     taken = (
         mix(sized, **how)
         .groupBy("doc_id", "source", "size")
-        .agg((F.sum("taken") / F.greatest(F.lit(1), F.sum("size"))).alias("_times"))
-        .withColumn("_copies", F.when(F.col("size") == 0, 1).otherwise(F.floor(F.col("_times") + 0.5)).cast("int"))
-        .where("_copies > 0")
-        .select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_n"), "_copies")
+        .agg((F.sum("taken") / F.greatest(F.lit(1), F.sum("size"))).alias("times"))
+        .withColumn("copies", F.when(F.col("size") == 0, 1).otherwise(F.floor(F.col("times") + 0.5)).cast("int"))
+        .where("copies > 0")
     )
+    same = [F.col(f"d.{c}").eqNullSafe(F.col(f"t.{c}")) for c in ("doc_id", "source", "size")]
     return (
-        d.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_size") == F.col("_n")))
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-        .select(*docs.columns)
+        d.alias("d")
+        .join(taken.alias("t"), same[0] & same[1] & same[2])
+        .select("d.doc", F.explode(F.sequence(F.lit(1), F.col("t.copies"))))
+        .select("doc.*")
     )

@@ -235,7 +235,8 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """Documents less those that another one of their group stands for; one row a kept id."""
     groups = materialise(near_duplicates(docs), "groups")
-    gone = groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone"))
-    kept = docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_gone")), "left_anti")
+    gone = groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id")
+    d = docs.select(F.struct(*docs.columns).alias("doc"), F.col("doc_id").cast("long").alias("doc_id"))
+    kept = d.alias("d").join(gone.alias("g"), F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")), "left_anti").select("doc.*")
     repeated = groups.groupBy("doc_id").count().where("count > 1").limit(1).count()
     return kept.dropDuplicates(["doc_id"]) if repeated else kept
