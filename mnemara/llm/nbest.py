@@ -31,13 +31,13 @@ from pyspark.sql import functions as F
 from mnemara.llm.common import ship, table
 
 N_BEST = 4
-CACHE_SEGMENTS = 500_000
+CACHE_SEGMENTS = 150_000
 BYTE_PENALTY = 10.0
 SPACE = "▁"
 CUT = "\0"
-DOCS_AT_ONCE = 4096
+DOCS_AT_ONCE = 512
 WIDEST = 64
-CELLS = 1 << 16
+CELLS = 1 << 14
 
 
 def best_paths(into: list[list[tuple[int, object, float]]], best: list[float], n: int) -> list[tuple[float, list]]:
