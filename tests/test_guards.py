@@ -1,0 +1,52 @@
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from mnemara.functions import guards
+
+
+def one(spark, column):
+    return spark.range(1).select(column.alias("x")).first()["x"]
+
+
+@pytest.mark.parametrize("text", ["2026-01-25T00:00:00", "2026-01-25T00:00", "07/03/2026", "2026", "12345", "0000-01-01", "+010000-01-01", "2026-02-30"])
+def test_no_instant(spark, text):
+    assert one(spark, guards.instant(F.lit(text))) is None
+
+
+@pytest.mark.parametrize(("text", "hour"), [("2026-01-25", 0), ("2026-01-25T05:00:00+05:00", 0), ("2026-01-25T00:00:00.000Z", 0), ("2026-01-25T07:30Z", 7)])
+def test_instants(spark, text, hour):
+    got = one(spark, guards.instant(F.lit(text)))
+    assert (got.year, got.month, got.day, got.hour) == (2026, 1, 25, hour)
+
+
+def test_clamps():
+    assert [guards.clamp(x, 1, 100, 10) for x in (0, 7, 1000, None, "x", "20")] == [1, 7, 100, 10, 10, 20]
+
+
+def test_nothing_secret_survives(spark):
+    logged = {"content": "SENTINEL one", "id": "SENTINEL two", "path": "/SENTINEL/three/leaf.txt", "other": "SENTINEL four", "status": "ok", "n": 5, "on": True, "list": ["SENTINEL five", 1], "deep": {"query": "SENTINEL six", "code": "E1"}, "kind": ["SENTINEL seven"]}
+    out = one(spark, guards.redact_json(F.lit(json.dumps(logged))))
+    assert "SENTINEL" not in out
+    got = json.loads(out)
+    assert got["status"] == "ok" and got["n"] == 5 and got["on"] is True and got["path"] == "leaf.txt" and got["deep"]["code"] == "E1"
+    assert got["content"] == {"type": "string", "len": 12} and got["id"].startswith("h_") and len(got["id"]) == 18
+    assert one(spark, guards.redact_json(F.lit("{SENTINEL"))) == '{"type":"string","len":9}'
+    assert one(spark, guards.redact_json(F.lit(None).cast("string"))) is None
+
+
+def test_distilled_replies(spark):
+    for reply, want in (('["a b", " ", "c"]', ["a b", "c"]), ('x\n```json\n["a"]\n```', ["a"]), ('so ["a", "b"] it is', ["a", "b"]), ("none", None), ('["1","2","3","4","5","6"]', list("12345"))):
+        assert one(spark, guards.distilled(F.lit(reply))) == want
+
+
+def test_merged_keeps_other_keys(spark):
+    extra = F.create_map(F.lit("profile"), F.lit("p"))
+    assert json.loads(one(spark, guards.merged(F.lit('{"z": "1", "profile": "old"}'), extra))) == {"z": "1", "profile": "p"}
+    assert json.loads(one(spark, guards.merged(F.lit(None).cast("string"), extra))) == {"profile": "p"}
+
+
+def test_rejected_writes(spark):
+    assert one(spark, guards.rejected(F.lit(" \n"), 5)) == "empty" and one(spark, guards.rejected(F.lit("abcdef"), 5)) == "too long"
+    assert one(spark, guards.rejected(F.lit("abc"), 5)) is None
