@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mnemara.llm import golay
-from mnemara.llm.common import materialise, ship, table
+from mnemara.llm.common import materialise, rows_of, ship, table
 from mnemara.llm.graph import components
 
 SHINGLE = 4
@@ -36,6 +36,7 @@ SEED = 42
 MAX_BITS = 4
 BLOCK = 2048
 GATHER = 200_000
+HOT = 1000
 #: Segments of a fingerprint as (shift, bits).
 SEGMENTS = ((42, 22), (21, 21), (0, 21))
 PAIRS = ((0, 1), (0, 2), (1, 2))
@@ -215,12 +216,16 @@ def links(fps: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """``doc_id, fp, component_id`` for every row of ``docs``."""
     prints = materialise(fingerprints(docs), "prints")
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("rep"))
+    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"))
     linked = components(links(nodes)).join(nodes, F.col("node") == F.col("fp"))
     smallest = linked.groupBy("component").agg(F.min("rep").alias("least"))
     named = materialise(linked.join(smallest, "component").select(F.col("fp").alias("_fp"), "least"), "named")
-    label = nodes.join(named, F.col("fp") == F.col("_fp"), "left").select("fp", F.coalesce("least", "rep").alias("component_id"))
-    return prints.join(label, "fp").select("doc_id", "fp", "component_id")
+    label = nodes.join(named, F.col("fp") == F.col("_fp"), "left").select("fp", "n", F.coalesce("least", "rep").alias("component_id"))
+    # At most HOT fingerprints have more than 1 / HOT of all rows; their labels are broadcast, so no copy group meets in one task.
+    most = max(HOT, rows_of(prints) // HOT)
+    hot = F.broadcast(label.where(F.col("n") > most).select("fp", "component_id"))
+    rest = prints.join(hot.select("fp"), "fp", "left_anti").join(label.where(F.col("n") <= most).drop("n"), "fp")
+    return prints.join(hot, "fp").unionByName(rest).select("doc_id", "fp", "component_id")
 
 
 def hex16(fp: Column) -> Column:
