@@ -71,12 +71,17 @@ def trigrams(text: str | None) -> np.ndarray:
 def train(docs: DataFrame, per_lang: int = PER_LANG) -> tuple[list[str], np.ndarray]:
     """Languages, and log P(bucket | language) as an array ``buckets x languages``, from ``doc_id, text, lang``."""
     known = docs.where("lang is not null").select(F.col("doc_id").cast("long").alias("_id"), F.col("lang").alias("_lang"))
-    by_hash = Window.partitionBy("_lang").orderBy(F.xxhash64("_id"), "_id")
-    ids = known.withColumn("_no", F.row_number().over(by_hash)).where(F.col("_no") <= per_lang)
-    langs = sorted(r["_lang"] for r in ids.groupBy("_lang").count().orderBy(F.desc("count"), "_lang").limit(MAX_LANGS).collect())
+    top = known.groupBy("_lang").count().orderBy(F.desc("count"), "_lang").limit(MAX_LANGS).collect()
+    langs = sorted(r["_lang"] for r in top)
+    # The smallest hashes of each language; a first cut at four times as many leaves little to sort.
+    hashed = known.withColumn("_hash", F.xxhash64("_id"))
+    share = F.coalesce(*[F.when(F.col("_lang") == r["_lang"], min(1.0, 4 * per_lang / r["count"])) for r in top], F.lit(0.0))
+    some = hashed.where((share >= 1) | (F.col("_hash").cast("double") < (2 * share - 1) * float(1 << 63)))
+    by_hash = Window.partitionBy("_lang").orderBy("_hash", "_id")
+    ids = some.withColumn("_no", F.row_number().over(by_hash)).where(F.col("_no") <= per_lang)
     sample = materialise(
         docs.select(F.col("doc_id").cast("long").alias("_id"), "text", F.col("lang").alias("_lang")).join(
-            F.broadcast(ids.where(F.col("_lang").isin(langs)).select("_id", "_lang").distinct()), ["_id", "_lang"]
+            F.broadcast(ids.select("_id", "_lang").distinct()), ["_id", "_lang"]
         ),
         "sample",
     )
