@@ -59,3 +59,25 @@ def ship(spark: SparkSession) -> None:
 
 def rows_of(df: DataFrame) -> int:
     return df.select(F.count(F.lit(1)).alias("n")).first()["n"]
+
+
+class Recent:
+    """A bounded cache of two generations: what is asked for again stays, the rest goes with its generation."""
+
+    def __init__(self, limit: int) -> None:
+        self.half, self.new, self.old = max(1, limit // 2), {}, {}
+
+    def find(self, keys: list) -> list:
+        """Values of some keys, None for those unknown."""
+        out = list(map(self.new.get, keys))
+        if self.old and None in out:
+            new, old = self.new, self.old
+            for i, x in enumerate(out):
+                if x is None and (y := old.get(keys[i])) is not None:
+                    out[i] = new[keys[i]] = y
+        return out
+
+    def age(self) -> None:
+        """Begin a generation if this one is full; called between batches, so a batch finds all it has learnt."""
+        if len(self.new) >= self.half:
+            self.old, self.new = self.new, {}

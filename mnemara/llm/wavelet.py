@@ -29,13 +29,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mnemara.llm.common import materialise, ship, table
+from mnemara.llm.common import Recent, materialise, ship, table
 
 SHARD_TOKENS = 1 << 21
 END_ID = 1
 RANK_BITS = 512
-CACHE_WORDS = 400_000
-DOCS_AT_ONCE = 4096
+CACHE_WORDS = 600_000
+DOCS_AT_ONCE = 2048
 
 
 class ChunkEncoder:
@@ -62,8 +62,7 @@ class ChunkEncoder:
         self.width = max(1, (self.tokenizer.get_vocab_size(with_added_tokens=True) - 1).bit_length())
         self.dtype = np.dtype("<u2" if self.width <= 16 else "<u4")
         self.mark = self._ids(self.MARK)
-        self.known: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {"": b""}
+        self.known, self.words = Recent(CACHE_WORDS), Recent(CACHE_WORDS)
         self.plain.normalizer = normalizers.Sequence([])
         self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.ends = np.zeros(1 << self.width, bool)  # ids that end a word
@@ -81,22 +80,25 @@ class ChunkEncoder:
 
     def _put_together(self, runs: list[str]) -> list[str]:
         """Learn the plain ones of some runs; give back the others."""
-        words, plain, rest, match = self.words, [], [], self.PLAIN.fullmatch
+        plain, rest, match = [], [], self.PLAIN.fullmatch
         for r in runs:
             if m := match(r):
                 a, b = m.groups()
                 plain.append((r, a.lower(), b))
             else:
                 rest.append(r)
-        if len(words) > CACHE_WORDS:
-            words.clear()
-            words[""] = b""
-        if new := list({w for _, a, b in plain for w in (a, b) if w not in words}):
+        self.words.age()
+        parts = list({w for _, a, b in plain for w in (a, b) if w})
+        ids = dict(zip(parts, self.words.find(parts), strict=True))
+        if new := [w for w, x in ids.items() if x is None]:
             spelt = self._spell(new)
             if spelt is None:
                 return runs
-            words.update(zip(new, spelt, strict=True))
-        self.known.update((r, words[a] + words[b]) for r, a, b in plain)
+            learnt = dict(zip(new, spelt, strict=True))
+            ids |= learnt
+            self.words.new |= learnt
+        ids[""] = b""
+        self.known.new.update([(r, ids[a] + ids[b]) for r, a, b in plain])
         return rest
 
     def _ids(self, text: str) -> np.ndarray:
@@ -105,7 +107,7 @@ class ChunkEncoder:
     def _learn(self, runs: list[str]) -> None:
         if self.fast:
             runs = self._put_together(runs)
-        known, size = self.known, self.dtype.itemsize
+        known, size = self.known.new, self.dtype.itemsize
         plain = [r for r in runs if self.MARK not in r] if len(self.mark) == 1 else []
         if plain:
             ids = self._ids(f" {self.MARK} ".join(plain))
@@ -119,16 +121,15 @@ class ChunkEncoder:
 
     def encode(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """All ids of some texts in a row, each text followed by ``end_id`` if given, and how many each has."""
-        known = self.known
-        if len(known) > CACHE_WORDS:
-            known.clear()
+        self.known.age()
         lists = pc.ascii_split_whitespace(texts.fill_null(""))
         coded = lists.flatten().dictionary_encode()
         runs = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        ids = list(map(known.get, runs))
+        ids = self.known.find(runs)
         if None in ids:
             self._learn([r for r, x in zip(runs, ids, strict=True) if x is None])
-            ids = list(map(known.__getitem__, runs))
+            known = self.known.new
+            ids = [known[r] if x is None else x for r, x in zip(runs, ids, strict=True)]
         sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // self.dtype.itemsize
         offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
         each = pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(ids), self.dtype)))
@@ -170,9 +171,9 @@ class WaveletMatrix:
             padded[: len(packed)] = packed
             per = np.bitwise_count(padded.view(np.uint64)).reshape(-1, RANK_BITS // 64).sum(axis=1, dtype=np.uint32)
             ones.append(np.concatenate([[0], np.cumsum(per)[:-1]]).astype("<u4") if len(per) else np.zeros(0, "<u4"))
-            low = s[~mask]
+            low = np.flatnonzero(~mask)
             zeros.append(len(low))
-            s = np.concatenate([low, s[mask]])
+            s = np.concatenate([s.take(low), s.take(np.flatnonzero(mask))])
         return cls(len(ids), planes, ones, zeros)
 
     def decode(self) -> np.ndarray:
@@ -182,8 +183,8 @@ class WaveletMatrix:
         for level in range(width - 1, -1, -1):
             mask = np.unpackbits(self.planes[level], count=self.n).view(bool)
             out = np.empty_like(s)
-            out[~mask] = s[: self.zeros[level]]
-            out[mask] = s[self.zeros[level] :] | (1 << (width - 1 - level))
+            out[np.flatnonzero(~mask)] = s[: self.zeros[level]]
+            out[np.flatnonzero(mask)] = s[self.zeros[level] :] | s.dtype.type(1 << (width - 1 - level))
             s = out
         return s
 
