@@ -28,16 +28,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemara.llm.common import ship, table
+from mnemara.llm.common import Recent, ship, table
 
 N_BEST = 4
-CACHE_SEGMENTS = 150_000
+CACHE_SEGMENTS = 200_000
 BYTE_PENALTY = 10.0
 SPACE = "▁"
 CUT = "\0"
-DOCS_AT_ONCE = 512
+DOCS_AT_ONCE = 1024
 WIDEST = 64
-CELLS = 1 << 14
+CELLS = 1 << 15
 
 
 def best_paths(into: list[list[tuple[int, object, float]]], best: list[float], n: int) -> list[tuple[float, list]]:
@@ -126,8 +126,7 @@ class PieceLattice:
         self.byte_score = min(s for _, s in self.pieces.values()) - BYTE_PENALTY
         # Words can be cut out by spaces and lines if no piece goes on across them.
         self.by_word = all(b[1] != SPACE or b[0] == SPACE for b in inside) and not any("\n" in b for b in inside)
-        self.words: dict[str, Solved] = {}
-        self.segments: dict[str, Solved] = {}
+        self.words, self.segments = Recent(CACHE_SEGMENTS), Recent(CACHE_SEGMENTS)
         self.alternatives = lru_cache(maxsize=20_000)(self._alternatives)
 
     def _bytes(self, char: str) -> tuple[tuple[int, ...], float]:
@@ -164,7 +163,7 @@ class PieceLattice:
 
     def _solve(self, segments: list[str]) -> None:
         """Solve segments by length, all of a length class at once; those with bytes or of great length one by one."""
-        known, classes = self.segments, {}
+        known, classes = self.segments.new, {}
         for s in segments:
             classes.setdefault(len(s) if len(s) <= 16 else 1 << (len(s) - 1).bit_length(), []).append(s)
         for width, group in classes.items():
@@ -244,25 +243,24 @@ class PieceLattice:
 
     def _learn(self, words: list[str]) -> None:
         """Solve words that are not known yet."""
-        plain = [w for w in words if w and CUT not in w]
-        if len(self.words) >= CACHE_SEGMENTS:
-            self.words.clear()
-        if len(self.segments) >= CACHE_SEGMENTS:
-            self.segments.clear()
+        plain, learnt = [w for w in words if w and CUT not in w], self.words.new
         for w in words:
             if not w:
-                self.words[w] = (b"", 0.0, math.inf)
+                learnt[w] = (b"", 0.0, math.inf)
             elif CUT in w:
-                self.words[w] = self._second(w)
+                learnt[w] = self._second(w)
         if plain:
-            parts, known = self._segments_of(plain), self.segments
-            self._solve(list({s for p in parts for s in p if s not in known}))
+            self.segments.age()
+            parts = self._segments_of(plain)
+            each = list({s for p in parts for s in p})
+            self._solve([s for s, x in zip(each, self.segments.find(each), strict=True) if x is None])
+            known = self.segments.new
             for w, p in zip(plain, parts, strict=True):
                 if len(p) == 1:
-                    self.words[w] = known[p[0]]
+                    learnt[w] = known[p[0]]
                 else:
                     x = [known[s] for s in p]
-                    self.words[w] = (b"".join([y[0] for y in x]), sum([y[1] for y in x]), min([y[2] for y in x]))
+                    learnt[w] = (b"".join([y[0] for y in x]), sum([y[1] for y in x]), min([y[2] for y in x]))
 
     def _alternatives(self, s: str, n: int) -> tuple[tuple[float, tuple[int, ...] | None], ...]:
         """Losses against the best of the ``n`` best segmentations of a word; the best has no ids here."""
@@ -287,11 +285,12 @@ class PieceLattice:
             lists = pc.split_pattern(pa.array(marked, pa.string()), CUT)
         coded = lists.flatten().dictionary_encode()
         words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        solved = list(map(self.words.get, words))
+        self.words.age()
+        solved = self.words.find(words)
         if None in solved:
             self._learn([w for w, x in zip(words, solved, strict=True) if x is None])
-            # A full cache may have been emptied on the way.
-            solved = [x or self.words[w] for w, x in zip(words, solved, strict=True)]
+            learnt = self.words.new
+            solved = [learnt[w] if x is None else x for w, x in zip(words, solved, strict=True)]
         ids = [x[0] for x in solved]
         sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         each = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), pa.array(np.frombuffer(b"".join(ids), np.int32)))
