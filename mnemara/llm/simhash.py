@@ -64,16 +64,18 @@ def fingerprint(text: str | None) -> int:
     return int.from_bytes(np.packbits(ones * 2 > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """``doc_id, fp`` (the fingerprint's bits as a signed long), one row a row of ``docs``."""
+def fingerprints(docs: DataFrame, digests: bool = False) -> DataFrame:
+    """``doc_id, fp`` (the fingerprint's bits as a signed long) and, if asked for, ``text_hash``, one row a row of ``docs``."""
+    more = ["text_hash"] if digests else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = np.fromiter((fingerprint(t.as_py()) for t in b.column(1)), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64)), *[b.column(2) for _ in more]], ["doc_id", "fp", *more])
 
     ship(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *[F.xxhash64("text").alias(c) for c in more])
+    return rows.mapInArrow(run, ", ".join(["doc_id long, fp long", *[f"{c} long" for c in more]]))
 
 
 def golay_keys(fps: DataFrame) -> DataFrame:
@@ -213,10 +215,9 @@ def links(fps: DataFrame) -> DataFrame:
     return found.where("a is not null").select("a", "b").unionByName(crossed)
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """``doc_id, fp, component_id`` for every row of ``docs``."""
-    prints = materialise(fingerprints(docs), "prints")
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"))
+def _with_least(prints: DataFrame, row: Column) -> DataFrame:
+    """``prints`` with ``component_id``, the least ``row`` of each one's component."""
+    nodes = prints.groupBy("fp").agg(F.min(row).alias("rep"), F.count(F.lit(1)).alias("n"))
     linked = components(links(nodes)).join(nodes, F.col("node") == F.col("fp"))
     smallest = linked.groupBy("component").agg(F.min("rep").alias("least"))
     named = materialise(linked.join(smallest, "component").select(F.col("fp").alias("_fp"), "least"), "named")
@@ -225,7 +226,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     most = max(HOT, rows_of(prints) // HOT)
     hot = F.broadcast(label.where(F.col("n") > most).select("fp", "component_id"))
     rest = prints.join(hot.select("fp"), "fp", "left_anti").join(label.where(F.col("n") <= most).drop("n"), "fp")
-    return prints.join(hot, "fp").unionByName(rest).select("doc_id", "fp", "component_id")
+    return prints.join(hot, "fp").unionByName(rest).select(*prints.columns, "component_id")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """``doc_id, fp, component_id`` for every row of ``docs``."""
+    return _with_least(materialise(fingerprints(docs), "prints"), F.col("doc_id"))
 
 
 def hex16(fp: Column) -> Column:
@@ -238,10 +244,16 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """Documents less those that another one of their group stands for; one row a kept id."""
-    groups = materialise(near_duplicates(docs), "groups")
-    gone = groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id")
-    d = docs.select(F.struct(*docs.columns).alias("doc"), F.col("doc_id").cast("long").alias("doc_id"))
-    kept = d.alias("d").join(gone.alias("g"), F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")), "left_anti").select("doc.*")
-    repeated = groups.groupBy("doc_id").count().where("count > 1").limit(1).count()
-    return kept.dropDuplicates(["doc_id"]) if repeated else kept
+    """Documents less those that another one of their group stands for: one row a group, that of the least id and text.
+
+    A row is known by its id and its text, so rows that share an id, or have none, are decided each by its own group.
+    """
+    prints = materialise(fingerprints(docs, digests=True), "prints")
+    least = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
+    groups = materialise(_with_least(prints, least).withColumn("stays", least == F.col("component_id")), "groups")
+    gone = groups.where("not stays").select("doc_id", "text_hash").distinct()
+    d = docs.select(F.struct(*docs.columns).alias("doc"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"))
+    same = F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("d.text_hash") == F.col("g.text_hash"))
+    kept = d.alias("d").join(gone.alias("g"), same, "left_anti")
+    repeated = groups.where("stays").groupBy("doc_id", "text_hash").count().where("count > 1").limit(1).count()
+    return (kept.dropDuplicates(["doc_id", "text_hash"]) if repeated else kept).select("doc.*")

@@ -108,3 +108,12 @@ def test_odd_rows(spark, odd_docs, no_docs):
     ids = [r["doc_id"] for r in kept.collect()]
     assert len(ids) == len(set(ids)) and 1 in ids and 2 in ids and not {3, 4, 5, 8} & set(ids)
     assert simhash.keep_one_of_each(no_docs).count() == 0
+
+
+def test_rows_without_or_with_one_id_are_decided_each_by_its_group(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(30)) for x in "abcd")
+    rows = [(7, a), (None, a), (None, b), (None, c), (None, c), (9, d), (9, a), (9, b), (3, d), (3, c), (3, c)]
+    kept = [tuple(r) for r in simhash.keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(kept) == [(3, c), (3, d), (7, a), (9, b)]
+    kept = simhash.keep_one_of_each(spark.createDataFrame([(None, a), (None, b), (None, a), (None, c)], "doc_id long, text string")).collect()
+    assert sorted(r["text"] for r in kept) == [a, b, c]
