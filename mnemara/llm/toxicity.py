@@ -1,13 +1,14 @@
 """Toxicity from the nearest labelled examples by exact TF-IDF cosine.
 
-Training takes a bounded sample (``max_examples``) of labelled documents, one of each group of near copies (rows with
-one minimum hash over 3-word shingles are one group). Terms are words and word beginnings of ``PREFIXES`` letters
-(``stem*``), so inflected words share a term, each at up to ``LEVELS`` occurrences: a text has the term of level n if the
-word occurs n times or more. The space holds the terms that make label 1 likelier than not: at least ``MIN_RATE`` of
-their examples have it, in ``MIN_SUPPORT`` examples or more, with a log-likelihood ratio (G2) of at least ``MIN_G2`` plus
-twice the logarithm of the number of terms tried. Of words and beginnings that stand for each other one is kept, and
-of all the best ``max_features``. Corpus statistics come from grouped counts; sample, features and index are bounded by
-these parameters and go to the tasks as one broadcast.
+Training looks at every labelled document that is not held out, one of each group of near copies (rows of one label
+with the same three least hashes over 3-word shingles are one group). Terms are words and word beginnings of
+``PREFIXES`` letters (``stem*``), so inflected words share a term, each at up to ``LEVELS`` occurrences: a text has the
+term of level n if the word occurs n times or more. The space holds all terms that make label 1 likelier than not: at
+least ``MIN_RATE`` of their examples have it, in ``MIN_SUPPORT`` examples or more, with a log-likelihood ratio (G2) of at
+least ``MIN_G2`` plus twice the logarithm of the number of terms tried. Of words and beginnings that stand for each
+other one is kept. Label counts are grouped over all these examples, document frequencies over all documents. The index
+holds ``max_examples`` examples with a term and besides, of every term, its first ``K``, so no term is without examples;
+it goes to the tasks as one broadcast.
 
 Search is a block-max inverted index: examples stand in blocks, each term has postings by block and its largest weight
 in each block. A query's upper bounds for all blocks are one small product; blocks are scored from the largest bound
@@ -23,6 +24,7 @@ from __future__ import annotations
 
 import heapq
 import math
+import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -30,13 +32,12 @@ from dataclasses import dataclass
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mnemara.llm.common import materialise, rows_of, ship, table
 
 MAX_EXAMPLES = 10_000
-MAX_FEATURES = 512
 MIN_G2 = 10.0
 MIN_SUPPORT = 5
 MIN_RATE = 0.5
@@ -46,54 +47,89 @@ K = 15
 BLOCK = 64
 SMOOTHING = 0.5
 THRESHOLD = 0.7
+TALLY = 200_000
 NOT_WORD = r"[^\p{L}\p{N}]+"
+_WORD = re.compile(r"[^\W_]+")
 
 
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def training_examples(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) -> DataFrame:
-    """``ex_id, toxic, text``: at most ``max_examples`` labelled documents that are not held out, one of each group of copies."""
+def training_ids(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``ex_id, text_hash, toxic``: the labelled documents that are not held out, one of each group of copies."""
     ids = (
         labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
         .groupBy(F.col("doc_id").cast("long").alias("ex_id"))
         .agg(F.max("toxic").cast("int").alias("toxic"))
-        .orderBy(F.xxhash64("ex_id"), "ex_id")
-        .limit(max_examples)
     )
-    words = F.split(F.lower("text"), NOT_WORD)
     shingles = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("words") - 2)), lambda i: F.xxhash64(F.array_join(F.slice("words", i, 3), " ")))
-    return (
-        docs.select(F.col("doc_id").cast("long").alias("ex_id"), F.coalesce("text", F.lit("")).alias("text"))
-        .join(F.broadcast(ids), "ex_id")
-        .withColumn("words", words)
-        .withColumn("_group", F.array_min(shingles))
-        .groupBy("_group", "toxic")
-        .agg(F.min_by(F.struct("ex_id", "text"), F.struct("ex_id", "text")).alias("e"))
-        .select("e.ex_id", "toxic", "e.text")
+    marks = (
+        _texts(docs)
+        .withColumn("words", F.split(F.lower(F.coalesce("text", F.lit(""))), NOT_WORD))
+        .select("ex_id", "text_hash", F.xxhash64(F.slice(F.array_sort(F.array_distinct(shingles)), 1, 3)).alias("_group"))
     )
-
-
-def _stems(word: Column) -> Column:
-    heads = [F.when(F.length(word) >= k, F.concat(F.substring(word, 1, k), F.lit("*"))) for k in PREFIXES]
-    return F.array_compact(F.array(word, *heads))
-
-
-def features(examples: DataFrame, max_features: int = MAX_FEATURES) -> list[tuple[str, int, float]]:
-    """``(term, level, idf)`` of what speaks for label 1, at most ``max_features``."""
-    n = examples.agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("t")).first()
+    return marks.join(ids, "ex_id").groupBy("_group", "toxic").agg(F.min(F.struct("ex_id", "text_hash")).alias("e")).select("e.ex_id", "e.text_hash", "toxic")
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    """``ex_id, text_hash, text`` of what may be an example."""
+    d = docs.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    return d.select(F.col("doc_id").cast("long").alias("ex_id"), F.xxhash64("text").alias("text_hash"), "text")
+
+
+def _tallies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``term, level, df, hit`` of texts with labels, summed up as far as ``TALLY`` terms go."""
+    tally: dict[str, list[int]] = {}  # by occurrences: texts of label 0, then of label 1
+
+    def flush() -> pa.RecordBatch:
+        out: tuple[list, list, list, list] = ([], [], [], [])
+        for term, seen in tally.items():
+            df = hit = 0
+            for level in range(LEVELS, 0, -1):
+                hit += seen[LEVELS + level - 1]
+                df += seen[level - 1] + seen[LEVELS + level - 1]
+                if df:
+                    for column, x in zip(out, (term, level, df, hit), strict=True):
+                        column.append(x)
+        tally.clear()
+        kinds = (pa.string(), pa.int32(), pa.int64(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["term", "level", "df", "hit"])
+
+    for b in batches:
+        for toxic, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            terms: dict[str, int] = {}
+            for word, c in Counter(_WORD.findall((text.as_py() or "").lower())).items():
+                terms[word] = terms.get(word, 0) + c
+                for k in PREFIXES:
+                    if len(word) < k:
+                        break
+                    head = word[:k] + "*"
+                    terms[head] = terms.get(head, 0) + c
+            for term, c in terms.items():
+                seen = tally.get(term)
+                if seen is None:
+                    seen = tally[term] = [0] * (2 * LEVELS)
+                seen[(LEVELS if toxic else 0) + min(c, LEVELS) - 1] += 1
+            if len(tally) >= TALLY:
+                yield flush()
+    yield flush()
+
+
+def features(docs: DataFrame, ids: DataFrame) -> list[tuple[str, int]]:
+    """``(term, level)`` of all that speaks for label 1 in the examples ``ids``."""
+    n = ids.agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("t")).first()
     total, toxic = n["n"], n["t"] or 0
     if not toxic or toxic == total:
         return []
-    words = examples.select("ex_id", "toxic", F.explode(F.split(F.lower("text"), NOT_WORD)).alias("word")).where("word <> ''")
-    words = words.groupBy("ex_id", "toxic", "word").agg(F.count(F.lit(1)).alias("c"))
-    terms = words.select("ex_id", "toxic", "c", F.explode(_stems(F.col("word"))).alias("term")).groupBy("ex_id", "toxic", "term").agg(F.sum("c").alias("c"))
-    levels = F.explode(F.sequence(F.lit(1), F.least(F.lit(LEVELS), F.col("c").cast("int"))))
+    examples = _texts(docs).join(ids, ["ex_id", "text_hash"])
+    if _texts(docs).groupBy("ex_id", "text_hash").count().where("count > 1").limit(1).count():  # rows repeated with one id
+        examples = examples.dropDuplicates(["ex_id", "text_hash"])
     counts = (
-        terms.select("toxic", "term", levels.alias("level"))
+        examples.select("toxic", "text")
+        .mapInArrow(_tallies, "term string, level int, df long, hit long")
         .groupBy("term", "level")
-        .agg(F.count(F.lit(1)).alias("df"), F.sum("toxic").alias("hit"))
+        .agg(F.sum("df").alias("df"), F.sum("hit").alias("hit"))
         .where(f"df >= {MIN_SUPPORT}")
     )
     counts = materialise(counts, "terms")
@@ -110,27 +146,28 @@ def features(examples: DataFrame, max_features: int = MAX_FEATURES) -> list[tupl
         counts.withColumn("g2", g2)
         .where((F.col("hit") > df * p) & (F.col("hit") >= df * MIN_RATE) & (F.col("g2") >= least))
         .orderBy(F.desc("g2"), "term", "level")
-        .limit(4 * max_features)
         .collect()
     )
     kept = apart([(r["term"], r["level"], r["hit"], r["df"]) for r in best])
-    out = [r for r in best if (r["term"], r["level"]) in kept][:max_features]
-    return [(r["term"], r["level"], math.log((1 + total) / (1 + r["df"])) + 1) for r in out]
+    return [(r["term"], r["level"]) for r in best if (r["term"], r["level"]) in kept]
 
 
 def apart(found: list[tuple[str, int, int, int]]) -> set[tuple[str, int]]:
     """Of terms of one level that begin alike, those to keep: a longer one in place of a beginning whose hits it nearly
     all has, else the beginning in place of longer ones that are no surer."""
     kept: dict[tuple[str, int], tuple[int, float]] = {}
+    alike: dict[tuple[str, int], list[tuple[str, int]]] = {}  # kept and dropped again, by their first letters and level
     for term, level, hit, df in sorted(found, key=lambda r: (-len(r[0].rstrip("*")), r[0].endswith("*"), r)):
         head, rate = term.rstrip("*"), hit / df
-        longer = [k for k in kept if k[1] == level and term.endswith("*") and k[0].startswith(head)]
+        near = alike.setdefault((head[: PREFIXES[0]], level), [])
+        longer = [k for k in near if k in kept and term.endswith("*") and k[0].startswith(head)]
         if any(kept[k][0] >= 0.9 * hit and kept[k][1] >= rate - 0.02 for k in longer):
             continue
         for k in longer:
             if kept[k][1] <= rate + 0.02:
                 del kept[k]
         kept[term, level] = (hit, rate)
+        near.append((term, level))
     return set(kept)
 
 
@@ -175,7 +212,7 @@ class BlockMaxIndex:
 
     ids: np.ndarray
     labels: np.ndarray
-    most: np.ndarray  # terms x blocks: the largest weight
+    most: list[tuple[np.ndarray, np.ndarray]]  # by term: its blocks and the largest weight in each
     postings: list[dict[int, tuple[np.ndarray, np.ndarray]]]
     block: int
 
@@ -183,23 +220,23 @@ class BlockMaxIndex:
     def build(cls, examples: list[tuple[int, int, list[tuple[int, float]]]], n_terms: int, block: int = BLOCK) -> BlockMaxIndex:
         # Like examples stand together, which keeps the blocks' maxima apart.
         order = sorted(examples, key=lambda e: (sorted(e[2], key=lambda x: (-x[1], x[0])), e[0]))
-        n_blocks = -(-len(order) // block)
-        most = np.zeros((n_terms, n_blocks))
         lists: list[dict[int, tuple[list, list]]] = [{} for _ in range(n_terms)]
         for at, (_, _, vector) in enumerate(order):
             b, place = divmod(at, block)
             for t, w in vector:
-                most[t, b] = max(most[t, b], w)
                 places, weights = lists[t].setdefault(b, ([], []))
                 places.append(place)
                 weights.append(w)
         postings = [{b: (np.array(p), np.array(w)) for b, (p, w) in d.items()} for d in lists]
+        most = [(np.array(list(d), np.int64), np.array([w.max() for _, w in d.values()])) for d in postings]
         return cls(np.array([e[0] for e in order], np.int64), np.array([e[1] for e in order], np.int64), most, postings, block)
 
     def nearest(self, query: list[tuple[int, float]], k: int = K) -> list[tuple[float, int, int]]:
         """``(cosine, example id, label)`` of the ``k`` nearest with a common term; ties go to the smaller id."""
-        terms = [t for t, _ in query]
-        bounds = np.array([w for _, w in query]) @ self.most[terms]
+        bounds = np.zeros(-(-len(self.ids) // self.block))
+        for t, w in query:
+            blocks, weights = self.most[t]
+            bounds[blocks] += w * weights
         top: list[tuple[float, int, int]] = []  # (cosine, -id, label): the smallest is the worst
         for b in np.argsort(-bounds, kind="stable").tolist():
             if bounds[b] <= 0 or len(top) == k and bounds[b] < top[0][0] - 1e-9:
@@ -235,25 +272,39 @@ class Model:
         return (sum(w for w, (_, _, y) in zip(weights, near, strict=True) if y) + SMOOTHING * self.base) / (sum(weights) + SMOOTHING), near
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, max_features: int = MAX_FEATURES) -> Model:
-    """The model; at most ``max_examples`` sparse vectors and ``max_features`` words reach the driver."""
+def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) -> Model:
+    """The model; the significant terms, and sparse vectors of ``max_examples`` examples and of ``K`` a term, reach the driver."""
     ship(docs.sparkSession)
-    examples = materialise(training_examples(docs, labels, max_examples), "examples")
-    found = features(examples, max_features)
-    vocabulary, idf = [(t, level) for t, level, _ in found], [x for _, _, x in found]
+    ids = materialise(training_ids(docs, labels), "examples")
+    vocabulary = features(docs, ids)
+    total = ids.agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("t")).first()
+    n, toxic = total["n"], total["t"] or 0
+    base = toxic / n if n else 0.0
+    if not vocabulary:
+        return Model([], [], None, base, (toxic + SMOOTHING * base) / (n + SMOOTHING))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = Terms(vocabulary)
         for b in batches:
             rows = [list(terms.find(t.as_py())) for t in b.column(2)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(rows, pa.list_(pa.int32()))], ["ex_id", "toxic", "terms"])
-
-    counted = examples.select("ex_id", "toxic", "text").mapInArrow(count, "ex_id long, toxic int, terms array<int>").collect()
-    n, toxic = len(counted), sum(r["toxic"] for r in counted)
-    blank = [r["toxic"] for r in counted if not r["terms"]]
-    vectors = [(r["ex_id"], r["toxic"], unit_vector(tuple(r["terms"]), idf)) for r in counted if r["terms"]]
-    base = toxic / n if n else 0.0
-    return Model(vocabulary, idf, BlockMaxIndex.build(vectors, len(vocabulary)) if vectors else None, base, (sum(blank) + SMOOTHING * base) / (len(blank) + SMOOTHING))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(rows, pa.list_(pa.int32()))], ["ex_id", "text_hash", "terms"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("ex_id"), F.xxhash64("text").alias("text_hash"), "text")
+    found = materialise(rows.mapInArrow(find, "ex_id long, text_hash long, terms array<int>").where("size(terms) > 0"), "found")
+    df = {r["term"]: r["n"] for r in found.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n")).collect()}
+    whole = rows_of(docs)
+    idf = [math.log((1 + whole) / (1 + df.get(i, 0))) + 1 for i in range(len(vocabulary))]
+    with_terms = found.join(ids, ["ex_id", "text_hash"]).dropDuplicates(["ex_id", "text_hash"]).withColumn("hash", F.xxhash64("ex_id"))
+    with_terms = materialise(with_terms, "with_terms")
+    some = with_terms.orderBy("hash", "ex_id", "text_hash").limit(max_examples)
+    of_term = Window.partitionBy("term").orderBy("hash", "ex_id", "text_hash")
+    first = with_terms.withColumn("term", F.explode("terms")).withColumn("no", F.row_number().over(of_term)).where(F.col("no") <= K)
+    examples = {(r["ex_id"], r["text_hash"]): r for part in (some, first) for r in part.collect()}
+    vectors = [(r["ex_id"], r["toxic"], unit_vector(tuple(r["terms"]), idf)) for r in examples.values()]
+    seen = with_terms.agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("t")).first()
+    blank, blank_toxic = n - seen["n"], toxic - (seen["t"] or 0)
+    index = BlockMaxIndex.build(vectors, len(vocabulary)) if vectors else None
+    return Model(vocabulary, idf, index, base, (blank_toxic + SMOOTHING * base) / (blank + SMOOTHING))
 
 
 class Scorer:

@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -75,3 +76,22 @@ def test_labelled_words_decide(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     out = toxicity.score_documents(docs, toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))).collect()
     assert all((r["score"] >= toxicity.THRESHOLD) == (r["doc_id"] % 4 == 0) for r in out)
+
+
+def test_rare_words_beyond_the_sample_decide(spark):
+    """A toxic word that the bounded sample hardly sees, among many others, is a term and has its examples."""
+    rng = random.Random(1)
+    words = [f"w{i}" for i in range(200)]
+    rows, labels = [], []
+    for i in range(4000):
+        text = [rng.choice(words) for _ in range(40)]
+        if i % 10 == 0:
+            text[rng.randrange(40)] = "zyrgh" if i % 200 == 0 else "vile"
+        rows.append((i, " ".join(text)))
+        labels.append((i, 0, int(i % 10 == 0)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), max_examples=200)
+    assert {("zyrgh", 1), ("vile", 1)} <= set(model.terms)
+    assert model.idf[model.terms.index(("vile", 1))] == pytest.approx(math.log(4001 / 381) + 1)
+    out = toxicity.score_documents(docs, model).collect()
+    assert all((r["score"] >= toxicity.THRESHOLD) == (r["doc_id"] % 10 == 0) for r in out)
