@@ -1,6 +1,8 @@
 """Licence scans: normalised text against licence templates by Dice coefficient over word bigrams.
 
-Units of a document are its whole text, its paragraphs, lines and sentences. A unit and a template are sets of word
+Units of a document are its whole text, its paragraphs, lines and sentences, and runs of consecutive pieces (pieces end at
+a newline or a sentence's end), so a notice of several paragraphs or a wrapped sentence inside a longer text is found. Runs
+have at most twice as many words as the largest size that a template admits. A unit and a template are sets of word
 bigrams of lower-case text without signs; a unit matches if ``2 |A n B| / (|A| + |B|) >= threshold``.
 
 Pruning loses nothing:
@@ -14,7 +16,8 @@ Pruning loses nothing:
 
 Everything is DataFrame expressions.
 
-Edge cases: null and empty texts match nothing, nor do units of one word; a document's equal units count once; ties
+Edge cases: null and empty texts match nothing, nor do units of one word; a document's equal units count once, and overlapping
+runs as one unit of a licence that no other unit matches; ties
 between templates of one licence give one row; repeated rows give their result once an id; an empty table gives an
 empty one.
 """
@@ -92,6 +95,28 @@ def units(text: Column) -> Column:
     return F.concat(F.array(text), F.split(text, r"\n[ \t\r]*\n"), F.split(text, r"\n"), F.split(sentences, r"\n"))
 
 
+def pieces(text: Column, keys: Column) -> Column:
+    """The normalised pieces of a text between newlines and sentence ends, with their number of words and whether a key word is among them."""
+    ends = F.split(F.regexp_replace(text, r"([.!?])\s+", "$1\n"), r"\n")
+    filled = F.filter(F.transform(ends, normalise), lambda p: p != "")
+    return F.transform(filled, lambda p: F.struct(p.alias("text"), F.size(F.split(p, " ")).alias("n"), F.arrays_overlap(F.split(p, " "), keys).alias("key")))
+
+
+def runs(at: Column, least: int, most: int) -> Column:
+    """Runs of two or more pieces (column ``pieces``) from place ``at`` on, of ``least`` to ``most`` words, a key word among them."""
+    start = F.struct(F.lit("").alias("text"), F.lit(0).alias("n"), F.lit(False).alias("key"), F.array().cast("array<string>").alias("runs"))
+
+    def longer(run: Column, piece: Column) -> Column:
+        n, key, text = run["n"] + piece["n"], run["key"] | piece["key"], F.ltrim(F.concat(run["text"], F.lit(" "), piece["text"]))
+        found = F.when((run["n"] > 0) & key & (n >= least), F.concat(run["runs"], F.array(text))).otherwise(run["runs"])
+        on = F.struct(text.alias("text"), n.alias("n"), key.alias("key"), found.alias("runs"))
+        full = F.struct(F.lit("").alias("text"), F.lit(most + 1).alias("n"), run["key"].alias("key"), run["runs"].alias("runs"))
+        return F.when(n <= most, on).otherwise(full)
+
+    # Every piece has a word, so no run has more than `most` pieces.
+    return F.aggregate(F.slice("pieces", at, most), start, longer, lambda r: r["runs"])
+
+
 def bigram_set(words: Column) -> Column:
     pairs = F.zip_with(F.slice(words, 1, F.greatest(F.lit(0), F.size(words) - 1)), F.slice(words, 2, F.size(words)), lambda a, b: F.concat(a, F.lit(" "), b))
     return F.array_distinct(pairs)
@@ -118,10 +143,18 @@ def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) ->
     keys = sorted({w for _, t in templates for w in key_words(template_bigrams(t), threshold)})
     d = docs.select("doc_id", "text").where(F.col("text").isNotNull())
     d = d.where(F.arrays_overlap(F.split(normalise(F.col("text")), " "), F.array(*[F.lit(k) for k in keys])))
+    has_key = F.array(*[F.lit(k) for k in keys])
+    bounds = [size_bounds(len(template_bigrams(t)), threshold) for _, t in templates]
+    least, most = min(b[0] for b in bounds) + 1, 2 * (max(b[1] for b in bounds) + 1)
+    plain = d.select("doc_id", F.explode(F.array_distinct(F.transform(units(F.col("text")), normalise))).alias("unit"))
+    starts = d.select("doc_id", pieces(F.col("text"), has_key).alias("pieces")).where(F.size("pieces") > 1)
+    starts = starts.select("doc_id", "pieces", F.explode(F.sequence(F.lit(1), F.size("pieces") - 1)).alias("at"))
+    longer = starts.select("doc_id", F.explode(runs(F.col("at"), least, most)).alias("unit"))
     u = (
-        d.select("doc_id", F.explode(F.array_distinct(F.transform(units(F.col("text")), normalise))).alias("unit"))
+        plain.withColumn("run", F.lit(False))
+        .unionByName(longer.withColumn("run", F.lit(True)))
         .withColumn("words", F.split("unit", " "))
-        .where(F.arrays_overlap("words", F.array(*[F.lit(k) for k in keys])))
+        .where(F.arrays_overlap("words", has_key))
         .withColumn("bigrams", bigram_set(F.col("words")))
         .withColumn("size", F.size("bigrams"))
     )
@@ -131,7 +164,7 @@ def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) ->
         .withColumn("dice", dice)
         .where(F.col("dice") >= threshold)
         .groupBy("doc_id", "license")
-        .agg(F.round(F.max("dice"), 6).alias("dice"), F.countDistinct("unit").alias("n_units"))
+        .agg(F.round(F.max("dice"), 6).alias("dice"), F.greatest(F.lit(1), F.countDistinct(F.when(~F.col("run"), F.col("unit")))).cast("long").alias("n_units"))
     )
 
 

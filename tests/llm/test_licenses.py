@@ -37,3 +37,21 @@ def test_matches(spark, odd_docs, no_docs):
     assert set(out) == {(1, "MIT"), (2, "MIT"), (3, "Apache-2.0"), (4, "Apache-2.0"), (8, "GPL-3.0"), *[k for k in out if k[0] == 8]}
     assert out[1, "MIT"]["dice"] == 1 == out[3, "Apache-2.0"]["dice"] and 0.8 <= out[4, "Apache-2.0"]["dice"] < 1 and out[1, "MIT"]["n_units"] == 1
     assert licenses.scan(odd_docs).count() == 0 and licenses.scan(no_docs).count() == 0
+
+
+def test_notices_of_several_paragraphs_and_wrapped_sentences(spark):
+    text = {n: t for n, t in licenses.TEMPLATES if len(t) > 300}
+    prose = "The river ran past the old mill.\nIt was a quiet valley below the hills"
+
+    def inside(notice):
+        return f"{prose}\n\n{notice}\n\n{prose}"
+
+    mit = text["MIT"].replace(" The above copyright", "\n\nThe above copyright").replace(" THE SOFTWARE IS", "\n\nTHE SOFTWARE IS")
+    bsd = text["BSD-3-Clause"].replace(": Redis", ":\n\nRedis").replace(". Redis", ".\n\nRedis").replace(". Neither", ".\n\nNeither")
+    apache = text["Apache-2.0"].replace("License. You", "License.\nYou").replace("2.0 Unless", "2.0\n\nUnless").replace(". See", ".\n\nSee")
+    gpl = text["GPL-3.0"].replace(". This", ".\n\nThis").replace(". See", ".\n\nSee").replace("that it will", "that\nit will").replace("version. ", "version.\n\n")
+    disclaimer = "\n\nTHIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY WARRANTIES ARE DISCLAIMED. " * 2
+    rows = [(1, inside(mit)), (2, inside(bsd + disclaimer)), (3, inside(apache)), (4, inside(gpl)), (5, f"{prose}. Released under\nthe MIT License. {prose}"), (6, inside(prose + " license"))]
+    out = {(r["doc_id"], r["license"]): r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {(1, "MIT"), (2, "BSD-3-Clause"), (3, "Apache-2.0"), (4, "GPL-3.0"), (5, "MIT")} == set(out)
+    assert out[1, "MIT"]["dice"] == 1 == out[2, "BSD-3-Clause"]["dice"] and all(r["n_units"] == 1 for r in out.values())
