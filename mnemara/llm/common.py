@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,11 +23,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    It is the session's ``spark.checkpoint.dir``; only where that is unset (tests, local use) is a
-    temporary one made and set.
+    It is the session's ``spark.checkpoint.dir``. Only on a local master (tests) is a temporary one made and set
+    where that is unset; a cluster's machines would each write to their own disk.
     """
     set_dir = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not set_dir:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         set_dir = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(set_dir)
     return set_dir
@@ -61,8 +64,24 @@ def rows_of(df: DataFrame) -> int:
     return df.select(F.count(F.lit(1)).alias("n")).first()["n"]
 
 
+_kept: dict[object, object] = {}
+
+
+def worker_state(kind: object, make: Callable[[], object] = object) -> object:
+    """What a Python worker keeps between tasks: only what its last kind of work needs, so stages don't add up in memory."""
+    if kind not in _kept:
+        _kept.clear()
+        _kept[kind] = make()
+    return _kept[kind]
+
+
 class Recent:
-    """A bounded cache of two generations: what is asked for again stays, the rest goes with its generation."""
+    """A bounded cache of two generations: what is asked for again stays, the rest goes with its generation.
+
+    Keys longer than ``LONG`` are forgotten after their batch, so the bound on entries is one on memory.
+    """
+
+    LONG = 256
 
     def __init__(self, limit: int) -> None:
         self.half, self.new, self.old = max(1, limit // 2), {}, {}
@@ -81,3 +100,8 @@ class Recent:
         """Begin a generation if this one is full; called between batches, so a batch finds all it has learnt."""
         if len(self.new) >= self.half:
             self.old, self.new = self.new, {}
+
+    def forget_long(self, keys: list[str]) -> None:
+        for k in keys:
+            if len(k) > self.LONG:
+                self.new.pop(k, None)

@@ -19,7 +19,7 @@ from __future__ import annotations
 import heapq
 import math
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemara.llm.common import Recent, ship, table
+from mnemara.llm.common import Recent, ship, table, worker_state
 
 N_BEST = 4
 CACHE_SEGMENTS = 200_000
@@ -38,14 +38,20 @@ CUT = "\0"
 DOCS_AT_ONCE = 1024
 WIDEST = 64
 CELLS = 1 << 15
+FIRST_CUTOFF = 16.0
 
 
-def best_paths(into: list[list[tuple[int, object, float]]], best: list[float], n: int) -> list[tuple[float, list]]:
-    """The ``n`` best paths through a lattice, from its end: ``into[j]`` lists ``(i, label, score)`` of edges i -> j."""
+def best_paths(into: Callable[[int], list[tuple[int, object, float]]], best: Sequence[float], n: int, cutoff: float = math.inf) -> tuple[list[tuple[float, list]], bool]:
+    """The ``n`` best paths through a lattice, from its end: ``into(j)`` lists ``(i, label, score)`` of edges i -> j.
+
+    Of paths that score alike the one that has come further goes on first, and a place is gone on from at most ``n`` times:
+    later paths through it can't be among the ``n`` best. Paths that lose more than ``cutoff`` are left out; the second
+    value says whether there were any.
+    """
     end = len(best) - 1
-    queue, pushed, out = [(-best[end], 0, 0.0, end, None)], 0, []
+    queue, pushed, out, left_out, visits = [(-best[end], end, 0, 0.0, None)], 0, [], False, {}
     while queue and len(out) < n:
-        f, _, g, at, path = heapq.heappop(queue)
+        f, at, _, g, path = heapq.heappop(queue)
         if at == 0:
             labels = []
             while path is not None:
@@ -53,10 +59,17 @@ def best_paths(into: list[list[tuple[int, object, float]]], best: list[float], n
                 path = path[1]
             out.append((-f, labels))
             continue
-        for i, label, score in into[at]:
+        visits[at] = visits.get(at, 0) + 1
+        if visits[at] > n:
+            continue
+        for i, label, score in into(at):
+            total = g + score + best[i]
+            if total < best[end] - cutoff:
+                left_out = True
+                continue
             pushed += 1
-            heapq.heappush(queue, (-(g + score + best[i]), pushed, g + score, i, (label, path)))
-    return out
+            heapq.heappush(queue, (-total, i, pushed, g + score, (label, path)))
+    return out, left_out
 
 
 #: Scores of segmentations with their changes against the best.
@@ -127,38 +140,53 @@ class PieceLattice:
         # Words can be cut out by spaces and lines if no piece goes on across them.
         self.by_word = all(b[1] != SPACE or b[0] == SPACE for b in inside) and not any("\n" in b for b in inside)
         self.words, self.segments = Recent(CACHE_SEGMENTS), Recent(CACHE_SEGMENTS)
-        self.alternatives = lru_cache(maxsize=20_000)(self._alternatives)
+        self.last: tuple[str, list[tuple[float, list[int]]]] = ("", [])
+        self.short_alternatives = lru_cache(maxsize=20_000)(self._alternatives)
 
     def _bytes(self, char: str) -> tuple[tuple[int, ...], float]:
         raw = char.encode("utf-8", "surrogatepass")
         return tuple(self.byte_ids[b] for b in raw), self.byte_score * len(raw)
 
-    def lattice(self, s: str) -> tuple[list, list[float]]:
-        """Edges into every place of ``s``, and the best score up to it (forward Viterbi)."""
-        n, find, nothing = len(s), self.matches.get, self.nothing
-        best, into = [0.0] + [-math.inf] * n, [[] for _ in range(n + 1)]
+    def forward(self, s: str) -> array:
+        """The best score up to every place of ``s`` (forward Viterbi)."""
+        n, find, nothing, pieces = len(s), self.matches.get, self.nothing, self.pieces
+        best = array("d", [0.0]) + array("d", [-math.inf]) * n
         for i in range(n):
-            if s[i] not in self.pieces:
-                ids, score = self._bytes(s[i])
-                into[i + 1].append((i, ids, score))
-                best[i + 1] = max(best[i + 1], best[i] + score)
+            here = best[i]
+            if s[i] not in pieces and (x := here + self._bytes(s[i])[1]) > best[i + 1]:
+                best[i + 1] = x
             for j in range(i + 1, n + 1):
                 p = find(s[i:j], nothing)
                 if p is nothing:
                     break
-                if p is not None:
-                    into[j].append((i, p[0], p[1]))
-                    best[j] = max(best[j], best[i] + p[1])
-        return into, best
+                if p is not None and (x := here + p[1]) > best[j]:
+                    best[j] = x
+        return best
+
+    def into(self, s: str, j: int) -> list[tuple[int, tuple[int, ...], float]]:
+        """Edges of the lattice that end at a place."""
+        out = [(i, *p) for i in range(max(0, j - self.longest), j) if (p := self.pieces.get(s[i:j])) is not None]
+        if s[j - 1] not in self.pieces:
+            out.append((j - 1, *self._bytes(s[j - 1])))
+        return out
 
     def n_best(self, s: str, n: int) -> list[tuple[float, list[int]]]:
-        """The ``n`` best segmentations of a lattice text as ``(score, ids)``."""
-        into, best = self.lattice(s)
-        return [(score, [i for ids in labels for i in ids]) for score, labels in best_paths(into, best, n)]
+        """The ``n`` best segmentations of a lattice text as ``(score, ids)``.
+
+        In long texts, paths that lose much are left out at first, so the queue stays short.
+        """
+        best, cutoff = self.forward(s), FIRST_CUTOFF if len(s) > WIDEST else math.inf
+        while True:
+            found, left_out = best_paths(lambda j: self.into(s, j), best, n, cutoff)
+            if len(found) == n or not left_out:
+                return [(score, [i for ids in labels for i in ids]) for score, labels in found]
+            cutoff *= 4
 
     def _second(self, s: str) -> Solved:
         """Ids of the best segmentation, its score, and what the second best loses, for any segment."""
-        found = self.n_best(s, 2)
+        found = self.n_best(s, max(2, N_BEST))
+        if len(s) > Recent.LONG:
+            self.last = (s, found)  # most likely asked for its alternatives next
         return array("i", found[0][1]).tobytes(), found[0][0], found[0][0] - found[1][0] if len(found) > 1 else math.inf
 
     def _solve(self, segments: list[str]) -> None:
@@ -261,10 +289,14 @@ class PieceLattice:
                 else:
                     x = [known[s] for s in p]
                     learnt[w] = (b"".join([y[0] for y in x]), sum([y[1] for y in x]), min([y[2] for y in x]))
+            self.segments.forget_long(each)
+
+    def alternatives(self, s: str, n: int) -> tuple[tuple[float, tuple[int, ...] | None], ...]:
+        return (self.short_alternatives if len(s) <= Recent.LONG else self._alternatives)(s, n)
 
     def _alternatives(self, s: str, n: int) -> tuple[tuple[float, tuple[int, ...] | None], ...]:
         """Losses against the best of the ``n`` best segmentations of a word; the best has no ids here."""
-        found = self.n_best(s, n)
+        found = self.last[1][:n] if self.last[0] == s and n <= N_BEST else self.n_best(s, n)
         return ((0.0, None), *((found[0][0] - score, tuple(ids)) for score, ids in found[1:]))
 
     def marked(self, text: str) -> str:
@@ -309,8 +341,9 @@ class PieceLattice:
             into = [[]]
             for place, k in enumerate(np.sort(close[gap[close] < math.inf]).tolist()):
                 into.append([(place, (k, alt), -loss) for loss, alt in self.alternatives(words[index[k]], n)])
-            best = best_paths(into, [0.0] * len(into), n)
+            best, _ = best_paths(into.__getitem__, [0.0] * len(into), n)
             variants.append([(total + loss, [(int(upto[k] - upto[a]), int(sizes[index[k]]), alt) for k, alt in labels if alt is not None]) for loss, labels in best])
+        self.words.forget_long(words)
         return flat, upto[stops] - upto[starts], scores, variants
 
     def encode(self, text: str | None, n: int = N_BEST) -> tuple[np.ndarray, float, Variants]:
@@ -325,14 +358,9 @@ class PieceLattice:
         return self.processor.decode(ids)
 
 
-_lattices: dict[str, PieceLattice] = {}
-
-
 def piece_lattice(path: str) -> PieceLattice:
-    """One lattice a Python worker, kept between its tasks."""
-    if path not in _lattices:
-        _lattices[path] = PieceLattice(path)
-    return _lattices[path]
+    """One lattice a Python worker, kept between its tasks of this kind."""
+    return worker_state(("pieces", path), lambda: PieceLattice(path))
 
 
 ENCODED = (

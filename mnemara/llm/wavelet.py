@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mnemara.llm.common import Recent, materialise, ship, table
+from mnemara.llm.common import Recent, materialise, ship, table, worker_state
 
 SHARD_TOKENS = 1 << 21
 END_ID = 1
@@ -143,14 +143,9 @@ class ChunkEncoder:
         return flat, counts
 
 
-_encoders: dict[str, ChunkEncoder] = {}
-
-
 def encoder(path: str) -> ChunkEncoder:
-    """One encoder a Python worker, kept between its tasks."""
-    if path not in _encoders:
-        _encoders[path] = ChunkEncoder(path)
-    return _encoders[path]
+    """One encoder a Python worker, kept between its tasks of this kind."""
+    return worker_state(("runs", path), lambda: ChunkEncoder(path))
 
 
 @dataclass

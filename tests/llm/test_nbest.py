@@ -27,7 +27,7 @@ def brute(lattice, s, n):
     return sorted(out, reverse=True)[:n]
 
 
-TEXTS = ["the cat", "hi  yo\nab", "é日x a", "internat", " ", "\n", "a\n\n b ", "a\0b c", "   x   y", "réeuxment", "abab abab", "t", "▁▁"]
+TEXTS = ["the cat", "hi  yo\nab", "é日x a", "internat", " ", "\n", "a\n\n b ", "a\0b c", "   x   y", "réeuxment", "abab abab", "t", "▁▁", "a" * 12, "=" * 12, "-" * 9 + "ab"]
 
 
 @pytest.mark.parametrize("text", TEXTS)
@@ -74,3 +74,26 @@ def test_small_caches_change_nothing(monkeypatch):
     for _ in range(3):
         again = small.encode_batch(TEXTS)
         assert (again[0] == whole[0]).all() and np.allclose(again[2], whole[2])
+
+
+@pytest.mark.parametrize("char", ["a", "=", "日", "é", "\0"])
+def test_runs_of_one_character_end(char):
+    """Ties everywhere: seconds for a million characters, and the same losses as in a short run."""
+    import time
+
+    began = time.time()
+    lattice = nbest.piece_lattice(PATH)
+    for n in (200, 5000, 1_000_000):
+        ids, score, variants = lattice.encode(char * n, 4)
+        assert variants and all(a >= b - 1e-6 for (a, _), (b, _) in zip(variants, variants[1:], strict=False))
+        assert variants[0][0] == pytest.approx(score) and lattice.decode(ids.tolist()) == char * n
+    assert time.time() - began < 60
+
+
+def test_long_segments_are_searched_like_short_ones(monkeypatch):
+    lattice = nbest.piece_lattice(PATH)
+    text = nbest.SPACE + "".join("aabbaeeth"[i * i % 9] for i in range(40))
+    want = lattice.n_best(text, 6)
+    monkeypatch.setattr(nbest, "WIDEST", 4)
+    monkeypatch.setattr(nbest, "FIRST_CUTOFF", 1e-3)
+    assert np.allclose([s for s, _ in lattice.n_best(text, 6)], [s for s, _ in want])

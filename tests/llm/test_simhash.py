@@ -78,9 +78,9 @@ def test_dense_groups_against_brute_force(spark, monkeypatch, block):
         monkeypatch.setattr(simhash, "GATHER", 50)
         out = [r for b in simhash._link_runs(batch.slice(i, 17) for i in range(0, batch.num_rows, 17)) for r in b.to_pylist()]
         edges = [(r["a"], r["b"]) for r in out if r["a"] is not None]
-        blocks = [(r["key"], r["place"], r["block"]) for r in out if r["block"] is not None]
+        blocks = [(r["key"], r["place"], r["root"], r["block"]) for r in out if r["block"] is not None]
         assert blocks
-        pairs = [(x[2], y[2]) for x in blocks for y in blocks if x[0] == y[0] and x[1] < y[1]]
+        pairs = [(x[3], y[3]) for x in blocks for y in blocks if x[0] == y[0] and x[1] <= y[1] and (x[2] is None or x[2] != y[2])]
         cross = pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs]), pa.array([p[1] for p in pairs])], ["block", "right"])
         edges += [(r["a"], r["b"]) for b in simhash._link_blocks([cross]) for r in b.to_pylist()]
     else:
@@ -92,6 +92,47 @@ def test_dense_groups_against_brute_force(spark, monkeypatch, block):
     assert groups({f: comp.get(f, f) for f in fps}) == groups(want)
 
 
+def test_ball_of_near_copies_stays_cheap():
+    """20 000 fingerprints around one, a third of all rows: linked by a forest, in bounded time and memory."""
+    import resource
+    import time
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    ball = np.full(20_000, 0x0123456789ABCDEF, np.uint64)
+    for _ in range(3):
+        ball ^= np.uint64(1) << rng.integers(0, 64, len(ball), np.uint64)
+    rest = rng.integers(0, 1 << 63, 40_000).astype(np.uint64)
+    fps = np.unique(np.concatenate([ball, rest])).view(np.int64)
+    began, before = time.time(), resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    keys = pa.Table.from_batches(simhash._golay_key_batches([pa.RecordBatch.from_arrays([pa.array(fps)], ["fp"])])).sort_by("key")
+    sorted_at = time.time()
+    out = pa.Table.from_batches(simhash._link_runs(iter(keys.to_batches(10_000))))
+    blocks = [r for r in out.filter(pa.compute.is_valid(out["block"])).to_pylist()]
+    pairs = [(x, y) for x in blocks for y in blocks if x["key"] == y["key"] and x["place"] <= y["place"] and (x["root"] is None or x["root"] != y["root"])]
+    edges = [(r["a"], r["b"]) for r in out.filter(pa.compute.is_valid(out["a"])).to_pylist()]
+    for x, y in pairs:
+        cross = pa.RecordBatch.from_arrays([pa.array([x["block"]]), pa.array([y["block"]])], ["block", "right"])
+        edges += [(r["a"], r["b"]) for b in simhash._link_blocks(iter([cross])) for r in b.to_pylist()]
+    assert time.time() - sorted_at < 60 and time.time() - began < 120
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 1_500_000
+    assert len(edges) < 2 * len(fps)
+    up = {int(f): int(f) for f in fps}
+
+    def root(x):
+        while up[x] != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    for a, b in edges:
+        up[root(a)] = root(b)
+    small = np.unique(ball)[:300].view(np.int64).tolist()
+    for i, a in enumerate(small):
+        assert all(root(a) == root(b) for b in small[i + 1 :] if ((a ^ b) & (1 << 64) - 1).bit_count() <= 4)
+    assert len({root(int(f)) for f in np.unique(ball).view(np.int64)}) == 1
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000, 1001), (1001, 1000), (7, 7)], "a long, b long")
     got = {r["node"]: r["component"] for r in graph.components(edges).collect()}
