@@ -38,7 +38,7 @@ CUT = "\0"
 DOCS_AT_ONCE = 1024
 WIDEST = 64
 CELLS = 1 << 15
-FIRST_CUTOFF = 16.0
+FIRST_CUTOFF = 64.0
 
 
 def best_paths(into: Callable[[int], list[tuple[int, object, float]]], best: Sequence[float], n: int, cutoff: float = math.inf) -> tuple[list[tuple[float, list]], bool]:
@@ -63,6 +63,8 @@ def best_paths(into: Callable[[int], list[tuple[int, object, float]]], best: Seq
         if visits[at] > n:
             continue
         for i, label, score in into(at):
+            if visits.get(i, 0) >= n and i:
+                continue
             total = g + score + best[i]
             if total < best[end] - cutoff:
                 left_out = True
