@@ -4,20 +4,23 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from mnemara.functions import text as tx
+
 #: Forms of an instant that name one (a date, or a date and time with a zone).
 INSTANT = r"^(?!0000)\d{4}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])(?:T\d{2}:\d{2}(?::\d{2}(?:\.\d{1,6})?)?(?:Z|[+-]\d{2}:\d{2}))?$"
 REPORT_NAME = r"^[A-Za-z][A-Za-z0-9_]{0,63}$"
-#: Keys of logged objects by how they may be shown.
-CONTENT_KEYS = ("content", "text", "memory", "query", "message", "prompt")
-ID_KEYS = ("id", "user_id", "trace_id", "document_id")
-PATH_KEYS = ("path", "file", "url")
-SAFE_KEYS = ("status", "kind", "code", "method")
+#: Keys of logged objects by how they may be shown; a breadcrumb of headings is content.
+SAFE_KEYS = ("code", "category", "severity", "status", "kind", "mode", "searchMode", "component", "retryable", "traceId", "errorId", "fingerprint")
+ID_KEYS = ("userId", "user", "orgId", "org_id", "org", "containerTag")
+PATH_KEYS = ("filepath", "path", "file", "dir", "cwd", "lockPath", "dbDir")
+CONTENT_KEYS = ("query", "queries", "q", "memory", "content", "text", "document", "prompt", "messages", "embedding", "value", "facts", "headingPath")
 
 
 def clamp(value: object, low: int, high: int, default: int) -> int:
@@ -52,24 +55,29 @@ def merged(json_text: Column, extra: Column) -> Column:
     return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(F.map_concat(kept, extra)))))
 
 
-def shape(value: object) -> object:
-    if isinstance(value, bool) or value is None or isinstance(value, (int, float)):
-        return value
+def shape(value: object) -> dict:
+    """The kind of a value, with the length (in UTF-16 units) of a text or list."""
     if isinstance(value, str):
-        return {"type": "string", "len": len(value)}
-    return {"type": "array" if isinstance(value, list) else "object", "len": len(value)}  # type: ignore[arg-type]
+        return {"type": "string", "len": len(value.encode("utf-16-le", "surrogatepass")) // 2}
+    return {"type": "array", "len": len(value)} if isinstance(value, list) else {"type": "object"}
+
 
+def shown(key: str | None, value: object) -> object:
+    """What may be shown of a logged value: numbers, hashes of ids, leaves of paths, safe texts; of all else its shape.
 
-def shown(key: str, value: object) -> object:
-    """What may be shown of a logged value: numbers, hashes of ids, leaves of paths, safe texts; of all else its shape."""
+    Whatever stands under a content key goes whole. Elements of a list go by the list's key, but a safe key speaks for a
+    single value only.
+    """
+    if value is None or isinstance(value, (bool, int, float)):
+        return value
+    if key in CONTENT_KEYS:
+        return shape(value)
     if isinstance(value, dict):
         return {k: shown(k, v) for k, v in value.items()}
     if isinstance(value, list):
-        return [shown("", v) for v in value]
-    if not isinstance(value, str):
-        return value
+        return [shown(None if key in SAFE_KEYS else key, v) for v in value]
     if key in ID_KEYS:
-        return "h_" + hashlib.sha256(value.encode()).hexdigest()[:16]
+        return "h_" + hashlib.sha256(value.encode("utf-8", "surrogatepass")).hexdigest()[:16]
     if key in PATH_KEYS:
         leaf = value.replace("\\", "/").split("/")[-1]
         return leaf or value
@@ -84,8 +92,8 @@ def redact_json(texts: pd.Series) -> pd.Series:
         if t is None:
             return None
         try:
-            return json.dumps(shown("", json.loads(t)), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
-        except ValueError:
+            return json.dumps(shown(None, json.loads(t)), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+        except (ValueError, RecursionError):
             return json.dumps(shape(t), separators=(",", ":"))
 
     return texts.map(one)
@@ -97,9 +105,71 @@ def flat_content(parts: Column) -> Column:
 
 
 def distilled(reply: Column, cap: int = 5) -> Column:
-    """Facts in a model's reply: a bare JSON array, one in a fence, or from the first bracket to the last; blank ones go."""
-    fenced = F.regexp_extract(reply, r"(?s)```(?:json)?\s*(\[.*?\])\s*```", 1)
-    between = F.regexp_extract(reply, r"(?s)(\[.*\])", 1)
-    facts = F.coalesce(*[F.from_json(F.when(x != "", x), "array<string>") for x in (F.regexp_extract(reply, r"(?s)^\s*(\[.*\])\s*$", 1), fenced, between)])
-    trimmed = F.transform(facts, lambda f: F.trim(f))
-    return F.slice(F.filter(trimmed, lambda f: f.isNotNull() & (f != "") & (F.length(f) <= 300)), 1, cap)
+    """Facts in a model's reply: a bare JSON array, one in a fence, or from the first bracket to the last; null if there is none.
+
+    Elements that aren't texts, blank ones, those over 300 characters and sensitive ones go.
+    """
+    whole = F.trim(reply)
+    fenced = F.trim(F.regexp_extract(whole, r"(?is)```(?:json)?\s*(.*?)```", 1))
+    text = F.when(fenced != "", fenced).otherwise(whole)
+    parsed = [F.try_variant_get(F.try_parse_json(x), "$", "array<variant>") for x in (text, F.regexp_extract(text, r"(?s)(\[.*\])", 1))]
+    texts = F.filter(F.coalesce(*parsed), lambda v: F.schema_of_variant(v) == "STRING")
+    trimmed = F.transform(texts, lambda v: F.trim(F.try_variant_get(v, "$", "string")))
+    return F.slice(F.filter(trimmed, lambda f: (f != "") & (F.length(f) <= 300) & ~tx.is_sensitive(f)), 1, cap)
+
+
+def captured(reply: Column, said: Column) -> Column:
+    """Facts of a turn: those distilled by a model or, if it gave none that can be used, the candidates in what was said."""
+    found = distilled(reply)
+    return F.when(F.size(found) > 0, found).otherwise(tx.candidate_facts(said))
+
+
+_TEXT_PATTERNS = [(kind, re.compile(p)) for kind, p in tx.SECRETS]
+_LABELLED = re.compile(tx.LABELLED_SECRET)
+_LABEL_KEY = re.compile(rf"(?i){tx.LABEL}$")
+_TOKEN_LIKE = re.compile(tx.TOKEN_LIKE)
+
+
+def without_secrets(value: object, key: str = "") -> tuple[object, set[str]]:
+    """A JSON value with the secrets in all of its texts replaced, and their kinds; a key can be the label of its text."""
+    if isinstance(value, dict):
+        parts = {k: without_secrets(v, k) for k, v in value.items()}
+        return {k: v for k, (v, _) in parts.items()}, set().union(*[f for _, f in parts.values()])
+    if isinstance(value, list):
+        items = [without_secrets(v, key) for v in value]
+        return [v for v, _ in items], set().union(*[f for _, f in items])
+    if not isinstance(value, str):
+        return value, set()
+    found = set()
+    for kind, pattern in _TEXT_PATTERNS:
+        value, n = pattern.subn(f"[redacted: {kind}]", value)
+        found |= {kind} if n else set()
+    value, n = _LABELLED.subn(r"\1\2[redacted: labelled_secret]", value)
+    if _LABEL_KEY.search(key) and _TOKEN_LIKE.fullmatch(value):
+        value, n = "[redacted: labelled_secret]", 1
+    return value, found | ({"labelled_secret"} if n else set())
+
+
+@F.pandas_udf(T.StructType([T.StructField("value", T.StringType()), T.StructField("kinds", T.ArrayType(T.StringType()))]))
+def redact_metadata(texts: pd.Series) -> pd.DataFrame:
+    """Metadata as JSON with no secret at any depth, and the sorted kinds found. What can't be parsed is read as one text."""
+
+    def one(t: str | None) -> tuple[str | None, list[str]]:
+        if t is None:
+            return None, []
+        try:
+            value, found = without_secrets(json.loads(t))
+            return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False), sorted(found)
+        except (ValueError, RecursionError):
+            value, found = without_secrets(t)
+            return str(value), sorted(found)
+
+    return pd.DataFrame([one(t) for t in texts], columns=["value", "kinds"])
+
+
+def gate(text: Column, metadata: Column, allow: Column) -> Column:
+    """What may be stored of a write: ``text, metadata`` without secrets, and the kinds found in either; all as it is if allowed."""
+    deep = redact_metadata(metadata)
+    kinds = F.array_sort(F.array_union(tx.secret_kinds(text), deep["kinds"]))
+    clean = F.struct(tx.redact_secrets(text).alias("text"), deep["value"].alias("metadata"), kinds.alias("kinds"))
+    return F.when(allow, F.struct(text.alias("text"), metadata.alias("metadata"), F.array().cast("array<string>").alias("kinds"))).otherwise(clean)

@@ -40,12 +40,29 @@ def merge_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def redact_logged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages as logged requests: ids are hashed, paths cut to their leaf, texts become shapes."""
+    """Pages as logged requests with keys of every class, nested and in lists."""
     p = table(spark, sf_dir, "pages")
-    logged = F.to_json(F.struct(F.col("page_id").alias("n"), F.concat(F.lit("page-"), F.col("page_id").cast("string")).alias("id"), F.col("url").alias("url"), F.lit("ok").alias("status"), F.col("html").alias("content")))
+    inner = F.struct(F.col("html").alias("content"), F.lit("ok").alias("status"))
+    logged = F.to_json(
+        F.struct(
+            F.col("page_id").alias("n"), F.concat(F.lit("page-"), F.col("page_id").cast("string")).alias("userId"), F.col("url").alias("path"), F.lit("search").alias("kind"),
+            F.col("html").alias("text"), F.array(inner).alias("messages"), inner.alias("document"), F.array(F.col("url")).alias("mode"), F.array(F.col("url")).alias("file"),
+            F.struct(F.col("url").alias("note"), F.lit("E1").alias("code"), F.array(F.lit("h"), F.col("html")).alias("queries")).alias("deep"),
+        )
+    )
     return p.select("page_id", guards.redact_json(logged).alias("shown"))
 
 
+def redact_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events' metadata with a secret under a label, one in a text of a list, and none, before and after the gate; every fifth write is allowed."""
+    e = table(spark, sf_dir, "events")
+    secret = F.concat(F.lit("ghp_"), F.substring(F.sha2(F.col("event_id").cast("string"), 256), 1, 40))
+    meta = F.to_json(F.struct(F.col("event_type").alias("kind"), F.struct(F.md5("props").alias("api_key"), F.array(F.concat(F.lit("see "), secret), F.col("event_type")).alias("notes")).alias("deep")))
+    text = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("use "), secret)).otherwise(F.col("event_type"))
+    out = guards.gate(text, meta, F.col("event_id") % 5 == 0)
+    return e.select("event_id", out.alias("o")).select("event_id", "o.text", F.md5("o.metadata").alias("metadata_digest"), F.array_join("o.kinds", ",").alias("kinds"))
+
+
 def flatten_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns as messages of three parts, of which the middle one holds no text."""
     c = table(spark, sf_dir, "conversations")
@@ -55,12 +72,13 @@ def flatten_content(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def distilled_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Facts from replies made of each event in the three forms that are read, and one that isn't."""
+    """Facts from replies made of each event in the three forms that are read, and one that isn't, which leaves what the user said."""
     e = table(spark, sf_dir, "events")
-    array = F.concat(F.lit('["uses '), "event_type", F.lit('", "  ", "value '), F.col("user_id").cast("string"), F.lit('"]'))
+    array = F.concat(F.lit('["uses '), "event_type", F.lit('", "  ", 7, "my token is '), "event_type", F.lit('", "value '), F.col("user_id").cast("string"), F.lit('"]'))
     form = F.col("event_id") % 4
     reply = F.when(form == 0, array).when(form == 1, F.concat(F.lit("Here:\n```json\n"), array, F.lit("\n```"))).when(form == 2, F.concat(F.lit("I found "), array, F.lit(" in it"))).otherwise("nothing")
-    facts = guards.distilled(reply)
+    said = F.concat(F.lit("I use "), "event_type", F.lit(" every day. My password is "), "event_type", F.lit(". Why?"))
+    facts = guards.captured(reply, said)
     return e.select("event_id", F.coalesce(F.array_join(facts, "|"), F.lit("none")).alias("facts"))
 
 
@@ -96,9 +114,11 @@ def latest_by_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.join(newest, "chain", "left").join(n, "chain", "left").select("chain", F.col("id").alias("newest"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
+_LEAF = "CASE WHEN regexp_replace(url, '^.*[/\\\\]', '', 's') = '' THEN url ELSE regexp_replace(url, '^.*[/\\\\]', '', 's') END"
+
 QUERIES = {
     f.__name__: f
-    for f in (as_of_literals, report_names, batch_validation, merge_metadata, redact_logged, flatten_content, distilled_facts, import_dedup, top_per_group, stream_dedup, latest_by_map)
+    for f in (as_of_literals, report_names, batch_validation, merge_metadata, redact_logged, redact_deep, flatten_content, distilled_facts, import_dedup, top_per_group, stream_dedup, latest_by_map)
 }
 
 SQL = {
@@ -109,10 +129,18 @@ SELECT event_id, literal, CASE event_id % 5 WHEN 0 THEN date_trunc('day', ts)::T
 SELECT CASE WHEN regexp_matches(name, '{guards.REPORT_NAME}') THEN name ELSE 'unknown' END AS name, count(*)::BIGINT AS n FROM n GROUP BY 1""",
     "batch_validation": f"SELECT doc_id AS id, CASE WHEN regexp_replace(coalesce(text, ''), '\\s+', '', 'g') = '' THEN 'empty' WHEN length(text) > {MOST} THEN 'too long' ELSE 'ok' END AS verdict FROM documents",
     "merge_metadata": """SELECT event_id, '{"k":"' || CASE WHEN event_type = 'error' THEN '-1' ELSE props->>'$.k' END || '","type":"' || event_type || '"}' AS props FROM events""",
-    "redact_logged": """SELECT page_id, '{"content":{"len":' || length(html) || ',"type":"string"},"id":"h_' || substr(sha256('page-' || page_id), 1, 16) || '","n":' || page_id || ',"status":"ok","url":"'
-  || CASE WHEN regexp_replace(url, '^.*[/\\\\]', '', 's') = '' THEN url ELSE regexp_replace(url, '^.*[/\\\\]', '', 's') END || '"}' AS shown FROM pages""",
+    "redact_logged": f"""WITH p AS (SELECT page_id, length(html) + len(regexp_extract_all(html, '[\\x{{10000}}-\\x{{10FFFF}}]')) AS n,
+  length(url) + len(regexp_extract_all(url, '[\\x{{10000}}-\\x{{10FFFF}}]')) AS u, {_LEAF} AS leaf FROM pages)
+SELECT page_id, '{{"deep":{{"code":"E1","note":{{"len":' || u || ',"type":"string"}},"queries":{{"len":2,"type":"array"}}}},"document":{{"type":"object"}},"file":["' || leaf
+  || '"],"kind":"search","messages":{{"len":1,"type":"array"}},"mode":[{{"len":' || u || ',"type":"string"}}],"n":' || page_id || ',"path":"' || leaf
+  || '","text":{{"len":' || n || ',"type":"string"}},"userId":"h_' || substr(sha256('page-' || page_id), 1, 16) || '"}}' AS shown FROM p""",
+    "redact_deep": """WITH e AS (SELECT event_id, event_type, 'ghp_' || substr(sha256(event_id::VARCHAR), 1, 40) AS s, md5(props) AS k FROM events)
+SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'use ' || CASE WHEN event_id % 5 = 0 THEN s ELSE '[redacted: github_token]' END ELSE event_type END AS text,
+  md5(CASE WHEN event_id % 5 = 0 THEN '{"kind":"' || event_type || '","deep":{"api_key":"' || k || '","notes":["see ' || s || '","' || event_type || '"]}}'
+    ELSE '{"deep":{"api_key":"[redacted: labelled_secret]","notes":["see [redacted: github_token]","' || event_type || '"]},"kind":"' || event_type || '"}' END) AS metadata_digest,
+  CASE WHEN event_id % 5 = 0 THEN '' ELSE 'github_token,labelled_secret' END AS kinds FROM e""",
     "flatten_content": "SELECT conv_id, turn, md5(CASE WHEN text IS NULL THEN role ELSE text || chr(10) || role END) AS digest FROM conversations",
-    "distilled_facts": "SELECT event_id, CASE WHEN event_id % 4 = 3 THEN 'none' ELSE 'uses ' || event_type || '|value ' || user_id END AS facts FROM events",
+    "distilled_facts": "SELECT event_id, CASE WHEN event_id % 4 = 3 THEN 'I use ' || event_type || ' every day.' ELSE 'uses ' || event_type || '|value ' || user_id END AS facts FROM events",
     "import_dedup": """WITH n AS (SELECT source, text, min(doc_id) AS doc_id FROM documents WHERE lang <> 'en' GROUP BY source, text)
 SELECT doc_id, source FROM n WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE d.lang = 'en' AND d.source = n.source AND d.text = n.text)""",
     "top_per_group": "SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC)::INTEGER AS rank FROM events QUALIFY rank <= 3",

@@ -13,7 +13,7 @@ from mnemara.sources.tables import table
 def stream_capture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Facts captured from a stream of turns, with the statements of ``capture_facts``."""
     turns = scratch.replay(spark, f"{sf_dir}/conversations.parquet")
-    said = F.when(F.col("turn") % 2 == 1, F.concat(F.lit("Please remember that I prefer "), "text")).otherwise(F.concat(F.lit("I live in "), "text"))
+    said = F.when(F.col("turn") % 2 == 1, F.concat(F.lit("Remember that I prefer "), "text")).otherwise(F.concat(F.lit("I live in "), "text"))
     return scratch.drain(chat.capture(turns.withColumn("text", said)), "capture")
 
 
