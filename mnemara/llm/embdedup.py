@@ -5,11 +5,14 @@ vectors quantised to int8: ``u = s q + e`` with ``|e|`` kept for each vector. Fo
 
     | u.v - s_u s_v q_u.q_v |  <=  |e_u| + |e_v| + |e_u| |e_v|
 
-so a pair whose integer product cannot reach the threshold within this bound is certainly no link; only the others are
-computed from the original vectors in double precision. Every pair of tiles meets in one task, which passes on link
-counts by class and the links that join two groups not yet joined in it: never all pairs of a dense group.
+so a pair whose integer product stays below the threshold by more than this bound is certainly no link, one that stays
+above it by more certainly is; only the others are computed from the original vectors in double precision. Every pair of
+tiles meets in one task, strip by strip, which passes on link counts by class and the links that join two groups not yet
+joined in it: never all pairs of a dense group, nor a list of them.
 
-Tile pairs come from a join on tile numbers; a task holds two tiles and their product, whatever the data's size.
+Tile pairs come from a join on tile numbers; a task holds two tiles and a strip of their product, whatever the data's
+size. Tiles carry vectors in the precision of the table. Rows find their class again by two hashes of the vector; the
+labels of the at most ``HOT`` classes with more than 1 / ``HOT`` of all rows are broadcast.
 
 Edge cases: vectors that are null, zero, or hold null or non-finite components link with nothing and are their own
 component; vectors of different lengths don't link; repeated rows are vectors of their own; an empty table gives an
@@ -25,12 +28,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mnemara.llm.common import materialise, ship, table
+from mnemara.llm.common import materialise, ship, table, worker_state
 from mnemara.llm.graph import components
-from mnemara.llm.simhash import _Forest
+from mnemara.llm.simhash import _Forest, _Rows
 
 THRESHOLD = 0.95
 TILE = 4096
+STRIP = 256
+HOT = 1000
 RECHECK = 1 << 16
 SLACK = 1e-5  # for single-precision rounding of exact integer products times scales
 
@@ -50,22 +55,22 @@ def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return q.astype(np.int8), scale[:, 0], np.linalg.norm(u - q * scale, axis=1)
 
 
-def possible(qa, sa, ea, qb, sb, eb, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs that may reach the threshold."""
+def possible(qa, sa, ea, qb, sb, eb, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs that may reach the threshold, and which of them certainly do."""
     kind = np.float32 if qa.shape[1] * 127 * 127 < 1 << 24 else np.float64  # integer products stay exact
     g = qa.astype(kind) @ qb.astype(kind).T
     g *= sb.astype(kind)
     worst = eb.max()
     i, j = np.nonzero(g >= ((threshold - ea - worst - ea * worst - SLACK) / sa).astype(kind)[:, None])
-    bound = ea[i] + eb[j] + ea[i] * eb[j] + SLACK
-    keep = g[i, j] * sa[i] >= threshold - bound
-    return i[keep], j[keep]
+    bound, product = ea[i] + eb[j] + ea[i] * eb[j] + SLACK, g[i, j] * sa[i]
+    keep = product >= threshold - bound
+    return i[keep], j[keep], (product - bound >= threshold)[keep]
 
 
 def cosines(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     out = np.empty(len(i))
     for at in range(0, len(i), RECHECK):
-        a, b = x[i[at : at + RECHECK]], y[j[at : at + RECHECK]]
+        a, b = x[i[at : at + RECHECK]].astype(np.float64), y[j[at : at + RECHECK]].astype(np.float64)
         out[at : at + RECHECK] = np.einsum("ij,ij->i", a, b) / np.sqrt(np.einsum("ij,ij->i", a, a) * np.einsum("ij,ij->i", b, b))
     return out
 
@@ -87,8 +92,8 @@ def make_tiles(classes: DataFrame, tile: int = TILE) -> DataFrame:
                 rows = np.flatnonzero(length == size)
                 for at in range(0, len(rows), tile):
                     r = rows[at : at + tile]
-                    x = flat[start[r][:, None] + np.arange(size)].astype(np.float64)
-                    q, s, e = quantise(x)
+                    x = flat[start[r][:, None] + np.arange(size)]
+                    q, s, e = quantise(x.astype(np.float64))
                     values = [cid[r].tobytes(), n[r].tobytes(), x.tobytes(), q.tobytes(), s.tobytes(), e.tobytes()]
                     yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), *[pa.array([v], pa.binary()) for v in values]], ["tile", *_TILE_COLUMNS])
 
@@ -100,7 +105,8 @@ def make_tiles(classes: DataFrame, tile: int = TILE) -> DataFrame:
 _FOUND_SCHEMA = "a long, b long, links long"
 
 
-def _compare(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+def _compare(batches: Iterator[pa.RecordBatch], threshold: float, dtype: str) -> Iterator[pa.RecordBatch]:
+    worker_state("vectors")
     forest = _Forest()
     for batch in batches:
         for r in range(batch.num_rows):
@@ -108,30 +114,35 @@ def _compare(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa
 
             def side(p: str, row=row):
                 cid, n = np.frombuffer(row[p + "cids"], np.int64), np.frombuffer(row[p + "counts"], np.int64)
-                x, q = np.frombuffer(row[p + "vectors"]), np.frombuffer(row[p + "codes"], np.int8)
+                x, q = np.frombuffer(row[p + "vectors"], dtype), np.frombuffer(row[p + "codes"], np.int8)
                 return cid, n, x.reshape(len(cid), -1), q.reshape(len(cid), -1), np.frombuffer(row[p + "scales"]), np.frombuffer(row[p + "errors"])
 
             ca, na, xa, qa, sa, ea = side("l_")
             cb, nb, xb, qb, sb, eb = side("r_")
             if xa.shape[1] != xb.shape[1]:
                 continue
-            i, j = possible(qa, sa, ea, qb, sb, eb, threshold)
-            if row["i"] == row["j"]:
-                i, j = i[i < j], j[i < j]
-            good = cosines(xa, xb, i, j) >= threshold
-            i, j = i[good], j[good]
-            links: dict[int, int] = {}
-            for c, k, w in ((ca, i, nb[j]), (cb, j, na[i])):
-                total = np.bincount(k, weights=w, minlength=len(c)).astype(np.int64)
-                for at in np.flatnonzero(total).tolist():
-                    links[int(c[at])] = links.get(int(c[at]), 0) + int(total[at])
-            edges = forest.joining(ca[i], cb[j])
-            e, m = len(edges), len(links)
+            rows, edges = _Rows(forest, np.concatenate([ca, cb])), []
+            of_a, of_b = np.zeros(len(ca), np.int64), np.zeros(len(cb), np.int64)
+            for at in range(0, len(ca), STRIP):
+                part = slice(at, at + STRIP)
+                i, j, sure = possible(qa[part], sa[part], ea[part], qb, sb, eb, threshold)
+                i += at
+                if row["i"] == row["j"]:
+                    once = i < j
+                    i, j, sure = i[once], j[once], sure[once]
+                doubt = np.flatnonzero(~sure)
+                sure[doubt] = cosines(xa, xb, i[doubt], j[doubt]) >= threshold
+                i, j = i[sure], j[sure]
+                of_a += np.bincount(i, weights=nb[j], minlength=len(ca)).astype(np.int64)
+                of_b += np.bincount(j, weights=na[i], minlength=len(cb)).astype(np.int64)
+                edges += rows.join(i, len(ca) + j)
+            a, b = np.flatnonzero(of_a), np.flatnonzero(of_b)
+            e, m = len(edges), len(a) + len(b)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([x for x, _ in edges] + list(links), pa.int64()),
+                    pa.array([*[x for x, _ in edges], *ca[a].tolist(), *cb[b].tolist()], pa.int64()),
                     pa.array([y for _, y in edges] + [None] * m, pa.int64()),
-                    pa.array([None] * e + list(links.values()), pa.int64()),
+                    pa.array([None] * e + [*of_a[a].tolist(), *of_b[b].tolist()], pa.int64()),
                 ],
                 ["a", "b", "links"],
             )
@@ -139,12 +150,17 @@ def _compare(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa
 
 def class_links(classes: DataFrame, threshold: float = THRESHOLD, tile: int = TILE) -> DataFrame:
     """``a, b`` (links that carry the components) and ``a, links`` (vectors of other classes that class ``a`` links with)."""
+    dtype = "f4" if classes.schema["v"].dataType.elementType.typeName() == "float" else "f8"
     tiles = materialise(make_tiles(classes, tile), "numbered")
     n = tiles.agg(F.count(F.lit(1))).first()[0]
-    left = tiles.select(F.col("no").alias("i"), F.explode(F.sequence(F.col("no"), F.lit(max(0, n - 1)))).alias("j"), *[F.col(c).alias("l_" + c) for c in _TILE_COLUMNS])
-    right = tiles.select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("no"))).alias("i"), F.col("no").alias("j"), *[F.col(c).alias("r_" + c) for c in _TILE_COLUMNS])
-    pairs = left.repartition("i", "j").join(right.repartition("i", "j"), ["i", "j"])
-    return pairs.mapInArrow(lambda it: _compare(it, threshold), _FOUND_SCHEMA)
+    # Each pair once, every tile about as often on either side; only the left one travels with the pair.
+    other = F.explode(F.sequence(F.col("no"), F.lit(max(0, n - 1)))).alias("other")
+    turned = (F.col("no") + F.col("other")) % 2 == 1
+    pairs = tiles.select("no", other).select(F.when(turned, F.col("other")).otherwise(F.col("no")).alias("i"), F.when(turned, F.col("no")).otherwise(F.col("other")).alias("j"))
+    left = tiles.select(F.col("no").alias("i"), *[F.col(c).alias("l_" + c) for c in _TILE_COLUMNS])
+    right = tiles.select(F.col("no").alias("j"), *[F.col(c).alias("r_" + c) for c in _TILE_COLUMNS])
+    met = pairs.join(left, "i").join(right, "j")
+    return met.mapInArrow(lambda it: _compare(it, threshold, dtype), _FOUND_SCHEMA)
 
 
 def near_duplicate_vectors(vectors: DataFrame, threshold: float = THRESHOLD, tile: int = TILE) -> DataFrame:
@@ -160,13 +176,23 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = THRESHOLD, til
     ids = comp.join(classes.select("cid", "rep"), F.col("node") == F.col("cid")).select("cid", "component", "rep")
     least = ids.groupBy("component").agg(F.min("rep").alias("least"))
     named = ids.join(least, "component").select("cid", "least")
+    hashes = [F.xxhash64("v").alias("h1"), F.xxhash64(F.lit("v"), "v").alias("h2")]
     label = (
-        classes.join(others, "cid", "left")
+        classes.select("cid", "rep", "n", *hashes)
+        .join(others, "cid", "left")
         .join(named, "cid", "left")
-        .select("v", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("_links"), F.coalesce("least", "rep").alias("_component"))
+        .select("h1", "h2", "n", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("_links"), F.coalesce("least", "rep").alias("_component"))
     )
-    out = rows.join(label, "v", "left").select(
-        "vec_id", F.coalesce("_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("_component", "vec_id").alias("component_id")
+    label = materialise(label, "label")
+    keyed = rows.select("vec_id", F.col("v").isNotNull().alias("_some"), *hashes)
+    most = max(HOT, (classes.agg(F.sum("n")).first()[0] or 0) // HOT)
+    hot = F.broadcast(label.where(F.col("n") > most).drop("n"))
+    cold = label.where(F.col("n") <= most).drop("n")
+    some = keyed.where("_some").drop("_some")
+    met = some.join(hot, ["h1", "h2"]).unionByName(some.join(hot.select("h1", "h2"), ["h1", "h2"], "left_anti").join(cold, ["h1", "h2"]))
+    none = keyed.where("not _some").select("vec_id", F.lit(0).cast("long").alias("_links"), F.col("vec_id").alias("_component"))
+    out = met.select("vec_id", "_links", "_component").unionByName(none).select(
+        "vec_id", F.col("_links").cast("long").alias("n_links"), F.coalesce("_component", "vec_id").alias("component_id")
     )
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 

@@ -48,9 +48,25 @@ def test_quantised_bound_misses_nothing(seed, dim, threshold):
     rng = np.random.default_rng(seed)
     a = rng.normal(size=(30, dim)) * np.exp(rng.normal(size=(30, 1)) * 5)
     b = np.concatenate([a[:15] + rng.normal(size=(15, dim)) * 0.3 * np.abs(a[:15]), rng.normal(size=(15, dim))])
-    i, j = embdedup.possible(*embdedup.quantise(a), *embdedup.quantise(b), threshold)
+    i, j, sure = embdedup.possible(*embdedup.quantise(a), *embdedup.quantise(b), threshold)
     u, v = a / np.linalg.norm(a, axis=1, keepdims=True), b / np.linalg.norm(b, axis=1, keepdims=True)
-    assert set(zip(*np.nonzero(u @ v.T >= threshold), strict=True)) <= set(zip(i, j, strict=True))
+    links = set(zip(*np.nonzero(u @ v.T >= threshold), strict=True))
+    assert set(zip(i[sure], j[sure], strict=True)) <= links <= set(zip(i, j, strict=True))
+
+
+def test_dense_and_hot_groups(spark, monkeypatch):
+    """A ball where all link, across tiles, and a vector that a third of all rows have."""
+    monkeypatch.setattr(embdedup, "HOT", 100)
+    rng = np.random.default_rng(8)
+    x = (np.ones((900, 8)) + rng.normal(size=(900, 8)) * 0.02).astype(np.float32)
+    x[300:750] = x[0]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(5000 + i, rng.normal(size=8).tolist()) for i in range(40)]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embdedup.near_duplicate_vectors(vectors(spark, rows), tile=128).collect()}
+    u = np.array([v for _, v in rows], np.float32).astype(np.float64)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    near = u @ u.T >= 0.95
+    assert len(got) == 940 and near[:900, :900].all()
+    assert all(got[i][0] == near[k].sum() - 1 for k, (i, _) in enumerate(rows)) and {got[i][1] for i in range(900)} == {0}
 
 
 def plain_top(x, ids, queries, k):
