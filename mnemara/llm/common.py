@@ -64,6 +64,23 @@ def rows_of(df: DataFrame) -> int:
     return df.select(F.count(F.lit(1)).alias("n")).first()["n"]
 
 
+#: Keys of rows to drop that are broadcast at most; beyond that rows and keys are shuffled.
+MAX_BROADCAST_KEYS = 200_000
+
+
+def without_rows(keyed: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
+    """``keyed`` less the rows whose ``keys`` are in ``gone``, nulls being equal.
+
+    ``gone`` is written once; if it is small it is broadcast, so no text is shuffled.
+    """
+    gone = materialise(gone.select(*keys).distinct(), "gone")
+    few = rows_of(gone) <= MAX_BROADCAST_KEYS
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(f"d.{k}").eqNullSafe(F.col(f"g.{k}"))
+    return keyed.alias("d").join((F.broadcast(gone) if few else gone).alias("g"), same, "left_anti")
+
+
 _kept: dict[object, object] = {}
 
 

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mnemara.llm.common import materialise, ship, table, worker_state
+from mnemara.llm.common import materialise, ship, table, without_rows, worker_state
 
 PER_LANG = 1000
 BUCKETS = 1 << 15
@@ -167,7 +167,7 @@ def _with_counts(d: DataFrame, evidence: DataFrame, key: str, n: int, rows: int)
 
 
 def fuse(evidence: DataFrame, langs: list[str], kappa: float = KAPPA, min_confidence: float = MIN_CONFIDENCE, unknown: float = UNKNOWN) -> DataFrame:
-    """Add ``lang, confidence, rejected`` to rows (a written table) with ``host, domain, suffix, declared`` and text evidence."""
+    """Add ``lang, confidence, rejected`` to rows (a written table) with text evidence and those of ``host, domain, suffix, declared`` that there are."""
     n = len(langs)
     if not n:
         return evidence.select("*", F.lit("und").alias("lang"), F.lit(0.0).alias("confidence"), F.lit(True).alias("rejected"))
@@ -178,7 +178,10 @@ def fuse(evidence: DataFrame, langs: list[str], kappa: float = KAPPA, min_confid
     per_lang = F.array(*[F.lit(x) for x in seen])
     d = evidence
     for key in ("host", "domain", "suffix", "declared"):
-        d = _with_counts(d, evidence, key, n, rows)
+        if key in evidence.columns:
+            d = _with_counts(d, evidence, key, n, rows)
+        else:
+            d = d.withColumn(f"_n_{key}", F.lit(None).cast("array<double>"))
     own = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.when(F.col("guess") == i, 1.0).otherwise(0.0))
     d = d.withColumn("_own", own)
 
@@ -254,11 +257,7 @@ def identify_documents(docs: DataFrame, training: DataFrame) -> DataFrame:
     """Documents have no markup or address; their source stands for the host."""
     ship(docs.sparkSession)
     langs, logp = train(training)
-    none = F.lit(None).cast("string")
-    rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"), F.col("source").cast("string").alias("host"),
-        none.alias("domain"), none.alias("suffix"), none.alias("declared"),
-    )
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"), F.col("source").cast("string").alias("host"))
     return fuse(materialise(text_evidence(rows, len(langs), logp), "evidence"), langs)
 
 
@@ -267,7 +266,6 @@ def drop_unidentified(docs: DataFrame, training: DataFrame) -> DataFrame:
 
     The verdict depends on id, text and source, so rows are dropped by these three.
     """
-    out = identify_documents(docs, training).where("rejected").select("doc_id", "text_hash", "host").distinct()
+    out = identify_documents(docs, training).where("rejected")
     d = docs.select(F.struct(*docs.columns).alias("doc"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("source").cast("string").alias("host"))
-    same = [F.col(f"d.{c}").eqNullSafe(F.col(f"r.{c}")) for c in ("doc_id", "text_hash", "host")]
-    return d.alias("d").join(out.alias("r"), same[0] & same[1] & same[2], "left_anti").select("doc.*")
+    return without_rows(d, out, ["doc_id", "text_hash", "host"]).select("doc.*")

@@ -25,11 +25,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mnemara.llm import golay
-from mnemara.llm.common import materialise, rows_of, ship, table, worker_state
+from mnemara.llm.common import materialise, rows_of, ship, table, without_rows, worker_state
 from mnemara.llm.graph import components
 
 SHINGLE = 4
@@ -343,9 +343,10 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
     prints = materialise(fingerprints(docs, digests=True), "prints")
     least = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
     groups = materialise(_with_least(prints, least).withColumn("stays", least == F.col("component_id")), "groups")
-    gone = groups.where("not stays").select("doc_id", "text_hash").distinct()
     d = docs.select(F.struct(*docs.columns).alias("doc"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"))
-    same = F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("d.text_hash") == F.col("g.text_hash"))
-    kept = d.alias("d").join(gone.alias("g"), same, "left_anti")
+    kept = without_rows(d, groups.where("not stays"), ["doc_id", "text_hash"])
     repeated = groups.where("stays").groupBy("doc_id", "text_hash").count().where("count > 1").limit(1).count()
-    return (kept.dropDuplicates(["doc_id", "text_hash"]) if repeated else kept).select("doc.*")
+    if repeated:  # rows alike in id and text: that of the least hash stays
+        first = F.row_number().over(Window.partitionBy("doc_id", "text_hash").orderBy(F.xxhash64(F.to_json("doc"))))
+        kept = kept.withColumn("no", first).where("no = 1")
+    return kept.select("doc.*")
