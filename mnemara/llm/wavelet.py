@@ -17,7 +17,6 @@ by text; an empty table gives no shards and an empty result; documents of any le
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -35,6 +34,7 @@ SHARD_TOKENS = 1 << 21
 END_ID = 1
 RANK_BITS = 512
 CACHE_WORDS = 600_000
+CACHE_RUNS = 200_000
 DOCS_AT_ONCE = 2048
 
 
@@ -42,17 +42,17 @@ class ChunkEncoder:
     """Encodes texts by their runs between ASCII white space.
 
     The tokenizer drops white space and joins nothing across it, so a text's ids are those of its runs in order. A batch
-    is split and dictionary-encoded by Arrow, so each different run of a batch is looked up once; ids of runs that were
-    met before come from a bounded cache. The others are encoded in one call, as one text with a mark of a single id
-    between them (runs that hold the mark's character are encoded alone).
+    is split and dictionary-encoded by Arrow, so each different run of a batch is looked at once.
 
-    Most runs are a word of Latin letters and some stops. Of these the tokenizer makes two tokens' worth of lower-case
-    pieces, so they are put together from a second cache of lower-case words and stops, and unknown words skip its
-    normaliser and pattern matching.
+    Most runs are a word of Latin letters and some stops, of which the tokenizer makes the pieces of the lower-case word
+    and those of the stops. Arrow splits these too, and what is looked up in Python are the different lower-case words of a
+    batch; unknown ones skip the tokenizer's normaliser and pattern matching. Ids of words, and of other runs, that were met
+    before come from bounded caches; unknown runs of the other kind are encoded in one call, as one text with a mark of a
+    single id between them (runs that hold the mark's character are encoded alone).
     """
 
     MARK = "|"
-    PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
+    PLAIN = "^(?P<word>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<stops>[.,;:!?]*)$"
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -62,7 +62,7 @@ class ChunkEncoder:
         self.width = max(1, (self.tokenizer.get_vocab_size(with_added_tokens=True) - 1).bit_length())
         self.dtype = np.dtype("<u2" if self.width <= 16 else "<u4")
         self.mark = self._ids(self.MARK)
-        self.known, self.words = Recent(CACHE_WORDS), Recent(CACHE_WORDS)
+        self.known, self.words = Recent(CACHE_RUNS), Recent(CACHE_WORDS)
         self.plain.normalizer = normalizers.Sequence([])
         self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.ends = np.zeros(1 << self.width, bool)  # ids that end a word
@@ -78,64 +78,66 @@ class ChunkEncoder:
         whole, stops = ids.tobytes(), (stops * ids.itemsize).tolist()
         return [whole[a:b] for a, b in zip([0, *stops[:-1]], stops, strict=True)]
 
-    def _put_together(self, runs: list[str]) -> list[str]:
-        """Learn the plain ones of some runs; give back the others."""
-        plain, rest, match = [], [], self.PLAIN.fullmatch
-        for r in runs:
-            if m := match(r):
-                a, b = m.groups()
-                plain.append((r, a.lower(), b))
-            else:
-                rest.append(r)
-        self.words.age()
-        parts = list({w for _, a, b in plain for w in (a, b) if w})
-        ids = dict(zip(parts, self.words.find(parts), strict=True))
-        if new := [w for w, x in ids.items() if x is None]:
-            spelt = self._spell(new)
-            if spelt is None:
-                return runs
-            learnt = dict(zip(new, spelt, strict=True))
-            ids |= learnt
-            self.words.new |= learnt
-        ids[""] = b""
-        self.known.new.update([(r, ids[a] + ids[b]) for r, a, b in plain])
-        return rest
-
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
 
-    def _learn(self, runs: list[str]) -> None:
-        if self.fast:
-            runs = self._put_together(runs)
-        known, size = self.known.new, self.dtype.itemsize
-        plain = [r for r in runs if self.MARK not in r] if len(self.mark) == 1 else []
-        if plain:
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of lower-case words or runs of stops."""
+        out = self.words.find(words)
+        if new := [w for w, x in zip(words, out, strict=True) if x is None and w]:
+            spelt = self._spell(new) or [self._ids(w).tobytes() for w in new]
+            learnt = dict(zip(new, spelt, strict=True))
+            self.words.new |= learnt
+            out = [learnt[w] if x is None and w else x for w, x in zip(words, out, strict=True)]
+            self.words.forget_long(new)
+        return [x or b"" for x in out]
+
+    def _runs(self, runs: list[str]) -> list[bytes]:
+        """Ids of any other runs."""
+        out = self.known.find(runs)
+        new = [r for r, x in zip(runs, out, strict=True) if x is None]
+        if not new:
+            return out
+        learnt, size = {}, self.dtype.itemsize
+        if plain := [r for r in new if self.MARK not in r] if len(self.mark) == 1 else []:
             ids = self._ids(f" {self.MARK} ".join(plain))
             cuts = (np.flatnonzero(ids == self.mark[0]) * size).tolist()
             whole = ids.tobytes()
             for r, a, b in zip(plain, [-size, *cuts], [*cuts, len(whole)], strict=True):
-                known[r] = whole[a + size : b]
-        for r in runs:
-            if r not in known:
-                known[r] = self._ids(r).tobytes()
+                learnt[r] = whole[a + size : b]
+        for r in new:
+            if r not in learnt:
+                learnt[r] = self._ids(r).tobytes()
+        self.known.new |= learnt
+        self.known.forget_long(new)
+        return [learnt[r] if x is None else x for r, x in zip(runs, out, strict=True)]
 
     def encode(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """All ids of some texts in a row, each text followed by ``end_id`` if given, and how many each has."""
         self.known.age()
+        self.words.age()
         lists = pc.ascii_split_whitespace(texts.fill_null(""))
         coded = lists.flatten().dictionary_encode()
-        runs = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        ids = self.known.find(runs)
-        if None in ids:
-            self._learn([r for r, x in zip(runs, ids, strict=True) if x is None])
-            known = self.known.new
-            ids = [known[r] if x is None else x for r, x in zip(runs, ids, strict=True)]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // self.dtype.itemsize
+        runs, index = coded.dictionary, coded.indices.to_numpy()
+        # Each run is two parts: a word and its stops, or the whole run and nothing.
+        first, second, parts = np.zeros(len(runs), np.int32), np.zeros(len(runs), np.int32), [b""]
+        plain = np.zeros(len(runs), bool)
+        if self.fast and len(runs):
+            split = pc.extract_regex(runs, self.PLAIN)
+            plain = split.is_valid().to_numpy(zero_copy_only=False)
+            for place, column in ((first, pc.utf8_lower(split.field("word"))), (second, split.field("stops"))):
+                each = column.filter(pa.array(plain)).dictionary_encode()
+                place[plain] = len(parts) + each.indices.to_numpy()
+                parts += self._words(each.dictionary.to_numpy(zero_copy_only=False).tolist())
+        others = np.flatnonzero(~plain)
+        first[others] = len(parts) + np.arange(len(others))
+        parts += self._runs(runs.take(pa.array(others)).to_numpy(zero_copy_only=False).tolist())
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // self.dtype.itemsize
         offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-        each = pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(ids), self.dtype)))
-        index = coded.indices.to_numpy()
-        flat = each.take(coded.indices).flatten().to_numpy()
-        upto = np.concatenate([[0], np.cumsum(sizes[index])])
+        ids = pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(parts), self.dtype)))
+        both = np.stack([first, second], axis=1)[index].ravel()
+        flat = ids.take(pa.array(both)).flatten().to_numpy()
+        upto = np.concatenate([[0], np.cumsum((sizes[first] + sizes[second])[index])])
         stops = upto[np.cumsum(np.asarray(lists.value_lengths()))] if len(lists) else np.zeros(0, np.int64)
         counts = np.diff(stops, prepend=0)
         if end_id is not None:
