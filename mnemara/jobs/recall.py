@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mnemara.functions import text as tx
 from mnemara.functions import vectors as vec
 from mnemara.operators import evaluate, retrieval
-from mnemara.sources.tables import label_queries, memories, table, vectors
+from mnemara.sources.tables import label_queries, memories, memory_rows, table, turn_chunks, vectors
 
 LIMIT = 10
 FLOOR = 0.1
 KEYWORDS = 'the -moron "of the" or der und or les des'
+KEYWORDS_A = 'the -moron "of the" or der und'
+KEYWORDS_B = "les des or la"
 NOW = "2026-01-01"
+AS_OF = "2025-12-25 00:30:00"
 
 
 def _one_query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,23 +95,93 @@ def eval_recall_mrr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.score_rankings(hits)
 
 
+def _all_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors(spark, sf_dir).select(F.col("id").alias("query_id"), F.col("v").alias("q"), F.col("label").alias("tag"))
+
+
 def similarity_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = retrieval.with_queries(vectors(spark, sf_dir), label_queries(spark, sf_dir)).withColumn("s", F.round(vec.cosine("v", "q"), 6))
-    same = F.when(F.col("label") == F.col("query_id"), "same").otherwise("other")
-    return d.where("id <> own_id").groupBy(same.alias("kind")).agg(
-        F.count(F.lit(1)).alias("n"), F.min("s").alias("min_s"), F.round(F.median("s"), 8).alias("median_s"), F.max("s").alias("max_s")
+    """Least, median and largest cosine of all ordered pairs of one label, and of different ones, from counts of rounded cosines."""
+    v = vectors(spark, sf_dir)
+    counts = retrieval.cosine_counts(v, v.select(F.col("id").alias("own_id"), F.col("v").alias("q"), "label"), 4)
+    by = Window.partitionBy("same")
+    c = counts.withColumn("upto", F.sum("n").over(by.orderBy("s"))).withColumn("total", F.sum("n").over(by))
+    low, high = F.floor((F.col("total") + 1) / 2), F.floor(F.col("total") / 2) + 1
+    middle = [F.min(F.when(F.col("upto") >= k, F.col("s"))) for k in (low, high)]
+    return c.groupBy(F.when(F.col("same"), "same").otherwise("other").alias("kind")).agg(
+        F.max("total").alias("n"), F.min("s").alias("min_s"), F.round((middle[0] + middle[1]) / 2, 8).alias("median_s"), F.max("s").alias("max_s")
     )
 
 
 def nearest_other_label(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For every vector the nearest and second nearest label query of another label, and the margin between them."""
-    d = retrieval.with_queries(vectors(spark, sf_dir), label_queries(spark, sf_dir)).where("label <> query_id")
-    d = d.withColumn("s", F.round(vec.cosine("v", "q"), 6))
-    best = F.max(F.struct(F.col("s").alias("s"), (-F.col("query_id")).alias("q"))).alias("b")
-    two = F.sort_array(F.collect_list("s"), asc=False)
-    return d.groupBy("id", "label").agg(best, two.alias("t")).select(
-        "id", "label", (-F.col("b.q")).alias("nearest"), F.col("b.s").alias("similarity"), F.round(F.col("b.s") - F.element_at("t", 2), 6).alias("margin")
-    )
+    """For every vector the nearest vector of another label, and the margin to the second nearest of these."""
+    two = retrieval.nearest(vectors(spark, sf_dir).withColumn("tag", F.col("label")), _all_queries(spark, sf_dir), 2, apart=True)
+    first, second = (F.max(F.when(F.col("rank") == i, F.col("similarity"))) for i in (1, 2))
+    out = two.groupBy("query_id").agg(F.max(F.when(F.col("rank") == 1, F.col("id"))).alias("nearest"), first.alias("similarity"), F.round(first - second, 6).alias("margin"))
+    return out.withColumnRenamed("query_id", "id")
+
+
+def near_dup_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each vector's nearest other vectors (five at most) with a cosine of 0.9 or more."""
+    q = _all_queries(spark, sf_dir).withColumn("own_id", F.col("query_id")).drop("tag")
+    return retrieval.vector_leg(vectors(spark, sf_dir), q, 5, floor=0.9, skip_own=True).select(F.col("query_id").alias("a"), F.col("id").alias("b"), "similarity", "rank")
+
+
+def exact_vs_pruned_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recall at 10 by exact search over all vectors, by a search of the query's own half of them, and their difference."""
+    v, q = vectors(spark, sf_dir), label_queries(spark, sf_dir)
+    gold = v.select("id", "label")
+
+    def recall(data: DataFrame, name: str) -> DataFrame:
+        hits = retrieval.vector_leg(data, q, LIMIT, skip_own=True).join(gold, "id").withColumn("gold", F.col("label") == F.col("query_id"))
+        return evaluate.score_rankings(hits).select(F.lit(1).alias("k"), F.col("recall_10").alias(name))
+
+    both = recall(v, "exact").join(recall(v.where("id % 2 = 0"), "pruned"), "k")
+    return both.select("exact", "pruned", F.round(F.abs(F.col("exact") - F.col("pruned")), 6).alias("delta"))
+
+
+def _recall_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.when(F.col("query_id") % 2 == 0, KEYWORDS_A).otherwise(KEYWORDS_B)
+    return label_queries(spark, sf_dir).select("query_id", text.alias("text"), "q")
+
+
+def _now():
+    return F.to_timestamp(F.lit(NOW))
+
+
+_COLUMNS = ["query_id", "rank", "id", "version", "similarity", "score"]
+
+
+def recall_memories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole search in pure order: latest visible versions of one tag, both legs, floor, fusion, decay."""
+    options = retrieval.Recall.asked(4, threshold=FLOOR, tag="en")
+    return retrieval.search_memories(memory_rows(spark, sf_dir), _recall_queries(spark, sf_dir), options, _now()).select(_COLUMNS)
+
+
+def recall_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What was believed at an instant, forgotten memories included, by vectors alone."""
+    options = retrieval.Recall.asked(25, threshold=FLOOR, keyword=False, as_of=AS_OF, forgotten=True, diversify=False)
+    return retrieval.search_memories(memory_rows(spark, sf_dir), _recall_queries(spark, sf_dir), options, _now()).select(_COLUMNS)
+
+
+def recall_diverse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The default search of ten results, reordered for diversity."""
+    options = retrieval.Recall.asked(threshold=FLOOR)
+    return retrieval.search_memories(memory_rows(spark, sf_dir), _recall_queries(spark, sf_dir), options, _now()).select(_COLUMNS)
+
+
+def recall_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks, docs = turn_chunks(spark, sf_dir)
+    options = retrieval.Recall.asked(10, threshold=FLOOR, tag="assistant")
+    out = retrieval.search_chunks(chunks, docs, _recall_queries(spark, sf_dir), options)
+    return out.select("query_id", "rank", "id", "document_id", "title", "heading_path", "similarity", "source", "score")
+
+
+def recall_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    options = retrieval.Recall.asked(4, threshold=FLOOR)
+    queries = _recall_queries(spark, sf_dir)
+    m = retrieval.search_memories(memory_rows(spark, sf_dir), queries, options, _now())
+    c = retrieval.search_chunks(*turn_chunks(spark, sf_dir), queries, options)
+    return retrieval.search_hybrid(m, c, 6)
 
 
 def model_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,11 +223,53 @@ _LEGS = f"""{_V}, {_Q0}, leg AS (
 ), fused AS (SELECT id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score, max(p)::INTEGER AS priority FROM leg GROUP BY id)"""
 _TOP = "row_number() OVER (ORDER BY score DESC, priority DESC, id)::INTEGER AS rank"
 
+_MEMORIES = f"""{_V}, m0 AS (
+  SELECT doc_id AS id, text, lang AS tag, doc_id // 3 AS chain, (doc_id % 3 + 1)::INTEGER AS version, TIMESTAMP '2026-01-01' - to_hours((doc_id // 3 * 6 - doc_id % 3 - 1)::INTEGER) AS created_at,
+    doc_id % 11 = 0 AS is_forgotten FROM documents
+), m AS (
+  SELECT m0.*, e, CASE WHEN m0.id % 13 = 0 THEN created_at + INTERVAL 10 DAYS END AS forget_after, CASE WHEN version > 1 THEN created_at END AS valid_from,
+    lead(created_at) OVER (PARTITION BY chain ORDER BY version) AS valid_to, valid_to IS NULL AS is_latest FROM m0 LEFT JOIN v ON m0.id = v.id
+)"""
+_TURNS = """c AS (
+  SELECT conv_id * 1000 + turn AS id, conv_id AS document_id, text, role AS heading_path, e FROM conversations LEFT JOIN v ON conv_id * 7 + turn = v.id
+), d AS (SELECT conv_id AS document_id, 'conversation ' || conv_id AS title, list(DISTINCT role) AS tags FROM conversations GROUP BY conv_id)"""
+_ASKED = _QL
+
+
+def _recall_legs(seen: str, n: int, suffix: str = "") -> str:
+    """Both legs of each label's query over rows ``id, text, e``; queries of even and odd labels have other keywords."""
+    return f"""vleg{suffix} AS (
+  SELECT query_id, {seen}.id, {_SIM} AS similarity, row_number() OVER (PARTITION BY query_id ORDER BY {_SIM} DESC, {seen}.id) AS r FROM {seen}, q WHERE e IS NOT NULL AND {_SIM} >= {FLOOR} QUALIFY r <= {n}
+), tok{suffix} AS (SELECT id, t, ' ' || array_to_string(t, ' ') || ' ' AS s FROM (SELECT id, {_TOK} AS t FROM {seen})
+), hit{suffix} AS (
+  SELECT 0 AS odd, id, round(len(list_filter(t, lambda x: x IN ('the', 'of', 'der', 'und')))::DOUBLE / len(t), 6) AS k FROM tok{suffix}
+  WHERE contains(s, ' the ') AND NOT contains(s, ' moron ') AND contains(s, ' of the ') OR contains(s, ' der ') AND contains(s, ' und ')
+  UNION ALL SELECT 1, id, round(len(list_filter(t, lambda x: x IN ('les', 'des', 'la')))::DOUBLE / len(t), 6) FROM tok{suffix} WHERE contains(s, ' les ') AND contains(s, ' des ') OR contains(s, ' la ')
+), kleg{suffix} AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY k DESC, id) AS r FROM hit{suffix} JOIN q ON query_id % 2 = odd QUALIFY r <= {n})"""
+
+
+def _recall_fused(seen: str) -> str:
+    return f"""legs AS (SELECT query_id, id, similarity, 1.0::DOUBLE / (60 + r) AS s, 0 AS p FROM vleg UNION ALL SELECT query_id, id, NULL, 1.0::DOUBLE / (60 + r), 1 FROM kleg),
+sums AS (SELECT query_id, id, sum(s) AS s, max(p) AS p, coalesce(max(similarity), 0.0::DOUBLE) AS similarity FROM legs GROUP BY query_id, id),
+fused AS (
+  SELECT query_id, sums.id, version, similarity, p, round(s * (1 - 0.15::DOUBLE * (1 - exp(-greatest(0, epoch(TIMESTAMP '{NOW}') - epoch(created_at)) / 86400.0::DOUBLE / 90.0::DOUBLE))), 9) AS score
+  FROM sums JOIN {seen} ON sums.id = {seen}.id
+)"""
+
+
+_CHUNKS_FUSED = """fused AS (
+  SELECT query_id, id, document_id, title, heading_path, coalesce(similarity, 0.0::DOUBLE) AS similarity, (b.kr IS NOT NULL)::INTEGER AS p,
+    CASE WHEN vr IS NOT NULL AND kr IS NOT NULL THEN 'both' WHEN kr IS NOT NULL THEN 'keyword' ELSE 'vector' END AS source,
+    round(coalesce(1.0::DOUBLE / (60 + vr), 0) + coalesce(1.0::DOUBLE / (60 + kr), 0), 9) AS score
+  FROM (SELECT query_id, id, similarity, vleg.r AS vr, kleg.r AS kr FROM vleg FULL JOIN kleg USING (query_id, id)) b JOIN seen USING (id)
+)"""
+
 QUERIES = {
     f.__name__: f
     for f in (
         vector_topk, vector_topk_floor, vector_topk_batch, tag_scoped_vector, keyword_topk, rrf_hybrid, rrf_hybrid_decay, cross_query_merge,
-        hybrid_two_types, mmr_rerank, eval_recall_mrr, similarity_stats, nearest_other_label, model_guard, vector_round_trip,
+        hybrid_two_types, mmr_rerank, eval_recall_mrr, similarity_stats, nearest_other_label, near_dup_pairs, exact_vs_pruned_delta, recall_memories,
+        recall_as_of, recall_diverse, recall_chunks, recall_hybrid, model_guard, vector_round_trip,
     )
 }
 
@@ -183,10 +297,36 @@ SELECT id, score, priority, {_TOP} FROM fused QUALIFY rank <= 25""",
 ), r AS (SELECT query_id, min(rank) FILTER (gold) AS first FROM leg GROUP BY query_id)
 SELECT count(*)::BIGINT AS n_queries, round(avg(CASE WHEN first <= 1 THEN 1.0::DOUBLE ELSE 0 END), 6) AS recall_1, round(avg(CASE WHEN first <= 5 THEN 1.0::DOUBLE ELSE 0 END), 6) AS recall_5,
   round(avg(CASE WHEN first <= 10 THEN 1.0::DOUBLE ELSE 0 END), 6) AS recall_10, round(avg(coalesce(1.0::DOUBLE / first, 0)), 6) AS mrr FROM r""",
-    "similarity_stats": f"WITH {_V}, {_QL} SELECT CASE WHEN label = query_id THEN 'same' ELSE 'other' END AS kind, count(*)::BIGINT AS n, min({_SIM}) AS min_s, round(median({_SIM}), 8) AS median_s, max({_SIM}) AS max_s FROM v, q WHERE id <> own_id GROUP BY 1",
-    "nearest_other_label": f"""WITH {_V}, {_QL}, s AS (
-  SELECT id, label, query_id, {_SIM} AS s, row_number() OVER (PARTITION BY id ORDER BY {_SIM} DESC, query_id) AS r FROM v, q WHERE label <> query_id
-) SELECT id, label, min(query_id) FILTER (r = 1) AS nearest, min(s) FILTER (r = 1) AS similarity, round(min(s) FILTER (r = 1) - min(s) FILTER (r = 2), 6) AS margin FROM s GROUP BY id, label""",
+    "similarity_stats": f"""WITH {_V}, p AS (SELECT a.label = b.label AS same, round(list_cosine_similarity(a.e, b.e), 4) AS s FROM v a, v b WHERE a.id <> b.id)
+SELECT CASE WHEN same THEN 'same' ELSE 'other' END AS kind, count(*)::BIGINT AS n, min(s) AS min_s, round(median(s), 8) AS median_s, max(s) AS max_s FROM p GROUP BY same""",
+    "nearest_other_label": f"""WITH {_V}, p AS (SELECT a.id, b.id AS other, round(list_cosine_similarity(a.e, b.e), 6) AS s FROM v a, v b WHERE a.label <> b.label),
+  r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s DESC, other) AS r FROM p)
+SELECT id, min(other) FILTER (r = 1) AS nearest, min(s) FILTER (r = 1) AS similarity, round(min(s) FILTER (r = 1) - min(s) FILTER (r = 2), 6) AS margin FROM r WHERE r <= 2 GROUP BY id""",
+    "near_dup_pairs": f"""WITH {_V} SELECT a.id AS a, b.id AS b, round(list_cosine_similarity(a.e, b.e), 6) AS similarity,
+  row_number() OVER (PARTITION BY a.id ORDER BY round(list_cosine_similarity(a.e, b.e), 6) DESC, b.id)::INTEGER AS rank FROM v a, v b
+WHERE a.id <> b.id AND round(list_cosine_similarity(a.e, b.e), 6) >= 0.9 QUALIFY rank <= 5""",
+    "exact_vs_pruned_delta": f"""WITH {_V}, {_QL}, s AS (SELECT query_id, id, label, {_SIM} AS s FROM v, q WHERE id <> own_id),
+  x AS (SELECT query_id, label = query_id AS gold, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS r FROM s QUALIFY r <= 10),
+  y AS (SELECT query_id, label = query_id AS gold, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS r FROM s WHERE id % 2 = 0 QUALIFY r <= 10),
+  e AS (SELECT round(avg(CASE WHEN hit THEN 1.0::DOUBLE ELSE 0 END), 6) AS e FROM (SELECT bool_or(gold) AS hit FROM x GROUP BY query_id)),
+  p AS (SELECT round(avg(CASE WHEN hit THEN 1.0::DOUBLE ELSE 0 END), 6) AS p FROM (SELECT bool_or(gold) AS hit FROM y GROUP BY query_id))
+SELECT e AS exact, p AS pruned, round(abs(e - p), 6) AS delta FROM e, p""",
+    "recall_memories": f"""WITH {_MEMORIES}, {_ASKED}, seen AS (SELECT * FROM m WHERE is_latest AND NOT is_forgotten AND (forget_after IS NULL OR forget_after > TIMESTAMP '{NOW}') AND tag = 'en'),
+{_recall_legs("seen", 60)}, {_recall_fused("seen")}
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, p DESC, id)::INTEGER AS rank, id, version, similarity, score FROM fused QUALIFY rank <= 4""",
+    "recall_as_of": f"""WITH {_MEMORIES}, {_ASKED}, seen AS (SELECT * FROM m WHERE (valid_from IS NULL OR valid_from <= TIMESTAMP '{AS_OF}') AND (valid_to IS NULL OR valid_to > TIMESTAMP '{AS_OF}'))
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY {_SIM} DESC, id)::INTEGER AS rank, id, version, {_SIM} AS similarity, {_SIM} AS score
+FROM seen, q WHERE e IS NOT NULL AND {_SIM} >= {FLOOR} QUALIFY rank <= 25""",
+    "recall_chunks": f"""WITH {_V}, {_TURNS}, {_ASKED}, seen AS (SELECT c.*, title FROM c JOIN d USING (document_id) WHERE list_contains(tags, 'assistant')),
+{_recall_legs("seen", 150)}, {_CHUNKS_FUSED}
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, p DESC, id)::INTEGER AS rank, id, document_id, title, heading_path, similarity, source, score FROM fused QUALIFY rank <= 10""",
+    "recall_hybrid": f"""WITH {_MEMORIES}, {_ASKED}, seen AS (SELECT * FROM m WHERE is_latest AND NOT is_forgotten AND (forget_after IS NULL OR forget_after > TIMESTAMP '{NOW}')),
+{_recall_legs("seen", 60)}, {_recall_fused("seen")}, top_m AS (
+  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, p DESC, id) AS r, 'memory' AS type, id, similarity, score, 1 AS prio FROM fused QUALIFY r <= 4
+), {_TURNS}, seen2 AS (SELECT c.*, title FROM c JOIN d USING (document_id)), {_recall_legs("seen2", 60, "2")}, {_CHUNKS_FUSED.replace("fused AS", "fused2 AS").replace("vleg", "vleg2").replace("kleg", "kleg2").replace("seen", "seen2")}, top_c AS (
+  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, p DESC, id) AS r, 'chunk' AS type, id, similarity, score, 0 AS prio FROM fused2 QUALIFY r <= 4
+), u AS (SELECT *, round(1.0::DOUBLE / (60 + r), 9) AS f FROM (FROM top_m UNION ALL FROM top_c))
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY f DESC, prio DESC, type || ':' || id)::INTEGER AS rank, type, id::VARCHAR AS id, similarity, score FROM u QUALIFY rank <= 6""",
     "model_guard": "SELECT len(embedding)::INTEGER AS dim, len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_sum(list_transform(embedding, lambda x: x * x)) > 0 AS valid, count(*)::BIGINT AS n FROM embeddings GROUP BY 1, 2",
     "vector_round_trip": f"""WITH {_V}, c AS (SELECT id, e[1:32] AS h FROM v), n AS (SELECT id, h, sqrt(list_sum(list_transform(h, lambda x: x * x))) AS n FROM c)
 SELECT id, 32 AS dim, 1.0::DOUBLE AS length, 1.0::DOUBLE AS same, round(h[1] / n, 6) AS first FROM n""",

@@ -1,25 +1,34 @@
-"""Retrieval: vector and keyword legs, reciprocal-rank fusion, recency decay, diversity.
+"""Retrieval: vector and keyword legs, reciprocal-rank fusion, recency decay, diversity, and recall composed of them.
 
-All ranks are partitioned by ``query_id``, so one query or many share a plan. Vector queries are a table of bounded
-size: it is broadcast only after its size is checked.
+All ranks are partitioned by ``query_id``, so one query or many share a plan. Rows and queries meet in blocks, as one
+matrix product each: blocks of queries are broadcast if there are ``MAX_BROADCAST_BLOCKS`` at most, beyond that blocks of
+rows and of queries are dealt over a grid. Keyword queries meet rows by a word they need.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from mnemara.functions import text as tx
-from mnemara.functions import vectors as vec
+from mnemara.operators import lifecycle
 
 RRF_K = 60
 OVERFETCH = 15
-MAX_BROADCAST_QUERIES = 10_000
+MMR_POOL = 5
+MAX_COMBINED = 25
+QUERIES_A_BLOCK = 512
+ROWS_A_BLOCK = 2048
+MAX_BROADCAST_BLOCKS = 20
+FEW_KEYS = 16
 
 
 def ranked(df: DataFrame, by: list[str], order: list[Column], n: int) -> DataFrame:
@@ -27,23 +36,104 @@ def ranked(df: DataFrame, by: list[str], order: list[Column], n: int) -> DataFra
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= n)
 
 
-def with_queries(data: DataFrame, queries: DataFrame) -> DataFrame:
-    """Every row beside every query of a small set."""
-    n = queries.limit(MAX_BROADCAST_QUERIES + 1).count()
-    if n > MAX_BROADCAST_QUERIES:
-        raise ValueError(f"more than {MAX_BROADCAST_QUERIES} queries: search in blocks")
-    packed = queries.agg(F.collect_list(F.struct(*queries.columns)).alias("_q"))
-    return data.join(F.broadcast(packed)).withColumn("_q", F.explode("_q")).select(*data.columns, "_q.*")
+def _packed(df: DataFrame, size: int) -> DataFrame:
+    """Rows ``block, id, tag, v`` as blocks of up to ``size`` unit vectors of one length; vectors without length are zero."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            block, ids, tags = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            lengths = np.asarray(b.column(3).value_lengths().fill_null(0))
+            starts, flat = np.cumsum(lengths) - lengths, b.column(3).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            for key in np.unique(block):
+                for n in np.unique(lengths[(block == key) & (lengths > 0)]):
+                    rows = np.flatnonzero((block == key) & (lengths == n))
+                    for at in range(0, len(rows), size):
+                        r = rows[at : at + size]
+                        x = flat[starts[r][:, None] + np.arange(n)]
+                        norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
+                        x = np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
+                        values = [ids[r].astype(np.int64).tobytes(), tags[r].astype(np.int64).tobytes(), x.tobytes()]
+                        yield pa.RecordBatch.from_arrays([pa.array([key], pa.int32()), *[pa.array([v], pa.binary()) for v in values]], ["block", "ids", "tags", "x"])
 
-def vector_leg(data: DataFrame, queries: DataFrame, n: int, floor: float | None = None, skip_own: bool = False) -> DataFrame:
-    """``query_id, id, similarity, rank``: the ``n`` nearest of ``data`` (``id, v``) to each of ``queries`` (``query_id, q``)."""
-    d = with_queries(data, queries).withColumn("similarity", F.round(vec.cosine("v", "q"), 6))
-    if skip_own:
-        d = d.where(F.col("id") != F.col("own_id"))
+    return df.mapInArrow(run, "block int, ids binary, tags binary, x binary")
+
+
+def _unpacked(b: pa.RecordBatch, row: int, at: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    ids, tags, x = (b.column(at + i)[row].as_py() for i in range(3))
+    ids = np.frombuffer(ids, np.int64)
+    return ids, np.frombuffer(tags, np.int64), np.frombuffer(x).reshape(len(ids), -1)
+
+
+def blocks_met(data: DataFrame, queries: DataFrame) -> DataFrame:
+    """Blocks of ``data`` (``id, tag, v``) beside blocks of ``queries`` (``query_id, tag, q``), every pair once: ``ids, tags, x, q_ids, q_tags, q``."""
+    n = max(1, -(-queries.count() // QUERIES_A_BLOCK))
+    keyed = queries.select(F.pmod(F.xxhash64("query_id"), F.lit(n)).cast("int").alias("block"), F.col("query_id").cast("long").alias("id"), F.col("tag").cast("long").alias("tag"), F.col("q").alias("v"))
+    asked = _packed(keyed.repartition(n, "block"), QUERIES_A_BLOCK).select("block", F.col("ids").alias("q_ids"), F.col("tags").alias("q_tags"), F.col("x").alias("q"))
+    rows = _packed(data.select(F.lit(0).alias("block"), F.col("id").cast("long").alias("id"), F.col("tag").cast("long").alias("tag"), "v"), ROWS_A_BLOCK)
+    rows = rows.select(F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("block"), "ids", "tags", "x")
+    if n <= MAX_BROADCAST_BLOCKS:
+        return rows.join(F.broadcast(asked), "block").drop("block")
+    parts = int(data.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("ids"), F.lit(parts)))
+    return rows.join(asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).cast("long")), ["block", "part"]).drop("block", "part")
+
+
+def nearest(data: DataFrame, queries: DataFrame, n: int, floor: float | None = None, apart: bool = False) -> DataFrame:
+    """``query_id, id, similarity, rank``: of ``data`` (``id, v``) the ``n`` of largest cosine to each of ``queries`` (``query_id, q``), ties to the smaller id.
+
+    Cosines are rounded to six places, that of a vector without length is 0; vectors of another length than the query's don't
+    count. With ``apart``, rows whose ``tag`` is the query's are left out.
+    """
+    fill = [] if apart else [F.lit(0).alias("tag")]
+    met = blocks_met(data.select("*", *fill), queries.select("*", *fill))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in range(b.num_rows):
+                (ids, tags, x), (q_ids, q_tags, q) = _unpacked(b, r, 0), _unpacked(b, r, 3)
+                if x.shape[1] != q.shape[1]:
+                    continue
+                s = q @ x.T
+                if apart:
+                    s[q_tags[:, None] == tags] = -np.inf
+                least = np.full(len(q), -2.0) if s.shape[1] <= n else np.partition(s, s.shape[1] - n, axis=1)[:, s.shape[1] - n] - 2e-6  # ties after rounding
+                if floor is not None:
+                    least = np.maximum(least, floor - 1e-6)
+                i, j = np.nonzero(s >= np.maximum(least, -2.0)[:, None])
+                yield pa.RecordBatch.from_arrays([pa.array(q_ids[i]), pa.array(ids[j]), pa.array(s[i, j])], ["query_id", "id", "similarity"])
+
+    found = met.mapInArrow(score, "query_id long, id long, similarity double").withColumn("similarity", F.round("similarity", 6))
     if floor is not None:
-        d = d.where(F.col("similarity") >= floor)
-    return ranked(d.select("query_id", "id", "similarity"), ["query_id"], [F.desc("similarity"), F.col("id")], n)
+        found = found.where(F.col("similarity") >= floor)
+    return ranked(found, ["query_id"], [F.desc("similarity"), F.col("id")], n)
+
+
+def vector_leg(data: DataFrame, queries: DataFrame, n: int, floor: float | None = None, skip_own: bool = False) -> DataFrame:
+    """``nearest``, if asked for without each query's own row (``own_id``)."""
+    if not skip_own:
+        return nearest(data, queries, n, floor)
+    return nearest(data.withColumn("tag", F.col("id")), queries.withColumn("tag", F.col("own_id")), n, floor, apart=True)
+
+
+def cosine_counts(data: DataFrame, queries: DataFrame, places: int = 4) -> DataFrame:
+    """``same, s, n``: how many pairs of a row and another row's query have cosine ``s`` (to ``places``), by whether their ``label`` is the same.
+
+    At most ``4 * 10^places`` different values, counted in the tasks; ``id`` and ``own_id`` must be distinct numbers.
+    """
+    met = blocks_met(data.withColumn("tag", F.col("label")), queries.withColumn("tag", F.col("label")).withColumnRenamed("own_id", "query_id"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in range(b.num_rows):
+                (ids, tags, x), (q_ids, q_tags, q) = _unpacked(b, r, 0), _unpacked(b, r, 3)
+                if x.shape[1] != q.shape[1]:
+                    continue
+                s, same, other = np.round(q @ x.T, places), q_tags[:, None] == tags, q_ids[:, None] != ids
+                for kind, which in ((True, same & other), (False, ~same & other)):
+                    values, n = np.unique(s[which], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), kind)), pa.array(values + 0.0), pa.array(n)], ["same", "s", "n"])
+
+    return met.mapInArrow(count, "same boolean, s double, n long").groupBy("same", "s").agg(F.sum("n").alias("n"))
 
 
 @dataclass(frozen=True)
@@ -64,31 +154,47 @@ class KeywordQuery:
                 sets[-1].append((words, not minus))
         return cls(tuple(tuple(s) for s in sets if any(wanted for _, wanted in s)))
 
-    def matches(self, spaced: Column) -> Column:
-        """Whether a text of tokens with spaces around each satisfies the query; an empty query matches nothing."""
-        out = F.lit(False)
-        for s in self.anyof:
-            each = F.lit(True)
-            for words, wanted in s:
-                hit = spaced.contains(f" {' '.join(words)} ")
-                each = each & (hit if wanted else ~hit)
-            out = out | each
-        return out
 
-    @property
-    def wanted(self) -> list[str]:
-        return sorted({w for s in self.anyof for words, wanted in s if wanted for w in words})
+_ITEM = T.StructType([T.StructField("phrase", T.StringType()), T.StructField("wanted", T.BooleanType())])
 
 
-def keyword_leg(data: DataFrame, query: str, n: int, query_id: int = 0) -> DataFrame:
-    """``query_id, id, score, rank`` of the texts that match; the score is the share of their tokens that are wanted words."""
-    q = KeywordQuery.parse(query)
-    d = data.withColumn("_t", tx.tokens("text")).where(q.matches(F.concat(F.lit(" "), F.array_join("_t", " "), F.lit(" "))))
-    hits = F.size(F.filter("_t", lambda t: t.isin(q.wanted))) if q.wanted else F.lit(0)
-    d = d.select(F.lit(query_id).cast("long").alias("query_id"), "id", F.round(hits / F.size("_t"), 6).alias("score"))
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("items", T.ArrayType(_ITEM))])))
+def parsed(texts: pd.Series) -> pd.Series:
+    """The sets of a web-search query, phrases with a space at either end."""
+    return texts.map(lambda t: [{"items": [{"phrase": f" {' '.join(words)} ", "wanted": w} for words, w in s]} for s in KeywordQuery.parse(t or "").anyof])
+
+
+def keyword_hits(data: DataFrame, queries: DataFrame, n: int) -> DataFrame:
+    """``query_id, id, score, rank`` of the rows of ``data`` (``id, text``) that match each of ``queries`` (``query_id, text``).
+
+    The score is the share of a text's tokens that are wanted words of the query. A row is compared with the sets of queries
+    whose longest wanted word it has, so queries and rows meet by an equal word.
+    """
+    sets = queries.select("query_id", F.explode(parsed("text")).alias("s")).select("query_id", F.col("s.items").alias("items"))
+    words = F.flatten(F.transform(F.filter("items", lambda i: i["wanted"]), lambda i: F.split(F.trim(i["phrase"]), " ")))
+    longest = F.array_max(F.transform(words, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    wanted = Window.partitionBy("query_id")
+    sets = sets.withColumn("wanted", F.array_distinct(F.flatten(F.collect_list(words).over(wanted)))).withColumn("key", longest)
+    few = [r["key"] for r in sets.select("key").distinct().limit(FEW_KEYS + 1).collect()]
+    if len(few) <= FEW_KEYS:  # few words: most texts go before they are cut into tokens
+        here = F.lit(False)
+        for w in few:
+            here = here | F.lower("text").contains(w)
+        data = data.where(here)
+        sets = F.broadcast(sets)
+    d = data.select("id", tx.tokens("text").alias("_t")).withColumn("_s", F.concat(F.lit(" "), F.array_join("_t", " "), F.lit(" ")))
+    d = d.withColumn("key", F.explode(F.array_distinct("_t"))).join(sets, "key")
+    d = d.where(F.forall("items", lambda i: F.contains(F.col("_s"), i["phrase"]) == i["wanted"]))
+    score = F.round(F.size(F.filter("_t", lambda t: F.array_contains(F.col("wanted"), t))) / F.size("_t"), 6)
+    d = d.groupBy(F.col("query_id").cast("long").alias("query_id"), "id").agg(F.max(score).alias("score"))
     return ranked(d, ["query_id"], [F.desc("score"), F.col("id")], n)
 
 
+def keyword_leg(data: DataFrame, query: str, n: int, query_id: int = 0) -> DataFrame:
+    """``keyword_hits`` of one query."""
+    return keyword_hits(data, data.sparkSession.createDataFrame([(query_id, query)], "query_id long, text string"), n)
+
+
 def rrf_fuse(legs: list[tuple[DataFrame, int]], by: list[str], key: str = "id") -> DataFrame:
     """Reciprocal-rank fusion of legs with tie priorities: ``score`` is the sum of ``1 / (60 + rank)``."""
     parts = [leg.select(*by, key, (1.0 / (RRF_K + F.col("rank"))).alias("_s"), F.lit(prio).alias("_p")) for leg, prio in legs]
@@ -115,11 +221,11 @@ def mmr(pool: DataFrame, limit: int, lam: float = 0.5, normalise: bool = True) -
     """
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rank").head(5 * limit).reset_index(drop=True)
+        pdf = pdf.sort_values("rank").head(MMR_POOL * limit).reset_index(drop=True)
         s = pdf["score"].to_numpy(float)
         if normalise:
             spread = s.max() - s.min()
-            s = (s - s.min()) / spread if spread > 0 else np.zeros(len(s))
+            s = (s - s.min()) / spread if spread > 0 else np.ones(len(s))
         v = [None if x is None else np.asarray(x, float) for x in pdf["v"]]
         unit = [None if x is None or not np.linalg.norm(x) else x / np.linalg.norm(x) for x in v]
         chosen, left = [0], list(range(1, len(pdf)))
@@ -137,3 +243,117 @@ def mmr(pool: DataFrame, limit: int, lam: float = 0.5, normalise: bool = True) -
         return out
 
     return pool.groupBy("query_id").applyInPandas(choose, "query_id long, id long, score double, rank int")
+
+
+@dataclass(frozen=True)
+class Recall:
+    """What a search asks for besides its query. ``diversify`` unset means from five results on."""
+
+    limit: int = 10
+    threshold: float = 0.4
+    tag: str | None = None
+    keyword: bool = True
+    weight: float = 0.15  # 0: no decay by age
+    tau_days: float = 90.0
+    diversify: bool | None = None
+    as_of: str | None = None
+    forgotten: bool = False
+
+    @classmethod
+    def asked(cls, limit: object = None, weight: object = None, tau_days: object = None, **rest) -> Recall:
+        """Clamped knobs: a limit of 1 to 100, a weight up to 1, an age up to 3650 days; what isn't valid takes its default."""
+
+        def number(x: object, low: float, high: float, default: float, strict: bool) -> float:
+            try:
+                n = float(x)  # type: ignore[arg-type]
+            except (TypeError, ValueError):
+                return default
+            return default if not np.isfinite(n) or n < low or strict and n == low else min(n, high)
+
+        top = 10 if limit is None else min(max(int(limit), 1), 100)  # type: ignore[call-overload]
+        return cls(top, weight=number(weight, 0, 1, 0.15, False), tau_days=number(tau_days, 0, 3650, 90.0, True), **rest)
+
+    @property
+    def diverse(self) -> bool:
+        return self.limit >= 5 if self.diversify is None else self.diversify
+
+
+def recallable(memories: DataFrame, options: Recall, now: Column) -> DataFrame:
+    """The versions that a search may see; both legs read this one frame.
+
+    An instant takes the place of the latest-only filter: windows are half-open, null bounds are open.
+    """
+    d = memories if options.forgotten else lifecycle.visible(memories, now)
+    d = d.where("is_latest") if options.as_of is None else lifecycle.as_of(d, F.lit(options.as_of).cast(memories.schema["valid_from"].dataType))
+    return d if options.tag is None else d.where(F.col("tag") == options.tag)
+
+
+def search_memories(memories: DataFrame, queries: DataFrame, options: Recall, now: Column) -> DataFrame:
+    """``query_id, rank, id, text, version, similarity, score`` for ``queries`` (``query_id, text, q``).
+
+    ``memories``: ``id, text, v, tag, version, created_at, is_latest, is_forgotten, forget_after, valid_from, valid_to``. The
+    vector leg sees rows with a vector and its floor holds there only; keyword hits need none and have similarity 0. Scores
+    are fused by rank and decay with age; without keywords the cosine is the score. The order is the authority.
+    """
+    seen = recallable(memories, options, now)
+    n = options.limit * OVERFETCH
+    asked = queries.where("q is not null")
+    vector = nearest(seen.where("v is not null").select("id", "v"), asked.select("query_id", "q"), n, options.threshold)
+    if not options.keyword:
+        pool = vector.withColumn("score", F.col("similarity"))
+    else:
+        hits = keyword_hits(seen.select("id", "text"), asked.select("query_id", "text"), n)
+        legs = vector.select("query_id", "id", "similarity", (1.0 / (RRF_K + F.col("rank"))).alias("s"), F.lit(0).alias("p")).unionByName(
+            hits.select("query_id", "id", F.lit(0.0).alias("similarity"), (1.0 / (RRF_K + F.col("rank"))).alias("s"), F.lit(1).alias("p"))
+        )
+        # A row's own similarity is that of its vector hit; negative ones are kept.
+        similarity = F.coalesce(F.max(F.when(F.col("p") == 0, F.col("similarity"))), F.lit(0.0))
+        pool = legs.groupBy("query_id", "id").agg(F.sum("s").alias("score"), F.max("p").alias("p"), similarity.alias("similarity"))
+    row = seen.select("id", "text", "version", "created_at", "v")
+    pool = pool.drop("rank").join(row, "id")
+    if options.keyword:
+        decay = recency(F.col("created_at"), now, options.weight, options.tau_days) if options.weight else F.lit(1.0)
+        pool = pool.withColumn("score", F.round(F.col("score") * decay, 9))
+    order = [F.desc("score"), *([F.desc("p")] if options.keyword else []), F.col("id")]
+    pool = ranked(pool, ["query_id"], order, options.limit * (MMR_POOL if options.diverse else 1))
+    if options.diverse:
+        chosen = mmr(pool.select("query_id", "id", "score", "rank", "v"), options.limit, normalise=options.keyword)
+        pool = pool.drop("rank", "score").join(chosen, ["query_id", "id"])
+    return pool.select("query_id", "rank", "id", "text", "version", "similarity", "score")
+
+
+def search_chunks(chunks: DataFrame, documents: DataFrame, queries: DataFrame, options: Recall) -> DataFrame:
+    """``query_id, rank, id, document_id, title, heading_path, content, similarity, source, score`` for ``queries`` (``query_id, text, q``).
+
+    ``chunks``: ``id, document_id, content, heading_path, v``; ``documents``: ``id, title, tags``. Chunks know neither age
+    nor versions, and aren't reordered for diversity. ``source`` says which legs found a chunk.
+    """
+    docs = documents if options.tag is None else documents.where(F.array_contains("tags", options.tag))
+    seen = chunks.join(docs.select(F.col("id").alias("document_id"), "title"), "document_id")
+    n = options.limit * OVERFETCH
+    asked = queries.where("q is not null")
+    vector = nearest(seen.where("v is not null").select("id", "v"), asked.select("query_id", "q"), n, options.threshold)
+    if options.keyword:
+        hits = keyword_hits(seen.select("id", F.col("content").alias("text")), asked.select("query_id", "text"), n)
+        v = vector.select("query_id", "id", "similarity", (1.0 / (RRF_K + F.col("rank"))).alias("vs"))
+        k = hits.select("query_id", "id", (1.0 / (RRF_K + F.col("rank"))).alias("ks"))
+        both = v.join(k, ["query_id", "id"], "full_outer")
+        source = F.when(F.col("vs").isNotNull() & F.col("ks").isNotNull(), "both").when(F.col("ks").isNotNull(), "keyword").otherwise("vector")
+        score = F.round(F.coalesce("vs", F.lit(0.0)) + F.coalesce("ks", F.lit(0.0)), 9)
+        pool = both.select("query_id", "id", F.coalesce("similarity", F.lit(0.0)).alias("similarity"), source.alias("source"), score.alias("score"), F.col("ks").isNotNull().cast("int").alias("p"))
+    else:
+        pool = vector.select("query_id", "id", "similarity", F.lit("vector").alias("source"), F.col("similarity").alias("score"), F.lit(0).alias("p"))
+    top = ranked(pool, ["query_id"], [F.desc("score"), F.desc("p"), F.col("id")], options.limit)
+    return top.join(seen, "id").select("query_id", "rank", "id", "document_id", "title", "heading_path", "content", "similarity", "source", "score")
+
+
+def search_hybrid(memories: DataFrame, chunks: DataFrame, limit: int) -> DataFrame:
+    """``query_id, rank, type, id, similarity, score``: one list of two searches' results, fused by rank; memories win ties.
+
+    A result keeps the score of its own search.
+    """
+    m = memories.select("query_id", F.lit("memory").alias("type"), F.col("id").cast("string").alias("id"), "rank", "similarity", "score", F.lit(1).alias("p"))
+    c = chunks.select("query_id", F.lit("chunk").alias("type"), F.col("id").cast("string").alias("id"), "rank", "similarity", "score", F.lit(0).alias("p"))
+    both = m.unionByName(c).withColumn("fused", F.round(1.0 / (RRF_K + F.col("rank")), 9)).drop("rank")
+    key = F.concat("type", F.lit(":"), "id")
+    return ranked(both, ["query_id"], [F.desc("fused"), F.desc("p"), key], min(limit, MAX_COMBINED)).select("query_id", "rank", "type", "id", "similarity", "score")
