@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 TOKEN = r"[\p{L}\p{N}]+"
 #: Blocks whose characters count as one token each.
-CJK = r"[\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{AC00}-\x{D7AF}]"
+CJK = r"[\x{1100}-\x{11FF}\x{2E80}-\x{A4CF}\x{A840}-\x{A87F}\x{AC00}-\x{D7AF}\x{F900}-\x{FAFF}\x{FE30}-\x{FE4F}\x{FF65}-\x{FFDC}]"
 #: A value that looks like a token: 16 characters or more, or 8 of which one is a digit.
 TOKEN_LIKE = "|".join([*[rf"[A-Za-z_\-.]{{{k}}}[0-9][A-Za-z0-9_\-.]{{{7 - k},}}" for k in range(8)], r"[A-Za-z_\-.]{8,}[0-9][A-Za-z0-9_\-.]*", r"[A-Za-z0-9_\-]{16,}"])
 #: Words that label a secret.

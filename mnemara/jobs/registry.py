@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from mnemara.jobs import guarded, recall, records, streams, texts
+from mnemara.jobs import guarded, ingest, recall, records, streams, texts
 
-PARTS = (recall, records, texts, guarded, streams)
+PARTS = (recall, records, texts, ingest, guarded, streams)
 
 
 def queries():

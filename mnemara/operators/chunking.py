@@ -1,29 +1,38 @@
-"""Markdown to chunks under a token budget.
+"""Markdown to chunks that fit an embedder, and chunk tables of documents.
 
-Blocks (fences, headings, tables, paragraphs) are packed into chunks of at most ``target`` tokens within one heading
-path; a block that is too large is split at sentences, then at words, then hard. A chunk starts with the tail of the one
-before it in its section, and carries flags of what happened to it. One small Python function a document, in batches;
-Spark deals the documents.
+Blocks (fences, tables, paragraphs) under one heading path are packed up to ``max_chars``; a larger block is cut at
+sentences or lines, and a unit that is still too large hard. A chunk starts with the tail of the one before it in its
+section. What is embedded is the heading path and the chunk; if their token estimate is over the budget the chunk is cut
+again. Lengths are UTF-16 units. Reading, packing and cutting take one pass each over a document, with running lengths.
+
+Text is never lost: unlike sentence patterns that skip what they don't match, cuts keep all characters but white space
+at the ends of parts.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-_CJK = re.compile("[぀-ヿ㐀-䶿一-鿿가-힯]")
+#: Characters that count as one token each.
+_CJK = re.compile("[ᄀ-ᇿ⺀-꓏ꡀ-꡿가-힯豈-﫿︰-﹏･-ￜ]")
+_ASTRAL = re.compile("[\U00010000-\U0010ffff]")
 SCHEMA = "id long, position int, content string, embedded_content string, heading_path string, char_len int, tokens int, flags array<string>"
+DOCS_AT_ONCE = 128
+LEAST_BUDGET = 32
 
 
 @dataclass(frozen=True)
 class ChunkOptions:
-    target: int = 480
-    minimum: int = 64
+    max_chars: int = 1075
     overlap_chars: int = 150
+    min_chars: int = 64
+    token_budget: int = 480
 
     @classmethod
     def clean(cls, **values: float) -> ChunkOptions:
@@ -39,147 +48,232 @@ class ChunkOptions:
         return cls(**good)
 
 
-def estimate(text: str) -> int:
+def units(text: str) -> int:
+    return len(text) if text.isascii() else len(text) + len(_ASTRAL.findall(text))
+
+
+def measure(text: str) -> tuple[int, int]:
+    """How many CJK characters, and how many other UTF-16 units."""
+    if text.isascii():
+        return 0, len(text)
     cjk = len(_CJK.findall(text))
-    units = len(text) + sum(ord(c) > 0xFFFF for c in text)
-    return cjk + -(-(units - cjk) // 3)
+    return cjk, units(text) - cjk
+
+
+def tokens(cjk: int, rest: int) -> int:
+    return cjk + -(-rest // 3)
 
 
-def blocks(md: str) -> Iterator[tuple[str, str, list[str]]]:
-    """``(kind, text, heading path)`` of each block."""
+def estimate(text: str) -> int:
+    return tokens(*measure(text))
+
+
+def blocks(md: str) -> Iterator[tuple[str, str, str]]:
+    """``(kind, text, heading path)`` of each block that isn't a heading."""
     path: list[tuple[int, str]] = []
     held: list[str] = []
-    kind, fence = "para", None
+    kind, fence = "para", ""
 
-    def flush():
-        nonlocal held, kind
-        text = "\n".join(held).strip("\n")
-        out = [(kind, text, [h for _, h in path])] if text.strip() else []
-        held, kind = [], "para"
-        return out
+    def block() -> Iterator[tuple[str, str, str]]:
+        if held:
+            yield kind, "\n".join(held), " > ".join(h for _, h in path)
+            held.clear()
 
-    for line in md.split("\n"):
-        bare = line.lstrip()
+    for line in md.replace("\r\n", "\n").split("\n"):
+        bare = line.strip()
         if fence:
             held.append(line)
-            if bare.startswith(fence) and not bare.strip(fence[0]).strip():
-                fence = None
-                yield from flush()
-        elif m := re.match(r"(```+|~~~+)", bare):
-            yield from flush()
-            kind, fence = "code", m[1]
-            held.append(line)
-        elif m := re.match(r"(#{1,6})\s+(.+)", line):
-            yield from flush()
-            path = [x for x in path if x[0] < len(m[1])] + [(len(m[1]), m[2].strip().rstrip("#").strip())]
-        elif not line.strip():
-            yield from flush()
+            if bare.startswith(fence):
+                fence = ""
+                yield from block()
+        elif bare.startswith(("```", "~~~")):
+            yield from block()
+            kind, fence, held = "code", bare[:3], [line]
+        elif m := re.match(r"(#{1,6})\s+(?=\S)", line):
+            yield from block()
+            path = [h for h in path if h[0] < len(m[1])] + [(len(m[1]), line[m.end() :].strip())]
+        elif not bare:
+            yield from block()
         else:
-            table = bare.startswith("|")
-            if held and table != (kind == "table"):
-                yield from flush()
-            kind = "table" if table else "para"
+            now = "table" if bare.startswith("|") else "para"
+            if now != kind:
+                yield from block()
+            kind = now
             held.append(line)
-    yield from flush()
+    yield from block()
 
 
-def pieces(text: str, budget: int) -> list[tuple[str, bool]]:
-    """A large block in parts within the budget: at sentences or lines, then words, then hard (True)."""
-    out: list[tuple[str, bool]] = []
+def sentences(text: str) -> list[str]:
+    """A text cut after every run of stops that white space follows."""
+    ends = [m.end() for m in re.finditer(r"(?<=[.!?])\s", text)]
+    return [text[a:b] for a, b in zip([0, *ends], [*ends, len(text)], strict=True) if a < b]
 
-    def pack(parts: list[str], finer) -> None:
-        now = ""
-        for p in parts:
-            if estimate(now + p) <= budget:
-                now += p
-                continue
-            if now:
-                out.append((now, False))
-            now = ""
-            if estimate(p) <= budget:
-                now = p
-            else:
-                finer(p)
-        if now:
-            out.append((now, False))
-
-    def hard(p: str) -> None:
-        step = max(1, budget)
-        while p:
-            n = min(len(p), 3 * step)
-            while n > 1 and estimate(p[:n]) > budget:
-                n = max(1, n * 3 // 4)
-            out.append((p[:n], True))
-            p = p[n:]
-
-    pack(re.findall(r"[^.!?\n]*[.!?\n]+\s*|[^.!?\n]+$", text) or [text], lambda p: pack(re.findall(r"\S+\s*|\s+", p), hard))
-    return out
-
-
-def breadcrumb(path: list[str], budget: int) -> tuple[str, bool]:
-    """The headings above a chunk, its tail kept within half the budget."""
-    line = " > ".join(path)
-    if estimate(line) <= budget // 2:
-        return line, False
-    while line and estimate(line) > budget // 2:
-        line = line[max(1, len(line) // 8) :]
-    return line, True
+
+def halves(text: str, budget: int) -> list[str]:
+    """A unit without boundaries, halved until its parts fit; pairs of surrogates stay whole as Python has none."""
+    if estimate(text) <= budget or len(text) < 2:
+        return [text]
+    middle = -(-len(text) // 2)
+    return halves(text[:middle], budget) + halves(text[middle:], budget)
+
+
+def slices(text: str, limit: int) -> list[str]:
+    """A unit without boundaries in parts of up to ``limit`` UTF-16 units, of a character at least."""
+    out, start, size = [], 0, 0
+    for i, c in enumerate(text):
+        n = 2 if c > "￿" else 1
+        if size + n > limit and i > start:
+            out.append(text[start:i])
+            start, size = i, 0
+        size += n
+    return [*out, text[start:]]
+
+
+def packed(parts: list[str], fits: Callable[[int, int], bool], hard: Callable[[str], list[str]]) -> Iterator[tuple[str, bool]]:
+    """Consecutive parts joined as far as they fit, and the hard cuts (True) of those that don't by themselves; by running measures."""
+    now: list[str] = []
+    cjk = rest = 0
+    for p in parts:
+        a, b = measure(p)
+        if now and not fits(cjk + a, rest + b):
+            yield "".join(now), False
+            now, cjk, rest = [], 0, 0
+        if fits(a, b):
+            now.append(p)
+            cjk, rest = cjk + a, rest + b
+        else:
+            yield from ((x, True) for x in hard(p))
+    if now:
+        yield "".join(now), False
+
+
+def raw_parts(md: str, options: ChunkOptions) -> Iterator[tuple[str, str, list[str]]]:
+    """``(text, heading path, flags)`` of what blocks are packed or cut to."""
+    limit = options.max_chars
+    held: list[str] = []
+    size, under = 0, ""
+
+    def flush() -> Iterator[tuple[str, str, list[str]]]:
+        nonlocal size
+        if text := "\n\n".join(held).strip():
+            yield text, under, []
+        held.clear()
+        size = 0
+
+    for kind, text, path in blocks(md):
+        n = units(text)
+        if path != under or n > limit or held and size + n + 2 > limit:
+            yield from flush()
+            under = path
+        if n > limit:
+            cut = sentences(text) if kind == "para" else [f"{line}\n" for line in text.split("\n")]
+            for part, hard in packed(cut, lambda cjk, rest: cjk + rest <= limit, lambda u: slices(u, limit)):
+                if part.strip():
+                    yield part if hard else part.strip(), path, [f"force-split-{kind}" + "+hard-cut" * hard]
+            continue
+        size += n + (2 if held else 0)
+        held.append(text)
+    yield from flush()
 
 
 def tail(text: str, n: int) -> str:
-    """The last ``n`` characters, from after the first end of a sentence or line in them if there is one."""
-    end = text[-n:] if n else ""
+    """The last ``n`` UTF-16 units, from after the first end of a sentence or line in them if there is one."""
+    if units(text) <= n:
+        return text
+    end = text[-n:]
+    while units(end) > n:
+        end = end[1:]
     m = re.search(r"[.!?]\s|\n", end)
-    return (end[m.end() :] if m else end).strip()
+    return (end[m.start() + 1 :] if m else end).strip()
+
 
+def breadcrumb(path: str, budget: int) -> tuple[str, bool]:
+    """The headings above a chunk, their tail kept within half the budget, and whether they were cut."""
+    line, cut = f"{path}\n\n" if path else "", False
+    while line and estimate(line) > budget / 2:
+        line, cut = line[max(32, len(line) // 4) :], True
+    return line, cut
 
-def chunk(md: str, options: ChunkOptions = ChunkOptions()) -> list[dict]:
+
+def chunk(md: str, options: ChunkOptions = ChunkOptions()) -> Iterator[dict]:
     """The chunks of one document."""
-    sections: list[tuple[list[str], list[tuple[str, list[str]]]]] = []
-    for kind, text, path in blocks(md):
-        if not sections or sections[-1][0] != path:
-            sections.append((path, []))
-        if estimate(text) <= options.target:
-            sections[-1][1].append((text, []))
-        else:
-            for part, cut in pieces(text, options.target):
-                sections[-1][1].append((part, [f"force-split-{kind}", *["hard-cut"] * cut]))
-    out = []
-    for path, parts in sections:
-        crumb, cut_crumb = breadcrumb(path, options.target)
-        now, flags, before = "", [], ""
-
-        def close(crumb=crumb, cut_crumb=cut_crumb, path=path):
-            nonlocal now, flags, before
-            text = now.strip("\n")
-            if text.strip():
-                lead = tail(before, options.overlap_chars) if before else ""
-                content = f"{lead}\n{text}" if lead else text
-                size, marks = estimate(text), set(flags)
-                marks |= {f for f, on in (("overlap", lead), ("tiny", size < options.minimum), ("oversized", size > 1.15 * options.target), ("breadcrumb-truncated", cut_crumb), ("mid-sentence", not re.search(r"[.!?:|`]\s*$", text))) if on}
-                out.append({
-                    "position": len(out), "content": content, "embedded_content": f"{crumb}\n\n{content}" if crumb else content, "heading_path": " > ".join(path),
-                    "char_len": len(content), "tokens": estimate(content), "flags": sorted(marks),
-                })
-                before = text
-            now, flags = "", []
-
-        for text, marks in parts:
-            if now and estimate(f"{now}\n\n{text}") > options.target:
-                close()
-            now = f"{now}\n\n{text}" if now else text
-            flags += marks
-        close()
-    return out
+    place, before = 0, ("", None)
+    for text, path, flags in raw_parts(md, options):
+        lead = tail(before[0], options.overlap_chars) if before[1] == path and options.overlap_chars > 0 else ""
+        before = (text, path)
+        crumb, cut = breadcrumb(path, options.token_budget)
+        content = f"{lead}\n\n{text}" if lead else text
+        marks = [*flags, *["overlap"] * bool(lead), *["breadcrumb-truncated"] * cut]
+        budget = max(options.token_budget - estimate(crumb), LEAST_BUDGET)
+        parts = [content]
+        if estimate(content) > budget:
+            marks.append("token-split")
+            cuts = [f"{line}\n" for line in content.split("\n")] if "\n" in content else sentences(content)
+            parts = [p.rstrip() for p, _ in packed(cuts, lambda cjk, rest, b=budget: tokens(cjk, rest) <= b, lambda u, b=budget: halves(u, b)) if p.strip()]
+        for p in parts:
+            n = units(p)
+            quality = [("tiny", n < options.min_chars), ("oversized", n > options.max_chars * 1.15), ("mid-sentence", not re.search(r'[.!?:)\]`"]$', p.strip()))]
+            yield {
+                "position": place, "content": p, "embedded_content": crumb + p, "heading_path": path, "char_len": n, "tokens": estimate(p),
+                "flags": marks + [f for f, on in quality if on],
+            }
+            place += 1
 
 
 def chunk_documents(docs: DataFrame, options: ChunkOptions = ChunkOptions()) -> DataFrame:
-    """The chunks of every document (``id, text``)."""
+    """The chunks of every document (``id, text``); a null or blank text has none."""
+    columns = ["position", "content", "embedded_content", "heading_path", "char_len", "tokens", "flags"]
+    types = [pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.list_(pa.string())]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, DOCS_AT_ONCE):
+                b = whole.slice(at, DOCS_AT_ONCE)
+                rows = [(i, c) for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True) for c in chunk(t.as_py() or "", options)]
+                arrays = [pa.array([i for i, _ in rows], pa.int64()), *[pa.array([c[k] for _, c in rows], t) for k, t in zip(columns, types, strict=True)]]
+                yield pa.RecordBatch.from_arrays(arrays, ["id", *columns])
+
+    return docs.select("id", "text").mapInArrow(run, SCHEMA)
+
+
+def ingest(docs: DataFrame, embed, now, options: ChunkOptions = ChunkOptions(), most_chars: int = 2_000_000) -> tuple[DataFrame, DataFrame]:
+    """A document table and its chunk table from ``id, title, text, tags``.
+
+    ``embed`` gives the vector of a text column. Chunks whose vector isn't valid are dropped and counted as skipped, since
+    nothing would find them. Documents without text, or over ``most_chars`` characters, aren't taken. Ids of chunks are a
+    hash of document and place, so taking a document in again replaces its chunks (``replaced``).
+    """
+    from mnemara.functions import vectors as vec
+
+    taken = docs.where(F.length("text").between(1, most_chars))
+    made = chunk_documents(taken).withColumn("v", embed(F.col("embedded_content")))
+    good = F.coalesce(vec.is_valid(F.col("v"), F.size("v")), F.lit(False))
+    key = F.concat(F.lit("c_"), F.substring(F.sha2(F.concat_ws("/", F.col("id").cast("string"), F.col("position").cast("string")), 256), 1, 20))
+    chunks = made.where(good).select(
+        key.alias("id"), F.col("id").alias("document_id"), "position", "content", "embedded_content", "heading_path", "flags", "v"
+    )
+    flags = made.select("id", F.explode("flags").alias("flag")).groupBy("id", "flag").agg(F.count(F.lit(1)).alias("n"))
+    flags = flags.groupBy("id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("flag", "n")))).alias("flags"))
+    counts = made.groupBy("id").agg(F.sum(good.cast("int")).alias("chunk_count"), F.sum((~good).cast("int")).alias("skipped_chunks"))
+    none = F.lit(0).cast("long")
+    documents = taken.join(counts, "id", "left").join(flags, "id", "left").select(
+        "id", F.coalesce(F.when(F.trim("title") != "", F.trim("title")), F.lit("Untitled")).alias("title"), "text", "tags", now.alias("created_at"),
+        F.coalesce("chunk_count", none).alias("chunk_count"), F.coalesce("skipped_chunks", none).alias("skipped_chunks"),
+        F.coalesce("flags", F.create_map().cast("map<string,bigint>")).alias("flags"),
+    )
+    return documents, chunks
+
+
+def replaced(documents: DataFrame, chunks: DataFrame, new_documents: DataFrame, new_chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Tables after documents were taken in: of those that were there, documents and chunks are the new ones."""
+    ids = new_documents.select("id")
+    kept = chunks.join(ids.withColumnRenamed("id", "document_id"), "document_id", "left_anti").select(*new_chunks.columns)
+    return documents.join(ids, "id", "left_anti").unionByName(new_documents), kept.unionByName(new_chunks)
+
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for at in range(0, len(pdf), 256):
-                rows = [{"id": i, **c} for i, t in zip(pdf["id"][at : at + 256], pdf["text"][at : at + 256], strict=True) for c in chunk(t or "", options)]
-                yield pd.DataFrame(rows, columns=["id", "position", "content", "embedded_content", "heading_path", "char_len", "tokens", "flags"])
+def markdown_folder(spark, path: str) -> DataFrame:
+    """Markdown files under a folder as ``id, title, text, tags``: a file a row, titled by its name; ids are hashes of paths."""
+    from mnemara.functions import text as tx
 
-    return docs.select("id", "text").mapInPandas(run, SCHEMA)
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.md").select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    return files.select(F.xxhash64("path").alias("id"), tx.path_leaf(F.col("path")).alias("title"), "text", F.array(F.lit("default")).alias("tags"), "path")
