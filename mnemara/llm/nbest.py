@@ -7,8 +7,8 @@ uses these scores as heuristics, which are exact, so complete segmentations come
 Pieces have log-probabilities by Zipf's law on the vocabulary's merge ranks (the models at hand carry ranks, no
 probabilities). The lattice falls apart wherever no piece spans two neighbouring characters, above all at spaces;
 scores add up over such segments, so a text's best segmentation is that of its segments, and its N best differ from it in
-at most N - 1 segments, those with the smallest loss from best to second best. Segments are solved once a Python worker and
-kept in a bounded cache; the N-best search of a text runs over the few segments that can matter.
+at most N - 1 segments, those with the smallest loss from best to second best. Segments are solved once a batch and kept
+in a bounded cache; the N-best search of a text runs over the few words that can matter.
 
 Edge cases: null and empty texts have no pieces, score 0 and one (empty) segmentation; the model's own mark for a
 space is read as a space; texts are read whole; repeated rows give repeated results; an empty table gives an empty one.
@@ -31,12 +31,13 @@ from pyspark.sql import functions as F
 from mnemara.llm.common import Recent, ship, table, worker_state
 
 N_BEST = 4
-CACHE_SEGMENTS = 200_000
+CACHE_SEGMENTS = 100_000
 BYTE_PENALTY = 10.0
 SPACE = "▁"
 CUT = "\0"
-DOCS_AT_ONCE = 1024
+DOCS_AT_ONCE = 512
 WIDEST = 64
+PAIR_BITS = 20
 CELLS = 1 << 15
 FIRST_CUTOFF = 64.0
 
@@ -131,8 +132,10 @@ class PieceLattice:
         self.pieces = {sp.id_to_piece(i): ((i,), -math.log(1 + r - first) - total) for i, r in ranks.items()}
         self.nothing = object()
         self.matches = {p[:k]: None for p in self.pieces for k in range(1, len(p))} | self.pieces  # None: some piece goes on
-        inside = {p[k : k + 2] for p in self.pieces for k in range(len(p) - 1)}
-        self.inside = np.array(sorted(ord(x[0]) << 32 | ord(x[1]) for x in inside), np.uint64)
+        inside = sorted({p[k : k + 2] for p in self.pieces for k in range(len(p) - 1)})
+        pairs = np.array([[ord(c) for c in x] for x in inside], np.uint32)
+        self.inside = np.zeros(1 << PAIR_BITS, bool)
+        self.inside[self._pair(pairs[:, 0], pairs[:, 1])] = True
         self.longest = max(map(len, self.pieces))
         self.table, self.logp = PieceTable(self.pieces), np.zeros(max(ranks) + 1)
         for (i,), x in self.pieces.values():
@@ -141,7 +144,7 @@ class PieceLattice:
         self.byte_score = min(s for _, s in self.pieces.values()) - BYTE_PENALTY
         # Words can be cut out by spaces and lines if no piece goes on across them.
         self.by_word = all(b[1] != SPACE or b[0] == SPACE for b in inside) and not any("\n" in b for b in inside)
-        self.words, self.segments = Recent(CACHE_SEGMENTS), Recent(CACHE_SEGMENTS)
+        self.segments = Recent(CACHE_SEGMENTS)
         self.last: tuple[str, list[tuple[float, list[int]]]] = ("", [])
         self.short_alternatives = lru_cache(maxsize=20_000)(self._alternatives)
 
@@ -252,46 +255,52 @@ class PieceLattice:
         out = [(x[width - c :].tobytes(), b, g) for x, c, b, g in zip(ids, count.tolist(), best.tolist(), gap.tolist(), strict=True)]
         return [x if x[1] > -math.inf else self._second(s) for s, x in zip(segments, out, strict=True)]
 
-    def _segments_of(self, words: list[str]) -> list[list[str]]:
-        """Words cut wherever no piece spans two neighbouring characters."""
-        joined = "\0".join(words)
-        c = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-        pairs = c[:-1] << np.uint64(32) | c[1:]
-        at = np.searchsorted(self.inside, pairs)
-        cuts = np.flatnonzero(self.inside[np.minimum(at, len(self.inside) - 1)] != pairs) + 1
-        bounds = [0, *cuts.tolist(), len(joined)]
-        out, now = [], []
-        for a, b in zip(bounds, bounds[1:], strict=False):
-            part = joined[a:b]
-            if part == "\0":
-                out.append(now)
-                now = []
-            else:
-                now.append(part)
-        out.append(now)
-        return out
+    def _segments_of(self, words: pa.StringArray) -> tuple[pa.StringArray, np.ndarray]:
+        """Words cut wherever no piece spans two neighbouring characters, and where each word's segments begin.
 
-    def _learn(self, words: list[str]) -> None:
-        """Solve words that are not known yet."""
-        plain, learnt = [w for w in words if w and CUT not in w], self.words.new
-        for w in words:
-            if not w:
-                learnt[w] = (b"", 0.0, math.inf)
-            elif CUT in w:
-                learnt[w] = self._second(w)
-        if plain:
-            self.segments.age()
-            parts = self._segments_of(plain)
-            each = list({s for p in parts for s in p})
-            self._solve([s for s, x in zip(each, self.segments.find(each), strict=True) if x is None])
+        ``inside`` is a table by a hash of the two characters; a clash leaves a segment longer and changes nothing else.
+        """
+        whole = "".join(words.to_numpy(zero_copy_only=False).tolist())
+        c = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
+        ends = np.cumsum(pc.utf8_length(words).to_numpy(zero_copy_only=False).astype(np.int64))
+        cut = np.ones(len(c), bool)
+        cut[1:] = ~self.inside[self._pair(c[:-1], c[1:])]
+        cut[np.concatenate([[0], ends[:-1]])[pc.utf8_length(words).to_numpy(zero_copy_only=False) > 0]] = True
+        start = np.flatnonzero(cut)
+        size = np.ones(len(c), np.int64) + (c >= 0x80) + (c >= 0x800) + (c >= 0x10000)
+        place = np.concatenate([[0], np.cumsum(size)])
+        offsets = np.concatenate([place[start], place[-1:]]).astype(np.int32)
+        segments = pa.StringArray.from_buffers(len(start), pa.py_buffer(offsets.tobytes()), pa.py_buffer(whole.encode()))
+        return segments, np.searchsorted(start, np.concatenate([[0], ends]))
+
+    @staticmethod
+    def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return (a * np.uint32(0x9E3779B1) ^ b * np.uint32(0x85EBCA6B)) >> np.uint32(32 - PAIR_BITS)
+
+    def _words(self, words: pa.StringArray) -> tuple[pa.ListArray, np.ndarray, np.ndarray]:
+        """Ids of the best segmentation of each word, its score, and what the second best loses."""
+        segments, bounds = self._segments_of(words)
+        coded = segments.dictionary_encode()
+        each = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        self.segments.age()
+        solved = self.segments.find(each)
+        if None in solved:
+            self._solve([s for s, x in zip(each, solved, strict=True) if x is None])
             known = self.segments.new
-            for w, p in zip(plain, parts, strict=True):
-                if len(p) == 1:
-                    learnt[w] = known[p[0]]
-                else:
-                    x = [known[s] for s in p]
-                    learnt[w] = (b"".join([y[0] for y in x]), sum([y[1] for y in x]), min([y[2] for y in x]))
+            solved = [known[s] if x is None else x for s, x in zip(each, solved, strict=True)]
             self.segments.forget_long(each)
+        ids, score, gap = ([x[i] for x in solved] for i in range(3))
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), pa.array(np.frombuffer(b"".join(ids), np.int32)))
+        at, some = coded.indices.to_numpy(), bounds[:-1] < bounds[1:]
+        first = bounds[:-1][some]
+        counts, scores, gaps = np.zeros(len(words), np.int64), np.zeros(len(words)), np.full(len(words), math.inf)
+        if len(first):
+            counts[some] = np.add.reduceat(sizes[at], first)
+            scores[some] = np.add.reduceat(np.array(score)[at], first)
+            gaps[some] = np.minimum.reduceat(np.array(gap)[at], first)
+        flat = lists.take(coded.indices).flatten()
+        return pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32), flat), scores, gaps
 
     def alternatives(self, s: str, n: int) -> tuple[tuple[float, tuple[int, ...] | None], ...]:
         return (self.short_alternatives if len(s) <= Recent.LONG else self._alternatives)(s, n)
@@ -318,23 +327,14 @@ class PieceLattice:
         else:
             lists = pc.split_pattern(pa.array(marked, pa.string()), CUT)
         coded = lists.flatten().dictionary_encode()
-        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        self.words.age()
-        solved = self.words.find(words)
-        if None in solved:
-            self._learn([w for w, x in zip(words, solved, strict=True) if x is None])
-            learnt = self.words.new
-            solved = [learnt[w] if x is None else x for w, x in zip(words, solved, strict=True)]
-        ids = [x[0] for x in solved]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        each = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), pa.array(np.frombuffer(b"".join(ids), np.int32)))
-        index = coded.indices.to_numpy()
-        flat = each.take(coded.indices).flatten().to_numpy()
+        words, index = coded.dictionary, coded.indices.to_numpy()
+        ids, score, gap = self._words(words)
+        sizes = np.asarray(ids.value_lengths())
+        flat = ids.take(coded.indices).flatten().to_numpy()
         upto = np.concatenate([[0], np.cumsum(sizes[index])])
         stops = np.cumsum(np.asarray(lists.value_lengths()))
         starts = np.concatenate([[0], stops[:-1]])
-        score = np.array([x[1] for x in solved])[index]
-        gap = np.array([x[2] for x in solved])[index]
+        score, gap = score[index], gap[index]
         scores = np.add.reduceat(score, starts) if len(starts) else np.zeros(0)
         variants = []
         for a, b, total in zip(starts.tolist(), stops.tolist(), scores.tolist(), strict=True):
@@ -342,10 +342,9 @@ class PieceLattice:
             # Over the words that can differ, a chain lattice of losses whose best score is 0 everywhere.
             into = [[]]
             for place, k in enumerate(np.sort(close[gap[close] < math.inf]).tolist()):
-                into.append([(place, (k, alt), -loss) for loss, alt in self.alternatives(words[index[k]], n)])
+                into.append([(place, (k, alt), -loss) for loss, alt in self.alternatives(words[index[k]].as_py(), n)])
             best, _ = best_paths(into.__getitem__, [0.0] * len(into), n)
             variants.append([(total + loss, [(int(upto[k] - upto[a]), int(sizes[index[k]]), alt) for k, alt in labels if alt is not None]) for loss, labels in best])
-        self.words.forget_long(words)
         return flat, upto[stops] - upto[starts], scores, variants
 
     def encode(self, text: str | None, n: int = N_BEST) -> tuple[np.ndarray, float, Variants]:
