@@ -24,6 +24,7 @@ from mnemara.operators import lifecycle
 RRF_K = 60
 OVERFETCH = 15
 MMR_POOL = 5
+TIE = 1e-6  # as scores are rounded to six places
 MAX_COMBINED = 25
 QUERIES_A_BLOCK = 512
 ROWS_A_BLOCK = 2048
@@ -75,7 +76,7 @@ def blocks_met(data: DataFrame, queries: DataFrame) -> DataFrame:
         return rows.join(F.broadcast(asked), "block").drop("block")
     parts = int(data.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.withColumn("part", F.pmod(F.xxhash64("ids"), F.lit(parts)))
-    return rows.join(asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).cast("long")), ["block", "part"]).drop("block", "part")
+    return rows.join(asked.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long")))), ["block", "part"]).drop("block", "part")
 
 
 def nearest(data: DataFrame, queries: DataFrame, n: int, floor: float | None = None, apart: bool = False) -> DataFrame:
@@ -234,7 +235,7 @@ def mmr(pool: DataFrame, limit: int, lam: float = 0.5, normalise: bool = True) -
             for i in left:
                 sims = [float(unit[i] @ unit[j]) for j in chosen if unit[i] is not None and unit[j] is not None]
                 value = lam * s[i] - (1 - lam) * (max(sims) if sims else 0.0)
-                if value > best_value + 1e-12:
+                if value > best_value + TIE:
                     best, best_value = i, value
             chosen.append(best)
             left.remove(best)
