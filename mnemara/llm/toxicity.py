@@ -1,9 +1,11 @@
 """Toxicity from the nearest labelled examples by exact TF-IDF cosine.
 
-Training looks at every labelled document that is not held out, one of each group of near copies (rows of one label
-with the same three least hashes over 3-word shingles are one group). Terms are words and word beginnings of
-``PREFIXES`` letters (``stem*``), so inflected words share a term, each at up to ``LEVELS`` occurrences: a text has the
-term of level n if the word occurs n times or more. The space holds all terms that make label 1 likelier than not: at
+Training looks at every labelled document that is not held out, one of each group of near copies (rows of one label with
+the same ``SKETCH`` least hashes over 3-word shingles are one group: copies with few changes, while texts that share
+half their shingles are apart but for one pair in hundreds). Terms are words and word beginnings of ``PREFIXES`` letters
+(``stem*``), so inflected words share a term. Term frequency counts by levels: a text has the term of a level if the word
+occurs as often as ``LEVELS`` says or oftener, and every level has its own inverse document frequency, so weights grow
+with the frequency, about as its logarithm. The space holds all terms that make label 1 likelier than not: at
 least ``MIN_RATE`` of their examples have it, in ``MIN_SUPPORT`` examples or more, with a log-likelihood ratio (G2) of at
 least ``MIN_G2`` plus twice the logarithm of the number of terms tried. Of words and beginnings that stand for each
 other one is kept. Label counts are grouped over all these examples, document frequencies over all documents. The index
@@ -25,6 +27,7 @@ from __future__ import annotations
 import heapq
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -32,23 +35,24 @@ from dataclasses import dataclass
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mnemara.llm.common import materialise, rows_of, ship, table
+from mnemara.llm.common import MAX_BROADCAST_KEYS, materialise, rows_of, ship, table, worker_state
 
 MAX_EXAMPLES = 10_000
 MIN_G2 = 10.0
 MIN_SUPPORT = 5
 MIN_RATE = 0.5
 PREFIXES = (4, 5, 6, 7)
-LEVELS = 4
+LEVELS = (1, 2, 3, 4, 6, 8, 16, 32)
+SKETCH = 8
 K = 15
 BLOCK = 64
 SMOOTHING = 0.5
 THRESHOLD = 0.7
-TALLY = 200_000
-NOT_WORD = r"[^\p{L}\p{N}]+"
+TALLY = 150_000
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -56,6 +60,26 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def sketch(text: str | None) -> int:
+    """A hash of the ``SKETCH`` least hashes over the 3-word shingles of a text in lower case (fewer words: of the words)."""
+    words = _WORD.findall((text or "").lower())
+    if len(words) < 3:
+        return xxhash.xxh64_intdigest(" ".join(words))
+    h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    h = h[:-2] * np.uint64(0x9E3779B185EBCA87) ^ h[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F) ^ h[2:]
+    h = (h ^ h >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+    least = np.unique(np.partition(h, min(len(h) - 1, 64 * SKETCH))[: 64 * SKETCH])[:SKETCH]  # repeats of a shingle count once
+    if len(least) < SKETCH:
+        least = np.unique(h)[:SKETCH]
+    return xxhash.xxh64_intdigest(least.tobytes())
+
+
+def _with_labels(docs: DataFrame, labelled: DataFrame, keys: list[str]) -> DataFrame:
+    """Texts that may be examples, with the columns of ``labelled`` (a written table), which is broadcast if it is small."""
+    few = rows_of(labelled) <= MAX_BROADCAST_KEYS
+    return _texts(docs).join(F.broadcast(labelled) if few else labelled, keys)
+
+
 def training_ids(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``ex_id, text_hash, toxic``: the labelled documents that are not held out, one of each group of copies."""
     ids = (
@@ -63,13 +87,16 @@ def training_ids(docs: DataFrame, labels: DataFrame) -> DataFrame:
         .groupBy(F.col("doc_id").cast("long").alias("ex_id"))
         .agg(F.max("toxic").cast("int").alias("toxic"))
     )
-    shingles = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("words") - 2)), lambda i: F.xxhash64(F.array_join(F.slice("words", i, 3), " ")))
-    marks = (
-        _texts(docs)
-        .withColumn("words", F.split(F.lower(F.coalesce("text", F.lit(""))), NOT_WORD))
-        .select("ex_id", "text_hash", F.xxhash64(F.slice(F.array_sort(F.array_distinct(shingles)), 1, 3)).alias("_group"))
-    )
-    return marks.join(ids, "ex_id").groupBy("_group", "toxic").agg(F.min(F.struct("ex_id", "text_hash")).alias("e")).select("e.ex_id", "e.text_hash", "toxic")
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("toxicity")
+        for b in batches:
+            group = np.fromiter((sketch(t.as_py()) for t in b.column(3)), np.uint64, b.num_rows)
+            yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(3)], pa.array(group.view(np.int64))], ["ex_id", "text_hash", "toxic", "_group"])
+
+    rows = _with_labels(docs, materialise(ids, "labelled"), ["ex_id"]).select("ex_id", "text_hash", "toxic", "text")
+    marks = rows.mapInArrow(mark, "ex_id long, text_hash long, toxic int, _group long")
+    return marks.groupBy("_group", "toxic").agg(F.min(F.struct("ex_id", "text_hash")).alias("e")).select("e.ex_id", "e.text_hash", "toxic")
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -78,19 +105,34 @@ def _texts(docs: DataFrame) -> DataFrame:
     return d.select(F.col("doc_id").cast("long").alias("ex_id"), F.xxhash64("text").alias("text_hash"), "text")
 
 
+def terms_of(text: str | None) -> dict[str, int]:
+    """Words and beginnings of a text with their occurrences."""
+    terms: dict[str, int] = {}
+    for word, c in Counter(_WORD.findall((text or "").lower())).items():
+        terms[word] = terms.get(word, 0) + c
+        for k in PREFIXES:
+            if len(word) < k:
+                break
+            head = word[:k] + "*"
+            terms[head] = terms.get(head, 0) + c
+    return terms
+
+
 def _tallies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """``term, level, df, hit`` of texts with labels, summed up as far as ``TALLY`` terms go."""
-    tally: dict[str, list[int]] = {}  # by occurrences: texts of label 0, then of label 1
+    worker_state("toxicity")
+    n = len(LEVELS)
+    tally: dict[str, list[int]] = {}  # by highest level reached: texts of label 0, then of label 1
 
     def flush() -> pa.RecordBatch:
         out: tuple[list, list, list, list] = ([], [], [], [])
         for term, seen in tally.items():
             df = hit = 0
-            for level in range(LEVELS, 0, -1):
-                hit += seen[LEVELS + level - 1]
-                df += seen[level - 1] + seen[LEVELS + level - 1]
+            for level in range(n - 1, -1, -1):
+                hit += seen[n + level]
+                df += seen[level] + seen[n + level]
                 if df:
-                    for column, x in zip(out, (term, level, df, hit), strict=True):
+                    for column, x in zip(out, (term, LEVELS[level], df, hit), strict=True):
                         column.append(x)
         tally.clear()
         kinds = (pa.string(), pa.int32(), pa.int64(), pa.int64())
@@ -98,19 +140,11 @@ def _tallies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for b in batches:
         for toxic, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-            terms: dict[str, int] = {}
-            for word, c in Counter(_WORD.findall((text.as_py() or "").lower())).items():
-                terms[word] = terms.get(word, 0) + c
-                for k in PREFIXES:
-                    if len(word) < k:
-                        break
-                    head = word[:k] + "*"
-                    terms[head] = terms.get(head, 0) + c
-            for term, c in terms.items():
+            for term, c in terms_of(text.as_py()).items():
                 seen = tally.get(term)
                 if seen is None:
-                    seen = tally[term] = [0] * (2 * LEVELS)
-                seen[(LEVELS if toxic else 0) + min(c, LEVELS) - 1] += 1
+                    seen = tally[term] = [0] * (2 * n)
+                seen[(n if toxic else 0) + (0 if c == 1 else bisect_right(LEVELS, c) - 1)] += 1
             if len(tally) >= TALLY:
                 yield flush()
     yield flush()
@@ -122,7 +156,7 @@ def features(docs: DataFrame, ids: DataFrame) -> list[tuple[str, int]]:
     total, toxic = n["n"], n["t"] or 0
     if not toxic or toxic == total:
         return []
-    examples = _texts(docs).join(ids, ["ex_id", "text_hash"])
+    examples = _with_labels(docs, ids, ["ex_id", "text_hash"])
     if _texts(docs).groupBy("ex_id", "text_hash").count().where("count > 1").limit(1).count():  # rows repeated with one id
         examples = examples.dropDuplicates(["ex_id", "text_hash"])
     counts = (
@@ -284,6 +318,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) ->
         return Model([], [], None, base, (toxic + SMOOTHING * base) / (n + SMOOTHING))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("toxicity")
         terms = Terms(vocabulary)
         for b in batches:
             rows = [list(terms.find(t.as_py())) for t in b.column(2)]
@@ -327,6 +362,7 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("toxicity")
         scorer = Scorer(shared.value)
         for b in batches:
             out = [scorer(t.as_py()) for t in b.column(1)]
@@ -351,6 +387,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("toxicity")
         scorer = Scorer(shared.value)
         for b in batches:
             yield b.filter(pa.array([scorer(t.as_py())[0] < THRESHOLD for t in b.column(at)], pa.bool_()))

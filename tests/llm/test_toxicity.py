@@ -95,3 +95,87 @@ def test_rare_words_beyond_the_sample_decide(spark):
     assert model.idf[model.terms.index(("vile", 1))] == pytest.approx(math.log(4001 / 381) + 1)
     out = toxicity.score_documents(docs, model).collect()
     assert all((r["score"] >= toxicity.THRESHOLD) == (r["doc_id"] % 10 == 0) for r in out)
+
+
+def plain_op10(docs, labels, max_examples=10_000):
+    """The whole operator once more in plain Python, with a search of every example."""
+    import zlib
+    from collections import defaultdict
+
+    import xxhash  # noqa: F401
+
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 3 == 1
+    label = {}
+    for r in labels:
+        if r["toxic"] is not None and r["doc_id"] is not None and not held(r["doc_id"]):
+            label[r["doc_id"]] = max(r["toxic"], label.get(r["doc_id"], 0))
+    groups = {}
+    for r in docs:
+        if r["doc_id"] in label:
+            words = toxicity._WORD.findall((r["text"] or "").lower())
+            shingles = frozenset(zip(words, words[1:], words[2:], strict=False)) or tuple(words)
+            key = (toxicity.sketch(r["text"]), label[r["doc_id"]])
+            groups.setdefault(key, []).append((r["doc_id"], r["text"], shingles))
+    assert all(len(x[2] & y[2]) / len(x[2] | y[2]) > 0.5 for g in groups.values() for x in g for y in g[:1] if isinstance(x[2], frozenset))
+    examples = [(min(g)[0], min(g)[1], y) for (_, y), g in groups.items()]
+    n, toxic = len(examples), sum(y for *_, y in examples)
+    count = defaultdict(lambda: [0, 0])
+    for _, text, y in examples:
+        for term, c in toxicity.terms_of(text).items():
+            for level in toxicity.LEVELS:
+                if c >= level:
+                    count[term, level][0] += 1
+                    count[term, level][1] += y
+    count = {k: v for k, v in count.items() if v[0] >= toxicity.MIN_SUPPORT}
+    least = toxicity.MIN_G2 + 2 * math.log(max(1, len(count)))
+    found = []
+    for (term, level), (df, hit) in count.items():
+        cells = ((hit, df * toxic / n), (df - hit, df * (n - toxic) / n), (toxic - hit, (n - df) * toxic / n), (n - toxic - df + hit, (n - df) * (n - toxic) / n))
+        if 2 * sum(o * math.log(o / e) for o, e in cells if o) >= least and hit > df * toxic / n and hit >= df * toxicity.MIN_RATE:
+            found.append((term, level, hit, df))
+    space = toxicity.apart(found)
+    have = {r["doc_id"]: {(t, v) for t, c in toxicity.terms_of(r["text"]).items() for v in toxicity.LEVELS if c >= v and (t, v) in space} for r in docs}
+    df = {k: sum(k in x for x in have.values()) for k in space}
+    idf = {k: math.log((1 + len(docs)) / (1 + df[k])) + 1 for k in space}
+
+    def unit(terms):
+        size = math.sqrt(sum(idf[t] ** 2 for t in terms))
+        return {t: idf[t] / size for t in terms}
+
+    index = [(i, y, unit(have[i])) for i, _, y in examples if have[i]]
+    assert len(index) <= max_examples
+    blank = [y for i, _, y in examples if not have[i]]
+    base = toxic / n
+    out = {}
+    for r in docs:
+        q = unit(have[r["doc_id"]]) if have[r["doc_id"]] else {}
+        near = sorted(((-round(sum(w * v.get(t, 0) for t, w in q.items()), 9), i, y) for i, y, v in index if any(t in v for t in q)))[: toxicity.K]
+        w = [1 / (0.05 + max(0.0, 1 + s)) for s, _, _ in near]
+        votes = sum(x for x, (_, _, y) in zip(w, near, strict=True) if y)
+        out[r["doc_id"]] = (votes + 0.5 * base) / (sum(w) + 0.5) if near else (sum(blank) + 0.5 * base) / (len(blank) + 0.5)
+    return space, out
+
+
+def test_whole_operator_against_a_plain_version(spark):
+    """Features, frequencies, neighbours and votes for every document of a table whose ids are its own."""
+    sf = f"{DATA}/sf0.01"
+    docs = [r.asDict() for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    labels = [r.asDict() for r in spark.read.parquet(f"{sf}/labels.parquet").collect()]
+    assert len({r["doc_id"] for r in docs}) == len(docs)
+    space, want = plain_op10(docs, labels)
+    assert space
+    got = {r["doc_id"]: r["score"] for r in toxicity.op10_toxicity(spark, sf).collect()}
+    assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i], abs=1e-6) for i in want)
+
+
+def test_sketches_tell_copies_from_shared_passages():
+    rng = random.Random(4)
+    words = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    shared, same = words(150), 0
+    texts = [" ".join(words(150) + shared) for _ in range(300)]
+    assert len({toxicity.sketch(t) for t in texts}) >= 298
+    for t in texts[:100]:
+        near = t.split()
+        near[rng.randrange(300)] = "other"
+        same += toxicity.sketch(" ".join(near)) == toxicity.sketch(t.upper())
+    assert same >= 80 and toxicity.sketch(None) == toxicity.sketch("") and toxicity.sketch("a a a " * 500) == toxicity.sketch("a a a " * 600)
