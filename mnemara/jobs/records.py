@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemara.operators import evaluate, lifecycle, logs, portable
+from mnemara.operators import evaluate, lifecycle, logs, portable, writes
 from mnemara.sources.tables import memories, table, vectors, versions
+from mnemara.streaming import scratch
 
 KEEP = 1000
 TAUS = [0.3, 0.4, 0.5]
@@ -122,6 +123,38 @@ def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("tau").agg(F.count(F.lit(1)).alias("writes"), merged.alias("superseded"), F.count_distinct("space", "slot").alias("survivors"))
 
 
+def _write_batch(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A third of the documents as a state of single versions, and all of them written into it, some in spite of duplicates."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq"), F.col("lang").alias("space"), "text")
+    none, now = F.lit(None), F.to_timestamp(F.lit(INSTANT))
+    flags = {"is_static": F.lit(False), "is_inference": F.lit(False), "metadata": none.cast("string"), "forget_after": none.cast("timestamp"), "forget_reason": none.cast("string")}
+    vector = F.array(F.col("seq").cast("double"), F.lit(1.0))
+    key = F.concat(F.lit("m"), F.lpad(F.col("seq").cast("string"), 12, "0"))
+    state = d.where("seq % 3 = 0").select(
+        key.alias("id"), "space", "text", vector.alias("v"), *[c.alias(k) for k, c in flags.items()], F.lit(True).alias("is_latest"), F.lit(False).alias("is_forgotten"), F.lit(1).alias("version"),
+        key.alias("root"), none.cast("string").alias("parent"), F.lit(1).alias("source_count"), none.cast("timestamp").alias("valid_from"), none.cast("timestamp").alias("valid_to"),
+    )
+    sets = F.when(F.col("seq") % 5 == 0, F.array(F.lit("is_static"))).otherwise(F.array().cast("array<string>"))
+    ops = d.select(
+        "seq", "space", F.lit("write").alias("kind"), none.cast("string").alias("target"), none.cast("int").alias("base"), "text", vector.alias("v"), (F.col("seq") % 5 == 0).alias("is_static"),
+        *[c.alias(k) for k, c in flags.items() if k != "is_static"], sets.alias("sets"), (F.col("seq") % 7 != 0).alias("dedupe"),
+    )
+    path = scratch.shared_folder(spark, "decided")
+    writes.decide(state, ops, now, tau=2.0).write.parquet(path)  # a cosine never reaches 2: exact duplicates alone decide
+    return state, ops, spark.read.parquet(path)
+
+
+def write_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, _, decided = _write_batch(spark, sf_dir)
+    return decided.where("seq is not null").select("seq", "action", "version")
+
+
+def write_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the batch leaves, by space and flag."""
+    after = writes.applied(*_write_batch(spark, sf_dir))
+    return after.groupBy("space", "is_static").agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.md5("text")).alias("texts"), F.sum(F.length("text")).alias("chars"))
+
+
 def _errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     return e.select("event_id", "ts", F.col("event_type").alias("code"), F.get_json_object("props", "$.k").cast("long").alias("k"), F.col("props").alias("message"))
@@ -175,11 +208,15 @@ _FLAT = f"""{_WINDOWS}, x AS (
   SELECT chain, version::INTEGER AS version, {_HASH.format('id')} AS "exportId", {_HASH.format('parent')} AS "parentExportId", is_latest AS "isLatest", props AS memory,
     {_ISO.format('valid_from')} AS "validFrom", {_ISO.format('valid_to')} AS "validTo" FROM w)"""
 
+_BATCH = """k AS (
+  SELECT doc_id AS seq, lang AS space, text, doc_id % 7 <> 0 AS dedupe, row_number() OVER (PARTITION BY lang, text ORDER BY doc_id) > 1 OR bool_or(doc_id % 3 = 0) OVER (PARTITION BY lang, text) AS there FROM documents
+), a AS (SELECT seq, space, text, CASE WHEN NOT dedupe OR NOT there THEN 'created' WHEN seq % 5 = 0 THEN 'updated' ELSE 'unchanged' END AS action FROM k)"""
+
 QUERIES = {
     f.__name__: f
     for f in (
         exact_dedup, latest_per_chain, scd2_windows, as_of, chain_repair, one_latest_violations, forget_sweep, forget_chain, undo_forget, visible_memories,
-        retention_keep, retention_drop, upsert_profiles, insert_ignore, cascade_delete, supersede_fold, threshold_sweep, error_groups, error_occurrences,
+        retention_keep, retention_drop, upsert_profiles, insert_ignore, cascade_delete, supersede_fold, threshold_sweep, write_batch, write_state, error_groups, error_occurrences,
         percentile_nearest, export_chains, import_validate, import_remap,
     )
 }
@@ -206,6 +243,20 @@ SELECT id, is_forgotten OR due AS is_forgotten, CASE WHEN due THEN coalesce(forg
     "cascade_delete": """WITH gone AS (SELECT doc_id FROM documents WHERE lang = 'fr')
 SELECT 'documents' AS name, count(*)::BIGINT AS n FROM documents WHERE doc_id NOT IN (FROM gone) UNION ALL SELECT 'labels', count(*) FROM labels WHERE doc_id NOT IN (FROM gone)
 UNION ALL SELECT 'embeddings', count(*) FROM embeddings WHERE vec_id NOT IN (FROM gone)""",
+    "write_batch": f"WITH {_BATCH} SELECT seq, action, 1 AS version FROM a",
+    "write_state": f"""WITH {_BATCH}, first AS (
+  SELECT space, text, min(id) AS id FROM (SELECT lang AS space, text, 'm' || lpad(doc_id::VARCHAR, 12, '0') AS id FROM documents WHERE doc_id % 3 = 0
+    UNION ALL SELECT space, text, 'm_' || substr(sha256(space || '/' || seq), 1, 20) FROM a WHERE action = 'created') GROUP BY space, text
+), set_at AS (SELECT space, text, seq FROM a WHERE action = 'updated'),
+rows AS (
+  SELECT lang AS space, text, 'm' || lpad(doc_id::VARCHAR, 12, '0') AS id, false AS born FROM documents WHERE doc_id % 3 = 0
+  UNION ALL SELECT space, text, 'm_' || substr(sha256(space || '/' || seq), 1, 20), seq % 5 = 0 FROM a WHERE action = 'created'
+), now AS (
+  SELECT r.space, r.text, r.id, born OR r.id IN (SELECT target FROM (
+      SELECT (SELECT min(x.id) FROM (SELECT lang AS space, text, -1 AS seq, 'm' || lpad(doc_id::VARCHAR, 12, '0') AS id FROM documents WHERE doc_id % 3 = 0
+        UNION ALL SELECT space, text, seq, 'm_' || substr(sha256(space || '/' || seq), 1, 20) FROM a WHERE action = 'created') x WHERE x.space = u.space AND x.text = u.text AND x.seq < u.seq) AS target
+      FROM set_at u)) AS is_static FROM rows r
+) SELECT space, is_static, count(*)::BIGINT AS n, count(DISTINCT md5(text))::BIGINT AS texts, sum(length(text))::BIGINT AS chars FROM now GROUP BY space, is_static""",
     "error_groups": """SELECT event_type AS code, (props->>'$.k')::BIGINT AS k, count(*)::BIGINT AS occurrences, min(ts) AS first_seen, max(ts) AS last_seen, arg_max_null(props, (ts, event_id)) AS last_message
 FROM events GROUP BY 1, 2 ORDER BY last_seen DESC, code, k LIMIT 50""",
     "error_occurrences": "SELECT event_id, ts, props AS message FROM events WHERE event_type = 'error' ORDER BY ts DESC, event_id DESC LIMIT 50",
