@@ -18,36 +18,52 @@ def stream_capture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Errors and other events by hour under a watermark (an extension: the original has no event time)."""
+    """Errors and other events by hour under a watermark (an extension: the original has no event time).
+
+    Changed hours are put out by each batch, and dropped from state once the watermark has left them.
+    """
     events = scratch.replay(spark, f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     counts = events.withWatermark("ts", "2 hours").groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.max("value").alias("top"))
-    return scratch.drain(counts.select(F.col("window.start").alias("hour"), "event_type", "n", "top"), "counts", "complete")
+    return scratch.drain(counts.select(F.col("window.start").alias("hour"), "event_type", "n", "top"), "counts", "update", keys=["hour", "event_type"])
 
 
-def _frame_files(spark: SparkSession, sf_dir: str) -> str:
-    path = scratch.shared_folder(spark, "frames")
-    chat.frames(table(spark, sf_dir, "conversations")).write.parquet(path)
+def _fragment_files(spark: SparkSession, sf_dir: str) -> str:
+    path = scratch.shared_folder(spark, "fragments")
+    chat.fragments(chat.frames(table(spark, sf_dir, "conversations"))).write.parquet(path)
     return path
 
 
 def stream_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scratch.drain(chat.classify_stream(scratch.replay(spark, _frame_files(spark, sf_dir))), "decisions")
+    """Decisions from the bytes of every stream, cut anywhere."""
+    out = scratch.drain(chat.classify_stream(scratch.replay(spark, _fragment_files(spark, sf_dir)), idle_ms=None), "decisions")
+    return out.select("conv_id", "kind", "held", "arguments")
 
 
 def classify_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.classify(chat.frames(table(spark, sf_dir, "conversations")))
 
 
-_CLASSIFY = f"""WITH f AS (SELECT conv_id, turn, role, text, sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS total FROM conversations),
-a AS (SELECT conv_id, coalesce(min(turn) FILTER (total >= {chat.HOLD_CHARS}), max(turn) + 1) AS stop FROM f GROUP BY conv_id),
-g AS (SELECT f.conv_id, max(total)::BIGINT AS held, count(*) FILTER (role = 'user') AS calls, coalesce(string_agg(text[1:8], '' ORDER BY turn) FILTER (role = 'user'), '') AS arguments
-  FROM f JOIN a ON f.conv_id = a.conv_id AND turn <= stop GROUP BY f.conv_id)
-SELECT conv_id, CASE WHEN held >= {chat.HOLD_CHARS} OR calls = 0 THEN 'answer' WHEN conv_id % 2 <> 0 THEN 'external_tool' ELSE 'memory_tool' END AS kind, held, arguments FROM g"""
+def stream_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = chat.stream_sizes(chat.fragments(chat.frames(table(spark, sf_dir, "conversations"))))
+    return sizes.select("conv_id", "bytes")
+
+
+_CLASSIFY = f"""WITH f AS (
+  SELECT conv_id, turn, role, text, role = 'user' AND conv_id % 3 <> 0 AS call, bool_or(role = 'user' AND conv_id % 3 <> 0) OVER w AS called FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)
+), t AS (SELECT *, sum(CASE WHEN role = 'assistant' AND NOT called THEN coalesce(length(text), 0) ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS total FROM f),
+a AS (SELECT conv_id, coalesce(min(turn) FILTER (total > {chat.HOLD_CHARS}), max(turn) + 1) AS stop FROM t GROUP BY conv_id),
+g AS (SELECT t.conv_id, max(total)::BIGINT AS held, count(*) FILTER (call) AS calls, coalesce(string_agg(text, '' ORDER BY turn) FILTER (call), '') AS arguments
+  FROM t JOIN a ON t.conv_id = a.conv_id AND turn <= stop GROUP BY t.conv_id)
+SELECT conv_id, CASE WHEN held > {chat.HOLD_CHARS} OR calls = 0 THEN 'answer' WHEN conv_id % 2 <> 0 THEN 'external_tool' ELSE 'memory_tool' END AS kind, held, arguments FROM g"""
 
-QUERIES = {f.__name__: f for f in (stream_capture, stream_event_counts, stream_classify, classify_batch)}
+QUERIES = {f.__name__: f for f in (stream_capture, stream_event_counts, stream_classify, classify_batch, stream_sizes)}
 SQL = {
     "stream_capture": texts.SQL["capture_facts"],
     "stream_event_counts": "SELECT date_trunc('hour', ts)::TIMESTAMP AS hour, event_type, count(*)::BIGINT AS n, max(value) AS top FROM events GROUP BY 1, 2",
     "stream_classify": _CLASSIFY,
     "classify_batch": _CLASSIFY,
+    "stream_sizes": """WITH f AS (SELECT conv_id, CASE WHEN role = 'assistant' THEN 'data: {"choices":[{"delta":' || CASE WHEN text IS NULL THEN '{}' ELSE '{"content":' || to_json(text) || '}' END || '}]}'
+    WHEN role = 'user' AND conv_id % 3 <> 0 THEN 'data: {"choices":[{"delta":{"tool_calls":[{"index":0,"function":{"name":"' || CASE WHEN conv_id % 2 = 0 THEN 'memory_search' ELSE 'calculator' END || '"'
+      || CASE WHEN text IS NULL THEN '' ELSE ',"arguments":' || to_json(text) END || '}}]}}]}' ELSE ': keep-alive' END AS frame FROM conversations)
+SELECT conv_id, sum(strlen(frame) + 2)::BIGINT + strlen('data: [DONE]') + 2 AS bytes FROM f GROUP BY conv_id""",
 }

@@ -6,11 +6,15 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base}/{name}-{uuid.uuid4().hex}"
@@ -21,17 +25,17 @@ def replay(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[{path[-1]}]")
 
 
-def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
+def drain(stream: DataFrame, name: str, mode: str = "append", keys: list[str] | None = None) -> DataFrame:
     """Run a stream over all there is now, and give its output as a table.
 
-    Each batch replaces the output in complete mode and is added to it otherwise, under its batch id, so a batch that
-    is run again after a failure replaces itself.
+    Each batch is added under its batch id, so a batch that is run again after a failure replaces itself. In update mode the
+    newest row of each of the ``keys`` counts.
     """
     spark = stream.sparkSession
     out = shared_folder(spark, name)
 
     def write(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch={0 if mode == 'complete' else epoch}")
+        batch.write.mode("overwrite").parquet(f"{out}/batch={epoch}")
 
     query = (
         stream.writeStream.outputMode(mode).option("checkpointLocation", shared_folder(spark, f"{name}-progress")).trigger(availableNow=True).foreachBatch(write).start()
@@ -40,4 +44,8 @@ def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     if query.exception():
         raise query.exception()
     spark.createDataFrame([], stream.schema).write.parquet(f"{out}/batch=-1")
-    return spark.read.schema(stream.schema).parquet(out).select(*stream.columns)
+    rows = spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])).parquet(out)
+    if keys:
+        rest = [c for c in stream.columns if c not in keys]
+        rows = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_r")).select(*keys, "_r.*")
+    return rows.select(*stream.columns)
