@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from mnemara.functions import embed as emb
 from mnemara.functions import vectors as vec
-from mnemara.operators import chunking, retrieval
-from mnemara.sources.tables import memories, table, vectors
+from mnemara.operators import chunking, retrieval, transfer
+from mnemara.sources.tables import memories, memory_rows, table, vectors
+from mnemara.streaming import scratch
 
 DIM = 256
 NOW = "2026-01-01"
@@ -66,9 +67,65 @@ def search_ingested(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("query_id", "rank", "document_id", "title", "similarity", "source", "score")
 
 
+def _store(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ...]:
+    """Documents as versioned memories, pages as ingested documents, links of every fifth memory to a page, and a profile a tag."""
+    rows = memory_rows(spark, sf_dir)
+    key = lambda c: F.concat(F.lit("m"), c.cast("string"))
+    none = F.lit(None)
+    memories_ = rows.select(
+        key(F.col("id")).alias("id"), F.col("tag").alias("space"), "text", "v", F.lit(False).alias("is_static"), F.lit(False).alias("is_inference"), none.cast("string").alias("metadata"), "forget_after",
+        none.cast("string").alias("forget_reason"), "is_latest", "is_forgotten", "version", F.concat_ws("/", key(F.col("chain") * 3), "tag").alias("root"), none.cast("string").alias("parent"), F.lit(1).alias("source_count"),
+        "valid_from", "valid_to", "created_at", F.col("created_at").alias("updated_at"),
+        F.when(F.col("version") > 1, F.create_map(F.lit("updates"), F.array(key(F.col("id") - 1), F.lit("elsewhere")))).alias("relations"),
+    )
+    docs = _pages(spark, sf_dir)
+    links = rows.where("id % 5 = 0").select(key(F.col("id")).alias("memory_id"), F.col("id").alias("document_id"))
+    profiles = rows.select(F.col("tag").alias("space")).distinct().withColumn("profile", F.to_json(F.struct(F.col("space").alias("static"))))
+    return memories_, profiles, docs, links
+
+
+def import_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A whole store exported to a file, read back, and imported into an empty store and into the same one."""
+    mem, profiles, docs, links = _store(spark, sf_dir)
+    chunks = docs.where(F.trim("text") != "").select(F.col("id").alias("document_id"))
+    path = scratch.shared_folder(spark, "export")
+    transfer.write_export(transfer.export_lines(mem, profiles, docs, chunks, links), path)
+    lines, now = transfer.read_export(spark, path), F.to_timestamp(F.lit(NOW))
+    out = None
+    for name, m, d in (("empty", mem.limit(0), docs.limit(0)), ("same", mem, docs)):
+        got = transfer.import_export(lines, m, d, emb.hash_embedder(DIM), now, name)
+        for kind, df in (("chain", got.chains), ("document", got.taken)):
+            part = df.groupBy("verdict").agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("store"), F.lit(kind).alias("kind"), "verdict", "n")
+            out = part if out is None else out.unionByName(part)
+    return out
+
+
+def import_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an import into an empty store holds, by space: versions, those latest, relations that were kept, and links."""
+    mem, profiles, docs, links = _store(spark, sf_dir)
+    chunks = docs.where(F.trim("text") != "").select(F.col("id").alias("document_id"))
+    path = scratch.shared_folder(spark, "export")
+    transfer.write_export(transfer.export_lines(mem, profiles, docs, chunks, links), path)
+    got = transfer.import_export(transfer.read_export(spark, path), mem.limit(0), docs.limit(0), emb.hash_embedder(DIM), F.to_timestamp(F.lit(NOW)), "empty")
+    linked = got.links.groupBy(F.col("memory_id").alias("id")).agg(F.count(F.lit(1)).alias("k"))
+    m = got.memories.join(linked, "id", "left")
+    related = F.coalesce(F.size(F.element_at("relations", "updates")), F.lit(0))
+    return m.groupBy("space").agg(
+        F.count(F.lit(1)).alias("versions"), F.sum(F.col("is_latest").cast("long")).alias("latest"), F.sum(F.when(F.col("relations").isNotNull(), related).otherwise(0)).alias("related"),
+        F.coalesce(F.sum("k"), F.lit(0)).alias("links"), F.count("valid_to").alias("closed"), F.sum(F.unix_timestamp("created_at")).alias("created"),
+    )
+
+
 _SLOT = f"list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split(w, ''), lambda c: ascii(c)::BIGINT)), lambda h, c: (xor(h, c) * 16777619) % 4294967296) % {DIM}"
 
-QUERIES = {f.__name__: f for f in (hash_embed, pool_mean, payload_cut, consecutive_cosine, ingest_pages, search_ingested)}
+_STORE = """m0 AS (
+  SELECT doc_id AS id, text, lang AS space, doc_id // 3 AS chain, doc_id % 3 + 1 AS version, lead(doc_id) OVER (PARTITION BY doc_id // 3 ORDER BY doc_id) IS NULL AS is_latest FROM documents
+), c0 AS (SELECT space, chain, coalesce(min(text) FILTER (is_latest), arg_max(text, version)) AS latest FROM m0 GROUP BY space, chain),
+there AS (SELECT DISTINCT space, text FROM m0 WHERE is_latest),
+chains AS (SELECT c0.*, row_number() OVER (PARTITION BY c0.space, latest ORDER BY chain) > 1 AS again, there.text IS NOT NULL AS known FROM c0 LEFT JOIN there ON there.space = c0.space AND there.text = latest),
+pages_md AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?is)<(script|style)\\b.*?</(script|style)>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g') AS text FROM pages)"""
+
+QUERIES = {f.__name__: f for f in (hash_embed, pool_mean, payload_cut, consecutive_cosine, ingest_pages, search_ingested, import_counts, import_versions)}
 
 SQL = {
     "hash_embed": f"""WITH w AS (SELECT doc_id AS id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM documents),
@@ -86,4 +143,7 @@ SELECT label AS id, axis::INTEGER AS axis, round(coalesce(avg(x) FILTER (vec_id
 SELECT doc_id, length(text)::INTEGER AS n, md5(text) AS digest FROM c""",
     "consecutive_cosine": """WITH l AS (SELECT vec_id AS id, label, embedding::DOUBLE[] AS e, lag(embedding::DOUBLE[]) OVER (PARTITION BY label ORDER BY vec_id) AS b FROM embeddings)
 SELECT id, label, round(list_cosine_similarity(e, b), 6) AS similarity FROM l WHERE b IS NOT NULL""",
+    "import_counts": f"""WITH {_STORE}, d AS (SELECT count(*) FILTER (trim(text) <> '') AS n FROM pages_md)
+SELECT 'empty' AS store, 'chain' AS kind, CASE WHEN again THEN 'skipped' ELSE 'imported' END AS verdict, count(*)::BIGINT AS n FROM chains GROUP BY again
+UNION ALL SELECT 'same', 'chain', CASE WHEN known OR again THEN 'skipped' ELSE 'imported' END, count(*)::BIGINT FROM chains GROUP BY 3 UNION ALL SELECT 'empty', 'document', 'imported', n FROM d UNION ALL SELECT 'same', 'document', 'skipped', n FROM d""",
 }
