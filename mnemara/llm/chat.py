@@ -120,27 +120,37 @@ def _quoted(s: str) -> str:
 
 
 def conversation_events(conversations: DataFrame, delta_chars: int = DELTA_CHARS) -> DataFrame:
-    """The log that produced a table of turns: a start and one or more deltas a turn."""
+    """A log that leads to a table of turns: a start and deltas a turn, and as a chat has them some detours.
+
+    By a hash of conversation and message, one message in eight starts with words that an edit replaces, and one in sixteen
+    with words, and another message after it, that a regeneration takes back.
+    """
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     rows = conversations.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text")).withColumn(
         "msg_id", F.row_number().over(order).cast("long")
     )
     n = F.greatest(F.lit(1), F.ceil(F.length("text") / delta_chars)).cast("int")
+    detour = F.pmod(F.xxhash64("conv_id", "msg_id"), F.lit(16))
+    wrong = F.concat(F.substring("text", 1, 16), F.lit("<|end|>?"))
+
+    def event(i: int | Column, kind: str | Column, part: Column, own: bool = True) -> Column:
+        none = F.lit(None).cast("string")
+        role = F.col("role") if own and isinstance(kind, str) and kind == "start" else none
+        return F.struct(
+            (F.lit(i) if isinstance(i, int) else i).alias("i"), (F.lit(kind) if isinstance(kind, str) else kind).alias("kind"), role.alias("role"),
+            (none if part is None else part).alias("part"), (F.col("msg_id") if own else -F.col("msg_id")).alias("msg_id"),
+        )
+
+    start, nothing = event(0, "start", None), F.array().cast("array<struct<i:int,kind:string,role:string,part:string,msg_id:bigint>>")
+    before = F.when(detour == 0, F.array(event(1, "delta", wrong), event(2, "start", None, own=False), event(3, "delta", wrong, own=False), event(4, "regenerate", None)))
+    before = before.when(detour <= 2, F.array(event(1, "delta", wrong))).otherwise(nothing)
+    edited = (detour == 1) | (detour == 2)
     parts = F.transform(
-        F.sequence(F.lit(0), n),
-        lambda i: F.struct(
-            i.alias("i"),
-            F.when(i == 0, "start").otherwise("delta").alias("kind"),
-            F.when(i > 0, F.substring(F.col("text"), (i - 1) * delta_chars + 1, F.lit(delta_chars))).alias("part"),
-        ),
+        F.sequence(F.lit(1), n),
+        lambda i: event(i + 4, F.when(edited & (i == 1), "edit").otherwise("delta"), F.substring(F.col("text"), (i - 1) * delta_chars + 1, F.lit(delta_chars))),
     )
-    return rows.withColumn("e", F.explode(parts)).select(
-        "conv_id",
-        (F.col("msg_id") * (1 << 24) + F.col("e.i")).alias("seq"),
-        "msg_id",
-        F.col("e.kind").alias("kind"),
-        F.when(F.col("e.i") == 0, F.col("role")).alias("role"),
-        F.col("e.part").alias("text"),
+    return rows.withColumn("e", F.explode(F.concat(F.array(start), before, parts))).select(
+        "conv_id", (F.col("msg_id") * (1 << 24) + F.col("e.i")).alias("seq"), F.col("e.msg_id").alias("msg_id"), F.col("e.kind").alias("kind"), F.col("e.role").alias("role"), F.col("e.part").alias("text")
     )
 
 
@@ -163,11 +173,8 @@ def with_probe(conversations: DataFrame) -> DataFrame:
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = format_conversations(with_probe(table(spark, sf_dir, "conversations")))
     turns = F.transform(F.col("turns"), lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
-    # Text under the mask: the part of the turn's body that its span covers.
-    masked = F.transform(
-        "loss_spans",
-        lambda s: unescape(F.substring(F.element_at(F.col("turns"), s["turn"])["body"], F.lit(1), (s["end"] - s["start"]).cast("int"))),
-    )
+    # Text under the mask: what the spans cover of the formatted text.
+    masked = F.transform("loss_spans", lambda s: unescape(F.substring(F.col("formatted"), (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int"))))
     return (
         out.withColumn("turns", read_turns(F.col("formatted")))
         .withColumn("loss_text", F.array_join(masked, ""))

@@ -70,3 +70,13 @@ def test_probe_conversation(spark):
     turns = chat.read_turns(F.lit(out[-7]["formatted"]))
     got = spark.range(1).select(turns.alias("t")).first()["t"]
     assert hashlib.sha256("".join(f"{t['role']}\n{t['text']}\n" for t in got).encode()).hexdigest() == hashlib.sha256(f"user\n{chat.PROBE_TEXT}\nassistant\n{chat.PROBE_TEXT}\n".encode()).hexdigest()
+
+
+def test_logs_with_detours_lead_to_the_turns(spark):
+    rows = [(c, t, "assistant" if t % 2 else "user", f"turn {t} of {c} " * (t * 20 + 1)) for c in range(40) for t in range(5)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    log = chat.conversation_events(df, 64)
+    kinds = {r["kind"]: r["count"] for r in log.groupBy("kind").count().collect()}
+    assert kinds["edit"] > 5 and kinds["regenerate"] > 2 and kinds["start"] == 200 + kinds["regenerate"]
+    got = [(r["conv_id"], r["role"], r["text"]) for r in chat.fold_events(log).orderBy("conv_id", "seq").collect()]
+    assert got == [(c, role, text) for c, _, role, text in rows]
