@@ -97,9 +97,10 @@ def mix(
     block_words: int = BLOCK_WORDS,
     docs_per_shard: int = DOCS_PER_SHARD,
     seed: int = SEED,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Rows ``doc_id, source, size`` in, the same rows with ``source_size, target, shard, quota, taken`` out."""
-    sized = sized.select("doc_id", "source", "size")
+    """Rows ``doc_id, source, size`` (and columns to ``carry``) in, the same rows with ``source_size, target, shard, quota, taken`` out."""
+    sized = sized.select("doc_id", "source", "size", *carry)
     sources = (
         source_targets(sized, weights, share, max_epochs)
         .withColumn("_passes", F.when(F.col("source_size") > 0, F.least(F.lit(max_epochs), F.floor(F.col("target") / F.col("source_size")))).otherwise(0).cast("long"))
@@ -115,7 +116,7 @@ def mix(
     docs = (
         sized.alias("d")
         .join(sources.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")))
-        .select("d.doc_id", "d.source", "d.size", "s.sid", "s.source_size", "s.target", "s._passes", F.col("s.quota").alias("_source_quota"), "s._shards")
+        .select("d.doc_id", "d.source", "d.size", "s.sid", "s.source_size", "s.target", "s._passes", F.col("s.quota").alias("_source_quota"), "s._shards", *[f"d.{c}" for c in carry])
         .withColumn("_key", key)
         .withColumn("shard", F.conv(F.substring("_key", 1, 8), 16, 10).cast("long") % F.col("_shards"))
     )
@@ -130,7 +131,7 @@ def mix(
     return (
         docs.withColumn("_end", end)
         .join(shards.select("sid", "shard", "quota"), ["sid", "shard"])
-        .select("doc_id", "source", "size", "source_size", "target", "shard", "quota", (F.col("_passes") * F.col("size") + part).alias("taken"))
+        .select("doc_id", "source", "size", *carry, "source_size", "target", "shard", "quota", (F.col("_passes") * F.col("size") + part).alias("taken"))
     )
 
 
@@ -211,19 +212,21 @@ FROM placed
 def keep_mixed(docs: DataFrame, **how) -> DataFrame:
     """Documents as the mix takes them: each ``round(taken / size)`` times, with unchanged columns.
 
-    Rows alike in id, source and size share what the mix takes of them. The join back to the texts is on
-    these three; rows of size 0 are kept once, as they hold no words to mix.
+    Rows alike in id, source and text share what the mix takes of them. The join back to the texts is on these (the text by
+    its hash, so words are counted once); rows of size 0 are kept once, as they hold no words to mix.
     """
-    d = docs.select(F.struct(*docs.columns).alias("doc"), "doc_id", "source", word_count(F.col("text")).alias("size"))
-    sized = materialise(d.select("doc_id", "source", "size"), "sizes")
+    keys = ["doc_id", "source", "text_hash"]
+    text_hash = F.xxhash64("text").alias("text_hash")
+    sized = materialise(docs.select("doc_id", "source", text_hash, word_count(F.col("text")).alias("size")), "sizes")
     taken = (
-        mix(sized, **how)
-        .groupBy("doc_id", "source", "size")
-        .agg((F.sum("taken") / F.greatest(F.lit(1), F.sum("size"))).alias("times"))
+        mix(sized, carry=("text_hash",), **how)
+        .groupBy(*keys)
+        .agg((F.sum("taken") / F.greatest(F.lit(1), F.sum("size"))).alias("times"), F.max("size").alias("size"))
         .withColumn("copies", F.when(F.col("size") == 0, 1).otherwise(F.floor(F.col("times") + 0.5)).cast("int"))
         .where("copies > 0")
     )
-    same = [F.col(f"d.{c}").eqNullSafe(F.col(f"t.{c}")) for c in ("doc_id", "source", "size")]
+    d = docs.select(F.struct(*docs.columns).alias("doc"), "doc_id", "source", text_hash)
+    same = [F.col(f"d.{c}").eqNullSafe(F.col(f"t.{c}")) for c in keys]
     return (
         d.alias("d")
         .join(taken.alias("t"), same[0] & same[1] & same[2])
