@@ -67,6 +67,17 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0.0, d))
 
 
+def narrow(x: np.ndarray) -> np.ndarray:
+    """Integers in the smallest type that holds them all."""
+    most = max(int(x.max()), -int(x.min()) - 1) if x.size else 0
+    return x.astype(next(t for t in (np.int8, np.int16, np.int32, np.int64) if most <= np.iinfo(t).max))
+
+
+def widen(raw: bytes, n: int, dim: int) -> np.ndarray:
+    """The integers of ``narrow``, whose type shows in their size."""
+    return np.frombuffer(raw, f"i{len(raw) // max(1, n * dim)}").astype(np.int64).reshape(n, dim)
+
+
 class Tree:
     """An M-tree of one level of pages below the root, in arrays."""
 
@@ -99,14 +110,17 @@ class Tree:
     _KINDS = (("starts", np.int64), ("ids", np.int64), ("x", np.int64), ("parent", float), ("route", float), ("radius", float), ("root", float), ("page_parent", float))
 
     def pack(self) -> list[bytes]:
-        return [getattr(self, k).astype(t).tobytes() for k, t in self._KINDS] + [np.array([self.root_radius]).tobytes()]
+        """Bytes of every part; vectors in the smallest integers that hold them."""
+        parts = [narrow(self.x).tobytes() if k == "x" else getattr(self, k).astype(t).tobytes() for k, t in self._KINDS]
+        return [*parts, np.array([self.root_radius]).tobytes()]
 
     @classmethod
     def unpack(cls, values: list[bytes]) -> Tree:
         t = cls.__new__(cls)
         for (k, kind), v in zip(cls._KINDS, values, strict=False):
-            setattr(t, k, np.frombuffer(v, kind))
-        t.x, t.route = t.x.reshape(len(t.ids), -1), t.route.reshape(len(t.radius), -1)
+            if k != "x":
+                setattr(t, k, np.frombuffer(v, kind))
+        t.x, t.route = widen(values[[k for k, _ in cls._KINDS].index("x")], len(t.ids), len(t.root) - 1), t.route.reshape(len(t.radius), -1)
         t.root_radius = float(np.frombuffer(values[-1])[0])
         return t
 
@@ -246,17 +260,17 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
             for block, dim in np.unique(key, axis=0):
                 rows = np.flatnonzero((key == (block, dim)).all(axis=1))
                 x = _matrix(b.column(2).take(pa.array(rows)), len(rows))
-                values = [b.column(1).to_numpy()[rows].tobytes(), x.tobytes()]
-                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), *[pa.array([v], pa.binary()) for v in values]], ["block", "q_ids", "q"])
+                values = [b.column(1).to_numpy()[rows].tobytes(), narrow(x).tobytes()]
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), *[pa.array([v], pa.binary()) for v in values], pa.array([dim], pa.int32())], ["block", "q_ids", "q", "dim"])
 
     dealt = single.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), "id", "v", "dim")
-    asked = dealt.repartition(blocks, "block").mapInArrow(pack, "block int, q_ids binary, q binary")
+    asked = dealt.repartition(blocks, "block").mapInArrow(pack, "block int, q_ids binary, q binary, dim int")
     empty = [F.lit(None).cast("binary").alias(c) for c in _TREE_COLUMNS]
-    q_rows = asked.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).select("block", "group", F.lit(0).alias("kind"), "q_ids", "q", *empty)
+    q_rows = asked.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).select("block", "group", F.lit(0).alias("kind"), "q_ids", "q", "dim", *empty)
     t_rows = (
         trees.withColumn("group", F.pmod(F.xxhash64("ids"), F.lit(groups)).cast("int"))
         .withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        .select("block", "group", F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("q_ids"), F.lit(None).cast("binary").alias("q"), *_TREE_COLUMNS)
+        .select("block", "group", F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("q_ids"), F.lit(None).cast("binary").alias("q"), F.lit(None).cast("int").alias("dim"), *_TREE_COLUMNS)
     )
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,7 +283,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
                     at, waiting = (row["block"], row["group"]), []
                 if row["kind"] == 0:
                     ids = np.frombuffer(row["q_ids"], np.int64)
-                    waiting.append(BlockSearch(ids, np.frombuffer(row["q"], np.int64).reshape(len(ids), -1), top, k))
+                    waiting.append(BlockSearch(ids, widen(row["q"], len(ids), row["dim"]), top, k))
                 else:
                     tree = Tree.unpack([row[c] for c in _TREE_COLUMNS])
                     for s in waiting:

@@ -112,3 +112,9 @@ def test_search_of_odd_rows(spark):
     assert out == {(200, 1): (201, own), (200, 2): (40, 0), (200, 3): (202, 0), (40, 1): (200, 0), (40, 2): (201, 0), (40, 3): (202, 0)}
     assert mtree.search(df.limit(0), df.limit(0)).count() == 0
     assert mtree.search(df, df.limit(0)).count() == 0
+
+
+def test_integers_keep_their_values():
+    for most in (0, 127, 128, 40_000, 2**31, 2**63 - 1):
+        x = np.array([[most, -most - 1], [0, 1]], np.int64)
+        assert (mtree.widen(mtree.narrow(x).tobytes(), 2, 2) == x).all()
