@@ -35,19 +35,30 @@ def shared_dir(spark: SparkSession) -> str:
     return set_dir
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
-    Lineage ends there, so a lost executor costs a reread and no recomputation, and several readers
-    share one computation.
+    Lineage ends there, so a lost executor costs a reread and no recomputation, and several readers share one computation.
+    ``narrow`` tables, of a few numbers a row, are written by an eighth of the shuffle partitions, so files aren't tiny.
     """
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    if narrow:
+        df = df.coalesce(max(8, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def ship(spark: SparkSession) -> None:
-    """Give this package to executors that don't have it on their path (once per application)."""
+    """Give this package to executors that don't have it on their path (once per application).
+
+    Rows here are whole texts, so Arrow batches of the default 10 000 rows are made smaller; a value that was set stays.
+    """
+    if spark.conf.get(ARROW_ROWS) == "10000":
+        spark.conf.set(ARROW_ROWS, "1024")
     sc = spark.sparkContext
     if getattr(sc, "_mnemara_shipped", False):
         return
@@ -73,7 +84,7 @@ def without_rows(keyed: DataFrame, gone: DataFrame, keys: list[str]) -> DataFram
 
     ``gone`` is written once; if it is small it is broadcast, so no text is shuffled.
     """
-    gone = materialise(gone.select(*keys).distinct(), "gone")
+    gone = materialise(gone.select(*keys).distinct(), "gone", narrow=True)
     few = rows_of(gone) <= MAX_BROADCAST_KEYS
     same = F.lit(True)
     for k in keys:

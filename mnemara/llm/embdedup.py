@@ -183,7 +183,7 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = THRESHOLD, til
         .join(named, "cid", "left")
         .select("h1", "h2", "n", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("_links"), F.coalesce("least", "rep").alias("_component"))
     )
-    label = materialise(label, "label")
+    label = materialise(label, "label", narrow=True)
     keyed = rows.select("vec_id", F.col("v").isNotNull().alias("_some"), *hashes)
     most = max(HOT, (classes.agg(F.sum("n")).first()[0] or 0) // HOT)
     hot = F.broadcast(label.where(F.col("n") > most).drop("n"))

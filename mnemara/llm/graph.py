@@ -34,7 +34,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     The number of rounds grows with the logarithm of the longest path.
     """
     work = materialise(
-        edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct(), "edges"
+        edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct(), "edges", narrow=True
     )
     seen = None
     for _ in range(max_rounds):
@@ -42,8 +42,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
         if check == seen or not check[0]:
             break
         seen = check
-        work = materialise(_large_star(work).where("u > v").distinct(), "edges")
-        work = materialise(_small_star(work).distinct(), "edges")
+        work = materialise(_large_star(work).where("u > v").distinct(), "edges", narrow=True)
+        work = materialise(_small_star(work).distinct(), "edges", narrow=True)
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = work.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()

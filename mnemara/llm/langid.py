@@ -157,7 +157,6 @@ def _with_counts(d: DataFrame, evidence: DataFrame, key: str, n: int, rows: int)
     each = evidence.where(F.col(key).isNotNull() & F.col("guess").isNotNull()).groupBy(F.col(key).alias(value), "guess").agg(F.count(F.lit(1)).cast("double").alias("n"))
     by_lang = each.groupBy(value).agg(F.map_from_entries(F.collect_list(F.struct("guess", "n"))).alias("m"), F.sum("n").alias("rows"))
     counts = by_lang.select(value, "rows", F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.coalesce(F.col("m")[i], F.lit(0.0))).alias(total))
-    counts = materialise(counts, f"counts_{key}")
     most = max(HOT, rows // HOT)
     d = d.join(F.broadcast(counts.where(F.col("rows") > most).select(value, F.col(total).alias(hot))), F.col(key) == F.col(value), "left").drop(value)
     spread = F.when(F.col(key).isNull() | F.col(hot).isNotNull(), 1 + F.pmod(F.xxhash64("ll"), F.lit(4096))).otherwise(0)

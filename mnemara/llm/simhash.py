@@ -312,7 +312,7 @@ def _with_least(prints: DataFrame, row: Column) -> DataFrame:
     nodes = prints.groupBy("fp").agg(F.min(row).alias("rep"), F.count(F.lit(1)).alias("n"))
     linked = components(links(nodes)).join(nodes, F.col("node") == F.col("fp"))
     smallest = linked.groupBy("component").agg(F.min("rep").alias("least"))
-    named = materialise(linked.join(smallest, "component").select(F.col("fp").alias("_fp"), "least"), "named")
+    named = materialise(linked.join(smallest, "component").select(F.col("fp").alias("_fp"), "least"), "named", narrow=True)
     label = nodes.join(named, F.col("fp") == F.col("_fp"), "left").select("fp", "n", F.coalesce("least", "rep").alias("component_id"))
     # At most HOT fingerprints have more than 1 / HOT of all rows; their labels are broadcast, so no copy group meets in one task.
     most = max(HOT, rows_of(prints) // HOT)
@@ -342,7 +342,7 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """
     prints = materialise(fingerprints(docs, digests=True), "prints")
     least = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
-    groups = materialise(_with_least(prints, least).withColumn("stays", least == F.col("component_id")), "groups")
+    groups = materialise(_with_least(prints, least).withColumn("stays", least == F.col("component_id")), "groups", narrow=True)
     d = docs.select(F.struct(*docs.columns).alias("doc"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"))
     kept = without_rows(d, groups.where("not stays"), ["doc_id", "text_hash"])
     repeated = groups.where("stays").groupBy("doc_id", "text_hash").count().where("count > 1").limit(1).count()

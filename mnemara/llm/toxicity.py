@@ -94,7 +94,7 @@ def training_ids(docs: DataFrame, labels: DataFrame) -> DataFrame:
             group = np.fromiter((sketch(t.as_py()) for t in b.column(3)), np.uint64, b.num_rows)
             yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(3)], pa.array(group.view(np.int64))], ["ex_id", "text_hash", "toxic", "_group"])
 
-    rows = _with_labels(docs, materialise(ids, "labelled"), ["ex_id"]).select("ex_id", "text_hash", "toxic", "text")
+    rows = _with_labels(docs, materialise(ids, "labelled", narrow=True), ["ex_id"]).select("ex_id", "text_hash", "toxic", "text")
     marks = rows.mapInArrow(mark, "ex_id long, text_hash long, toxic int, _group long")
     return marks.groupBy("_group", "toxic").agg(F.min(F.struct("ex_id", "text_hash")).alias("e")).select("e.ex_id", "e.text_hash", "toxic")
 
@@ -166,7 +166,7 @@ def features(docs: DataFrame, ids: DataFrame) -> list[tuple[str, int]]:
         .agg(F.sum("df").alias("df"), F.sum("hit").alias("hit"))
         .where(f"df >= {MIN_SUPPORT}")
     )
-    counts = materialise(counts, "terms")
+    counts = materialise(counts, "terms", narrow=True)
     least = MIN_G2 + 2 * math.log(max(1, rows_of(counts)))
     p, hit, df = toxic / total, F.col("hit"), F.col("df")
 
@@ -309,7 +309,7 @@ class Model:
 def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) -> Model:
     """The model; the significant terms, and sparse vectors of ``max_examples`` examples and of ``K`` a term, reach the driver."""
     ship(docs.sparkSession)
-    ids = materialise(training_ids(docs, labels), "examples")
+    ids = materialise(training_ids(docs, labels), "examples", narrow=True)
     vocabulary = features(docs, ids)
     total = ids.agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("t")).first()
     n, toxic = total["n"], total["t"] or 0
@@ -330,7 +330,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) ->
     whole = rows_of(docs)
     idf = [math.log((1 + whole) / (1 + df.get(i, 0))) + 1 for i in range(len(vocabulary))]
     with_terms = found.join(ids, ["ex_id", "text_hash"]).dropDuplicates(["ex_id", "text_hash"]).withColumn("hash", F.xxhash64("ex_id"))
-    with_terms = materialise(with_terms, "with_terms")
+    with_terms = materialise(with_terms, "with_terms", narrow=True)
     some = with_terms.orderBy("hash", "ex_id", "text_hash").limit(max_examples)
     of_term = Window.partitionBy("term").orderBy("hash", "ex_id", "text_hash")
     first = with_terms.withColumn("term", F.explode("terms")).withColumn("no", F.row_number().over(of_term)).where(F.col("no") <= K)
