@@ -11,14 +11,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+HOT = 1000
+
+
 def exact_dedup(df: DataFrame, space: str, text: str, key: str) -> DataFrame:
-    """``key, kept, action``: the first of equal texts in a space is created, the others are unchanged.
+    """``key, kept, action``: the first of equal texts in a space is created, the others are unchanged; nulls are equal.
 
-    Texts are grouped by digest, so what is shuffled is small; a space with many copies is pre-aggregated.
+    Texts are grouped by digest, so what is shuffled is small. The at most ``HOT`` groups with more than 1 / ``HOT`` of all rows
+    are broadcast to their rows, so no group of copies meets in one task.
     """
-    d = df.select(F.col(key), F.col(space), F.sha2(F.col(text), 256).alias("_digest"))
-    first = d.groupBy(space, "_digest").agg(F.min(key).alias("kept"))
-    return d.join(first, [space, "_digest"]).select(key, "kept", F.when(F.col(key) == F.col("kept"), "created").otherwise("unchanged").alias("action"))
+    d = df.select(F.col(key).alias("_key"), F.col(space).alias("_space"), F.coalesce(F.sha2(F.col(text), 256), F.lit("")).alias("_digest"))
+    first = d.groupBy("_space", "_digest").agg(F.min("_key").alias("kept"), F.count(F.lit(1)).alias("_n"))
+    most = max(HOT, d.count() // HOT)
+    same = F.col("d._space").eqNullSafe(F.col("f._space")) & (F.col("d._digest") == F.col("f._digest"))
+    hot = F.broadcast(first.where(F.col("_n") > most)).alias("f")
+    rest = d.alias("d").join(hot, same, "left_anti").alias("d").join(first.where(F.col("_n") <= most).alias("f"), same)
+    met = d.alias("d").join(hot, same).select("_key", "kept").unionByName(rest.select("_key", "kept"))
+    return met.select(F.col("_key").alias(key), "kept", F.when(F.col("_key") == F.col("kept"), "created").otherwise("unchanged").alias("action"))
 
 
 def version_windows(df: DataFrame) -> DataFrame:

@@ -103,6 +103,14 @@ def test_sweep_is_idempotent_and_undo_clears(spark):
     assert undone.where("is_forgotten or forget_reason is not null or forget_after is not null").count() == 0
 
 
+def test_exact_copies_with_hot_groups_and_nulls(spark, monkeypatch):
+    monkeypatch.setattr(lifecycle, "HOT", 5)
+    rows = [(i, "s", "copy") for i in range(20)] + [(30, "s", "a"), (31, "t", "a"), (32, None, "a"), (33, None, "a"), (34, "s", None), (35, "s", None), (36, "s", "")]
+    got = {r["id"]: (r["kept"], r["action"]) for r in lifecycle.exact_dedup(spark.createDataFrame(rows, "id long, space string, text string"), "space", "text", "id").collect()}
+    assert len(got) == len(rows) and all(got[i] == (0, "unchanged" if i else "created") for i in range(20))
+    assert [got[i][0] for i in range(30, 37)] == [30, 31, 32, 32, 34, 34, 36]
+
+
 def test_supersede_fold(spark):
     v = [(s, i, [float(y) for y in x]) for s, i, x in ((1, 1, (1, 0, 0, 0)), (1, 2, (0.95, 0.312, 0, 0)), (1, 3, (0, 1, 0, 0)), (2, 4, (1, 0, 0, 0)))]
     out = {r["id"]: r for r in lifecycle.supersede_fold(spark.createDataFrame(v, "space long, id long, v array<double>"), [0.9]).collect()}
