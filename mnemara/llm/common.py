@@ -58,7 +58,7 @@ def ship(spark: SparkSession) -> None:
     Rows here are whole texts, so Arrow batches of the default 10 000 rows are made smaller; a value that was set stays.
     """
     if spark.conf.get(ARROW_ROWS) == "10000":
-        spark.conf.set(ARROW_ROWS, "1024")
+        spark.conf.set(ARROW_ROWS, "2048")
     sc = spark.sparkContext
     if getattr(sc, "_mnemara_shipped", False):
         return

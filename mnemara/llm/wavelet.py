@@ -35,7 +35,7 @@ END_ID = 1
 RANK_BITS = 512
 CACHE_WORDS = 600_000
 CACHE_RUNS = 200_000
-DOCS_AT_ONCE = 1024
+DOCS_AT_ONCE = 2048
 
 
 class ChunkEncoder:
