@@ -181,10 +181,13 @@ def keyword_hits(data: DataFrame, queries: DataFrame, n: int) -> DataFrame:
         here = F.lit(False)
         for w in few:
             here = here | F.lower("text").contains(w)
-        data = data.where(here)
-        sets = F.broadcast(sets)
+        data, sets = data.where(here), F.broadcast(sets)
     d = data.select("id", tx.tokens("text").alias("_t")).withColumn("_s", F.concat(F.lit(" "), F.array_join("_t", " "), F.lit(" ")))
-    d = d.withColumn("key", F.explode(F.array_distinct("_t"))).join(sets, "key")
+    if len(few) <= FEW_KEYS:
+        keys = F.array(*[F.lit(w) for w in few]).cast("array<string>")
+        d = d.withColumn("key", F.explode(F.array_intersect(keys, F.col("_t")))).join(sets, "key")
+    else:  # rows and queries meet by words alone, and texts join what is left
+        d = d.select("id", F.explode(F.array_distinct("_t")).alias("key")).join(sets, "key").join(d, "id")
     d = d.where(F.forall("items", lambda i: F.contains(F.col("_s"), i["phrase"]) == i["wanted"]))
     score = F.round(F.size(F.filter("_t", lambda t: F.array_contains(F.col("wanted"), t))) / F.size("_t"), 6)
     d = d.groupBy(F.col("query_id").cast("long").alias("query_id"), "id").agg(F.max(score).alias("score"))

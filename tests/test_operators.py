@@ -59,6 +59,11 @@ def test_keyword_queries(spark):
 
     assert ids("XK-42-BETA") == [1] and ids('"target phrase"') == [2] and ids("target -zebra") == [3]
     assert ids("zebra or deploy") == [2, 1] and ids("&&& |||") == [] and ids("") == []
+    many = spark.createDataFrame([(i, w) for i, w in enumerate(["target", '"target phrase"', "zebra or live -code", "nothing", "target -zebra"] * 5)], "query_id long, text string")
+    few = {(r["query_id"], r["id"], r["rank"]) for r in retrieval.keyword_hits(docs, many, 2).collect()}
+    retrieval.FEW_KEYS, kept = 0, retrieval.FEW_KEYS
+    assert {(r["query_id"], r["id"], r["rank"]) for r in retrieval.keyword_hits(docs, many, 2).collect()} == few and len(few) == 25
+    retrieval.FEW_KEYS = kept
 
 
 def test_fusion_prefers_priority_on_ties(spark):
