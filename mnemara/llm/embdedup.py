@@ -82,8 +82,19 @@ _TILE_COLUMNS = ["cids", "counts", "vectors", "codes", "scales", "errors"]
 def make_tiles(classes: DataFrame, tile: int = TILE) -> DataFrame:
     """Rows of up to ``tile`` classes, numbered from 0; ``classes`` is a written table of ``cid, n, v`` with vectors of one length a tile."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Batches of a tile's rows at least, but for the last."""
+        held: list[pa.RecordBatch] = []
         for b in batches:
+            held.append(b)
+            if sum(x.num_rows for x in held) >= tile:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held = []
+        if any(x.num_rows for x in held):
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in gathered(batches):
             cid, n = b.column(0).to_numpy(), b.column(1).to_numpy()
             length = np.asarray(b.column(2).value_lengths())
             flat = b.column(2).flatten().to_numpy(zero_copy_only=False)
