@@ -1,25 +1,30 @@
 """Licence scans: normalised text against licence templates by Dice coefficient over word bigrams.
 
 Units of a document are its whole text, its paragraphs, lines and sentences, and runs of consecutive pieces (pieces end at
-a newline or a sentence's end), so a notice of several paragraphs or a wrapped sentence inside a longer text is found. Runs
-have at most twice as many words as the largest size that a template admits. A unit and a template are sets of word
-bigrams of lower-case text without signs; a unit matches if ``2 |A n B| / (|A| + |B|) >= threshold``.
+a newline or a sentence's end), so a notice of several paragraphs or a wrapped sentence inside a longer text is found. A
+run that is held against a template has at most twice as many words as the largest size that this template admits. A unit
+and a template are sets of word bigrams of lower-case text without signs; a unit matches if ``2 |A n B| / (|A| + |B|) >=
+threshold``.
 
 Pruning loses nothing:
 
 * Size bounds. Dice of at least t needs ``t / (2 - t) <= |A| / |B| <= (2 - t) / t``. Each template lists the sizes it
   admits, so candidate templates of a unit are an equi-join on its number of bigrams (the list is as bounded as the
   templates are, and is broadcast).
-* Key words. Dice of at least t also needs ``|A n B| >= t / (2 - t) |B|``. Each template has key words that touch more
-  than the remaining share of its bigrams, so a unit without any of them cannot match, and a document without
-  any is dropped before it is cut into units.
+* Shared bigrams. Dice of at least t also needs ``|A n B| >= t / (2 - t) |B|``. Every unit's bigrams are among those of the
+  whole text, so a document goes on only with the templates of which its whole text holds that share.
+* Key words. Each template has key words that touch more than the remaining share of its bigrams, so a text without any
+  of them cannot match; this is looked up first, as it is cheap.
+* Dense places. A run without a template's bigram in its first piece is no better than the run after this piece, so runs
+  start only where a template's bigrams begin, and only where as many as it needs follow within its bound on words.
 
-Everything is DataFrame expressions.
+Everything is DataFrame expressions; what passes the whole-text test is written once and read by units and runs.
 
 Edge cases: null and empty texts match nothing, nor do units of one word; a document's equal units count once, and overlapping
 runs as one unit of a licence that no other unit matches; ties
-between templates of one licence give one row; repeated rows give their result once an id; an empty table gives an
-empty one.
+between templates of one licence give one row; a very long text costs time in proportion to its length and to the dense
+places in it; repeated rows give their result once an id; other columns, whatever their names, aren't looked at; an empty
+table gives an empty one.
 """
 
 from __future__ import annotations
@@ -30,7 +35,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemara.llm.common import table
+from mnemara.llm.common import materialise, table
 
 THRESHOLD = 0.8
 
@@ -72,17 +77,23 @@ def size_bounds(n: int, threshold: float) -> tuple[int, int]:
     return math.ceil(n * threshold / (2 - threshold) - 1e-9), math.floor(n * (2 - threshold) / threshold + 1e-9)
 
 
+#: Words too common in prose to tell a licence by; used as key words only where nothing else is left.
+COMMON = frozenset("a all and any are as at be by for from in is it may not of on or other out that the this to under use with without work you your".split())
+
+
 def key_words(bigrams: list[str], threshold: float) -> list[str]:
-    """Words that touch so many bigrams that no matching unit is without all of them; long words first, as they are rare."""
+    """Words that touch so many bigrams that no matching unit is without all of them: few and uncommon ones."""
     spare = len(bigrams) * (1 - threshold / (2 - threshold))
-    left, keys = set(bigrams), []
-    for w in sorted({w for b in bigrams for w in b.split()}, key=lambda w: (-len(w), w)):
-        if len(bigrams) - len(left) > spare + 1e-9:
-            break
-        touched = {b for b in left if w in b.split()}
-        if touched:
+    touches = {}
+    for b in bigrams:
+        for w in b.split():
+            touches.setdefault(w, set()).add(b)
+    hit, keys = set(), []
+    while len(hit) <= spare + 1e-9 and touches:
+        w = max(touches, key=lambda w: (w not in COMMON, len(touches[w] - hit) * min(len(w), 8), w))
+        if gained := touches.pop(w) - hit:
             keys.append(w)
-            left -= touched
+            hit |= gained
     return keys
 
 
@@ -95,26 +106,13 @@ def units(text: Column) -> Column:
     return F.concat(F.array(text), F.split(text, r"\n[ \t\r]*\n"), F.split(text, r"\n"), F.split(sentences, r"\n"))
 
 
-def pieces(text: Column, keys: Column) -> Column:
-    """The normalised pieces of a text between newlines and sentence ends, with their number of words and whether a key word is among them."""
-    ends = F.split(F.regexp_replace(text, r"([.!?])\s+", "$1\n"), r"\n")
-    filled = F.filter(F.transform(ends, normalise), lambda p: p != "")
-    return F.transform(filled, lambda p: F.struct(p.alias("text"), F.size(F.split(p, " ")).alias("n"), F.arrays_overlap(F.split(p, " "), keys).alias("key")))
-
-
-def runs(at: Column, least: int, most: int) -> Column:
-    """Runs of two or more pieces (column ``pieces``) from place ``at`` on, of ``least`` to ``most`` words, a key word among them."""
-    start = F.struct(F.lit("").alias("text"), F.lit(0).alias("n"), F.lit(False).alias("key"), F.array().cast("array<string>").alias("runs"))
+END = "\n"
 
-    def longer(run: Column, piece: Column) -> Column:
-        n, key, text = run["n"] + piece["n"], run["key"] | piece["key"], F.ltrim(F.concat(run["text"], F.lit(" "), piece["text"]))
-        found = F.when((run["n"] > 0) & key & (n >= least), F.concat(run["runs"], F.array(text))).otherwise(run["runs"])
-        on = F.struct(text.alias("text"), n.alias("n"), key.alias("key"), found.alias("runs"))
-        full = F.struct(F.lit("").alias("text"), F.lit(most + 1).alias("n"), run["key"].alias("key"), run["runs"].alias("runs"))
-        return F.when(n <= most, on).otherwise(full)
 
-    # Every piece has a word, so no run has more than `most` pieces.
-    return F.aggregate(F.slice("pieces", at, most), start, longer, lambda r: r["runs"])
+def tokens(text: Column) -> Column:
+    """The normalised words of a text, with ``END`` after every piece."""
+    ended = F.regexp_replace(F.regexp_replace(F.lower(text), r"([.!?])\s+", "$1\n"), r"[^\p{L}\p{N}\n]+", " ")
+    return F.split(F.concat(F.btrim(F.regexp_replace(ended, r" ?(?:\n ?)+", " \n "), F.lit(" \n")), F.lit(" \n")), " ")
 
 
 def bigram_set(words: Column) -> Column:
@@ -138,33 +136,85 @@ def template_table(spark: SparkSession, templates=TEMPLATES, threshold: float =
     )
 
 
+def _held(grams: Column, templates: Column) -> Column:
+    """The ``templates`` of which the distinct bigrams of a text hold as many as a match needs."""
+    enough = F.transform(F.array(grams), lambda g: F.filter(templates, lambda t: F.size(F.array_intersect(g, t["grams"])) >= t["need"]))
+    return F.flatten(enough)
+
+
+def survivors(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+    """``doc_id, text, held``: texts that can match, with the templates (``license, need, cap, grams``) that they can match."""
+    grams = [template_bigrams(t) for _, t in templates]
+    keys = sorted({w for g in grams for w in key_words(g, threshold)})
+    known = F.array(*[F.struct(
+        F.lit(name).alias("license"), F.lit(size_bounds(len(g), threshold)[0]).alias("need"), F.lit(2 * (size_bounds(len(g), threshold)[1] + 1)).alias("cap"), F.array(*map(F.lit, g)).alias("grams")
+    ) for (name, _), g in zip(templates, grams, strict=True)])
+    every = F.array(*map(F.lit, sorted({x for g in grams for x in g})))
+    words = F.split(normalise(F.col("text")), " ")
+    return (
+        docs.select("doc_id", "text")
+        .where(F.col("text").isNotNull() & F.arrays_overlap(words, F.array(*map(F.lit, keys))))
+        .withColumn("held", _held(F.array_intersect(bigram_set(words), every), known))
+        .where(F.size("held") > 0)
+    )
+
+
+def run_scores(held: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """``doc_id, license, dice`` of the runs of two or more pieces that reach the threshold, from what ``survivors`` gives.
+
+    Each step ends in an explode, so what is computed once isn't computed again by the next.
+    """
+    def next_word(i: Column) -> Column:
+        follows = F.get("w", i + 1)
+        return F.when(follows == END, F.get("w", i + 2)).otherwise(follows)
+
+    grams = F.transform("w", lambda x, i: F.when(x != END, F.concat(x, F.lit(" "), next_word(i))))
+    read = held.select("doc_id", "held", F.explode(F.array(tokens(F.col("text")))).alias("w"))
+    each = read.select("doc_id", "held", "w", F.explode(F.array(grams)).alias("grams")).select("doc_id", "w", "grams", F.explode("held").alias("t"))
+    own = F.transform("grams", lambda x, i: F.when(F.array_contains("t.grams", x), i))
+    hits = each.select("doc_id", "t", "w", F.explode(F.array(F.filter(own, lambda i: i.isNotNull()))).alias("hits"))
+    # Places of the template's bigrams after which as many as it needs follow within its bound (a word has at most one END).
+    dense = F.filter("hits", lambda p, k: F.get("hits", k + F.col("t.need") - 1) - p <= 2 * F.col("t.cap"))
+    anchors = hits.select("doc_id", "t", "w", F.explode(F.array(dense)).alias("dense")).where(F.size("dense") > 0)
+
+    def start_before(p: Column) -> Column:
+        """Where the piece around a place begins, null if this is farther back than a run reaches."""
+        low = F.greatest(F.lit(0), p - 2 * F.col("t.cap"))
+        back = F.array_position(F.reverse(F.slice("w", low + 1, p - low)), END)
+        return F.when(back > 0, p - back.cast("int") + 1).when(low == 0, 0)
+
+    starts = F.filter(F.array_distinct(F.transform("dense", start_before)), lambda s: s.isNotNull())
+    placed = anchors.select("doc_id", "t", "w", F.explode(F.array(starts)).alias("starts"))
+    windows = placed.select("doc_id", "t", F.explode(F.transform("starts", lambda s: F.slice("w", s + 1, 2 * F.col("t.cap")))).alias("w"))
+    ends = F.filter(F.transform("w", lambda x, i: F.when(x == END, i)), lambda i: i.isNotNull())
+    runs = windows.select("doc_id", "t", "w", F.explode(ends).alias("end")).select("doc_id", "t", "end", F.slice("w", 1, F.col("end")).alias("w"))
+    words = runs.where(F.array_contains("w", END)).select("doc_id", "t", F.explode(F.array(F.filter("w", lambda x: x != END))).alias("words"))
+    sized = words.where(F.size("words") <= F.col("t.cap")).select("doc_id", "t", F.explode(F.array(bigram_set(F.col("words")))).alias("bigrams"))
+    dice = 2 * F.size(F.array_intersect("bigrams", "t.grams")) / (F.size("bigrams") + F.size("t.grams"))
+    return sized.select("doc_id", "t.license", dice.alias("dice")).where(F.col("dice") >= threshold)
+
+
 def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """``doc_id, license, dice, n_units``: the licences of each document, with the best match and how many different units match."""
-    keys = sorted({w for _, t in templates for w in key_words(template_bigrams(t), threshold)})
-    d = docs.select("doc_id", "text").where(F.col("text").isNotNull())
-    d = d.where(F.arrays_overlap(F.split(normalise(F.col("text")), " "), F.array(*[F.lit(k) for k in keys])))
-    has_key = F.array(*[F.lit(k) for k in keys])
-    bounds = [size_bounds(len(template_bigrams(t)), threshold) for _, t in templates]
-    least, most = min(b[0] for b in bounds) + 1, 2 * (max(b[1] for b in bounds) + 1)
-    plain = d.select("doc_id", F.explode(F.array_distinct(F.transform(units(F.col("text")), normalise))).alias("unit"))
-    starts = d.select("doc_id", pieces(F.col("text"), has_key).alias("pieces")).where(F.size("pieces") > 1)
-    starts = starts.select("doc_id", "pieces", F.explode(F.sequence(F.lit(1), F.size("pieces") - 1)).alias("at"))
-    longer = starts.select("doc_id", F.explode(runs(F.col("at"), least, most)).alias("unit"))
+    keys = F.array(*map(F.lit, sorted({w for _, t in templates for w in key_words(template_bigrams(t), threshold)})))
+    held = materialise(survivors(docs, templates, threshold), "licensed")
     u = (
-        plain.withColumn("run", F.lit(False))
-        .unionByName(longer.withColumn("run", F.lit(True)))
-        .withColumn("words", F.split("unit", " "))
-        .where(F.arrays_overlap("words", has_key))
-        .withColumn("bigrams", bigram_set(F.col("words")))
+        held.select("doc_id", F.explode(F.array_distinct(F.transform(units(F.col("text")), normalise))).alias("unit"))
+        .select("doc_id", "unit", F.explode(F.array(F.split("unit", " "))).alias("words"))
+        .where(F.arrays_overlap("words", keys))
+        .select("doc_id", "unit", F.explode(F.array(bigram_set(F.col("words")))).alias("bigrams"))
         .withColumn("size", F.size("bigrams"))
     )
     dice = 2 * F.size(F.array_intersect("bigrams", "t_bigrams")) / (F.col("size") + F.size("t_bigrams"))
-    return (
+    of_units = (
         u.join(F.broadcast(template_table(docs.sparkSession, templates, threshold)), "size")
-        .withColumn("dice", dice)
+        .select("doc_id", "license", dice.alias("dice"), "unit")
         .where(F.col("dice") >= threshold)
+    )
+    return (
+        of_units.unionByName(run_scores(held, threshold).withColumn("unit", F.lit(None).cast("string")))
         .groupBy("doc_id", "license")
-        .agg(F.round(F.max("dice"), 6).alias("dice"), F.greatest(F.lit(1), F.countDistinct(F.when(~F.col("run"), F.col("unit")))).cast("long").alias("n_units"))
+        .agg(F.round(F.max("dice"), 6).alias("dice"), F.greatest(F.lit(1), F.countDistinct("unit")).cast("long").alias("n_units"))
     )
 
 
