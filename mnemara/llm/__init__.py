@@ -4,7 +4,7 @@ from __future__ import annotations
 
 
 def queries():
-    from mnemara.llm import chat, embdedup, langid, licenses, mixing, mtree, nbest, simhash, toxicity, wavelet
+    from mnemara.llm import chat, embdedup, langid, licenses, mixing, mtree, nbest, simhash, toxicity, wavelet, whitening
 
     return {
         "op1_wavelet": wavelet.op1_wavelet,
@@ -17,6 +17,7 @@ def queries():
         "op8_embedding_dedup": embdedup.op8_embedding_dedup,
         "op9_chat_format": chat.op9_chat_format,
         "op10_toxicity": toxicity.op10_toxicity,
+        "op13_whitening": whitening.op13_whitening,
     }
 
 
