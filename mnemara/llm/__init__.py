@@ -4,7 +4,7 @@ from __future__ import annotations
 
 
 def queries():
-    from mnemara.llm import chat, embdedup, langid, licenses, mixing, mtree, nbest, simhash, toxicity, wavelet, whitening
+    from mnemara.llm import chat, decontam, embdedup, langid, licenses, mixing, mtree, nbest, simhash, toxicity, wavelet, whitening
 
     return {
         "op1_wavelet": wavelet.op1_wavelet,
@@ -17,12 +17,13 @@ def queries():
         "op8_embedding_dedup": embdedup.op8_embedding_dedup,
         "op9_chat_format": chat.op9_chat_format,
         "op10_toxicity": toxicity.op10_toxicity,
+        "op11_decontamination": decontam.op11_decontamination,
         "op13_whitening": whitening.op13_whitening,
     }
 
 
 def oracle_sql():
-    from mnemara.llm import chat, embdedup, licenses, mixing, mtree
+    from mnemara.llm import chat, decontam, embdedup, licenses, mixing, mtree
 
     return {
         "op2_mix": mixing.OP2_SQL,
@@ -30,4 +31,5 @@ def oracle_sql():
         "op7_mtree": mtree.OP7_SQL,
         "op8_embedding_dedup": embdedup.OP8_SQL,
         "op9_chat_format": chat.OP9_SQL,
+        "op11_decontamination": decontam.OP11_SQL,
     }
