@@ -4,7 +4,7 @@ from __future__ import annotations
 
 
 def queries():
-    from mnemara.llm import chat, decontam, embdedup, langid, licenses, mixing, mtree, nbest, simhash, toxicity, wavelet, whitening
+    from mnemara.llm import chat, colloc, decontam, embdedup, langid, licenses, mixing, mtree, nbest, simhash, toxicity, wavelet, whitening
 
     return {
         "op1_wavelet": wavelet.op1_wavelet,
@@ -18,12 +18,13 @@ def queries():
         "op9_chat_format": chat.op9_chat_format,
         "op10_toxicity": toxicity.op10_toxicity,
         "op11_decontamination": decontam.op11_decontamination,
+        "op12_collocations": colloc.op12_collocations,
         "op13_whitening": whitening.op13_whitening,
     }
 
 
 def oracle_sql():
-    from mnemara.llm import chat, decontam, embdedup, licenses, mixing, mtree
+    from mnemara.llm import chat, colloc, decontam, embdedup, licenses, mixing, mtree
 
     return {
         "op2_mix": mixing.OP2_SQL,
@@ -32,4 +33,5 @@ def oracle_sql():
         "op8_embedding_dedup": embdedup.OP8_SQL,
         "op9_chat_format": chat.OP9_SQL,
         "op11_decontamination": decontam.OP11_SQL,
+        "op12_collocations": colloc.OP12_SQL,
     }
