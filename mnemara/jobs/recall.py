@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mnemara.functions import vectors as vec
-from mnemara.operators import evaluate, retrieval
+from mnemara.operators import ann, evaluate, postings, retrieval
 from mnemara.sources.tables import label_queries, memories, memory_rows, table, turn_chunks, vectors
 
 LIMIT = 10
 FLOOR = 0.1
 KEYWORDS = 'the -moron "of the" or der und or les des'
+NEGATION = '-the -"of und" or les des'
 KEYWORDS_A = 'the -moron "of the" or der und'
 KEYWORDS_B = "les des or la"
 NOW = "2026-01-01"
@@ -127,16 +128,57 @@ def near_dup_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def exact_vs_pruned_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Recall at 10 by exact search over all vectors, by a search of the query's own half of them, and their difference."""
+    """Recall at 10 by exact search over all vectors, and how a search of the approximate index compares: whether it finds nine of ten
+    of the exact search's rows for all vectors as queries, and whether its recall at 10 is within 0.1."""
     v, q = vectors(spark, sf_dir), label_queries(spark, sf_dir)
     gold = v.select("id", "label")
+    lists = ann.Lists.build(v)
 
-    def recall(data: DataFrame, name: str) -> DataFrame:
-        hits = retrieval.vector_leg(data, q, LIMIT, skip_own=True).join(gold, "id").withColumn("gold", F.col("label") == F.col("query_id"))
+    def recall(hits: DataFrame, name: str) -> DataFrame:
+        hits = hits.join(gold, "id").withColumn("gold", F.col("label") == F.col("query_id"))
         return evaluate.score_rankings(hits).select(F.lit(1).alias("k"), F.col("recall_10").alias(name))
 
-    both = recall(v, "exact").join(recall(v.where("id % 2 = 0"), "pruned"), "k")
-    return both.select("exact", "pruned", F.round(F.abs(F.col("exact") - F.col("pruned")), 6).alias("delta"))
+    own = q.select("query_id", F.col("own_id").alias("id"))
+    pruned = lists.search(q, LIMIT + 1).join(own, ["query_id", "id"], "left_anti")
+    pruned = retrieval.ranked(pruned.drop("rank"), ["query_id"], [F.desc("similarity"), F.col("id")], LIMIT)
+    every = _all_queries(spark, sf_dir).select("query_id", "q")
+    found = ann.recalled(lists.search(every, LIMIT), retrieval.nearest(v, every, LIMIT)).agg((F.avg("recall") >= 0.9).alias("recalled"))
+    both = recall(retrieval.vector_leg(v, q, LIMIT, skip_own=True), "exact").join(recall(pruned, "pruned"), "k")
+    return both.select("exact", (F.abs(F.col("exact") - F.col("pruned")) <= 0.1).alias("close")).join(found)
+
+
+def approximate_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By label, the share of each vector's ten nearest that the approximate index finds."""
+    v, every = vectors(spark, sf_dir), _all_queries(spark, sf_dir).select("query_id", "q")
+    each = ann.recalled(ann.Lists.build(v).search(every, LIMIT), retrieval.nearest(v, every, LIMIT))
+    return each.join(v.select(F.col("id").alias("query_id"), "label"), "query_id").groupBy("label").agg(F.round(F.avg("recall"), 6).alias("recall"), F.count(F.lit(1)).alias("n"))
+
+
+def approximate_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Filtered approximate searches that begin with one list: as many rows as the limit asks for, all of which pass the filter."""
+    lists = ann.Lists.build(vectors(spark, sf_dir))
+    passes = (F.col("label") % 5 == 0) & (F.col("id") % 3 == 0)
+    found = lists.search(_all_queries(spark, sf_dir).select("query_id", "q"), LIMIT, passes, probes=1)
+    met = found.join(vectors(spark, sf_dir).select("id", passes.alias("passes")), "id")
+    return met.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.bool_and("passes").alias("passes"))
+
+
+def keyword_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``keyword_topk`` from postings alone."""
+    one = spark.createDataFrame([(0, KEYWORDS)], "query_id long, text string")
+    return postings.Index.build(memories(spark, sf_dir)).search(one, 50).drop("query_id")
+
+
+def keyword_negation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What holds none of some words and phrases, or both of two others, by a scan."""
+    return retrieval.keyword_leg(memories(spark, sf_dir), NEGATION, 50).drop("query_id")
+
+
+def recall_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``recall_memories`` with the keyword leg from an index of all versions."""
+    rows = memory_rows(spark, sf_dir)
+    options = retrieval.Recall.asked(4, threshold=FLOOR, tag="en")
+    return retrieval.search_memories(rows, _recall_queries(spark, sf_dir), options, _now(), postings.Index.build(rows.select("id", "text"))).select(_COLUMNS)
 
 
 def _recall_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -268,7 +310,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         vector_topk, vector_topk_floor, vector_topk_batch, tag_scoped_vector, keyword_topk, rrf_hybrid, rrf_hybrid_decay, cross_query_merge,
-        hybrid_two_types, mmr_rerank, eval_recall_mrr, similarity_stats, nearest_other_label, near_dup_pairs, exact_vs_pruned_delta, recall_memories,
+        hybrid_two_types, mmr_rerank, eval_recall_mrr, similarity_stats, nearest_other_label, near_dup_pairs, exact_vs_pruned_delta, approximate_recall, approximate_filtered, keyword_index_topk, keyword_negation, recall_indexed, recall_memories,
         recall_as_of, recall_diverse, recall_chunks, recall_hybrid, model_guard, vector_round_trip,
     )
 }
@@ -305,12 +347,15 @@ SELECT id, min(other) FILTER (r = 1) AS nearest, min(s) FILTER (r = 1) AS simila
     "near_dup_pairs": f"""WITH {_V} SELECT a.id AS a, b.id AS b, round(list_cosine_similarity(a.e, b.e), 6) AS similarity,
   row_number() OVER (PARTITION BY a.id ORDER BY round(list_cosine_similarity(a.e, b.e), 6) DESC, b.id)::INTEGER AS rank FROM v a, v b
 WHERE a.id <> b.id AND round(list_cosine_similarity(a.e, b.e), 6) >= 0.9 QUALIFY rank <= 5""",
-    "exact_vs_pruned_delta": f"""WITH {_V}, {_QL}, s AS (SELECT query_id, id, label, {_SIM} AS s FROM v, q WHERE id <> own_id),
-  x AS (SELECT query_id, label = query_id AS gold, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS r FROM s QUALIFY r <= 10),
-  y AS (SELECT query_id, label = query_id AS gold, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS r FROM s WHERE id % 2 = 0 QUALIFY r <= 10),
-  e AS (SELECT round(avg(CASE WHEN hit THEN 1.0::DOUBLE ELSE 0 END), 6) AS e FROM (SELECT bool_or(gold) AS hit FROM x GROUP BY query_id)),
-  p AS (SELECT round(avg(CASE WHEN hit THEN 1.0::DOUBLE ELSE 0 END), 6) AS p FROM (SELECT bool_or(gold) AS hit FROM y GROUP BY query_id))
-SELECT e AS exact, p AS pruned, round(abs(e - p), 6) AS delta FROM e, p""",
+    "exact_vs_pruned_delta": f"""WITH {_V}, {_QL},
+  x AS (SELECT query_id, label = query_id AS gold FROM v, q WHERE id <> own_id QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY {_SIM} DESC, id) <= 10)
+SELECT round(avg(CASE WHEN hit THEN 1.0::DOUBLE ELSE 0 END), 6) AS exact, true AS close, true AS recalled FROM (SELECT bool_or(gold) AS hit FROM x GROUP BY query_id)""",
+    "approximate_filtered": f"""WITH {_V}, n AS (SELECT least({LIMIT}, count(*))::BIGINT AS n FROM v WHERE label % 5 = 0 AND id % 3 = 0) SELECT id AS query_id, n, true AS passes FROM v, n WHERE n > 0""",
+    "keyword_index_topk": f"SELECT id, score, rank FROM {_keyword_sql(_DOCS, 50)}",
+    "keyword_negation": f"""SELECT id, score, row_number() OVER (ORDER BY score DESC, id)::INTEGER AS rank FROM (
+  SELECT id, CASE WHEN len(t) = 0 THEN 0 ELSE round(len(list_filter(t, lambda x: x IN ('les', 'des')))::DOUBLE / len(t), 6) END AS score
+  FROM (SELECT id, t, ' ' || array_to_string(t, ' ') || ' ' AS s FROM (SELECT id, {_TOK} AS t FROM {_DOCS}))
+  WHERE NOT contains(s, ' the ') AND NOT contains(s, ' of und ') OR contains(s, ' les ') AND contains(s, ' des ')) QUALIFY rank <= 50""",
     "recall_memories": f"""WITH {_MEMORIES}, {_ASKED}, seen AS (SELECT * FROM m WHERE is_latest AND NOT is_forgotten AND (forget_after IS NULL OR forget_after > TIMESTAMP '{NOW}') AND tag = 'en'),
 {_recall_legs("seen", 60)}, {_recall_fused("seen")}
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, p DESC, id)::INTEGER AS rank, id, version, similarity, score FROM fused QUALIFY rank <= 4""",
@@ -331,3 +376,4 @@ SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY f DESC, prio
     "vector_round_trip": f"""WITH {_V}, c AS (SELECT id, e[1:32] AS h FROM v), n AS (SELECT id, h, sqrt(list_sum(list_transform(h, lambda x: x * x))) AS n FROM c)
 SELECT id, 32 AS dim, 1.0::DOUBLE AS length, 1.0::DOUBLE AS same, round(h[1] / n, 6) AS first FROM n""",
 }
+SQL["recall_indexed"] = SQL["recall_memories"]

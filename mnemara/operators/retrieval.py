@@ -30,6 +30,10 @@ QUERIES_A_BLOCK = 512
 ROWS_A_BLOCK = 2048
 MAX_BROADCAST_BLOCKS = 20
 FEW_KEYS = 16
+MAX_HELD_QUERIES = 10_000
+#: Query sets that are broadcast at most; beyond that rows and sets are shuffled, both split by ``SPLIT``.
+MAX_BROADCAST_SETS = 20_000
+SPLIT = 16
 
 
 def ranked(df: DataFrame, by: list[str], order: list[Column], n: int) -> DataFrame:
@@ -86,9 +90,17 @@ def nearest(data: DataFrame, queries: DataFrame, n: int, floor: float | None = N
     count. With ``apart``, rows whose ``tag`` is the query's are left out.
     """
     fill = [] if apart else [F.lit(0).alias("tag")]
-    met = blocks_met(data.select("*", *fill), queries.select("*", *fill))
+    return ranked(scored(blocks_met(data.select("*", *fill), queries.select("*", *fill)), n, floor, apart), ["query_id"], [F.desc("similarity"), F.col("id")], n)
+
+
+def scored(met: DataFrame, n: int, floor: float | None = None, apart: bool = False) -> DataFrame:
+    """``query_id, id, similarity`` of what may be among each query's ``n`` nearest, from blocks of rows and queries side by side.
+
+    A task keeps the k-th score that it has seen of a query so far, and passes on nothing that is below it.
+    """
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, np.ndarray] = {}  # of the queries seen last: their n largest scores
         for b in batches:
             for r in range(b.num_rows):
                 (ids, tags, x), (q_ids, q_tags, q) = _unpacked(b, r, 0), _unpacked(b, r, 3)
@@ -97,16 +109,22 @@ def nearest(data: DataFrame, queries: DataFrame, n: int, floor: float | None = N
                 s = q @ x.T
                 if apart:
                     s[q_tags[:, None] == tags] = -np.inf
-                least = np.full(len(q), -2.0) if s.shape[1] <= n else np.partition(s, s.shape[1] - n, axis=1)[:, s.shape[1] - n] - 2e-6  # ties after rounding
+                if len(best) > MAX_HELD_QUERIES:
+                    best.clear()
+                least = np.full(len(q), -2.0)
+                top = np.partition(s, s.shape[1] - n, axis=1)[:, -n:] if s.shape[1] > n else s
+                for k, query in enumerate(q_ids.tolist()):
+                    seen = np.concatenate([best[query], top[k]]) if query in best else top[k]
+                    seen = best[query] = np.partition(seen, len(seen) - n)[-n:] if len(seen) > n else seen
+                    if len(seen) == n:
+                        least[k] = seen.min() - 2e-6  # ties after rounding
                 if floor is not None:
                     least = np.maximum(least, floor - 1e-6)
                 i, j = np.nonzero(s >= np.maximum(least, -2.0)[:, None])
                 yield pa.RecordBatch.from_arrays([pa.array(q_ids[i]), pa.array(ids[j]), pa.array(s[i, j])], ["query_id", "id", "similarity"])
 
     found = met.mapInArrow(score, "query_id long, id long, similarity double").withColumn("similarity", F.round("similarity", 6))
-    if floor is not None:
-        found = found.where(F.col("similarity") >= floor)
-    return ranked(found, ["query_id"], [F.desc("similarity"), F.col("id")], n)
+    return found if floor is None else found.where(F.col("similarity") >= floor)
 
 
 def vector_leg(data: DataFrame, queries: DataFrame, n: int, floor: float | None = None, skip_own: bool = False) -> DataFrame:
@@ -139,7 +157,7 @@ def cosine_counts(data: DataFrame, queries: DataFrame, places: int = 4) -> DataF
 
 @dataclass(frozen=True)
 class KeywordQuery:
-    """A web-search query: words and "phrases" are all needed, ``or`` offers another set, ``-`` forbids."""
+    """A web-search query: words and "phrases" are all needed, ``or`` offers another set, ``-`` forbids; a set can forbid only."""
 
     anyof: tuple[tuple[tuple[tuple[str, ...], bool], ...], ...]
 
@@ -153,7 +171,7 @@ class KeywordQuery:
             words = tuple(re.findall(r"[^\W_]+", (quoted or bare).lower()))
             if words:
                 sets[-1].append((words, not minus))
-        return cls(tuple(tuple(s) for s in sets if any(wanted for _, wanted in s)))
+        return cls(tuple(tuple(s) for s in sets if s))
 
 
 _ITEM = T.StructType([T.StructField("phrase", T.StringType()), T.StructField("wanted", T.BooleanType())])
@@ -169,31 +187,54 @@ def keyword_hits(data: DataFrame, queries: DataFrame, n: int) -> DataFrame:
     """``query_id, id, score, rank`` of the rows of ``data`` (``id, text``) that match each of ``queries`` (``query_id, text``).
 
     The score is the share of a text's tokens that are wanted words of the query. A row is compared with the sets of queries
-    whose longest wanted word it has, so queries and rows meet by an equal word.
+    whose longest wanted word it has, so queries and rows meet by an equal word; sets that only forbid meet all rows.
+    ``postings`` answers the same from an index.
     """
-    sets = queries.select("query_id", F.explode(parsed("text")).alias("s")).select("query_id", F.col("s.items").alias("items"))
-    words = F.flatten(F.transform(F.filter("items", lambda i: i["wanted"]), lambda i: F.split(F.trim(i["phrase"]), " ")))
-    longest = F.array_max(F.transform(words, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    wanted = Window.partitionBy("query_id")
-    sets = sets.withColumn("wanted", F.array_distinct(F.flatten(F.collect_list(words).over(wanted)))).withColumn("key", longest)
-    few = [r["key"] for r in sets.select("key").distinct().limit(FEW_KEYS + 1).collect()]
+    sets = keyword_sets(queries)
+    words = F.transform(F.filter("items", lambda i: i["wanted"]), lambda i: F.split(F.trim(i["phrase"]), " "))
+    longest = F.array_max(F.transform(F.flatten(words), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    sets = sets.withColumn("key", longest)
+    forbid = sets.where("key is null").drop("key")
+    n_sets, n_forbid, few = sets.count(), forbid.count(), [r["key"] for r in sets.where("key is not null").select("key").distinct().limit(FEW_KEYS + 1).collect()]
+    small = n_sets <= MAX_BROADCAST_SETS
+    sets = sets.where("key is not null")
+    all_rows = data
     if len(few) <= FEW_KEYS:  # few words: most texts go before they are cut into tokens
         here = F.lit(False)
         for w in few:
             here = here | F.lower("text").contains(w)
-        data, sets = data.where(here), F.broadcast(sets)
-    d = data.select("id", tx.tokens("text").alias("_t")).withColumn("_s", F.concat(F.lit(" "), F.array_join("_t", " "), F.lit(" ")))
-    if len(few) <= FEW_KEYS:
+        data = data.where(here)
+
+    def cut(rows: DataFrame) -> DataFrame:
+        return rows.select("id", tx.tokens("text").alias("_t")).withColumn("_s", F.concat(F.lit(" "), F.array_join("_t", " "), F.lit(" ")))
+
+    d = cut(data)
+    if len(few) <= FEW_KEYS and small:
         keys = F.array(*[F.lit(w) for w in few]).cast("array<string>")
-        d = d.withColumn("key", F.explode(F.array_intersect(keys, F.col("_t")))).join(sets, "key")
-    else:  # rows and queries meet by words alone, and texts join what is left
-        d = d.select("id", F.explode(F.array_distinct("_t")).alias("key")).join(sets, "key").join(d, "id")
+        d = d.withColumn("key", F.explode(F.array_intersect(keys, F.col("_t")))).join(F.broadcast(sets), "key").drop("key")
+    elif small:  # rows and queries meet by words alone, and texts join what is left
+        d = d.select("id", F.explode(F.array_distinct("_t")).alias("key")).join(F.broadcast(sets), "key").drop("key").join(d, "id")
+    else:  # a frequent word's rows and sets are dealt over several tasks
+        keyed = d.select("id", F.explode(F.array_distinct("_t")).alias("key"), F.pmod(F.xxhash64("id"), F.lit(SPLIT)).alias("part"))
+        split = sets.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SPLIT - 1).cast("long"))))
+        d = keyed.join(split, ["key", "part"]).drop("key", "part").join(d, "id")
+    if n_forbid:
+        every = cut(all_rows)
+        met = every.join(F.broadcast(forbid)) if n_forbid <= MAX_BROADCAST_SETS else every.join(forbid)
+        d = d.unionByName(met.select(*d.columns))
     d = d.where(F.forall("items", lambda i: F.contains(F.col("_s"), i["phrase"]) == i["wanted"]))
-    score = F.round(F.size(F.filter("_t", lambda t: F.array_contains(F.col("wanted"), t))) / F.size("_t"), 6)
-    d = d.groupBy(F.col("query_id").cast("long").alias("query_id"), "id").agg(F.max(score).alias("score"))
+    share = F.size(F.filter("_t", lambda t: F.array_contains(F.col("wanted"), t))) / F.greatest(F.lit(1), F.size("_t"))
+    d = d.groupBy("query_id", "id").agg(F.max(F.round(share, 6)).alias("score"))
     return ranked(d, ["query_id"], [F.desc("score"), F.col("id")], n)
 
 
+def keyword_sets(queries: DataFrame) -> DataFrame:
+    """``query_id, no, items, wanted`` of each set of each query (``query_id, text``); ``wanted``: all wanted words of the query."""
+    sets = queries.select(F.col("query_id").cast("long").alias("query_id"), F.posexplode(parsed("text")).alias("no", "s")).select("query_id", "no", F.col("s.items").alias("items"))
+    words = F.flatten(F.transform(F.filter("items", lambda i: i["wanted"]), lambda i: F.split(F.trim(i["phrase"]), " ")))
+    return sets.withColumn("wanted", F.array_distinct(F.flatten(F.collect_list(words).over(Window.partitionBy("query_id")))))
+
+
 def keyword_leg(data: DataFrame, query: str, n: int, query_id: int = 0) -> DataFrame:
     """``keyword_hits`` of one query."""
     return keyword_hits(data, data.sparkSession.createDataFrame([(query_id, query)], "query_id long, text string"), n)
@@ -292,12 +333,13 @@ def recallable(memories: DataFrame, options: Recall, now: Column) -> DataFrame:
     return d if options.tag is None else d.where(F.col("tag") == options.tag)
 
 
-def search_memories(memories: DataFrame, queries: DataFrame, options: Recall, now: Column) -> DataFrame:
+def search_memories(memories: DataFrame, queries: DataFrame, options: Recall, now: Column, index=None) -> DataFrame:
     """``query_id, rank, id, text, version, similarity, score`` for ``queries`` (``query_id, text, q``).
 
     ``memories``: ``id, text, v, tag, version, created_at, is_latest, is_forgotten, forget_after, valid_from, valid_to``. The
     vector leg sees rows with a vector and its floor holds there only; keyword hits need none and have similarity 0. Scores
-    are fused by rank and decay with age; without keywords the cosine is the score. The order is the authority.
+    are fused by rank and decay with age; without keywords the cosine is the score. The order is the authority. With an
+    ``index`` of the memories' texts (``postings.Index``) the keyword leg reads no text.
     """
     seen = recallable(memories, options, now)
     n = options.limit * OVERFETCH
@@ -306,7 +348,8 @@ def search_memories(memories: DataFrame, queries: DataFrame, options: Recall, no
     if not options.keyword:
         pool = vector.withColumn("score", F.col("similarity"))
     else:
-        hits = keyword_hits(seen.select("id", "text"), asked.select("query_id", "text"), n)
+        words = asked.select("query_id", "text")
+        hits = index.search(words, n, seen.select("id")) if index is not None else keyword_hits(seen.select("id", "text"), words, n)
         legs = vector.select("query_id", "id", "similarity", (1.0 / (RRF_K + F.col("rank"))).alias("s"), F.lit(0).alias("p")).unionByName(
             hits.select("query_id", "id", F.lit(0.0).alias("similarity"), (1.0 / (RRF_K + F.col("rank"))).alias("s"), F.lit(1).alias("p"))
         )

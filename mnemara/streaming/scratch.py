@@ -49,3 +49,10 @@ def drain(stream: DataFrame, name: str, mode: str = "append", keys: list[str] |
         rest = [c for c in stream.columns if c not in keys]
         rows = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_r")).select(*keys, "_r.*")
     return rows.select(*stream.columns)
+
+
+def written(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
+    """``df`` written once to the shared folder and read back: lineage ends there, and several readers share one computation."""
+    path = shared_folder(df.sparkSession, name)
+    (df.write.partitionBy(*by) if by else df.write).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
