@@ -48,11 +48,92 @@ def rejected(text: Column, most: int) -> Column:
     return F.when(bare == "", "empty").when(F.length(text) > most, "too long")
 
 
+def members(json_text: Column) -> Column:
+    """The members of a JSON object as VARIANTs of their own kinds; none if it is no object."""
+    value = F.try_parse_json(json_text)
+    none = F.create_map().cast("map<string,variant>")
+    return F.coalesce(F.when(F.schema_of_variant(value).startswith("OBJECT"), value.cast("map<string,variant>")), none)
+
+
 def merged(json_text: Column, extra: Column) -> Column:
-    """A JSON object of scalars with the entries of a map put over it, keys in order."""
-    old = F.coalesce(F.from_json(json_text, "map<string,string>"), F.create_map().cast("map<string,string>"))
-    kept = F.map_filter(old, lambda k, v: ~F.map_contains_key(extra, k))
-    return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(F.map_concat(kept, extra)))))
+    """A JSON object with the members of ``extra`` (a map of texts to VARIANTs) put over its own, keys in order.
+
+    Numbers stay numbers and nested members stay as they are; a null or what is no object counts as an empty one.
+    """
+    extra = extra.cast("map<string,variant>")
+    both = F.map_concat(F.map_filter(members(json_text), lambda k, v: ~F.map_contains_key(extra, k)), extra)
+    by_key = F.array_sort(F.map_entries(both), lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0))
+    return F.to_json(F.map_from_entries(by_key))
+
+
+_TEXTS = "array<string>"
+
+
+def with_profile(messages: Column, block: Column) -> Column:
+    """A JSON array of messages with a block of text put to its first system message, which is made if there is none.
+
+    A text is extended; an array of parts gets a part; content of another kind is replaced. Blank blocks change nothing, nor does
+    what is no array of objects; other members keep their kinds.
+    """
+    value = F.try_parse_json(messages)
+    parts = F.try_variant_get(value, "$", "array<variant>")
+    rows = F.transform(parts, lambda v: F.when(F.schema_of_variant(v).startswith("OBJECT"), v.cast("map<string,variant>")))
+    is_system = lambda m: F.coalesce(F.try_variant_get(F.try_element_at(m, F.lit("role")), "$", "string") == "system", F.lit(False))
+    bare = F.btrim(block, F.lit(" \t\n\r"))
+    first = F.array_position(F.transform(rows, is_system), True)
+
+    def extended(m: Column) -> Column:
+        content = F.try_element_at(m, F.lit("content"))
+        kind = F.coalesce(F.schema_of_variant(content), F.lit("VOID"))
+        text = F.concat(F.try_variant_get(content, "$", "string"), block).cast("variant")
+        part = F.to_variant_object(F.struct(F.lit("text").alias("type"), bare.alias("text")))
+        more = F.concat(F.try_variant_get(content, "$", "array<variant>"), F.array(part)).cast("variant")
+        new = F.when(kind == "STRING", text).when(kind.startswith("ARRAY"), more).otherwise(bare.cast("variant"))
+        return F.map_concat(F.map_filter(m, lambda k, v: k != "content"), F.create_map(F.lit("content"), new))
+
+    made = F.create_map(F.lit("role"), F.lit("system").cast("variant"), F.lit("content"), bare.cast("variant"))
+    changed = F.when(first > 0, F.transform(rows, lambda m, i: F.when(i + 1 == first, extended(m)).otherwise(m))).otherwise(F.concat(F.array(made), rows))
+    usable = rows.isNotNull() & F.forall(rows, lambda m: m.isNotNull())
+    return F.when(usable & (bare != ""), F.to_json(F.to_variant_object(changed))).otherwise(messages)
+
+
+def with_tool(tools: Column, name: str, definition: str) -> Column:
+    """A JSON array of tool definitions that holds the one of a name as a function: put first if it isn't there, replaced if it has another form.
+
+    What is no array counts as an empty one.
+    """
+    own = F.parse_json(F.lit(definition))
+    parts = F.coalesce(F.try_variant_get(F.try_parse_json(tools), "$", "array<variant>"), F.array().cast("array<variant>"))
+    called = lambda t: F.coalesce(F.try_variant_get(t, "$.function.name", "string"), F.try_variant_get(t, "$.name", "string"))
+    right = lambda t: F.coalesce((F.try_variant_get(t, "$.type", "string") == "function") & F.try_variant_get(t, "$.function", "variant").isNotNull(), F.lit(False))
+    first = F.array_position(F.transform(parts, lambda t: F.coalesce(called(t) == name, F.lit(False))), True)
+    mended = F.transform(parts, lambda t, i: F.when((i + 1 == first) & ~right(t), own).otherwise(t))
+    return F.to_json(F.when(first > 0, mended).otherwise(F.concat(F.array(own), parts)).cast("variant"))
+
+
+def profile(metadata: Column) -> Column:
+    """``static, dynamic`` of the profile in a space's metadata; what isn't an array of texts is empty."""
+    value = F.try_parse_json(metadata)
+
+    def texts(path: str) -> Column:
+        found = F.try_variant_get(value, path, "array<variant>")
+        whole = F.forall(found, lambda v: F.coalesce(F.schema_of_variant(v) == "STRING", F.lit(False)))
+        return F.coalesce(F.when(whole, F.try_variant_get(value, path, _TEXTS)), F.array().cast(_TEXTS))
+
+    return F.struct(texts("$.profile.static").alias("static"), texts("$.profile.dynamic").alias("dynamic"))
+
+
+def profile_refused(body: Column) -> Column:
+    """Whether an update of a profile must be refused: ``static`` or ``dynamic`` is there and isn't an array of texts."""
+    value = F.try_parse_json(body)
+
+    def bad(path: str) -> Column:
+        there = F.try_variant_get(value, path, "variant")
+        found = F.try_variant_get(there, "$", "array<variant>")
+        fine = found.isNotNull() & F.forall(found, lambda v: F.coalesce(F.schema_of_variant(v) == "STRING", F.lit(False)))
+        return F.coalesce(there.isNotNull() & ~fine, F.lit(False))
+
+    return F.coalesce(F.schema_of_variant(value).startswith("OBJECT"), F.lit(False)) & (bad("$.static") | bad("$.dynamic"))
 
 
 def shape(value: object) -> dict:

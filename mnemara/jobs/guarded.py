@@ -33,10 +33,26 @@ def batch_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def merge_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every event's JSON with its type set beside what is there, and its number replaced for errors."""
+    """Every event's JSON, with a nested member, and its type set beside what is there; its number replaced for errors."""
     e = table(spark, sf_dir, "events")
-    extra = F.when(F.col("event_type") == "error", F.create_map(F.lit("k"), F.lit("-1"), F.lit("type"), F.col("event_type"))).otherwise(F.create_map(F.lit("type"), F.col("event_type")))
-    return e.select("event_id", guards.merged(F.col("props"), extra).alias("props"))
+    kind = F.col("event_type").cast("variant")
+    extra = F.when(F.col("event_type") == "error", F.create_map(F.lit("k"), F.lit(-1).cast("variant"), F.lit("type"), kind)).otherwise(F.create_map(F.lit("type"), kind))
+    nested = F.concat(F.lit('{"deep":{"id":'), F.col("event_id").cast("string"), F.lit(',"none":null,"list":[1,"1",true]},'), F.substring("props", 2, 1_000_000))
+    return e.select("event_id", guards.merged(nested, extra).alias("props"))
+
+
+TOOL = '{"type":"function","function":{"name":"memory_search"}}'
+
+
+def injected_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests of one turn each: the profile goes to a system message of a text, of parts, of another kind, or to a new one; the tool is there, mended or added."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", ((F.col("conv_id") + F.col("turn")) % 4).cast("int").alias("k"))
+    system = ('{"role":"system","content":"Be brief.","n":1}', '{"role":"system","content":[{"type":"text","text":"a"}]}', '{"role":"system","content":7}', '{"role":"user","content":"b"}')
+    tools = ("[]", TOOL.join("[]"), '[{"name":"memory_search"},{"name":"other","n":1.5}]', '"none"')
+    pick = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), F.col("k") + 1)
+    user = F.concat(F.lit(',{"role":"user","content":"'), F.col("turn").cast("string"), F.lit('"}]'))
+    block = F.concat(F.lit("\n\nfact "), F.col("conv_id").cast("string"))
+    return c.select("conv_id", "turn", guards.with_profile(F.concat(F.lit("["), pick(system), user), block).alias("messages"), guards.with_tool(pick(tools), "memory_search", TOOL).alias("tools"))
 
 
 def redact_logged(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,7 +134,7 @@ _LEAF = "CASE WHEN regexp_replace(url, '^.*[/\\\\]', '', 's') = '' THEN url ELSE
 
 QUERIES = {
     f.__name__: f
-    for f in (as_of_literals, report_names, batch_validation, merge_metadata, redact_logged, redact_deep, flatten_content, distilled_facts, import_dedup, top_per_group, stream_dedup, latest_by_map)
+    for f in (as_of_literals, report_names, batch_validation, merge_metadata, injected_context, redact_logged, redact_deep, flatten_content, distilled_facts, import_dedup, top_per_group, stream_dedup, latest_by_map)
 }
 
 SQL = {
@@ -128,7 +144,14 @@ SELECT event_id, literal, CASE event_id % 5 WHEN 0 THEN date_trunc('day', ts)::T
     "report_names": f"""WITH n AS (SELECT CASE WHEN event_id % 3 = 0 THEN event_type || ' <script>' ELSE event_type || '_' || user_id END AS name FROM events)
 SELECT CASE WHEN regexp_matches(name, '{guards.REPORT_NAME}') THEN name ELSE 'unknown' END AS name, count(*)::BIGINT AS n FROM n GROUP BY 1""",
     "batch_validation": f"SELECT doc_id AS id, CASE WHEN regexp_replace(coalesce(text, ''), '\\s+', '', 'g') = '' THEN 'empty' WHEN length(text) > {MOST} THEN 'too long' ELSE 'ok' END AS verdict FROM documents",
-    "merge_metadata": """SELECT event_id, '{"k":"' || CASE WHEN event_type = 'error' THEN '-1' ELSE props->>'$.k' END || '","type":"' || event_type || '"}' AS props FROM events""",
+    "merge_metadata": """SELECT event_id, '{"deep":{"id":' || event_id || ',"list":[1,"1",true],"none":null},"k":' || CASE WHEN event_type = 'error' THEN '-1' ELSE props->>'$.k' END
+  || ',"type":"' || event_type || '"}' AS props FROM events""",
+    "injected_context": f"""WITH c AS (SELECT conv_id, turn, (conv_id + turn) % 4 AS k FROM conversations)
+SELECT conv_id, turn, '[' || CASE k WHEN 0 THEN '{{"content":"Be brief.\\n\\nfact ' || conv_id || '","n":1,"role":"system"}}'
+    WHEN 1 THEN '{{"content":[{{"text":"a","type":"text"}},{{"text":"fact ' || conv_id || '","type":"text"}}],"role":"system"}}'
+    WHEN 2 THEN '{{"content":"fact ' || conv_id || '","role":"system"}}' ELSE '{{"content":"fact ' || conv_id || '","role":"system"}},{{"content":"b","role":"user"}}' END
+    || ',{{"content":"' || turn || '","role":"user"}}]' AS messages,
+  CASE k WHEN 2 THEN '[{{"function":{{"name":"memory_search"}},"type":"function"}},{{"n":1.5,"name":"other"}}]' ELSE '[{{"function":{{"name":"memory_search"}},"type":"function"}}]' END AS tools FROM c""",
     "redact_logged": f"""WITH p AS (SELECT page_id, length(html) + len(regexp_extract_all(html, '[\\x{{10000}}-\\x{{10FFFF}}]')) AS n,
   length(url) + len(regexp_extract_all(url, '[\\x{{10000}}-\\x{{10FFFF}}]')) AS u, {_LEAF} AS leaf FROM pages)
 SELECT page_id, '{{"deep":{{"code":"E1","note":{{"len":' || u || ',"type":"string"}},"queries":{{"len":2,"type":"array"}}}},"document":{{"type":"object"}},"file":["' || leaf

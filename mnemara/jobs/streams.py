@@ -11,10 +11,9 @@ from mnemara.sources.tables import table
 
 
 def stream_capture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Facts captured from a stream of turns, with the statements of ``capture_facts``."""
+    """Facts captured from a stream of turns, with the statements of ``planted_facts``."""
     turns = scratch.replay(spark, f"{sf_dir}/conversations.parquet")
-    said = F.when(F.col("turn") % 2 == 1, F.concat(F.lit("Remember that I prefer "), "text")).otherwise(F.concat(F.lit("I live in "), "text"))
-    return scratch.drain(chat.capture(turns.withColumn("text", said)), "capture")
+    return scratch.drain(chat.capture(turns.withColumn("text", texts.stated(F.col("conv_id") * 7 + F.col("turn")))), "capture")
 
 
 def stream_event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,7 +57,7 @@ SELECT conv_id, CASE WHEN held > {chat.HOLD_CHARS} OR calls = 0 THEN 'answer' WH
 
 QUERIES = {f.__name__: f for f in (stream_capture, stream_event_counts, stream_classify, classify_batch, stream_sizes)}
 SQL = {
-    "stream_capture": texts.SQL["capture_facts"],
+    "stream_capture": texts.SQL["planted_facts"],
     "stream_event_counts": "SELECT date_trunc('hour', ts)::TIMESTAMP AS hour, event_type, count(*)::BIGINT AS n, max(value) AS top FROM events GROUP BY 1, 2",
     "stream_classify": _CLASSIFY,
     "classify_batch": _CLASSIFY,

@@ -103,10 +103,36 @@ def test_metadata_is_redacted_at_any_depth(spark):
     assert spark.range(1).select(guards.redact_metadata(F.lit("{broken token=abc12345")).alias("x")).first()["x"]["value"] == "{broken token=[redacted: labelled_secret]"
 
 
-def test_merged_keeps_other_keys(spark):
-    extra = F.create_map(F.lit("profile"), F.lit("p"))
-    assert json.loads(one(spark, guards.merged(F.lit('{"z": "1", "profile": "old"}'), extra))) == {"z": "1", "profile": "p"}
-    assert json.loads(one(spark, guards.merged(F.lit(None).cast("string"), extra))) == {"profile": "p"}
+def test_merged_keeps_other_keys_and_kinds(spark):
+    extra = F.create_map(F.lit("profile"), F.parse_json(F.lit('{"static":["a"]}')))
+    old = {"z": 7, "a": {"x": [1, "2", None], "y": True}, "profile": "old", "n": None, "s": "5"}
+    assert json.loads(one(spark, guards.merged(F.lit(json.dumps(old)), extra))) == old | {"profile": {"static": ["a"]}}
+    for none in (None, "[1]", "3", "broken {", "null"):
+        assert json.loads(one(spark, guards.merged(F.lit(none).cast("string"), extra))) == {"profile": {"static": ["a"]}}
+
+
+def test_context_is_injected(spark):
+    put = lambda m, block="\n\nP": json.loads(one(spark, guards.with_profile(F.lit(json.dumps(m)), F.lit(block))))
+    user = {"role": "user", "content": "hi", "n": 1.5, "deep": {"a": [None]}}
+    assert put([user]) == [{"role": "system", "content": "P"}, user] and put([]) == [{"role": "system", "content": "P"}]
+    assert put([user, {"role": "system", "content": "S"}, {"role": "system", "content": "T"}]) == [user, {"role": "system", "content": "S\n\nP"}, {"role": "system", "content": "T"}]
+    assert put([{"role": "system", "content": [{"type": "text", "text": "a"}]}])[0]["content"] == [{"type": "text", "text": "a"}, {"type": "text", "text": "P"}]
+    assert put([{"role": "system", "content": None}]) == [{"role": "system", "content": "P"}] == put([{"role": "system"}])
+    assert put([user], " \n") == [user] and put({"a": 1}) == {"a": 1} and put([1]) == [1]
+    tool = lambda t: json.loads(one(spark, guards.with_tool(F.lit(t).cast("string"), "m", '{"type":"function","function":{"name":"m"}}')))
+    own, other = {"type": "function", "function": {"name": "m"}}, {"type": "function", "function": {"name": "o"}, "x": 1}
+    assert tool(json.dumps([other])) == [own, other] and tool(json.dumps([other, {"name": "m"}])) == [other, own] and tool(None) == [own] == tool("{}")
+    kept = {"type": "function", "function": {"name": "m", "description": "mine"}}
+    assert tool(json.dumps([kept, other])) == [kept, other]
+
+
+def test_profiles_are_loaded_and_checked(spark):
+    load = lambda m: one(spark, guards.profile(F.lit(m).cast("string"))).asDict()
+    assert load('{"profile":{"static":["a","b"],"dynamic":["c"]}}') == {"static": ["a", "b"], "dynamic": ["c"]}
+    assert load('{"profile":{"static":"a","dynamic":[1]}}') == {"static": [], "dynamic": []} == load(None) == load("x")
+    refused = lambda b: one(spark, guards.profile_refused(F.lit(b)))
+    assert refused('{"static":"a"}') and refused('{"dynamic":[1]}') and refused('{"static":null}')
+    assert not any(map(refused, ('{"static":["a"]}', "{}", "null", "[]", "broken", '{"other":1}')))
 
 
 def test_rejected_writes(spark):
