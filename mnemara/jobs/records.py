@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemara.operators import evaluate, lifecycle, logs, portable, writes
+from mnemara.operators import evaluate, lifecycle, logs, ordered, portable, writes
 from mnemara.sources.tables import memories, table, vectors, versions
 from mnemara.streaming import scratch
 
@@ -114,11 +114,19 @@ def cascade_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def supersede_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lifecycle.supersede_fold(vectors(spark, sf_dir).select(F.col("label").cast("long").alias("space"), "id", "v"), [0.45])
+    return ordered.supersede_fold(vectors(spark, sf_dir).select(F.col("label").cast("long").alias("space"), "id", "v"), [0.45])
+
+
+def supersede_one_space(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors written into one space, which no single task holds; by label, what became of the writes."""
+    v = vectors(spark, sf_dir)
+    out = ordered.supersede_fold(v.select(F.lit(0).alias("space"), "id", "v"), [0.4])
+    merged = F.sum((F.col("action") == "superseded").cast("long"))
+    return out.join(v.select("id", "label"), "id").groupBy("label").agg(F.count(F.lit(1)).alias("writes"), merged.alias("superseded"), F.max("version").alias("longest"))
 
 
 def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = lifecycle.supersede_fold(vectors(spark, sf_dir).select(F.col("label").cast("long").alias("space"), "id", "v"), TAUS)
+    out = ordered.supersede_fold(vectors(spark, sf_dir).select(F.col("label").cast("long").alias("space"), "id", "v"), TAUS)
     merged = F.sum((F.col("action") == "superseded").cast("long"))
     return out.groupBy("tau").agg(F.count(F.lit(1)).alias("writes"), merged.alias("superseded"), F.count_distinct("space", "slot").alias("survivors"))
 
@@ -216,7 +224,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         exact_dedup, latest_per_chain, scd2_windows, as_of, chain_repair, one_latest_violations, forget_sweep, forget_chain, undo_forget, visible_memories,
-        retention_keep, retention_drop, upsert_profiles, insert_ignore, cascade_delete, supersede_fold, threshold_sweep, write_batch, write_state, error_groups, error_occurrences,
+        retention_keep, retention_drop, upsert_profiles, insert_ignore, cascade_delete, supersede_fold, supersede_one_space, threshold_sweep, write_batch, write_state, error_groups, error_occurrences,
         percentile_nearest, export_chains, import_validate, import_remap,
     )
 }

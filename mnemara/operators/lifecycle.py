@@ -5,8 +5,6 @@ State is derived: each operator maps a state and operations to a new state, and
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -115,39 +113,3 @@ def upsert(state: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
 def insert_ignore(state: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """State with the rows of ``new`` whose keys it lacks, one a key."""
     return state.unionByName(new.dropDuplicates(keys).join(state, keys, "left_anti"))
-
-
-def supersede_fold(ops: DataFrame, taus: list[float]) -> DataFrame:
-    """Writes in order within each space (``space, id, v``): a near duplicate of a current fact takes its place.
-
-    The nearest current vector decides (cosine at least tau: superseded, else created), so order matters and a space is
-    folded by one task, in Arrow batches of pandas; spaces are independent and so are taus.
-    """
-    schema = "tau double, space long, id long, action string, slot long, version int, source_count int"
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        tau = float(pdf["tau"].iloc[0])
-        pdf = pdf.sort_values("id", kind="stable")
-        current = np.zeros((64, len(pdf["v"].iloc[0])))
-        slots: list[list[int]] = []  # first id, version
-        rows = []
-        for i, v in zip(pdf["id"], pdf["v"], strict=True):
-            u = np.asarray(v, float)
-            size = np.linalg.norm(u)
-            u = u / size if size else u
-            n = len(slots)
-            near = int(np.argmax(current[:n] @ u)) if n else -1
-            if n and round(float(current[near] @ u), 9) >= tau:
-                slots[near][1] += 1
-                current[near] = u
-                rows.append((tau, pdf["space"].iloc[0], i, "superseded", slots[near][0], slots[near][1], slots[near][1]))
-            else:
-                if n == len(current):
-                    current = np.concatenate([current, np.zeros_like(current)])
-                current[n] = u
-                slots.append([i, 1])
-                rows.append((tau, pdf["space"].iloc[0], i, "created", i, 1, 1))
-        return pd.DataFrame(rows, columns=["tau", "space", "id", "action", "slot", "version", "source_count"])
-
-    each = F.explode(F.array(*[F.lit(float(t)) for t in taus]))
-    return ops.withColumn("tau", each).groupBy("tau", "space").applyInPandas(fold, schema)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from mnemara.functions import text as tx
 from mnemara.functions import vectors as vec
-from mnemara.operators import chunking, lifecycle, retrieval
+from mnemara.operators import chunking, lifecycle, ordered, retrieval
 
 
 def one(spark, column):
@@ -118,7 +118,7 @@ def test_exact_copies_with_hot_groups_and_nulls(spark, monkeypatch):
 
 def test_supersede_fold(spark):
     v = [(s, i, [float(y) for y in x]) for s, i, x in ((1, 1, (1, 0, 0, 0)), (1, 2, (0.95, 0.312, 0, 0)), (1, 3, (0, 1, 0, 0)), (2, 4, (1, 0, 0, 0)))]
-    out = {r["id"]: r for r in lifecycle.supersede_fold(spark.createDataFrame(v, "space long, id long, v array<double>"), [0.9]).collect()}
+    out = {r["id"]: r for r in ordered.supersede_fold(spark.createDataFrame(v, "space long, id long, v array<double>"), [0.9]).collect()}
     assert [out[i]["action"] for i in (1, 2, 3, 4)] == ["created", "superseded", "created", "created"]
     assert (out[2]["slot"], out[2]["version"], out[2]["source_count"]) == (1, 2, 2)
 
@@ -126,7 +126,7 @@ def test_supersede_fold(spark):
 def test_fold_equals_plain_loop(spark):
     rng = np.random.default_rng(0)
     v = rng.normal(size=(80, 4))
-    got = {r["id"]: r["slot"] for r in lifecycle.supersede_fold(spark.createDataFrame([(0, i, x.tolist()) for i, x in enumerate(v)], "space long, id long, v array<double>"), [0.8]).collect()}
+    got = {r["id"]: r["slot"] for r in ordered.supersede_fold(spark.createDataFrame([(0, i, x.tolist()) for i, x in enumerate(v)], "space long, id long, v array<double>"), [0.8]).collect()}
     u, current, want = v / np.linalg.norm(v, axis=1, keepdims=True), {}, {}
     for i, x in enumerate(u):
         near = max(current, key=lambda s: float(current[s] @ x), default=None)
