@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mnemara.functions import vectors as vec
-from mnemara.operators import ann, evaluate, postings, retrieval
+from mnemara.operators import ann, evaluate, logs, postings, retrieval, rounds, snapshots
 from mnemara.sources.tables import label_queries, memories, memory_rows, table, turn_chunks, vectors
+from mnemara.streaming import scratch
 
 LIMIT = 10
 FLOOR = 0.1
@@ -193,6 +194,40 @@ def _now():
 _COLUMNS = ["query_id", "rank", "id", "version", "similarity", "score"]
 
 
+TOOL_WORDS = ("the", "der", "und", "les", "of", "la", "en")
+
+
+def tool_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A conversation's user turns as search calls of two or three words each, answered from the documents; searches for ``la`` fail."""
+    c = table(spark, sf_dir, "conversations").where("role = 'user'")
+    word = lambda k: F.element_at(F.array(*map(F.lit, TOOL_WORDS)), ((F.col("conv_id") + F.col("turn") * 2 + k) % len(TOOL_WORDS) + 1).cast("int"))
+    queries = F.when(F.col("turn") % 2 == 0, F.array(word(0), word(3))).otherwise(F.array(word(0), word(1), word(2)))
+    calls = c.select(F.col("conv_id").alias("round_id"), F.col("turn").alias("call_no"), queries.alias("queries"))
+    out = rounds.tool_round(calls, lambda q: retrieval.keyword_hits(memories(spark, sf_dir), q, LIMIT), spark.createDataFrame([("la",)], "text string"))
+    ids = F.array_join(F.transform("results", lambda r: r["id"].cast("string")), ",")
+    return out.select("round_id", "call_no", F.array_join("used", ",").alias("used"), "error", ids.alias("ids"), F.round(F.array_max(F.transform("results", lambda r: r["score"])), 6).alias("best"))
+
+
+def recall_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Traces of the label queries' searches over the embedded documents, as they are logged: clipped to 80 characters."""
+    q = label_queries(spark, sf_dir)
+    docs = memories(spark, sf_dir).select("id", "text", F.lit(1).alias("version"))
+    data = vectors(spark, sf_dir).join(docs.select("id"), "id", "left_semi")
+    found = retrieval.vector_leg(data, q, 5).join(docs, "id")
+    asked = q.select("query_id", F.concat(F.lit("q"), F.col("query_id").cast("string")).alias("id"), F.concat(F.lit("label "), F.col("query_id").cast("string")).alias("text"))
+    rows = logs.traces(asked, found, "search", "memory", F.lit(1.6), _now(), limit=80)
+    return rows.select("id", "query", "result_count", "latency_ms", F.md5("retrieved").alias("digest"))
+
+
+def trace_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as traces, written to the log in four batches in order of their ids; what is left when each batch cuts it to the newest 1000."""
+    log = snapshots.Snapshots(spark, scratch.shared_folder(spark, "traces"), "id string, query string, created_at timestamp")
+    e = table(spark, sf_dir, "events").select(F.lpad(F.col("event_id").cast("string"), 12, "0").alias("id"), F.col("event_type").alias("query"), F.col("ts").cast("timestamp").alias("created_at"), (F.col("event_id") % 4).alias("part"))
+    for part in range(4):
+        logs.record_traces(log, e.where(F.col("part") == part).drop("part"), keep=1000)
+    return log.read().select("id", "query")
+
+
 def recall_memories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole search in pure order: latest visible versions of one tag, both legs, floor, fusion, decay."""
     options = retrieval.Recall.asked(4, threshold=FLOOR, tag="en")
@@ -310,7 +345,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         vector_topk, vector_topk_floor, vector_topk_batch, tag_scoped_vector, keyword_topk, rrf_hybrid, rrf_hybrid_decay, cross_query_merge,
-        hybrid_two_types, mmr_rerank, eval_recall_mrr, similarity_stats, nearest_other_label, near_dup_pairs, exact_vs_pruned_delta, approximate_recall, approximate_filtered, keyword_index_topk, keyword_negation, recall_indexed, recall_memories,
+        hybrid_two_types, mmr_rerank, eval_recall_mrr, similarity_stats, nearest_other_label, near_dup_pairs, exact_vs_pruned_delta, approximate_recall, approximate_filtered, keyword_index_topk, keyword_negation, recall_indexed, tool_rounds, recall_traces, trace_log, recall_memories,
         recall_as_of, recall_diverse, recall_chunks, recall_hybrid, model_guard, vector_round_trip,
     )
 }
@@ -356,6 +391,28 @@ SELECT round(avg(CASE WHEN hit THEN 1.0::DOUBLE ELSE 0 END), 6) AS exact, true A
   SELECT id, CASE WHEN len(t) = 0 THEN 0 ELSE round(len(list_filter(t, lambda x: x IN ('les', 'des')))::DOUBLE / len(t), 6) END AS score
   FROM (SELECT id, t, ' ' || array_to_string(t, ' ') || ' ' AS s FROM (SELECT id, {_TOK} AS t FROM {_DOCS}))
   WHERE NOT contains(s, ' the ') AND NOT contains(s, ' of und ') OR contains(s, ' les ') AND contains(s, ' des ')) QUALIFY rank <= 50""",
+    "tool_rounds": f"""WITH w AS (SELECT word, i FROM (VALUES {", ".join(f"('{w}', {i})" for i, w in enumerate(TOOL_WORDS))}) t(word, i)
+), hit AS (
+  SELECT word, id, score, row_number() OVER (PARTITION BY word ORDER BY score DESC, id) AS rank FROM (
+    SELECT word, id, round(len(list_filter(t, lambda x: x = word))::DOUBLE / len(t), 6) AS score FROM (SELECT id, {_TOK} AS t FROM {_DOCS}), w WHERE list_contains(t, word)) QUALIFY rank <= {LIMIT}
+), c AS (
+  SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN [0, 3] ELSE [0, 1, 2] END AS ks FROM conversations WHERE role = 'user'
+), b AS (SELECT *, greatest(0, 5 - coalesce(sum(len(ks)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::INTEGER AS left_over FROM c
+), u AS (SELECT conv_id, turn, list_transform(ks[1:left_over], lambda k: (conv_id + turn * 2 + k) % {len(TOOL_WORDS)}) AS us FROM b
+), q AS (SELECT conv_id, turn, word, p FROM (SELECT conv_id, turn, unnest(us) AS i, unnest(range(len(us))) AS p FROM u) JOIN w USING (i)
+), f AS (SELECT conv_id, turn, id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS fused, max(score) AS best FROM q JOIN hit USING (word) GROUP BY ALL
+), g AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY fused DESC, id) AS r FROM f QUALIFY r <= 25
+), l AS (SELECT conv_id, turn, string_agg(id::VARCHAR, ',' ORDER BY r) AS ids, max(best) AS best FROM g GROUP BY ALL
+), n AS (SELECT conv_id, turn, string_agg(word, ',' ORDER BY p) AS used, bool_or(word = 'la') AS bad FROM q GROUP BY ALL)
+SELECT u.conv_id AS round_id, u.turn AS call_no, coalesce(used, '') AS used, CASE WHEN bad THEN 'memory_search_unavailable' END AS error,
+  CASE WHEN bad THEN '' ELSE coalesce(ids, '') END AS ids, CASE WHEN bad THEN NULL ELSE best END AS best
+FROM u LEFT JOIN n ON u.conv_id = n.conv_id AND u.turn = n.turn LEFT JOIN l ON u.conv_id = l.conv_id AND u.turn = l.turn""",
+    "recall_traces": f"""WITH {_V}, {_QL}, d AS (SELECT v.id, e, coalesce(text, '') AS text FROM v JOIN documents ON doc_id = v.id), s AS (
+  SELECT query_id, id, text, {_SIM} AS s, row_number() OVER (PARTITION BY query_id ORDER BY {_SIM} DESC, id) AS r FROM d, q QUALIFY r <= 5
+), j AS (SELECT query_id, count(*)::INTEGER AS n, string_agg('{{"type":"memory","id":' || id || ',"version":1,"similarity":' || s || ',"content":'
+  || to_json(CASE WHEN length(text) > 80 THEN text[1:80] || '...' ELSE text END) || ',"contentLength":' || length(text) || ',"truncated":' || (length(text) > 80) || '}}', ',' ORDER BY r) AS items FROM s GROUP BY query_id)
+SELECT 'q' || query_id AS id, 'label ' || query_id AS query, coalesce(n, 0) AS result_count, 2::BIGINT AS latency_ms, md5('[' || coalesce(items, '') || ']') AS digest FROM q LEFT JOIN j USING (query_id)""",
+    "trace_log": "SELECT lpad(event_id::VARCHAR, 12, '0') AS id, event_type AS query FROM events ORDER BY ts DESC, event_id DESC LIMIT 1000",
     "recall_memories": f"""WITH {_MEMORIES}, {_ASKED}, seen AS (SELECT * FROM m WHERE is_latest AND NOT is_forgotten AND (forget_after IS NULL OR forget_after > TIMESTAMP '{NOW}') AND tag = 'en'),
 {_recall_legs("seen", 60)}, {_recall_fused("seen")}
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, p DESC, id)::INTEGER AS rank, id, version, similarity, score FROM fused QUALIFY rank <= 4""",

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mnemara.jobs import texts
+from mnemara.operators import snapshots
 from mnemara.streaming import chat, scratch
 from mnemara.sources.tables import table
 
@@ -16,6 +17,27 @@ def stream_capture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scratch.drain(chat.capture(turns.withColumn("text", texts.stated(F.col("conv_id") * 7 + F.col("turn")))), "capture")
 
 
+def stream_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts captured from a stream in several batches, folded into a state: how often each was stated, and where first.
+
+    The stream is run a second time with its progress lost, so every batch comes again; batches that are in the state change nothing.
+    """
+    folder = scratch.shared_folder(spark, "turns")
+    table(spark, sf_dir, "conversations").withColumn("text", texts.stated(F.col("turn"))).repartition(4, "conv_id", "turn").write.parquet(folder)
+    store = snapshots.Snapshots(spark, scratch.shared_folder(spark, "facts"), "id string, n long, first_conv long")
+
+    def stream() -> DataFrame:
+        return chat.capture(spark.readStream.schema(spark.read.parquet(folder).schema).option("maxFilesPerTrigger", 2).parquet(folder))
+
+    def fold(state: DataFrame, batch: DataFrame) -> DataFrame:
+        new = batch.groupBy(F.col("fact").alias("id")).agg(F.count(F.lit(1)).alias("m"), F.min("conv_id").alias("c"))
+        return new.join(state, "id", "left").select("id", (F.coalesce("n", F.lit(0)) + F.col("m")).alias("n"), F.least("first_conv", "c").alias("first_conv"))
+
+    for _ in range(2):
+        snapshots.fold_stream(stream(), store, "capture", fold, scratch.shared_folder(spark, "progress"))
+    return store.read().select(F.col("id").alias("fact"), "n", "first_conv")
+
+
 def stream_event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Errors and other events by hour under a watermark (an extension: the original has no event time).
 
@@ -55,9 +77,11 @@ g AS (SELECT t.conv_id, max(total)::BIGINT AS held, count(*) FILTER (call) AS ca
   FROM t JOIN a ON t.conv_id = a.conv_id AND turn <= stop GROUP BY t.conv_id)
 SELECT conv_id, CASE WHEN held > {chat.HOLD_CHARS} OR calls = 0 THEN 'answer' WHEN conv_id % 2 <> 0 THEN 'external_tool' ELSE 'memory_tool' END AS kind, held, arguments FROM g"""
 
-QUERIES = {f.__name__: f for f in (stream_capture, stream_event_counts, stream_classify, classify_batch, stream_sizes)}
+QUERIES = {f.__name__: f for f in (stream_capture, stream_state, stream_event_counts, stream_classify, classify_batch, stream_sizes)}
 SQL = {
     "stream_capture": texts.SQL["planted_facts"],
+    "stream_state": f"""SELECT replace(f, '#', turn::VARCHAR) AS fact, count(*)::BIGINT AS n, min(conv_id) AS first_conv
+FROM conversations JOIN (VALUES {texts._FACTS}) t(i, k, f) ON i = turn % {len(texts.STATEMENTS)} WHERE role = 'user' GROUP BY ALL""",
     "stream_event_counts": "SELECT date_trunc('hour', ts)::TIMESTAMP AS hour, event_type, count(*)::BIGINT AS n, max(value) AS top FROM events GROUP BY 1, 2",
     "stream_classify": _CLASSIFY,
     "classify_batch": _CLASSIFY,
