@@ -76,6 +76,14 @@ def fingerprint(*parts) -> Column:
     return F.concat(F.lit("fp_"), F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, 12))
 
 
+def stack_fingerprint(code, stack, frames: int = 5) -> Column:
+    """A fingerprint of an error: its code and the first frames of its stack, files without folders, lines and columns."""
+    lines = F.transform(F.split(F.coalesce(stack, F.lit("")), "\n"), lambda x: F.btrim(x, F.lit(" \t\r")))
+    top = F.slice(F.filter(lines, lambda x: x.startswith("at ")), 1, frames)
+    named = F.transform(top, lambda x: F.regexp_replace(x, r"[^\s(]*[/\\]([^/\\:) ]+):\d+:\d+", "$1"))
+    return F.concat(F.lit("fp_"), F.substring(F.sha2(F.concat(code, F.lit("\n"), F.array_join(named, "|")), 256), 1, 12))
+
+
 def clip(text, limit: int) -> Column:
     return F.when(F.length(text) > limit, F.concat(F.substring(text, 1, limit), F.lit("..."))).otherwise(text)
 

@@ -125,6 +125,16 @@ def supersede_one_space(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.join(v.select("id", "label"), "id").groupBy("label").agg(F.count(F.lit(1)).alias("writes"), merged.alias("superseded"), F.max("version").alias("longest"))
 
 
+def supersede_study(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of one label as versions of one fact for every third label, as facts of their own for the others: what thresholds do to them."""
+    v = vectors(spark, sf_dir)
+    first = v.groupBy("label").agg(F.min("id").alias("first"))
+    kind = F.when(F.col("label") % 3 == 0, "correction").when(F.col("label") % 3 == 1, "distinct").otherwise("unrelated")
+    role = F.when(F.col("id") == F.col("first"), "original").otherwise("update")
+    rows = v.join(first, "label").select(F.lit(0).alias("space"), "id", F.col("label").cast("string").alias("grp"), role.alias("role"), kind.alias("kind"), "v")
+    return ordered.study(rows, TAUS)
+
+
 def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = ordered.supersede_fold(vectors(spark, sf_dir).select(F.col("label").cast("long").alias("space"), "id", "v"), TAUS)
     merged = F.sum((F.col("action") == "superseded").cast("long"))
@@ -224,7 +234,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         exact_dedup, latest_per_chain, scd2_windows, as_of, chain_repair, one_latest_violations, forget_sweep, forget_chain, undo_forget, visible_memories,
-        retention_keep, retention_drop, upsert_profiles, insert_ignore, cascade_delete, supersede_fold, supersede_one_space, threshold_sweep, write_batch, write_state, error_groups, error_occurrences,
+        retention_keep, retention_drop, upsert_profiles, insert_ignore, cascade_delete, supersede_fold, supersede_one_space, supersede_study, threshold_sweep, write_batch, write_state, error_groups, error_occurrences,
         percentile_nearest, export_chains, import_validate, import_remap,
     )
 }

@@ -92,35 +92,45 @@ def _earlier(rows: DataFrame, asked: DataFrame, n: int, floor: float) -> DataFra
     return found.withColumn("no", F.row_number().over(w)).where(F.col("no") <= n).drop("no")
 
 
-def supersede_fold(ops: DataFrame, taus: list[float], near: int = NEAR) -> DataFrame:
+def supersede_fold(ops: DataFrame, taus: list[float], near: int = NEAR, margin: float = 0.0) -> DataFrame:
     """``tau, space, id, action, slot, version, source_count`` of writes ``space, id, v`` for each of ``taus``.
 
-    ``slot`` is the first write of the fact, ``version`` its place in the fact's chain.
+    ``slot`` is the first write of the fact, ``version`` its place in the fact's chain. With a ``margin``, the nearest current
+    vector must also be nearer than the second nearest by so much.
     """
-    never = F.lit(np.iinfo(np.int64).max)
+    never, need = F.lit(np.iinfo(np.int64).max), 2 if margin > 0 else 1
     rows = written(ops.select("space", F.col("id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v")), "writes").withColumn("taker", never)
-    edges = written(_earlier(rows, rows, near, min(taus)), "edges")
+    edges = written(_earlier(rows, rows, max(near, need), min(taus) - margin), "edges")
     each = F.explode(F.array(*[F.lit(float(t)) for t in taus])).alias("tau")
-    edges = written(edges.select("*", each).where("s >= tau"), "edges_of_taus")
-    full = edges.groupBy("tau", "id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= near).select("tau", "id")
+    edges = written(edges.select("*", each).where(F.col("s") >= F.col("tau") - margin), "edges_of_taus")
+    full = edges.groupBy("tau", "id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= max(near, need)).select("tau", "id")
     full = written(full, "full")
+
+    def tops(free: DataFrame) -> DataFrame:
+        """The ``need`` nearest of each write."""
+        best = F.struct("s", "near")
+        return free.groupBy("tau", "id").agg(F.array(F.max(best)).alias("top") if need == 1 else F.slice(F.sort_array(F.collect_list(best), asc=False), 1, need).alias("top"))
+
+    def decided(top: DataFrame) -> DataFrame:
+        first, second = F.get("top", F.lit(0)), F.get("top", F.lit(1))["s"]
+        apart = second.isNull() | (F.round(first["s"] - second, 9) >= margin)
+        return top.where((first["s"] >= F.col("tau")) & (apart if margin > 0 else F.lit(True))).select("tau", "id", first["near"].alias("near"))
+
     chosen, seen = None, None
     for _ in range(MAX_ROUNDS):
         if chosen is None:
-            free = edges
+            top = tops(edges)
         else:
             takers = chosen.groupBy("tau", "near").agg(F.min("id").alias("taker"))
-            free = edges.join(takers, ["tau", "near"], "left").where("taker is null or taker >= id")
-        choice = free.groupBy("tau", "id").agg(F.max(F.struct("s", "near")).alias("c")).select("tau", "id", "c.near")
-        choice = written(choice, "chosen")
-        if chosen is not None:
-            short = full.join(choice, ["tau", "id"], "left_anti")
+            top = written(tops(edges.join(takers, ["tau", "near"], "left").where("taker is null or taker >= id")), "tops")
+            short = written(full.join(top.where(F.size("top") >= need), ["tau", "id"], "left_anti"), "short")
             for tau in [r["tau"] for r in short.select("tau").distinct().collect()]:  # at most the given ones
                 now = rows.drop("taker").join(takers.where(F.col("tau") == tau).select(F.col("near").alias("id"), "taker"), "id", "left").withColumn("taker", F.coalesce("taker", never))
-                more = _earlier(now, now.join(short.where(F.col("tau") == tau).select("id"), "id", "left_semi"), 1, tau)
-                choice = written(choice.unionByName(more.select(F.lit(tau).alias("tau"), "id", "near")), "chosen")
-        check = choice.agg(F.count(F.lit(1)), F.sum(F.xxhash64("tau", "id", "near").cast("decimal(38,0)"))).first()
-        chosen = choice
+                asked = short.where(F.col("tau") == tau).select("id")
+                more = tops(_earlier(now, now.join(asked, "id", "left_semi"), need, tau - margin).withColumn("tau", F.lit(tau)))
+                top = written(top.join(short.where(F.col("tau") == tau), ["tau", "id"], "left_anti").unionByName(more), "tops")
+        chosen = written(decided(top), "chosen")
+        check = chosen.agg(F.count(F.lit(1)), F.sum(F.xxhash64("tau", "id", "near").cast("decimal(38,0)"))).first()
         if check == seen:
             break
         seen = check
@@ -138,3 +148,26 @@ def supersede_fold(ops: DataFrame, taus: list[float], near: int = NEAR) -> DataF
     out = rows.select("space", "id").join(found, "id")
     action = F.when(F.col("version") > 1, "superseded").otherwise("created")
     return out.select("tau", "space", "id", action.alias("action"), "slot", F.col("version").cast("int").alias("version"), F.col("version").cast("int").alias("source_count"))
+
+
+def study(writes: DataFrame, taus: list[float], margin: float = 0.0) -> DataFrame:
+    """What a threshold does to labelled writes (``space, id, grp, role, kind, v``), a row for each of ``taus``.
+
+    Writes of a ``correction`` group are one fact, every other write is a fact of its own. A write that takes a write of its own
+    fact is ``correct``, of another ``false``; an ``update`` of a correction that takes nothing is ``missed``. ``lost``: facts that
+    ended in a slot with others, beyond one a slot. ``split``: slots of correction facts beyond one a fact.
+    """
+    fact = F.when(F.col("kind") == "correction", F.concat(F.lit("correction:"), "grp")).otherwise(F.concat("kind", F.lit(":"), "grp", F.lit("#"), F.col("id").cast("string")))
+    facts = written(writes.select("id", "role", "kind", "grp", fact.alias("fact")), "facts")
+    out = written(supersede_fold(writes, taus, margin=margin).select("tau", "id", "action", "slot", "version").join(facts, "id"), "studied")
+    before = out.select("tau", "slot", (F.col("version") + 1).alias("version"), F.col("fact").alias("was"))
+    n = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
+    merged, same = F.col("action") == "superseded", F.col("fact") == F.col("was")
+    events = out.join(before, ["tau", "slot", "version"], "left").groupBy("tau").agg(
+        F.count(F.lit(1)).alias("writes"), n(merged & same).alias("correct"), n(merged & ~same).alias("false"),
+        n((F.col("action") == "created") & (F.col("kind") == "correction") & (F.col("role") == "update")).alias("missed"), F.count_distinct("slot").alias("survivors"), F.count_distinct("fact").alias("ideal"),
+    )
+    pairs = out.select("tau", "slot", "fact", "kind").distinct()
+    lost = pairs.groupBy("tau").agg((F.count(F.lit(1)) - F.count_distinct("slot")).alias("lost"))
+    split = pairs.where("kind = 'correction'").groupBy("tau").agg((F.count(F.lit(1)) - F.count_distinct("fact")).alias("split"))
+    return events.join(lost, "tau").join(split, "tau", "left").select("tau", "writes", "correct", "false", "missed", "lost", F.coalesce("split", F.lit(0)).alias("split"), "survivors", "ideal")

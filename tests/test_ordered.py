@@ -62,3 +62,37 @@ def test_given_vectors_in_one_space(spark, tau):
     v = vectors(spark, f"{DATA}/sf0.001")
     rows = [(0, r["id"], r["v"]) for r in v.collect()]
     assert got(ordered.supersede_fold(v.selectExpr("0 as space", "id", "v"), [tau]), tau) == plain(rows, tau)
+
+
+AXES = {"a1": [1, 0, 0, 0, 0, 0], "a2": [0.96, 0.2799, 0, 0, 0, 0], "n1": [0, 0, 1, 0, 0, 0], "n2": [0, 0, 0.97, 0.2431, 0, 0], "n3": [0, 0, 0.8817, 0.4718, 0, 0], "u": [0, 0, 0, 0, 1, 0]}
+KINDS = {"a": ("A", "correction"), "n": ("N", "distinct"), "u": ("U", "unrelated")}
+
+
+def labelled(spark):
+    rows = [(0, i, KINDS[k[0]][0], "update" if k == "a2" else "original", KINDS[k[0]][1], [float(x) for x in v]) for i, (k, v) in enumerate(AXES.items())]
+    return spark.createDataFrame(rows, "space int, id long, grp string, role string, kind string, v array<double>")
+
+
+def test_study_of_the_published_set(spark):
+    out = {r["tau"]: r.asDict() for r in ordered.study(labelled(spark), [0.95, 0.98]).collect()}
+    pick = lambda r: tuple(r[k] for k in ("survivors", "correct", "false", "missed", "lost", "split", "ideal"))
+    assert pick(out[0.95]) == (3, 1, 2, 0, 2, 0, 5) and pick(out[0.98]) == (6, 0, 0, 1, 0, 1, 5)
+    (with_margin,) = ordered.study(labelled(spark), [0.95], margin=0.5).collect()
+    assert with_margin["correct"] == 1 and with_margin["false"] == 2
+
+
+def test_margin_equals_the_loop(spark):
+    rng = np.random.default_rng(4)
+    v = rng.standard_normal((90, 3)) + np.eye(3)[rng.integers(0, 3, 90)] * 3
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    current, slot, want = {}, {}, {}
+    for i, x in enumerate(u):
+        best = sorted(((round(float(y @ x), 9), j) for j, y in current.items()), reverse=True)[:2]
+        if best and best[0][0] >= 0.9 and (len(best) == 1 or round(best[0][0] - best[1][0], 9) >= 0.01):
+            slot[i] = slot[best[0][1]]
+            del current[best[0][1]]
+        else:
+            slot[i] = i
+        current[i], want[i] = x, slot[i]
+    df = spark.createDataFrame([(0, i, x.tolist()) for i, x in enumerate(v)], "space int, id long, v array<double>")
+    assert {r["id"]: r["slot"] for r in ordered.supersede_fold(df, [0.9], near=8, margin=0.01).collect()} == want
