@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mnemara.operators import evaluate, lifecycle, logs, ordered, portable, writes
+from mnemara.sources import matrix
 from mnemara.sources.tables import memories, table, vectors, versions
 from mnemara.streaming import scratch
 
@@ -190,6 +191,17 @@ def percentile_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.nearest_rank(table(spark, sf_dir, "events"), "event_type", "value", {"p50": 0.5, "p95": 0.95})
 
 
+def percentile_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.nearest_rank(table(spark, sf_dir, "events"), "event_type", "value", {"p50": 0.5, "p95": 0.95}, floor=True)
+
+
+def owned_memories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Memories laid out by owner, read for the spaces of one kind: a join that opens the folders of their owners only."""
+    store = matrix.stored_by(memories(spark, sf_dir).select("id", "text", F.col("tag").alias("org")), scratch.shared_folder(spark, "owned"), "org")
+    spaces = table(spark, sf_dir, "documents").groupBy(F.col("lang").alias("org")).agg(F.count(F.lit(1)).alias("n")).where("org <> 'en'")
+    return store.join(F.broadcast(spaces), "org").groupBy("org").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"), F.min("id").alias("first"))
+
+
 def _exported(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
 
@@ -235,7 +247,7 @@ QUERIES = {
     for f in (
         exact_dedup, latest_per_chain, scd2_windows, as_of, chain_repair, one_latest_violations, forget_sweep, forget_chain, undo_forget, visible_memories,
         retention_keep, retention_drop, upsert_profiles, insert_ignore, cascade_delete, supersede_fold, supersede_one_space, supersede_study, threshold_sweep, write_batch, write_state, error_groups, error_occurrences,
-        percentile_nearest, export_chains, import_validate, import_remap,
+        percentile_nearest, percentile_floor, owned_memories, export_chains, import_validate, import_remap,
     )
 }
 
@@ -280,6 +292,9 @@ FROM events GROUP BY 1, 2 ORDER BY last_seen DESC, code, k LIMIT 50""",
     "error_occurrences": "SELECT event_id, ts, props AS message FROM events WHERE event_type = 'error' ORDER BY ts DESC, event_id DESC LIMIT 50",
     "percentile_nearest": """WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL)
 SELECT event_type, max(n)::BIGINT AS n, min(value) FILTER (i = ceil(0.5 * n)) AS p50, min(value) FILTER (i = ceil(0.95 * n)) AS p95 FROM r GROUP BY event_type""",
+    "percentile_floor": """WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL)
+SELECT event_type, max(n)::BIGINT AS n, min(value) FILTER (i = least(n, floor(0.5 * n) + 1)) AS p50, min(value) FILTER (i = least(n, floor(0.95 * n) + 1)) AS p95 FROM r GROUP BY event_type""",
+    "owned_memories": "SELECT lang AS org, count(*)::BIGINT AS n, sum(length(text))::BIGINT AS chars, min(doc_id) AS first FROM documents WHERE lang <> 'en' GROUP BY lang",
     "export_chains": f"WITH {_FLAT} SELECT * FROM x",
     "import_validate": f"WITH {_FLAT} SELECT chain, count(*)::BIGINT AS n_versions, count(DISTINCT \"exportId\") = count(*) AND count(*) FILTER (trim(memory) = '') = 0 AND count(*) FILTER (\"isLatest\") = 1 AS ok FROM x GROUP BY chain",
     "import_remap": f"""WITH {_FLAT} SELECT chain, version, 'm' || substr(sha256(chain || '/' || "exportId"), 1, 20) AS id, 'm' || substr(sha256(chain || '/' || "parentExportId"), 1, 20) AS parent_id, "isLatest" AS is_latest FROM x""",

@@ -16,8 +16,8 @@ def score_rankings(hits: DataFrame, ks: tuple[int, ...] = (1, 5, 10)) -> DataFra
     )
 
 
-def nearest_rank(df: DataFrame, by: str, value: str, shares: dict[str, float]) -> DataFrame:
-    """Nearest-rank percentiles: the value at place ``ceil(p n)``.
+def nearest_rank(df: DataFrame, by: str, value: str, shares: dict[str, float], floor: bool = False) -> DataFrame:
+    """Nearest-rank percentiles: the value at place ``ceil(p n)``, or with ``floor`` that at place ``floor(p n) + 1``, the last at most.
 
     Equal values are counted before the running sum, so the window sorts different values, not rows.
     """
@@ -28,6 +28,7 @@ def nearest_rank(df: DataFrame, by: str, value: str, shares: dict[str, float]) -
     d = counts.withColumn("_upto", upto).withColumn("_total", total)
 
     def at(p: float) -> Column:
-        return F.min(F.when(F.col("_upto") >= F.ceil(F.lit(p) * F.col("_total")), F.col(value)))
+        place = F.least(F.floor(F.lit(p) * F.col("_total")) + 1, F.col("_total")) if floor else F.ceil(F.lit(p) * F.col("_total"))
+        return F.min(F.when(F.col("_upto") >= place, F.col(value)))
 
     return d.groupBy(by).agg(F.max("_total").alias("n"), *[at(p).alias(name) for name, p in shares.items()])

@@ -172,6 +172,9 @@ def decide(state: DataFrame, ops: DataFrame, now: Column, tau: float = 0.95) ->
     digest = F.sha2("text", 256).alias("digest")
     names = [c.strip().split(" ")[0] for c in _ROW.split(",")]
     targets = ops.where("target is not null").select(F.col("target").alias("id")).distinct()
+    # Only spaces that are written to matter; what else the state holds isn't shuffled.
+    spaces = ops.select("space").distinct()
+    state = state.join(spaces, "space", "left_semi").select(*state.columns)
     some = state.where("is_latest").unionByName(state.where("not is_latest").join(targets, "id", "left_semi").select(*state.columns))
     current = some.select(*names, digest, "v")
     asked = ops.select("seq", F.col("space").alias("space"), "kind", "target", "base", digest, "v", "is_static", "is_inference", *FLAGS[1:], "sets", "dedupe", now.cast("timestamp").alias("now"))
