@@ -88,15 +88,32 @@ def clip(text, limit: int) -> Column:
     return F.when(F.length(text) > limit, F.concat(F.substring(text, 1, limit), F.lit("..."))).otherwise(text)
 
 
+#: Parts of a text of which each secret of the formats above has one; those of labels in lower case.
+MARKS = ("PRIVATE KEY-----", "AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "glpat-", "xox", "k_live_", "npm_", "hf_", "sk-", "AIza")
+LABEL_MARKS = ("token", "secret", "password", "passwd", "key")
+
+
+def _marked(text) -> Column:
+    """Whether a text can hold a secret: most can't, which is cheaper to see than twelve patterns are to try."""
+    found = F.lit(False)
+    for m in MARKS:
+        found = found | F.contains(text, F.lit(m))
+    for m in LABEL_MARKS:
+        found = found | F.contains(F.lower(text), F.lit(m))
+    return found
+
+
 def secret_kinds(text) -> Column:
     found = [F.when(F.regexp_like(text, F.lit(p)), F.lit(kind)) for kind, p in (*SECRETS, ("labelled_secret", LABELLED_SECRET))]
-    return F.array_compact(F.array(*found))
+    return F.when(~_marked(text), F.array().cast("array<string>")).otherwise(F.array_compact(F.array(*found)))
 
 
 def redact_secrets(text) -> Column:
+    clean = text
     for kind, p in SECRETS:
-        text = F.regexp_replace(text, p, f"[redacted: {kind}]")
-    return F.regexp_replace(text, LABELLED_SECRET, "$1$2[redacted: labelled_secret]")
+        clean = F.regexp_replace(clean, p, f"[redacted: {kind}]")
+    clean = F.regexp_replace(clean, LABELLED_SECRET, "$1$2[redacted: labelled_secret]")
+    return F.when(_marked(text), clean).otherwise(text)
 
 
 def is_sensitive(text) -> Column:

@@ -174,6 +174,50 @@ def write_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return after.groupBy("space", "is_static").agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.md5("text")).alias("texts"), F.sum(F.length("text")).alias("chars"))
 
 
+def _op(kind, target, base, text, v, sets):
+    none = F.lit(None)
+    return [
+        kind.alias("kind"), target.alias("target"), base.cast("int").alias("base"), text.alias("text"), v.alias("v"), F.lit(True).alias("is_static"), F.lit(False).alias("is_inference"),
+        none.cast("string").alias("metadata"), none.cast("timestamp").alias("forget_after"), none.cast("string").alias("forget_reason"), sets.alias("sets"), F.lit(True).alias("dedupe"),
+    ]
+
+
+def write_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three documents in a row as versions of one memory, and an edit of each: corrections of old and new texts, with and without a
+    vector, from the right version or another, patches, and targets that aren't there."""
+    none, empty = F.lit(None), F.array().cast("array<string>")
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq"), "lang", F.coalesce("text", F.lit("")).alias("text"), F.floor(F.col("doc_id") / 3).alias("chain"), (F.col("doc_id") % 3 + 1).cast("int").alias("version"))
+    key = lambda c: F.concat(F.lit("m"), F.lpad(c.cast("string"), 12, "0"))
+    last = d.groupBy("chain").agg(F.max("seq").alias("last"), F.min_by("lang", "seq").alias("space"))
+    d = d.join(last, "chain")
+    latest = F.col("seq") == F.col("last")
+    state = d.select(
+        key(F.col("seq")).alias("id"), "space", "text", F.array(F.col("seq").cast("double"), F.lit(1.0)).alias("v"), F.lit(False).alias("is_static"), F.lit(False).alias("is_inference"), none.cast("string").alias("metadata"),
+        none.cast("timestamp").alias("forget_after"), none.cast("string").alias("forget_reason"), latest.alias("is_latest"), F.lit(False).alias("is_forgotten"), "version", key(F.col("chain") * 3).alias("root"),
+        F.when(F.col("version") > 1, key(F.col("seq") - 1)).alias("parent"), F.lit(1).alias("source_count"), none.cast("timestamp").alias("valid_from"), none.cast("timestamp").alias("valid_to"),
+    )
+    k = F.col("chain") % 6
+    text = F.when(k == 1, F.col("text")).otherwise(F.concat("text", F.lit(" once more")))
+    vector = F.when(k != 2, F.array(F.lit(1.0), F.col("seq").cast("double")))
+    target = F.when(k == 3, F.lit("nobody")).otherwise(key(F.col("seq")))
+    base = F.when(k == 4, F.col("version") + 1).when(k == 0, F.col("version"))
+    kind = F.when(k == 5, "patch").otherwise("correct")
+    ops = d.select("seq", "space", *_op(kind, target, base, text, vector, F.when(k == 5, F.array(F.lit("is_static"))).otherwise(empty)))
+    out = writes.decide(state, ops, F.to_timestamp(F.lit(INSTANT)), tau=2.0).where("seq is not null")
+    return out.select("seq", "action", "version", F.coalesce("latest_id", F.lit("")).alias("latest_id"))
+
+
+def write_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vectors written into the spaces of their labels, near ones over each other: by space, what became of the writes."""
+    v = vectors(spark, sf_dir)
+    none = F.lit(None)
+    text = F.concat(F.lit("fact "), F.col("id").cast("string"))
+    ops = v.select(F.col("id").alias("seq"), F.col("label").cast("string").alias("space"), *_op(F.lit("write"), none.cast("string"), none, text, F.col("v"), F.array().cast("array<string>")))
+    state = spark.createDataFrame([], f"{writes._ROW}, text string, v array<double>")
+    out = writes.decide(state, ops, F.to_timestamp(F.lit(INSTANT)), tau=0.3).where("seq is not null")
+    return out.groupBy("space", "action").agg(F.count(F.lit(1)).alias("n"), F.max("version").alias("longest"))
+
+
 def _errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     return e.select("event_id", "ts", F.col("event_type").alias("code"), F.get_json_object("props", "$.k").cast("long").alias("k"), F.col("props").alias("message"))
@@ -246,7 +290,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         exact_dedup, latest_per_chain, scd2_windows, as_of, chain_repair, one_latest_violations, forget_sweep, forget_chain, undo_forget, visible_memories,
-        retention_keep, retention_drop, upsert_profiles, insert_ignore, cascade_delete, supersede_fold, supersede_one_space, supersede_study, threshold_sweep, write_batch, write_state, error_groups, error_occurrences,
+        retention_keep, retention_drop, upsert_profiles, insert_ignore, cascade_delete, supersede_fold, supersede_one_space, supersede_study, threshold_sweep, write_batch, write_state, write_edits, write_near, error_groups, error_occurrences,
         percentile_nearest, percentile_floor, owned_memories, export_chains, import_validate, import_remap,
     )
 }
@@ -274,6 +318,10 @@ SELECT id, is_forgotten OR due AS is_forgotten, CASE WHEN due THEN coalesce(forg
 SELECT 'documents' AS name, count(*)::BIGINT AS n FROM documents WHERE doc_id NOT IN (FROM gone) UNION ALL SELECT 'labels', count(*) FROM labels WHERE doc_id NOT IN (FROM gone)
 UNION ALL SELECT 'embeddings', count(*) FROM embeddings WHERE vec_id NOT IN (FROM gone)""",
     "write_batch": f"WITH {_BATCH} SELECT seq, action, 1 AS version FROM a",
+    "write_edits": """WITH d AS (SELECT doc_id AS seq, doc_id // 3 AS chain, doc_id % 3 + 1 AS version, max(doc_id) OVER (PARTITION BY doc_id // 3) AS last FROM documents)
+SELECT seq, CASE WHEN chain % 6 = 3 THEN 'missing' WHEN seq <> last THEN 'stale' WHEN chain % 6 = 4 THEN 'conflict' WHEN chain % 6 IN (1, 5) THEN 'updated' WHEN chain % 6 = 2 THEN 'dropped' ELSE 'versioned' END AS action,
+  CASE WHEN chain % 6 = 3 OR chain % 6 = 2 AND seq = last THEN NULL WHEN chain % 6 = 0 AND seq = last THEN version + 1 ELSE version END::INTEGER AS version,
+  CASE WHEN chain % 6 <> 3 AND (seq <> last OR chain % 6 = 4) THEN 'm' || lpad(last::VARCHAR, 12, '0') ELSE '' END AS latest_id FROM d""",
     "write_state": f"""WITH {_BATCH}, first AS (
   SELECT space, text, min(id) AS id FROM (SELECT lang AS space, text, 'm' || lpad(doc_id::VARCHAR, 12, '0') AS id FROM documents WHERE doc_id % 3 = 0
     UNION ALL SELECT space, text, 'm_' || substr(sha256(space || '/' || seq), 1, 20) FROM a WHERE action = 'created') GROUP BY space, text

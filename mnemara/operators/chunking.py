@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mnemara.streaming.scratch import written
+
 #: Characters that count as one token each.
 _CJK = re.compile("[ᄀ-ᇿ⺀-꓏ꡀ-꡿가-힯豈-﫿︰-﹏･-ￜ]")
 _ASTRAL = re.compile("[\U00010000-\U0010ffff]")
@@ -246,7 +248,7 @@ def ingest(docs: DataFrame, embed, now, options: ChunkOptions = ChunkOptions(),
     from mnemara.functions import vectors as vec
 
     taken = docs.where(F.length("text").between(1, most_chars))
-    made = chunk_documents(taken).withColumn("v", embed(F.col("embedded_content")))
+    made = written(chunk_documents(taken).withColumn("v", embed(F.col("embedded_content"))), "chunks")  # read three times below
     good = F.coalesce(vec.is_valid(F.col("v"), F.size("v")), F.lit(False))
     key = F.concat(F.lit("c_"), F.substring(F.sha2(F.concat_ws("/", F.col("id").cast("string"), F.col("position").cast("string")), 256), 1, 20))
     chunks = made.where(good).select(

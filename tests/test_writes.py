@@ -97,3 +97,15 @@ def test_secrets_never_reach_the_state(spark):
     assert got[1]["text"] == "key [redacted: github_token]" and "abc12345" not in got[1]["metadata"] and "hunter" not in got[1]["forget_reason"]
     assert got[1]["redacted"] == ["github_token", "labelled_secret"] and got[2]["text"] == "fine" and got[2]["redacted"] == []
     assert {r["text"] for r in writes.gated(ops, F.lit(True)).collect()} == {"key ghp_" + "a" * 36, "fine"}
+
+
+def test_near_writes_equal_the_parallel_fold(spark):
+    from mnemara.jobs import records
+    from mnemara.operators import ordered
+    from mnemara.sources.tables import vectors
+
+    sf = "/root/testdata/sf0.001"
+    fold = ordered.supersede_fold(vectors(spark, sf).selectExpr("cast(label as string) as space", "id", "v"), [0.3])
+    want = {(r["space"], r["action"]): (r["n"], r["longest"]) for r in fold.groupBy("space", "action").agg(F.count("id").alias("n"), F.max("version").alias("longest")).collect()}
+    assert {(r["space"], r["action"]): (r["n"], r["longest"]) for r in records.write_near(spark, sf).collect()} == want
+    assert {a for _, a in want} == {"created", "superseded"}
