@@ -204,7 +204,7 @@ def write_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.when(k == 5, "patch").otherwise("correct")
     ops = d.select("seq", "space", *_op(kind, target, base, text, vector, F.when(k == 5, F.array(F.lit("is_static"))).otherwise(empty)))
     out = writes.decide(state, ops, F.to_timestamp(F.lit(INSTANT)), tau=2.0).where("seq is not null")
-    return out.select("seq", "action", "version", F.coalesce("latest_id", F.lit("")).alias("latest_id"))
+    return out.select("seq", "action", F.coalesce("version", F.lit(0)).alias("version"), F.coalesce("latest_id", F.lit("")).alias("latest_id"))
 
 
 def write_near(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -320,7 +320,7 @@ UNION ALL SELECT 'embeddings', count(*) FROM embeddings WHERE vec_id NOT IN (FRO
     "write_batch": f"WITH {_BATCH} SELECT seq, action, 1 AS version FROM a",
     "write_edits": """WITH d AS (SELECT doc_id AS seq, doc_id // 3 AS chain, doc_id % 3 + 1 AS version, max(doc_id) OVER (PARTITION BY doc_id // 3) AS last FROM documents)
 SELECT seq, CASE WHEN chain % 6 = 3 THEN 'missing' WHEN seq <> last THEN 'stale' WHEN chain % 6 = 4 THEN 'conflict' WHEN chain % 6 IN (1, 5) THEN 'updated' WHEN chain % 6 = 2 THEN 'dropped' ELSE 'versioned' END AS action,
-  CASE WHEN chain % 6 = 3 OR chain % 6 = 2 AND seq = last THEN NULL WHEN chain % 6 = 0 AND seq = last THEN version + 1 ELSE version END::INTEGER AS version,
+  CASE WHEN chain % 6 = 3 OR chain % 6 = 2 AND seq = last THEN 0 WHEN chain % 6 = 0 AND seq = last THEN version + 1 ELSE version END::INTEGER AS version,
   CASE WHEN chain % 6 <> 3 AND (seq <> last OR chain % 6 = 4) THEN 'm' || lpad(last::VARCHAR, 12, '0') ELSE '' END AS latest_id FROM d""",
     "write_state": f"""WITH {_BATCH}, first AS (
   SELECT space, text, min(id) AS id FROM (SELECT lang AS space, text, 'm' || lpad(doc_id::VARCHAR, 12, '0') AS id FROM documents WHERE doc_id % 3 = 0
