@@ -195,11 +195,13 @@ def keyword_hits(data: DataFrame, queries: DataFrame, n: int) -> DataFrame:
     longest = F.array_max(F.transform(F.flatten(words), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
     sets = sets.withColumn("key", longest)
     forbid = sets.where("key is null").drop("key")
-    n_sets, n_forbid, few = sets.count(), forbid.count(), [r["key"] for r in sets.where("key is not null").select("key").distinct().limit(FEW_KEYS + 1).collect()]
-    small = n_sets <= MAX_BROADCAST_SETS
+    some = [r["key"] for r in sets.select("key").limit(MAX_BROADCAST_SETS + 1).collect()]  # one job: a word a set, of so many sets at most
+    small = len(some) <= MAX_BROADCAST_SETS
+    n_forbid = some.count(None) if small else forbid.count()
+    few = sorted({w for w in some if w is not None})
     sets = sets.where("key is not null")
     all_rows = data
-    if len(few) <= FEW_KEYS:  # few words: most texts go before they are cut into tokens
+    if small and len(few) <= FEW_KEYS:  # few words: most texts go before they are cut into tokens
         here = F.lit(False)
         for w in few:
             here = here | F.lower("text").contains(w)
@@ -209,7 +211,7 @@ def keyword_hits(data: DataFrame, queries: DataFrame, n: int) -> DataFrame:
         return rows.select("id", tx.tokens("text").alias("_t")).withColumn("_s", F.concat(F.lit(" "), F.array_join("_t", " "), F.lit(" ")))
 
     d = cut(data)
-    if len(few) <= FEW_KEYS and small:
+    if small and len(few) <= FEW_KEYS:
         keys = F.array(*[F.lit(w) for w in few]).cast("array<string>")
         d = d.withColumn("key", F.explode(F.array_intersect(keys, F.col("_t")))).join(F.broadcast(sets), "key").drop("key")
     elif small:  # rows and queries meet by words alone, and texts join what is left
