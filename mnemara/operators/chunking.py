@@ -3,7 +3,11 @@
 Blocks (fences, tables, paragraphs) under one heading path are packed up to ``max_chars``; a larger block is cut at
 sentences or lines, and a unit that is still too large hard. A chunk starts with the tail of the one before it in its
 section. What is embedded is the heading path and the chunk; if their token estimate is over the budget the chunk is cut
-again. Lengths are UTF-16 units. Reading, packing and cutting take one pass each over a document, with running lengths.
+again. Lengths are UTF-16 units.
+
+A text moves once: documents are spread by id, become rows of lines and fences, and every later step (headings in force,
+blocks, sections, overlaps, positions) is a window or a grouping over the same partitions. How many units fit in a part
+depends on all parts before it: a running aggregate over the lengths of a section's units says where parts end.
 
 Text is never lost: unlike sentence patterns that skip what they don't match, cuts keep all characters but white space
 at the ends of parts.
@@ -11,21 +15,22 @@ at the ends of parts.
 
 from __future__ import annotations
 
-import re
-from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mnemara.functions import text as tx
 from mnemara.streaming.scratch import written
 
-#: Characters that count as one token each.
-_CJK = re.compile("[ᄀ-ᇿ⺀-꓏ꡀ-꡿가-힯豈-﫿︰-﹏･-ￜ]")
-_ASTRAL = re.compile("[\U00010000-\U0010ffff]")
-SCHEMA = "id long, position int, content string, embedded_content string, heading_path string, char_len int, tokens int, flags array<string>"
-DOCS_AT_ONCE = 128
+#: White space, without and with line ends.
+_BLANK = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+_SPACE = _BLANK + "\n"
+#: A fence up to its closing line, or to the end if there is none; or a line.
+_ITEM = rf"(?dm)^(?:[{_BLANK}]*+(```|~~~)[^\n]*+(?:(?s:.*?)\n[{_BLANK}]*+\1[^\n]*+|(?s:.*))|[^\n]*+)"
+_FENCE = rf"^[{_BLANK}]*+(```|~~~)"
+_HEADING = rf"^(#{{1,6}})[{_BLANK}]+(?=[^{_SPACE}])"
+_WIDE = r"[\x{10000}-\x{10FFFF}]"
 LEAST_BUDGET = 32
 
 
@@ -50,192 +55,200 @@ class ChunkOptions:
         return cls(**good)
 
 
-def units(text: str) -> int:
-    return len(text) if text.isascii() else len(text) + len(_ASTRAL.findall(text))
-
-
-def measure(text: str) -> tuple[int, int]:
-    """How many CJK characters, and how many other UTF-16 units."""
-    if text.isascii():
-        return 0, len(text)
-    cjk = len(_CJK.findall(text))
-    return cjk, units(text) - cjk
-
-
-def tokens(cjk: int, rest: int) -> int:
-    return cjk + -(-rest // 3)
-
-
-def estimate(text: str) -> int:
-    return tokens(*measure(text))
-
-
-def blocks(md: str) -> Iterator[tuple[str, str, str]]:
-    """``(kind, text, heading path)`` of each block that isn't a heading."""
-    path: list[tuple[int, str]] = []
-    held: list[str] = []
-    kind, fence = "para", ""
-
-    def block() -> Iterator[tuple[str, str, str]]:
-        if held:
-            yield kind, "\n".join(held), " > ".join(h for _, h in path)
-            held.clear()
-
-    for line in md.replace("\r\n", "\n").split("\n"):
-        bare = line.strip()
-        if fence:
-            held.append(line)
-            if bare.startswith(fence):
-                fence = ""
-                yield from block()
-        elif bare.startswith(("```", "~~~")):
-            yield from block()
-            kind, fence, held = "code", bare[:3], [line]
-        elif m := re.match(r"(#{1,6})\s+(?=\S)", line):
-            yield from block()
-            path = [h for h in path if h[0] < len(m[1])] + [(len(m[1]), line[m.end() :].strip())]
-        elif not bare:
-            yield from block()
-        else:
-            now = "table" if bare.startswith("|") else "para"
-            if now != kind:
-                yield from block()
-            kind = now
-            held.append(line)
-    yield from block()
-
-
-def sentences(text: str) -> list[str]:
-    """A text cut after every run of stops that white space follows."""
-    ends = [m.end() for m in re.finditer(r"(?<=[.!?])\s", text)]
-    return [text[a:b] for a, b in zip([0, *ends], [*ends, len(text)], strict=True) if a < b]
-
-
-def halves(text: str, budget: int) -> list[str]:
-    """A unit without boundaries, halved until its parts fit; pairs of surrogates stay whole as Python has none."""
-    if estimate(text) <= budget or len(text) < 2:
-        return [text]
-    middle = -(-len(text) // 2)
-    return halves(text[:middle], budget) + halves(text[middle:], budget)
-
-
-def slices(text: str, limit: int) -> list[str]:
-    """A unit without boundaries in parts of up to ``limit`` UTF-16 units, of a character at least."""
-    out, start, size = [], 0, 0
-    for i, c in enumerate(text):
-        n = 2 if c > "￿" else 1
-        if size + n > limit and i > start:
-            out.append(text[start:i])
-            start, size = i, 0
-        size += n
-    return [*out, text[start:]]
-
-
-def packed(parts: list[str], fits: Callable[[int, int], bool], hard: Callable[[str], list[str]]) -> Iterator[tuple[str, bool]]:
-    """Consecutive parts joined as far as they fit, and the hard cuts (True) of those that don't by themselves; by running measures."""
-    now: list[str] = []
-    cjk = rest = 0
-    for p in parts:
-        a, b = measure(p)
-        if now and not fits(cjk + a, rest + b):
-            yield "".join(now), False
-            now, cjk, rest = [], 0, 0
-        if fits(a, b):
-            now.append(p)
-            cjk, rest = cjk + a, rest + b
-        else:
-            yield from ((x, True) for x in hard(p))
-    if now:
-        yield "".join(now), False
-
-
-def raw_parts(md: str, options: ChunkOptions) -> Iterator[tuple[str, str, list[str]]]:
-    """``(text, heading path, flags)`` of what blocks are packed or cut to."""
-    limit = options.max_chars
-    held: list[str] = []
-    size, under = 0, ""
-
-    def flush() -> Iterator[tuple[str, str, list[str]]]:
-        nonlocal size
-        if text := "\n\n".join(held).strip():
-            yield text, under, []
-        held.clear()
-        size = 0
-
-    for kind, text, path in blocks(md):
-        n = units(text)
-        if path != under or n > limit or held and size + n + 2 > limit:
-            yield from flush()
-            under = path
-        if n > limit:
-            cut = sentences(text) if kind == "para" else [f"{line}\n" for line in text.split("\n")]
-            for part, hard in packed(cut, lambda cjk, rest: cjk + rest <= limit, lambda u: slices(u, limit)):
-                if part.strip():
-                    yield part if hard else part.strip(), path, [f"force-split-{kind}" + "+hard-cut" * hard]
-            continue
-        size += n + (2 if held else 0)
-        held.append(text)
-    yield from flush()
-
-
-def tail(text: str, n: int) -> str:
+def _strip(c) -> Column:
+    return F.btrim(c, F.lit(_SPACE))
+
+
+def _ascii(c) -> Column:
+    return F.length(c) == F.octet_length(c)
+
+
+def units(c) -> Column:
+    """The length of a text in UTF-16 units."""
+    return F.when(_ascii(c), F.length(c)).otherwise(F.length(c) + F.regexp_count(c, F.lit(_WIDE))).cast("int")
+
+
+def _cjk(c) -> Column:
+    return F.when(_ascii(c), F.lit(0)).otherwise(F.regexp_count(c, F.lit(tx.CJK))).cast("int")
+
+
+def estimate(c) -> Column:
+    return F.when(_ascii(c), F.ceil(F.length(c) / 3)).otherwise(tx.token_estimate(c)).cast("int")
+
+
+def _sentences(c) -> Column:
+    """A text cut after every white space that follows a stop."""
+    return F.filter(F.split(c, rf"(?<=[.!?][{_SPACE}])"), lambda s: s != "")
+
+
+def _lines(c) -> Column:
+    return F.transform(F.split(c, r"\n"), lambda s: F.concat(s, F.lit("\n")))
+
+
+def _ends(sizes: Column, gap: Column, limit: Column, per: int) -> Column:
+    """Where parts end if consecutive units are joined while the sum of ``c + r / per``, rounded up, is within the limit.
+
+    ``sizes`` holds structs ``c, r``; ``gap`` is added to ``r`` between two units. A unit over the limit is a part by itself.
+    """
+
+    def size(c: Column, r: Column) -> Column:
+        return c + F.ceil(r / per)
+
+    def step(s: Column, u: Column) -> Column:
+        big = size(u["c"], u["r"]) > limit
+        full = s["held"] & (size(s["c"] + u["c"], s["r"] + gap + u["r"]) > limit)
+        none = F.array().cast("array<int>")
+        new = F.concat(s["ends"], F.when(full, F.array(s["i"])).otherwise(none), F.when(big, F.array(s["i"] + 1)).otherwise(none))
+        return F.struct(
+            F.when(full | big, new).otherwise(s["ends"]).alias("ends"),
+            F.when(big, 0).when(full, u["c"]).otherwise(s["c"] + u["c"]).cast("int").alias("c"),
+            F.when(big, 0).when(full, u["r"]).otherwise(s["r"] + u["r"] + F.when(s["held"], gap).otherwise(0)).cast("int").alias("r"),
+            (~big).alias("held"),
+            (s["i"] + 1).cast("int").alias("i"),
+        )
+
+    zero = F.lit(0).cast("int")
+    start = F.struct(F.array().cast("array<int>").alias("ends"), zero.alias("c"), zero.alias("r"), F.lit(False).alias("held"), zero.alias("i"))
+    return F.aggregate(sizes, start, step, lambda s: F.when(s["held"], F.concat(s["ends"], F.array(s["i"]))).otherwise(s["ends"]))
+
+
+def _slices(unit: Column, limit: int) -> Column:
+    """A unit without boundaries in parts of up to ``limit`` UTF-16 units, of a character at least.
+
+    Units with wide characters are cut as hexadecimal digits, four a UTF-16 unit, never before the second half of a pair.
+    """
+    digits = F.hex(F.encode(unit, "UTF-16BE"))
+    cuts = F.regexp_extract_all(digits, F.lit(rf"(?:[0-9A-F]{{4}}){{1,{limit}}}(?!D[C-F])|[0-9A-F]{{8}}"), F.lit(0))
+    wide = F.transform(cuts, lambda x: F.decode(F.unhex(x), "UTF-16BE"))
+    return F.when(units(unit) == F.length(unit), F.regexp_extract_all(unit, F.lit(rf"(?s).{{1,{limit}}}"), F.lit(0))).otherwise(wide)
+
+
+def _halved(unit: Column, budget: Column) -> Column:
+    """A unit without boundaries, halved until its parts fit; all parts that are too large are halved at once."""
+
+    def halve(parts: Column) -> Column:
+        middle = lambda p: F.ceil(F.length(p) / 2).cast("int")
+        cut = lambda p: F.array(F.substring(p, F.lit(1), middle(p)), F.substring(p, middle(p) + 1, F.length(p)))
+        return F.flatten(F.transform(parts, lambda p: F.when((estimate(p) <= budget) | (F.length(p) < 2), F.array(p)).otherwise(cut(p))))
+
+    # A text halves at most 31 times; a round changes nothing once all parts fit.
+    return F.when(unit.isNotNull(), F.aggregate(F.sequence(F.lit(1), F.ceil(F.log2(F.length(unit) + 1)).cast("int")), F.array(unit), lambda parts, _: halve(parts)))
+
+
+def _joined(texts: Column, ends: Column, sep: str) -> Column:
+    """The parts that end at these places, each with the number of its units."""
+
+    def part(end: Column, i: Column) -> Column:
+        start = F.when(i == 0, 0).otherwise(F.get(ends, i - 1))
+        return F.struct(F.array_join(F.slice(texts, start + 1, end - start), sep).alias("text"), (end - start).alias("n"))
+
+    return F.transform(ends, part)
+
+
+def _blocks(docs: DataFrame) -> DataFrame:
+    """``id, h, b, kind, text, path`` of each block that isn't a heading; ``h`` tells the texts of one id apart."""
+    d = docs.where("text is not null").select("id", F.xxhash64("text").alias("h"), "text").dropDuplicates(["id", "h"])
+    rows = d.select("id", "h", F.posexplode(F.regexp_extract_all(F.replace("text", F.lit("\r\n"), F.lit("\n")), F.lit(_ITEM), F.lit(0))).alias("n", "line"))
+    bare = _strip(F.col("line"))
+    kind = F.when(bare == "", "blank").when(F.col("line").rlike(_FENCE), "code").when(F.col("line").rlike(_HEADING), "heading").when(bare.startswith("|"), "table").otherwise("para")
+    rows = rows.withColumn("kind", kind)
+    so_far = Window.partitionBy("id", "h").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    before = F.lag("kind").over(Window.partitionBy("id", "h").orderBy("n"))
+    level = F.when(F.col("kind") == "heading", F.length(F.regexp_extract("line", _HEADING, 1)))
+    title = _strip(F.regexp_replace("line", _HEADING, ""))
+    starts = (F.col("kind") == "code") | before.isNull() | (before != F.col("kind"))
+    rows = rows.select("*", level.alias("level"), F.when(level.isNotNull(), title).alias("title"), starts.cast("int").alias("starts"))
+    last = [F.last(F.when(F.col("level") == k, F.struct("n", "title")), ignorenulls=True).over(so_far).alias(f"h{k}") for k in range(1, 7)]
+    rows = rows.select("id", "h", "n", "kind", "line", F.sum("starts").over(so_far).alias("b"), *last).where("kind not in ('blank', 'heading')")
+    # A heading is in force until one of its level or above comes.
+    place = [F.coalesce(F.col(f"h{k}.n"), F.lit(-1)) for k in range(1, 7)]
+    above = [F.lit(-1), place[0], *[F.greatest(*place[:k]) for k in range(2, 6)]]
+    path = F.concat_ws(" > ", *[F.when(p > a, F.col(f"h{k}.title")) for k, (p, a) in enumerate(zip(place, above, strict=True), 1)])
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]), "\n")
+    return rows.select("id", "h", "n", "b", "kind", "line", path.alias("path")).groupBy("id", "h", "b").agg(F.first("kind").alias("kind"), F.first("path").alias("path"), lines.alias("text"))
+
+
+def _raw_parts(docs: DataFrame, options: ChunkOptions) -> DataFrame:
+    """``id, h, at, text, path, flags`` of what blocks are packed or cut to; ``at`` orders them."""
+    limit = F.lit(options.max_chars)
+    in_order = Window.partitionBy("id", "h").orderBy("b")
+    blocks = _blocks(docs).withColumn("n", units(F.col("text"))).withColumn("big", F.col("n") > limit)
+    was = F.lag(F.struct("path", "big")).over(in_order)
+    breaks = was.isNull() | (was["path"] != F.col("path")) | was["big"] | F.col("big")
+    runs = blocks.withColumn("breaks", breaks.cast("int")).withColumn("run", F.sum("breaks").over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = runs.groupBy("id", "h", "run").agg(
+        F.first("path").alias("path"), F.first("big").alias("big"), F.first("kind").alias("kind"), F.array_sort(F.collect_list(F.struct("b", "text"))).alias("blocks")
+    )
+    whole, first = F.transform("blocks", lambda x: x["text"]), F.col("blocks")[0]["text"]
+    runs = runs.withColumn("units", F.when(~F.col("big"), whole).when(F.col("kind") == "para", _sentences(first)).otherwise(_lines(first)))
+    sizes = F.transform("units", lambda x: F.struct(F.lit(0).alias("c"), units(x).alias("r")))
+    fits = _ends(sizes, F.when(F.col("big"), 0).otherwise(2), limit, 1)
+    runs = runs.select("id", "h", "run", "path", "big", "kind", "units", fits.alias("ends"))
+    parts = F.when(F.col("big"), _joined(F.col("units"), F.col("ends"), "")).otherwise(_joined(F.col("units"), F.col("ends"), "\n\n"))
+    rows = runs.select("id", "h", "run", "path", "big", "kind", F.posexplode(parts).alias("part", "p"))
+    rows = rows.select("id", "h", "run", "path", "big", "kind", "part", F.col("p.text").alias("text"), (F.col("big") & (F.col("p.n") == 1) & (units(F.col("p.text")) > limit)).alias("hard"))
+    rows = rows.withColumn("cut", F.when(F.col("hard"), _slices(F.col("text"), options.max_chars)))
+    rows = rows.select("id", "h", "run", "path", "big", "kind", "part", "hard", F.posexplode(F.coalesce("cut", F.array("text"))).alias("slice", "text"))
+    flag = F.concat(F.lit("force-split-"), F.col("kind"), F.when(F.col("hard"), "+hard-cut").otherwise(""))
+    flags = F.when(F.col("big"), F.array(flag)).otherwise(F.array().cast("array<string>"))
+    text = F.when(F.col("hard"), F.col("text")).otherwise(_strip(F.col("text")))
+    return rows.where(_strip(F.col("text")) != "").select("id", "h", F.struct("run", "part", "slice").alias("at"), text.alias("text"), "path", flags.alias("flags"))
+
+
+def _tail(text: Column, n: int) -> Column:
     """The last ``n`` UTF-16 units, from after the first end of a sentence or line in them if there is one."""
-    if units(text) <= n:
-        return text
-    end = text[-n:]
-    while units(end) > n:
-        end = end[1:]
-    m = re.search(r"[.!?]\s|\n", end)
-    return (end[m.start() + 1 :] if m else end).strip()
-
-
-def breadcrumb(path: str, budget: int) -> tuple[str, bool]:
-    """The headings above a chunk, their tail kept within half the budget, and whether they were cut."""
-    line, cut = f"{path}\n\n" if path else "", False
-    while line and estimate(line) > budget / 2:
-        line, cut = line[max(32, len(line) // 4) :], True
-    return line, cut
-
-
-def chunk(md: str, options: ChunkOptions = ChunkOptions()) -> Iterator[dict]:
-    """The chunks of one document."""
-    place, before = 0, ("", None)
-    for text, path, flags in raw_parts(md, options):
-        lead = tail(before[0], options.overlap_chars) if before[1] == path and options.overlap_chars > 0 else ""
-        before = (text, path)
-        crumb, cut = breadcrumb(path, options.token_budget)
-        content = f"{lead}\n\n{text}" if lead else text
-        marks = [*flags, *["overlap"] * bool(lead), *["breadcrumb-truncated"] * cut]
-        budget = max(options.token_budget - estimate(crumb), LEAST_BUDGET)
-        parts = [content]
-        if estimate(content) > budget:
-            marks.append("token-split")
-            cuts = [f"{line}\n" for line in content.split("\n")] if "\n" in content else sentences(content)
-            parts = [p.rstrip() for p, _ in packed(cuts, lambda cjk, rest, b=budget: tokens(cjk, rest) <= b, lambda u, b=budget: halves(u, b)) if p.strip()]
-        for p in parts:
-            n = units(p)
-            quality = [("tiny", n < options.min_chars), ("oversized", n > options.max_chars * 1.15), ("mid-sentence", not re.search(r'[.!?:)\]`"]$', p.strip()))]
-            yield {
-                "position": place, "content": p, "embedded_content": crumb + p, "heading_path": path, "char_len": n, "tokens": estimate(p),
-                "flags": marks + [f for f, on in quality if on],
-            }
-            place += 1
+    wide = F.encode(F.right(text, F.lit(n)), "UTF-16BE")
+    last = F.substring(wide, -2 * n, 2 * n)
+    half = F.hex(F.substring(last, 1, 1)).between("DC", "DF")  # of a pair whose first half is cut off
+    end = F.when(_ascii(text), F.right(text, F.lit(n))).otherwise(F.decode(F.when(half, F.substring(last, 3, 2 * n)).otherwise(last), "UTF-16BE"))
+    return F.when(units(text) <= n, text).otherwise(_strip(F.regexp_replace(end, rf"(?s)\A.*?(?:[.!?](?=[{_SPACE}])|\n)", "")))
+
+
+def _breadcrumb(path: Column, budget: int) -> Column:
+    """The headings above a chunk, their tail kept within half the budget."""
+    line = F.when(path != "", F.concat(path, F.lit("\n\n"))).otherwise("")
+    shorter = lambda x: F.when(estimate(x) > budget / 2, F.substring(x, F.greatest(F.lit(32), F.floor(F.length(x) / 4)).cast("int") + 1, F.length(x))).otherwise(x)
+    # A quarter goes each time, so 80 times are enough for any length, or 32 characters of the last few hundred.
+    return F.when(estimate(line) <= budget / 2, line).otherwise(F.aggregate(F.sequence(F.lit(1), F.lit(80 + budget // 16)), line, lambda x, _: shorter(x)))
 
 
 def chunk_documents(docs: DataFrame, options: ChunkOptions = ChunkOptions()) -> DataFrame:
-    """The chunks of every document (``id, text``); a null or blank text has none."""
-    columns = ["position", "content", "embedded_content", "heading_path", "char_len", "tokens", "flags"]
-    types = [pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.list_(pa.string())]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, DOCS_AT_ONCE):
-                b = whole.slice(at, DOCS_AT_ONCE)
-                rows = [(i, c) for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True) for c in chunk(t.as_py() or "", options)]
-                arrays = [pa.array([i for i, _ in rows], pa.int64()), *[pa.array([c[k] for _, c in rows], t) for k, t in zip(columns, types, strict=True)]]
-                yield pa.RecordBatch.from_arrays(arrays, ["id", *columns])
-
-    return docs.select("id", "text").mapInArrow(run, SCHEMA)
+    """``id, position, content, embedded_content, heading_path, char_len, tokens, flags`` of the chunks of every document (``id, text``).
+
+    A null or blank text has none. Rows that repeat an id and its text count once; different texts of one id (or of the null
+    id) are cut each for itself.
+    """
+    after = Window.partitionBy("id", "h").orderBy("at")
+    rows = _raw_parts(docs, options).withColumn("end", _tail(F.col("text"), options.overlap_chars))
+    was = F.lag(F.struct("path", "end")).over(after)
+    lead = F.when((was["path"] == F.col("path")) & F.lit(options.overlap_chars > 0), was["end"])
+    rows = rows.withColumn("lead", F.coalesce(lead, F.lit(""))).withColumn("crumb", _breadcrumb(F.col("path"), options.token_budget))
+    rows = rows.withColumn("content", F.when(F.col("lead") != "", F.concat("lead", F.lit("\n\n"), "text")).otherwise(F.col("text")))
+    rows = rows.withColumn("budget", F.greatest(F.lit(options.token_budget) - estimate(F.col("crumb")), F.lit(LEAST_BUDGET))).withColumn("over", estimate(F.col("content")) > F.col("budget"))
+    marks = F.concat(
+        "flags", F.when(F.col("lead") != "", F.array(F.lit("overlap"))).otherwise(F.array().cast("array<string>")),
+        F.when((F.col("path") != "") & (F.length("crumb") < F.length("path") + 2), F.array(F.lit("breadcrumb-truncated"))).otherwise(F.array().cast("array<string>")),
+        F.when(F.col("over"), F.array(F.lit("token-split"))).otherwise(F.array().cast("array<string>")),
+    )
+    cuts = F.when(F.col("over"), F.when(F.contains("content", F.lit("\n")), _lines(F.col("content"))).otherwise(_sentences(F.col("content"))))
+    rows = rows.select("id", "h", "at", "path", "crumb", "content", "budget", "over", marks.alias("marks"), cuts.alias("cuts"))
+    sizes = F.transform("cuts", lambda x: F.struct(_cjk(x).alias("c"), (units(x) - _cjk(x)).alias("r")))
+    rows = rows.withColumn("ends", _ends(sizes, F.lit(0), F.col("budget"), 3))
+    parts = F.when(F.col("over"), _joined(F.col("cuts"), F.col("ends"), "")).otherwise(F.array(F.struct(F.col("content").alias("text"), F.lit(0).alias("n"))))
+    rows = rows.select("id", "h", "at", "path", "crumb", "budget", "over", "marks", F.posexplode(parts).alias("part", "p"))
+    hard = F.col("over") & (F.col("p.n") == 1) & (estimate(F.col("p.text")) > F.col("budget"))
+    halves = F.coalesce(_halved(F.when(hard, F.col("p.text")), F.col("budget")), F.array("p.text"))
+    rows = rows.select("id", "h", "at", "path", "crumb", "over", "marks", "part", F.posexplode(halves).alias("half", "content")).where(_strip(F.col("content")) != "")
+    rows = rows.withColumn("content", F.when(F.col("over"), F.rtrim("content", F.lit(_SPACE))).otherwise(F.col("content"))).withColumn("n", units(F.col("content")))
+    quality = [
+        F.when(F.col("n") < options.min_chars, "tiny"), F.when(F.col("n") > options.max_chars * 1.15, "oversized"),
+        F.when(~F.col("content").rlike(rf'[.!?:)\]`"][{_SPACE}]*+\z'), "mid-sentence"),
+    ]
+    place = F.row_number().over(Window.partitionBy("id", "h").orderBy("at", "part", "half")) - 1
+    return rows.select(
+        "id", place.cast("int").alias("position"), "content", F.concat("crumb", "content").alias("embedded_content"), F.col("path").alias("heading_path"), F.col("n").alias("char_len"),
+        estimate(F.col("content")).alias("tokens"), F.concat("marks", F.array_compact(F.array(*quality))).alias("flags"),
+    )
 
 
 def ingest(docs: DataFrame, embed, now, options: ChunkOptions = ChunkOptions(), most_chars: int = 2_000_000) -> tuple[DataFrame, DataFrame]:
