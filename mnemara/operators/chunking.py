@@ -30,7 +30,6 @@ _SPACE = _BLANK + "\n"
 _ITEM = rf"(?dm)^(?:[{_BLANK}]*+(```|~~~)[^\n]*+(?:(?s:.*?)\n[{_BLANK}]*+\1[^\n]*+|(?s:.*))|[^\n]*+)"
 _FENCE = rf"^[{_BLANK}]*+(```|~~~)"
 _HEADING = rf"^(#{{1,6}})[{_BLANK}]+(?=[^{_SPACE}])"
-_WIDE = r"[\x{10000}-\x{10FFFF}]"
 LEAST_BUDGET = 32
 
 
@@ -65,15 +64,16 @@ def _ascii(c) -> Column:
 
 def units(c) -> Column:
     """The length of a text in UTF-16 units."""
-    return F.when(_ascii(c), F.length(c)).otherwise(F.length(c) + F.regexp_count(c, F.lit(_WIDE))).cast("int")
+    return F.when(_ascii(c), F.length(c)).otherwise(F.octet_length(F.encode(c, "UTF-16BE")) / 2).cast("int")
 
 
-def _cjk(c) -> Column:
-    return F.when(_ascii(c), F.lit(0)).otherwise(F.regexp_count(c, F.lit(tx.CJK))).cast("int")
+def _thirds(c) -> Column:
+    """Three for each CJK character and one for every other UTF-16 unit: three times what the token estimate rounds up."""
+    return F.when(_ascii(c), F.length(c)).otherwise(units(c) + 2 * F.regexp_count(c, F.lit(tx.CJK))).cast("int")
 
 
 def estimate(c) -> Column:
-    return F.when(_ascii(c), F.ceil(F.length(c) / 3)).otherwise(tx.token_estimate(c)).cast("int")
+    return F.ceil(_thirds(c) / 3).cast("int")
 
 
 def _sentences(c) -> Column:
@@ -85,30 +85,25 @@ def _lines(c) -> Column:
     return F.transform(F.split(c, r"\n"), lambda s: F.concat(s, F.lit("\n")))
 
 
-def _ends(sizes: Column, gap: Column, limit: Column, per: int) -> Column:
-    """Where parts end if consecutive units are joined while the sum of ``c + r / per``, rounded up, is within the limit.
+def _ends(sizes: Column, gap: Column, limit: Column) -> Column:
+    """Where parts end if consecutive units are joined while their sizes, and ``gap`` between two, are within the limit.
 
-    ``sizes`` holds structs ``c, r``; ``gap`` is added to ``r`` between two units. A unit over the limit is a part by itself.
+    A unit over the limit is a part by itself.
     """
 
-    def size(c: Column, r: Column) -> Column:
-        return c + F.ceil(r / per)
-
-    def step(s: Column, u: Column) -> Column:
-        big = size(u["c"], u["r"]) > limit
-        full = s["held"] & (size(s["c"] + u["c"], s["r"] + gap + u["r"]) > limit)
+    def step(s: Column, n: Column) -> Column:
+        big, full = n > limit, s["held"] & (s["n"] + gap + n > limit)
         none = F.array().cast("array<int>")
         new = F.concat(s["ends"], F.when(full, F.array(s["i"])).otherwise(none), F.when(big, F.array(s["i"] + 1)).otherwise(none))
         return F.struct(
             F.when(full | big, new).otherwise(s["ends"]).alias("ends"),
-            F.when(big, 0).when(full, u["c"]).otherwise(s["c"] + u["c"]).cast("int").alias("c"),
-            F.when(big, 0).when(full, u["r"]).otherwise(s["r"] + u["r"] + F.when(s["held"], gap).otherwise(0)).cast("int").alias("r"),
+            F.when(big, 0).when(full, n).otherwise(s["n"] + n + F.when(s["held"], gap).otherwise(0)).cast("int").alias("n"),
             (~big).alias("held"),
             (s["i"] + 1).cast("int").alias("i"),
         )
 
     zero = F.lit(0).cast("int")
-    start = F.struct(F.array().cast("array<int>").alias("ends"), zero.alias("c"), zero.alias("r"), F.lit(False).alias("held"), zero.alias("i"))
+    start = F.struct(F.array().cast("array<int>").alias("ends"), zero.alias("n"), F.lit(False).alias("held"), zero.alias("i"))
     return F.aggregate(sizes, start, step, lambda s: F.when(s["held"], F.concat(s["ends"], F.array(s["i"]))).otherwise(s["ends"]))
 
 
@@ -181,8 +176,8 @@ def _raw_parts(docs: DataFrame, options: ChunkOptions) -> DataFrame:
     )
     whole, first = F.transform("blocks", lambda x: x["text"]), F.col("blocks")[0]["text"]
     runs = runs.withColumn("units", F.when(~F.col("big"), whole).when(F.col("kind") == "para", _sentences(first)).otherwise(_lines(first)))
-    sizes = F.transform("units", lambda x: F.struct(F.lit(0).alias("c"), units(x).alias("r")))
-    fits = _ends(sizes, F.when(F.col("big"), 0).otherwise(2), limit, 1)
+    sizes = F.transform("units", units)
+    fits = _ends(sizes, F.when(F.col("big"), 0).otherwise(2), limit)
     runs = runs.select("id", "h", "run", "path", "big", "kind", "units", fits.alias("ends"))
     parts = F.when(F.col("big"), _joined(F.col("units"), F.col("ends"), "")).otherwise(_joined(F.col("units"), F.col("ends"), "\n\n"))
     rows = runs.select("id", "h", "run", "path", "big", "kind", F.posexplode(parts).alias("part", "p"))
@@ -232,8 +227,8 @@ def chunk_documents(docs: DataFrame, options: ChunkOptions = ChunkOptions()) ->
     )
     cuts = F.when(F.col("over"), F.when(F.contains("content", F.lit("\n")), _lines(F.col("content"))).otherwise(_sentences(F.col("content"))))
     rows = rows.select("id", "h", "at", "path", "crumb", "content", "budget", "over", marks.alias("marks"), cuts.alias("cuts"))
-    sizes = F.transform("cuts", lambda x: F.struct(_cjk(x).alias("c"), (units(x) - _cjk(x)).alias("r")))
-    rows = rows.withColumn("ends", _ends(sizes, F.lit(0), F.col("budget"), 3))
+    sizes = F.transform("cuts", _thirds)
+    rows = rows.withColumn("ends", _ends(sizes, F.lit(0), 3 * F.col("budget")))
     parts = F.when(F.col("over"), _joined(F.col("cuts"), F.col("ends"), "")).otherwise(F.array(F.struct(F.col("content").alias("text"), F.lit(0).alias("n"))))
     rows = rows.select("id", "h", "at", "path", "crumb", "budget", "over", "marks", F.posexplode(parts).alias("part", "p"))
     hard = F.col("over") & (F.col("p.n") == 1) & (estimate(F.col("p.text")) > F.col("budget"))
