@@ -1,7 +1,9 @@
 import math
 import random
+import re
 
 import pytest
+import xxhash
 from compare import DATA
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -97,13 +99,70 @@ def test_rare_words_beyond_the_sample_decide(spark):
     assert all((r["score"] >= toxicity.THRESHOLD) == (r["doc_id"] % 10 == 0) for r in out)
 
 
+def test_many_terms_are_met_in_blocks_and_shards(spark):
+    """Beyond ``max_terms`` the vocabulary and the examples stay tables: the same scores and neighbours for every row."""
+    rng = random.Random(5)
+    words, bad = [f"w{i}" for i in range(300)], [f"x{i}{'abcdefgh'[i]}q" for i in range(8)]
+    rows, labels = [], []
+    for i in range(900):
+        text = [rng.choice(words) for _ in range(30)]
+        for _ in range(i % 3 and rng.randint(0, 2)):
+            text[rng.randrange(30)] = rng.choice(bad)
+        labels.append((i, 0, int(any(w in bad for w in text) and rng.random() < 0.9)))
+        rows.append((i, " ".join(text), "s"))
+    rows += [rows[1], rows[1], (None, rows[2][1], None), (None, None, None), (1000, "", "s"), (1, "other x0aq", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, text_hash string")
+    labels = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    one, many = toxicity.fit(docs, labels, 50), toxicity.fit(docs, labels, 50, max_terms=3)
+    assert one.spread is None and many.spread.blocks >= 5 and many.spread.shards >= 2 and not many.terms
+    key = lambda r: (r["doc_id"] is None, r["doc_id"] or 0, round(r["score"], 6), r["neighbours"])
+    a, b = (sorted(map(key, toxicity.score_documents(docs, m).collect())) for m in (one, many))
+    assert len(a) == len(rows) and a == b and len({r[2] for r in a}) > 20
+    whole, spread = toxicity.drop_toxic(docs, labels), toxicity.drop_toxic(docs, labels, max_terms=3)
+    assert whole.schema == spread.schema and 0 < whole.count() < len(rows)
+    assert sorted(map(str, whole.collect())) == sorted(map(str, spread.collect()))
+
+
+def plain_words(text):
+    return re.findall(r"[^\W_]+", (text or "").lower())
+
+
+def plain_group(text):
+    """The eight least of all shingle hashes, one after the other."""
+    words, mask = plain_words(text), 2**64 - 1
+    hashes = set()
+    for three in zip(words, words[1:], words[2:], strict=False):
+        a, b, c = (xxhash.xxh64_intdigest(w) for w in three)
+        h = (a * 0x9E3779B185EBCA87 & mask) ^ (b * 0xC2B2AE3D27D4EB4F & mask) ^ c
+        hashes.add((h ^ h >> 29) * 0xBF58476D1CE4E5B9 & mask)
+    return tuple(sorted(hashes)[:8]) if hashes else tuple(words)
+
+
+def plain_terms(text):
+    """Every word and every beginning of 4 to 7 letters, counted one by one."""
+    count = {}
+    for word in plain_words(text):
+        for term in [word] + [word[:n] + "*" for n in range(4, 8) if n <= len(word)]:
+            count[term] = count.get(term, 0) + 1
+    return count
+
+
+def plain_apart(found):
+    """From long to short: a beginning goes if a kept term under it has nine tenths of its hits at about its rate or more,
+    else the kept terms under it go whose rate is about its own or less."""
+    kept = []
+    for term, level, hit, df in sorted(found, key=lambda r: (-len(r[0].strip("*")), "*" in r[0], r)):
+        under = [k for k in kept if "*" in term and k[1] == level and k[0].startswith(term[:-1])]
+        if not any(k[2] >= 0.9 * hit and k[2] / k[3] >= hit / df - 0.02 for k in under):
+            kept = [k for k in kept if k not in under or k[2] / k[3] > hit / df + 0.02] + [(term, level, hit, df)]
+    return {k[:2] for k in kept}
+
+
 def plain_op10(docs, labels, max_examples=10_000):
     """The whole operator once more in plain Python, with a search of every example."""
     import zlib
     from collections import defaultdict
 
-    import xxhash  # noqa: F401
-
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 3 == 1
     label = {}
     for r in labels:
@@ -112,16 +171,16 @@ def plain_op10(docs, labels, max_examples=10_000):
     groups = {}
     for r in docs:
         if r["doc_id"] in label:
-            words = toxicity._WORD.findall((r["text"] or "").lower())
+            words = plain_words(r["text"])
             shingles = frozenset(zip(words, words[1:], words[2:], strict=False)) or tuple(words)
-            key = (toxicity.sketch(r["text"]), label[r["doc_id"]])
+            key = (plain_group(r["text"]), label[r["doc_id"]])
             groups.setdefault(key, []).append((r["doc_id"], r["text"], shingles))
     assert all(len(x[2] & y[2]) / len(x[2] | y[2]) > 0.5 for g in groups.values() for x in g for y in g[:1] if isinstance(x[2], frozenset))
     examples = [(min(g)[0], min(g)[1], y) for (_, y), g in groups.items()]
     n, toxic = len(examples), sum(y for *_, y in examples)
     count = defaultdict(lambda: [0, 0])
     for _, text, y in examples:
-        for term, c in toxicity.terms_of(text).items():
+        for term, c in plain_terms(text).items():
             for level in toxicity.LEVELS:
                 if c >= level:
                     count[term, level][0] += 1
@@ -133,8 +192,8 @@ def plain_op10(docs, labels, max_examples=10_000):
         cells = ((hit, df * toxic / n), (df - hit, df * (n - toxic) / n), (toxic - hit, (n - df) * toxic / n), (n - toxic - df + hit, (n - df) * (n - toxic) / n))
         if 2 * sum(o * math.log(o / e) for o, e in cells if o) >= least and hit > df * toxic / n and hit >= df * toxicity.MIN_RATE:
             found.append((term, level, hit, df))
-    space = toxicity.apart(found)
-    have = {r["doc_id"]: {(t, v) for t, c in toxicity.terms_of(r["text"]).items() for v in toxicity.LEVELS if c >= v and (t, v) in space} for r in docs}
+    space = plain_apart(found)
+    have = {r["doc_id"]: {(t, v) for t, c in plain_terms(r["text"]).items() for v in toxicity.LEVELS if c >= v and (t, v) in space} for r in docs}
     df = {k: sum(k in x for x in have.values()) for k in space}
     idf = {k: math.log((1 + len(docs)) / (1 + df[k])) + 1 for k in space}
 
