@@ -32,7 +32,8 @@ TARGET = 0.95
 TRIED = 200
 NEIGHBOURS = 10
 MAX_BROADCAST_ASKED = 50_000
-SPLIT = 16
+TOGETHER = 1024  # queries that a task compares at a time
+MANY = 0.1  # a share of lists beyond which one product over all rows, masked, is faster than one a list
 
 
 def centroids(x: np.ndarray, k: int, seed: int = 1) -> np.ndarray:
@@ -101,8 +102,8 @@ class Lists:
         shared = queries.sparkSession.sparkContext.broadcast(self.centres)
 
         def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                near = np.argsort(-(_units(b.column(1), dim) @ shared.value.T), axis=1, kind="stable").astype(np.int32) if b.num_rows else np.zeros((0, k), np.int32)
+            for b in _small(batches):
+                near = np.argsort(-(_units(b.column(1), dim) @ shared.value.T), axis=1, kind="stable").astype(np.int32)
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(np.arange(len(near) + 1, dtype=np.int32) * k, near.ravel())], ["query_id", "q", "near"])
 
         asked = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("q").cast("array<double>").alias("q")).where(vec.is_valid(F.col("q"), dim))
@@ -123,21 +124,83 @@ class Lists:
 
     def _probe(self, asked: DataFrame, n: int, where: Column | None, done: int, more: int) -> DataFrame:
         """Candidates from lists number ``done`` to ``done + more`` in the order of each query."""
+        n_asked = asked.count()
+        if n_asked * more > MAX_BROADCAST_ASKED:
+            found = self._in_cells(asked, n_asked, n, where, done, more)
+            return retrieval.ranked(found, ["query_id"], [F.desc("similarity"), F.col("id")], n).drop("rank")
         pairs = asked.select(F.explode(F.slice("near", done + 1, more)).alias("list"), "query_id", "q")
         lists = [r["list"] for r in pairs.select("list").distinct().collect()]  # at most as many as there are lists
         rows = self.table.where(F.col("list").isin(lists))
         rows = rows if where is None else rows.where(where)
         packed = retrieval._packed(rows.select(F.col("list").alias("block"), F.col("id").cast("long").alias("id"), F.lit(0).cast("long").alias("tag"), "v"), retrieval.ROWS_A_BLOCK)
         keyed = pairs.select(F.col("list").alias("block"), F.col("query_id").alias("id"), F.lit(0).cast("long").alias("tag"), F.col("q").alias("v"))
-        few = pairs.count() <= MAX_BROADCAST_ASKED
         sent = retrieval._packed(keyed.repartition("block"), retrieval.QUERIES_A_BLOCK).select("block", F.col("ids").alias("q_ids"), F.col("tags").alias("q_tags"), F.col("x").alias("q"))
-        if few:
-            met = packed.join(F.broadcast(sent), "block").drop("block")
-        else:  # a long list's blocks are dealt over several tasks
-            split = sent.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SPLIT - 1).cast("long"))))
-            met = packed.withColumn("part", F.pmod(F.xxhash64("ids"), F.lit(SPLIT))).join(split, ["block", "part"]).drop("block", "part")
+        met = packed.join(F.broadcast(sent), "block").drop("block")
         return retrieval.ranked(retrieval.scored(met, n), ["query_id"], [F.desc("similarity"), F.col("id")], n).drop("rank")
 
+    def _in_cells(self, asked: DataFrame, n_asked: int, n: int, where: Column | None, done: int, more: int) -> DataFrame:
+        """Many queries: parts of them meet parts of the rows, a list at a time. A query is sent once a part, with a bit a list, not once a list."""
+        k, dim = self.centres.shape
+        lists = [r["list"] for r in asked.select(F.explode(F.slice("near", done + 1, more)).alias("list")).distinct().collect()]  # at most as many as there are lists
+        rows = self.table.where(F.col("list").isin(lists))
+        rows = rows if where is None else rows.where(where)
+        parts = retrieval.sides(rows.count(), n_asked)
+
+        def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in _small(batches):
+                ids = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+                x, near = _units(b.column(1), dim), b.column(2).flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+                reads, part = np.zeros((len(ids), k), bool), b.column(3).to_numpy(zero_copy_only=False)
+                np.put_along_axis(reads, near.astype(np.int64), True, axis=1)
+                for p in np.unique(part):
+                    own = part == p
+                    values = [ids[own].tobytes(), np.packbits(reads[own], axis=1).tobytes(), x[own].tobytes()]
+                    yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), *[pa.array([v], pa.binary()) for v in values]], ["block", "ids", "reads", "x"])
+
+        part = F.pmod(F.xxhash64("query_id"), F.lit(parts[1])).cast("int").alias("part")
+        sent = asked.select("query_id", "q", F.slice("near", done + 1, more).alias("near"), part).mapInArrow(pack, "block int, ids binary, reads binary, x binary")
+        packed = retrieval._part(rows.select("id", F.col("list").alias("tag"), "v"), parts[0], retrieval.ROWS_A_BLOCK)
+        return retrieval.cells_met(packed, sent, parts, lambda r, q: _probed(r, q, k, n), retrieval.FOUND)
+
+
+def _probed(rows: pa.Table, asked: pa.Table, k: int, n: int) -> pa.Table:
+    """Of a part of the rows the ``n`` nearest to each query of a part, in the lists that it reads."""
+    q_ids, best, own = [], [], []
+    for ids, reads, x in zip(*(asked[c].to_pylist() for c in ("ids", "reads", "x")), strict=True):
+        ids = np.frombuffer(ids, np.int64)
+        own.append((ids, np.frombuffer(reads, np.uint8).reshape(len(ids), -1), np.frombuffer(x).reshape(len(ids), -1)))
+    sides = list(retrieval.held(rows).values())
+    if own and sides:
+        (ids, lists, x), (asked_ids, reads, q) = sides[0], (np.concatenate(c) for c in zip(*own, strict=True))
+        order = np.argsort(lists, kind="stable")  # of a list in the order of the ids
+        ids, lists, x = ids[order], lists[order], x[order]
+        names, first = np.unique(lists, return_index=True)
+        ends = np.append(first[1:], len(lists))
+        for at in range(0, len(q), TOGETHER):
+            bits = np.unpackbits(reads[at : at + TOGETHER], axis=1, count=k).astype(bool)
+            top, some = retrieval.Best(len(bits), n), q[at : at + TOGETHER]
+            if bits.mean() > MANY:
+                for r in range(0, len(x), retrieval.ROWS_A_BLOCK):
+                    s = some @ x[r : r + retrieval.ROWS_A_BLOCK].T
+                    s[~bits[:, lists[r : r + retrieval.ROWS_A_BLOCK]]] = -np.inf
+                    top.meet(s, ids[r : r + retrieval.ROWS_A_BLOCK])
+            else:
+                for name, begin, end in zip(names.tolist(), first.tolist(), ends.tolist(), strict=True):
+                    who = np.flatnonzero(bits[:, name])
+                    for r in range(begin, end if len(who) else begin, retrieval.ROWS_A_BLOCK):
+                        stop = min(end, r + retrieval.ROWS_A_BLOCK)
+                        top.meet(some[who] @ x[r:stop].T, ids[r:stop], who)
+            q_ids.append(asked_ids[at : at + TOGETHER])
+            best.append(top)
+    return retrieval.found_table(q_ids, best)
+
+
+def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of few rows, as each row becomes a number a list."""
+    for b in batches:
+        for at in range(0, b.num_rows, TOGETHER):
+            yield b.slice(at, TOGETHER)
+
 
 def _ddl(df: DataFrame) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
