@@ -25,6 +25,7 @@ from mnemara.operators.retrieval import keyword_sets, ranked
 from mnemara.streaming.scratch import written
 
 BUCKETS = 64
+TOKENS = 200_000  # that a task turns into postings at a time
 FIRST = 4  # times the limit: candidates that are verified before others are left out
 MAX_BROADCAST_WORDS = 100_000
 SPLIT = 16
@@ -34,9 +35,20 @@ def bucket(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
+def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of at most ``TOKENS`` tokens or one row: a token becomes several numbers."""
+    for b in batches:
+        upto = np.cumsum(np.asarray(b.column(1).value_lengths().fill_null(0), np.int64))
+        at = 0
+        while at < b.num_rows:
+            stop = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + TOKENS, "right")))
+            yield b.slice(at, stop - at)
+            at = stop
+
+
 def _positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """``term, id, n, positions`` from rows of tokens."""
-    for b in batches:
+    for b in _bounded(batches):
         tokens = b.column(1).fill_null([]) if b.column(1).null_count else b.column(1)
         length = np.asarray(tokens.value_lengths().fill_null(0), np.int64)
         words = tokens.flatten().dictionary_encode()

@@ -2,10 +2,12 @@
 
 import hashlib
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from mnemara.jobs import records
-from mnemara.operators import writes
+from mnemara.operators import postings, writes
 
 SF = "/root/testdata/sf0.001"
 
@@ -42,3 +44,15 @@ def test_an_edit_of_what_the_batch_writes_keeps_a_space_whole(spark):
     ops = spark.createDataFrame([op(1, "a", "y"), op(2, name, "z")], kinds)
     out = writes.decide(state, ops, F.lit("2026-01-01").cast("timestamp"), tau=2.0).where("seq is not null").orderBy("seq").collect()
     assert [(r["action"], r["version"]) for r in out] == [("versioned", 2), ("versioned", 3)]
+
+
+def test_postings_are_made_of_few_tokens_at_a_time(monkeypatch):
+    rng = np.random.default_rng(2)
+    tokens = [[f"w{k}" for k in rng.integers(0, 9, n)] for n in rng.integers(0, 40, 60)] + [None, []]
+    b = pa.record_batch([pa.array(range(len(tokens))), pa.array(tokens, pa.list_(pa.string()))], ["id", "t"])
+    key = lambda: sorted(map(str, (r for part in postings._positions([b.slice(1)]) for r in part.to_pylist())))
+    want = key()
+    monkeypatch.setattr(postings, "TOKENS", 50)
+    parts = list(postings._bounded([b.slice(1)]))
+    assert key() == want and sum(p.num_rows for p in parts) == b.num_rows - 1
+    assert all(p.num_rows == 1 or len(p.column(1).flatten()) <= 50 for p in parts) and len(parts) > 10
