@@ -52,6 +52,20 @@ def test_equals_the_loop(spark, monkeypatch):
     assert ordered.supersede_fold(df.where("false"), [0.8]).count() == 0
 
 
+@pytest.mark.parametrize("dense", [0, 20, 10_000])
+def test_batches_equal_the_loop(spark, monkeypatch, dense):
+    """Many batches, lists that are taken whole, current vectors in one task and in blocks, by broadcast and by pairs of numbers."""
+    rng = np.random.default_rng(3)
+    centre = rng.standard_normal((5, 4))
+    v = [(centre[rng.integers(0, 5)] + rng.standard_normal(4) * rng.choice([0.0, 0.3, 1.0])).tolist() for _ in range(150)]
+    rows = [("a" if i % 5 else None, i * 7 % 151, x) for i, x in enumerate(v)]
+    for name, value in {"BATCH": 24, "BLOCK": 5, "DENSE": dense, "STEP": 3, "COMPACT": 1, "MAX_BROADCAST_BLOCKS": 4 if dense else 10**6}.items():
+        monkeypatch.setattr(ordered, name, value)
+    out = ordered.supersede_fold(spark.createDataFrame(rows, "space string, id long, v array<double>"), [0.6, 0.9], near=1).cache()
+    for tau in (0.6, 0.9):
+        assert got(out, tau) == plain(rows, tau)
+
+
 def test_a_large_group_of_copies_settles_at_once(spark):
     rows = [(0, i, [1.0, 2.0, 3.0] if i % 3 else [float(i), 1.0, -5.0]) for i in range(900)]
     assert got(ordered.supersede_fold(spark.createDataFrame(rows, "space int, id long, v array<double>"), [0.99]), 0.99) == plain(rows, 0.99)
