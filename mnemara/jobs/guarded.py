@@ -71,7 +71,7 @@ def redact_logged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def redact_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events' metadata with a secret under a label, one in a text of a list, and none, before and after the gate; every fifth write is allowed."""
-    e = table(spark, sf_dir, "events")
+    e = table(spark, sf_dir, "events").select("event_id", "event_type", "props").repartition("event_id")  # few files hold many events, and the gate is work
     secret = F.concat(F.lit("ghp_"), F.substring(F.sha2(F.col("event_id").cast("string"), 256), 1, 40))
     meta = F.to_json(F.struct(F.col("event_type").alias("kind"), F.struct(F.md5("props").alias("api_key"), F.array(F.concat(F.lit("see "), secret), F.col("event_type")).alias("notes")).alias("deep")))
     text = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("use "), secret)).otherwise(F.col("event_type"))

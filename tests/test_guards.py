@@ -138,3 +138,31 @@ def test_profiles_are_loaded_and_checked(spark):
 def test_rejected_writes(spark):
     assert one(spark, guards.rejected(F.lit(" \n"), 5)) == "empty" and one(spark, guards.rejected(F.lit("abcdef"), 5)) == "too long"
     assert one(spark, guards.rejected(F.lit("abc"), 5)) is None
+
+
+def test_the_gate_is_spread_over_tasks(spark):
+    """Events of one file, which are one task to read, aren't gated by one."""
+    from mnemara.jobs import guarded
+
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    was = spark.conf.get(name)
+    spark.conf.set(name, "false")  # a small table may be one task
+    try:
+        assert guarded.redact_deep(spark, "/root/testdata/sf0.1").rdd.getNumPartitions() > 1
+    finally:
+        spark.conf.set(name, was)
+
+
+def test_texts_without_marks_are_as_patterns_leave_them():
+    import random
+
+    rng = random.Random(5)
+    parts = ["ghp_" + "a1" * 20, "AKIA" + "B7" * 8, "sk-" + "c" * 24, "my pa\u017f\u017fword is abcd12345", "Token: abcdefgh1", "PRIVATE", "see", "api key = zyxwvut99", "\u212aey", "hf_", " ", "x1y2"]
+    for _ in range(300):
+        text = "".join(rng.choice(parts) for _ in range(4))
+        want = text
+        for kind, p in guards._TEXT_PATTERNS:
+            want = p.sub(f"[redacted: {kind}]", want)
+        want = guards._LABELLED.sub(r"\1\2[redacted: labelled_secret]", want)
+        assert guards.without_secrets(text)[0] == want
+        assert not guards._bare(text) or want == text
