@@ -96,3 +96,17 @@ def test_broken_files_and_chains(spark, store, tmp_path):
         (tmp_path / "g").write_text(json.dumps(head))
         with pytest.raises(ValueError, match="not an export"):
             transfer.read_export(spark, f"{tmp_path}/g")
+
+
+def test_documents_are_cut_when_asked_for(spark, tmp_path, monkeypatch):
+    """What became of chains and documents is known without cutting and embedding them; both tables come of one ingest."""
+    from mnemara.operators import chunking
+
+    head = json.dumps({"format": transfer.FORMAT, "version": transfer.VERSION})
+    one = json.dumps({"kind": "document", "exportId": "1", "title": "T", "content": "some words", "containerTags": ["x"]})
+    (tmp_path / "f").write_text(f"{head}\n{one}\n")
+    calls, ingest = [], chunking.ingest
+    monkeypatch.setattr(chunking, "ingest", lambda *a: calls.append(1) or ingest(*a))
+    got = imported(spark, transfer.read_export(spark, f"{tmp_path}/f"))
+    assert got.chains.count() == 0 and [r["verdict"] for r in got.taken.collect()] == ["imported"] and not calls
+    assert got.documents.count() == 1 == got.chunks.count() and len(calls) == 1
