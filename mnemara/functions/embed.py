@@ -3,60 +3,29 @@
 from __future__ import annotations
 
 import json
-import re
-from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from mnemara.functions import hashed
+
 DIM = 384
 PAYLOAD_CHARS = 36_000
 #: Prefixes of models that tell queries from passages.
 PREFIXES = {"query": "query: ", "passage": "passage: "}
-#: Words of the evaluation set that count more.
-_HEAVY = re.compile(r"(?:memtoken|memdistractor|doctoken|hybtoken|code)\d+")
-_DOUBLE = frozenset("service runbook playbook memory hybrid recovery command editor owns".split())
-_FNV_START, _FNV_PRIME = 2166136261, 16777619
 _VECTOR = T.ArrayType(T.FloatType())
 
 
-def word_slot(word: str, dim: int) -> int:
-    """FNV-1a over the characters of a word, modulo the dimension."""
-    h = _FNV_START
-    for c in word.encode("ascii"):
-        h = (h ^ c) * _FNV_PRIME & 0xFFFFFFFF
-    return h % dim
-
-
-def word_weight(word: str) -> int:
-    return 6 if _HEAVY.match(word) else 2 if word in _DOUBLE else 1
-
-
 def hash_embedder(dim: int = DIM):
     """A column function: unit vectors of hashed words ``[a-z0-9]+``; a text without words is the first axis. Null stays null."""
 
-    @F.pandas_udf(_VECTOR)
-    def embed(texts: pd.Series) -> pd.Series:
-        slots: dict[str, tuple[int, int]] = {}
-
-        def one(text: str | None) -> np.ndarray | None:
-            if text is None:
-                return None
-            v = np.zeros(dim)
-            for word, n in Counter(re.findall("[a-z0-9]+", text.lower())).items():
-                if word not in slots:
-                    slots[word] = (word_slot(word, dim), word_weight(word))
-                at, weight = slots[word]
-                v[at] += n * weight
-            size = np.sqrt((v * v).sum())
-            if not size:
-                v[0] = size = 1.0
-            return (v / size).astype(np.float32)
-
-        return texts.map(one)
+    @F.arrow_udf(_VECTOR)
+    def embed(texts: pa.Array) -> pa.Array:
+        return hashed.vectors(texts, dim)
 
     return embed
 
