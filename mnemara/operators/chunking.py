@@ -255,7 +255,7 @@ def ingest(docs: DataFrame, embed, now, options: ChunkOptions = ChunkOptions(),
     """
     from mnemara.functions import vectors as vec
 
-    taken = docs.where(F.length("text").between(1, most_chars))
+    taken = written(docs.where(F.length("text").between(1, most_chars)).select("id", "title", "text", "tags"), "taken")  # read by the chunker and by each reader of documents
     made = written(chunk_documents(taken).withColumn("v", embed(F.col("embedded_content"))), "chunks")  # read three times below
     good = F.coalesce(vec.is_valid(F.col("v"), F.size("v")), F.lit(False))
     key = F.concat(F.lit("c_"), F.substring(F.sha2(F.concat_ws("/", F.col("id").cast("string"), F.col("position").cast("string")), 256), 1, 20))
