@@ -52,7 +52,8 @@ def export_lines(memories: DataFrame, profiles: DataFrame, documents: DataFrame,
     map_free = row.withField("memoryRelations", F.to_json("relations"))  # maps have no order
     chains = memories.groupBy("space", "root").agg(F.array_sort(F.collect_list(map_free)).alias("v"))
     versions = F.transform("v", lambda x: x.dropFields("_at").withField("memoryRelations", F.from_json(x["memoryRelations"], "map<string,array<string>>")))
-    there = documents.join(chunks.select(F.col("document_id").alias("id")).distinct(), "id", "left_semi")
+    cut = chunks.select(F.col("document_id").alias("_cut")).distinct()
+    there = documents.join(cut, F.col("id").eqNullSafe(F.col("_cut")), "left_semi")
     known = links.join(memories.select(F.col("id").alias("memory_id")), "memory_id", "left_semi").join(there.select(F.col("id").alias("document_id")), "document_id", "left_semi")
     parts = [
         spark.range(1).select(F.struct(F.lit(FORMAT).alias("format"), F.lit(VERSION).alias("version")).alias("x")),
@@ -73,7 +74,7 @@ def write_export(lines: DataFrame, path: str) -> None:
 
 def read_export(spark: SparkSession, path: str) -> DataFrame:
     """The lines of an export, parsed once and kept by kind; raises if it has no header of this format and version."""
-    parsed = written(spark.read.text(path).select(F.from_json("value", LINE).alias("x")).select("x.*"), "parsed", by=["kind"])
+    parsed = written(spark.read.text(path).select(F.from_json("value", LINE, {"maxStringLen": str(2**31 - 1)}).alias("x")).select("x.*"), "parsed", by=["kind"])
     head = parsed.where("format is not null").select("format", "version").distinct().limit(2).collect()
     if [tuple(r) for r in head] != [(FORMAT, VERSION)]:
         raise ValueError(f"not an export of format {FORMAT}, version {VERSION}: {[tuple(r) for r in head]}")
@@ -153,11 +154,11 @@ def import_export(lines: DataFrame, memories: DataFrame, documents: DataFrame, e
     new_ids = added.select(F.col("_old").alias("memoryExportId"), F.col("id").alias("memory_id"))
 
     asked = lines.where("kind = 'document' and content <> ''").select("exportId", "title", F.col("content").alias("text"), F.array(F.coalesce(F.get("containerTags", F.lit(0)), F.lit("default"))).alias("tags"), F.sha2("content", 256).alias("_d"))
-    known = documents.select(F.col("title").alias("_title"), F.sha2("text", 256).alias("_kd"), F.col("id").cast("string").alias("_known")).groupBy("_title", "_kd").agg(F.min("_known").alias("_known"))
+    known = documents.select(F.col("title").alias("_title"), F.sha2("text", 256).alias("_kd"), F.col("id").cast("string").alias("_known")).groupBy("_title", "_kd").agg(F.min("_known").alias("_known"), F.lit(True).alias("_there"))
     met = asked.join(known, F.col("title").eqNullSafe(F.col("_title")) & (F.col("_d") == F.col("_kd")), "left")
     met = met.withColumn("id", F.xxhash64(F.lit(run), "title", "_d"))
-    taken = met.select("exportId", F.when(F.col("_known").isNull(), "imported").otherwise("skipped").alias("verdict"))
-    fresh = met.where("_known is null").dropDuplicates(["id"]).select("id", "title", "text", "tags")
+    taken = met.select("exportId", F.when(F.col("_there").isNull(), "imported").otherwise("skipped").alias("verdict"))
+    fresh = met.where("_there is null").dropDuplicates(["id"]).select("id", "title", "text", "tags")
     doc_ids = met.select(F.col("exportId").alias("documentExportId"), F.coalesce("_known", F.col("id").cast("string")).alias("document_id"))
     links = lines.where("kind = 'provenance'").select("memoryExportId", "documentExportId").join(new_ids, "memoryExportId").join(doc_ids, "documentExportId").select("memory_id", "document_id").distinct()
     profiles = lines.where("kind = 'profile' and profile is not null").select(F.col("containerTag").alias("space"), "profile")

@@ -110,3 +110,39 @@ def test_documents_are_cut_when_asked_for(spark, tmp_path, monkeypatch):
     got = imported(spark, transfer.read_export(spark, f"{tmp_path}/f"))
     assert got.chains.count() == 0 and [r["verdict"] for r in got.taken.collect()] == ["imported"] and not calls
     assert got.documents.count() == 1 == got.chunks.count() and len(calls) == 1
+
+
+def test_long_texts_and_documents_without_id(spark, tmp_path):
+    """A text over twenty million characters, which a JSON parser refuses by default, comes in; a document without id is one."""
+    long = spark.range(1).select(F.lit(1).cast("long").alias("id"), F.lit("Long").alias("title"), F.repeat(F.lit("a"), F.lit(21_000_000)).alias("text"), F.array(F.lit("s")).alias("tags"))
+    docs = long.unionByName(spark.createDataFrame([(None, None, "no id", ["s"])], "id long, title string, text string, tags array<string>"))
+    empty = {"memories": spark.createDataFrame([], SCHEMA), "profiles": spark.createDataFrame([], "space string, profile string"), "links": spark.createDataFrame([], "memory_id string, document_id long")}
+    store = empty | {"documents": docs, "chunks": docs.select(F.col("id").alias("document_id"))}
+    lines = exported(spark, store, f"{tmp_path}/e")
+    assert {r[0] for r in lines.select(F.length("content")).collect()} == {21_000_000, 5}
+    assert [r["verdict"] for r in imported(spark, lines).taken.collect()] == ["imported"] * 2 and [r["verdict"] for r in imported(spark, lines, store).taken.collect()] == ["skipped"] * 2
+
+
+@pytest.mark.parametrize("some_pages", [True, False])
+def test_import_counts_equals_sql_on_odd_rows(spark, tmp_path, some_pages):
+    """Null and empty texts and languages, ids that are repeated, null, negative or large, vectors twice, and pages that hold next to nothing."""
+    import duckdb
+
+    from mnemara.jobs import ingest
+
+    texts = {
+        0: "a", 1: "b", 2: None, 3: None, 4: "a", 5: "c", 6: None, 9: None, 12: "", 15: "", 18: "=", 21: "==", 24: "=?", 27: "a", 28: "d", 30: "d",
+        -1: "e", -2: "f", -4: "g", 2**31: "h", 2**53 + 1: "i", 2**53 + 2: "j", 2**63 - 1: "k", -(2**63): "l",
+    }
+    rows = [(i, t, "en") for i, t in texts.items()] + [(300, "m", "en"), (300, "m", "en"), (303, "n", "en"), (303, "n", "de"), (None, "o", "en"), (None, "p", "en")]
+    rows += [(400, "q", None), (403, "q", None), (406, "q", ""), (409, "q", ""), (412, "q", "default"), (415, "q", "="), (418, "q", "=default"), (421, None, None)]
+    html = [None, "", "  ", "<p>\u00a0\u3000</p>", "<p>\t</p>", "<p>\u200b</p>", "<h1></h1>", "<h1> <b></b></h1>", "<h1>A</h1>", "<script>x</style>", "<script>x</style>y</script>", "<scripté>x</script>", "<\u017fcript>x</SCRIPT>", "<script_>x</script>", "<"]
+    pages = [(i, h) for i, h in enumerate(html)] + [(1, "<p>again</p>"), (1, "<p>again</p>"), (None, "<p>z</p>"), (None, "<p>z</p>")]
+    con, vectors = duckdb.connect(), [(i, [1.0, 0.0], 0) for i in (0, 0, 4, 4, 300)]
+    for name, data, schema in (
+        ("documents", rows, "doc_id long, text string, lang string"), ("pages", pages if some_pages else [], "page_id long, html string"), ("embeddings", vectors, "vec_id long, embedding array<double>, label int"),
+    ):
+        spark.createDataFrame(data, schema).coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    got = sorted(tuple(r) for r in ingest.import_counts(spark, str(tmp_path)).collect())
+    assert got == sorted(con.execute(ingest.SQL["import_counts"]).fetchall()) and len(got) == 6
